@@ -1 +1 @@
-
+"""Query catalogue."""
