@@ -4,12 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm import simhash
+from corvida.llm import bpe, decontam, linededup, simhash, toxicity
 from corvida.sources.tables import table
 
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def fold(modulus: int) -> Column:
+    """crc32 of the id as text, modulo ``modulus``; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select(F.col("r.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i - 1 AS n, ls[i] AS line, len(regexp_extract_all(ls[i], '[^ \\t\\n\\x0B\\f\\r]+')) AS words
+  FROM docs, unnest(generate_series(1, len(ls))) AS t(i)),
+matches AS (SELECT a.doc_id AS da, a.n AS na, b.doc_id AS db, a.n - b.n AS shift, a.words
+  FROM lines a JOIN lines b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.n < a.n))),
+diagonals AS (SELECT *, na - row_number() OVER (PARTITION BY da, db, shift ORDER BY na) AS stretch FROM matches),
+runs AS (SELECT da, min(na) AS s, max(na) AS e FROM diagonals GROUP BY da, db, shift, stretch HAVING sum(words) >= {linededup.MIN_WORDS}),
+deleted AS (SELECT DISTINCT da, n FROM runs, unnest(generate_series(s, e)) AS t(n))
+SELECT l.doc_id, count(*) AS n_lines, count(d.da) AS n_deleted,
+  sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE d.da IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN deleted d ON d.da = l.doc_id AND d.n = l.n GROUP BY l.doc_id
+"""
+
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
@@ -17,5 +46,36 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_simhash": op5_simhash}
-SQL: dict[str, str] = {}
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on the labelled rows outside the held-out fold."""
+    return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", fold(4) != 2)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item."""
+    return decontam.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_vocabulary() -> dict[bytes, int]:
+    return bpe.read_ranks(public_tokenizers.path(BYTE_VOCABULARY))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of all documents, there and back."""
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), byte_vocabulary(), public_tokenizers.PATTERN)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
+    "op5_simhash": op5_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontam": op8_decontam,
+    "op9_bpe": op9_bpe,
+}
+SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
