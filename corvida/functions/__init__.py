@@ -1 +1,24 @@
+"""Scalar helpers that keep engines and seeds comparable."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def hashed_uniform(*parts: Column) -> Column:
+    """A number in [0, 1) from the MD5 of the parts joined by colons; the same in any SQL engine."""
+    text = F.concat_ws(":", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+
+
+def content_digest(text: Column) -> Column:
+    """SHA-256 of a text's bytes."""
+    return F.sha2(text, 256)
+
+
+def mapped_label(category: Column) -> Column:
+    """0 or 1 of an ordinal category; null stays null and an unknown category aborts the query."""
+    # Which categories belong to which class.
+    known = F.when(category.isin("2", "3"), 0).when(category.isin("4a", "4b", "4c", "5"), 1)
+    return F.when(category.isNull(), None).otherwise(F.coalesce(known, F.raise_error(F.concat(F.lit("unsupported category "), category)).cast("int")))

@@ -1,6 +1,447 @@
-"""Core queries and their SQL."""
+"""Core queries over the driver tables, each with the SQL that must give the same rows.
+
+Documents stand for samples: four views make a case, ``labels.quality`` is the
+label, which most documents lack, equal texts and equal openings are the two
+content channels, and scores of a model are half length, half hash.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvida.functions import content_digest, hashed_uniform
+from corvida.operators import contracts, identity, lineage, metrics, resampling, scoring, split, threshold
+from corvida.session import Stage
+from corvida.sources.tables import table
+
+SEEDS = (17, 29, 43)
+DRAWS, DRAW_SEED = 200, 1729
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """One row per document: ids, label or null, and both content digests."""
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = docs.select(
+        F.col("doc_id").alias("sample_id"),
+        F.expr("doc_id div 4").alias("case_id"),
+        (F.col("doc_id") % 4).alias("view"),
+        "source",
+        "n_chars",
+        content_digest(F.col("text")).alias("byte_hash"),
+        content_digest(F.substring("text", 1, 200)).alias("content_hash"),
+    )
+    # texts stay behind: only digests meet the labels
+    return rows.join(labels, rows["sample_id"] == labels["doc_id"], "left").drop("doc_id")
+
+
+def with_component(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with the component of their case; cases without a label link others too."""
+    rows = Stage(spark, "samples").write(samples(spark, d))
+    return rows.join(identity.link_components(rows, "case_id", ["byte_hash", "content_hash"]), "case_id")
+
+
+def with_split(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled samples with their component's split."""
+    rows = Stage(spark, "split").write(with_component(spark, d))
+    kept, _ = identity.exclude_missing(rows)
+    return kept.join(split.rank_split(rows), "component")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """``model, y, p`` rows of every seed for samples."""
+    p = 0.5 * F.least(F.col("n_chars"), F.lit(4000)) / 4000.0 + 0.5 * hashed_uniform(F.col("seed"), F.col("sample_id"))
+    many = rows.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    return many.select("sample_id", "component", "split", "seed", F.concat(F.lit("m"), F.col("seed").cast("string")).alias("model"), F.col("label").alias("y"), p.alias("p"))
+
+
+def line_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A large scored table: whether a line was returned, against its quantity."""
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") / 50.0).alias("p"))
+    return rows.select(F.lit("quantity").alias("model"), "y", "p")
+
+
+def _chosen(rows: DataFrame) -> DataFrame:
+    return threshold.choose_threshold(rows.where("split = 'validation'"))
+
+
+def _fixed(rows: DataFrame) -> DataFrame:
+    return rows.select("model").distinct().withColumn("threshold", F.lit(0.5))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds from validation scores alone, and test metrics at them and at 0.5."""
+    rows = Stage(spark, "flagship").write(scored(with_split(spark, d)))
+    test, chosen = rows.where("split = 'test'"), _chosen(rows)
+    both = chosen.select("model", "threshold").withColumn("rule", F.lit("selected")).unionByName(_fixed(test).withColumn("rule", F.lit("fixed")))
+    out = None
+    for rule in ("selected", "fixed"):
+        part = metrics.rates(metrics.confusion(test, both.where(F.col("rule") == rule))).join(both.where(F.col("rule") == rule).select("model", "threshold"), "model").withColumn("rule", F.lit(rule))
+        out = part if out is None else out.unionByName(part)
+    r = lambda c: F.round(c, 9).alias(c)
+    return out.select("model", "rule", "threshold", "n", "tn", "fp", "fn", "tp", r("balanced_accuracy"), r("accuracy"))
+
+
+def samples_base(spark, d):
+    return samples(spark, d).select("sample_id", "case_id", "view", F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), "byte_hash", "content_hash", F.concat_ws("/", "source", F.col("sample_id").cast("string")).alias("path"))
+
+
+def class_index(spark, d):
+    """Labels from the sorted order of class names."""
+    names = table(spark, d, "documents").select("source").distinct()
+    from pyspark.sql import Window
+
+    return names.select(F.col("source").alias("class_name"), (F.dense_rank().over(Window.orderBy("source")) - 1).alias("class_index"))
+
+
+def missing_label_exclusion(spark, d):
+    kept, out = identity.exclude_missing(samples(spark, d))
+    rows = kept.select("label", F.lit(None).cast("string").alias("reason")).unionByName(out.select("label", "reason"))
+    return rows.groupBy(F.coalesce(F.col("label"), F.lit(-1)).cast("int").alias("label"), F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n_rows"))
+
+
+def case_components(spark, d):
+    rows = with_component(spark, d)
+    return rows.groupBy("component").agg(F.count_distinct("case_id").alias("n_cases"), F.count("*").alias("n_samples"))
+
+
+def cohort_counts(spark, d):
+    return identity.cohort_counts(with_component(spark, d))
+
+
+def bridge_cases(spark, d):
+    """Cases without any label in components that hold two or more labelled cases."""
+    rows = Stage(spark, "bridge").write(with_component(spark, d))
+    cases = rows.groupBy("component", "case_id").agg(F.max(F.col("label").isNotNull().cast("int")).alias("has"))
+    wide = cases.groupBy("component").agg(F.sum("has").alias("labelled")).where("labelled >= 2")
+    return cases.where("has = 0").join(wide, "component").select("case_id", "component", F.col("labelled").cast("long").alias("labelled"))
+
+
+def group_support(spark, d):
+    rows = Stage(spark, "support").write(samples(spark, d))
+    return identity.group_support(rows, "sample_id", "case_id", "byte_hash").select(*(F.col(c).cast("long").alias(c) for c in ("n_rows", "n_groups", "n_components")))
+
+
+def duplicate_conflicts(spark, d):
+    return identity.conflicting(samples(spark, d).where("label IS NOT NULL"), "byte_hash", "label")
+
+
+def conflicts_seeded(spark, d):
+    """The same check with labels that disagree by design."""
+    rows = samples(spark, d).withColumn("label", F.col("sample_id") % 2)
+    return identity.conflicting(rows, "content_hash", "label")
+
+
+def rank_split_counts(spark, d):
+    return with_split(spark, d).groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+
+
+def greedy_split_counts(spark, d):
+    rows = Stage(spark, "greedy").write(with_component(spark, d))
+    parts = split.greedy_split(rows)
+    kept, _ = identity.exclude_missing(rows)
+    return kept.join(parts, "component").groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
+
+
+def split_leakage(spark, d):
+    return contracts.crossing(with_split(spark, d), "byte_hash")
+
+
+def leakage_without_groups(spark, d):
+    """Digests that a split of single samples would leak."""
+    rows = samples(spark, d).withColumn("split", F.when(F.col("sample_id") % 10 < 7, "train").otherwise("test"))
+    return contracts.leaked(rows.where("split = 'train'"), rows.where("split = 'test'"), "byte_hash")
+
+
+def coverage_check(spark, d):
+    return split.coverage(with_split(spark, d))
+
+
+def set_difference(spark, d):
+    """Rows in which documents and labels disagree about which ids there are."""
+    return contracts.unmatched(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
+
+
+def dataset_fingerprint(spark, d):
+    rows = samples(spark, d).select("sample_id", "case_id", "byte_hash")
+    return identity.fingerprint(rows, ["sample_id", "case_id", "byte_hash"]).select(F.col("n_rows").cast("long").alias("n_rows"), "fingerprint")
+
+
+def threshold_curve(spark, d):
+    r = threshold.threshold_curve(line_scores(spark, d))
+    return r.select("model", "threshold", "tp", "tn", F.col("objective").cast("long").alias("objective"), F.round("balanced_accuracy", 9).alias("balanced_accuracy"))
+
+
+def threshold_select(spark, d):
+    r = threshold.choose_threshold(line_scores(spark, d))
+    return r.select("model", "threshold", "tp", "tn", F.col("objective").cast("long").alias("objective"), F.round("balanced_accuracy", 9).alias("balanced_accuracy"))
+
+
+def validation_thresholds(spark, d):
+    """Every seed's and the ensemble's threshold, from validation samples."""
+    rows = Stage(spark, "validation").write(scored(with_split(spark, d)).where("split = 'validation'").select("sample_id", "model", "y", "p"))
+    r = threshold.choose_threshold(metrics.with_ensemble(rows))
+    return r.select("model", F.round("threshold", 9).alias("threshold"), "tp", "tn")
+
+
+def confusion(spark, d):
+    rows = line_scores(spark, d)
+    return metrics.confusion(rows, _fixed(rows))
+
+
+def class_metrics(spark, d):
+    rows = line_scores(spark, d)
+    r = metrics.by_class(metrics.confusion(rows, _fixed(rows)))
+    return r.select("model", "class", "support", "predicted", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def balanced_accuracy(spark, d):
+    rows = line_scores(spark, d)
+    r = metrics.rates(metrics.confusion(rows, _fixed(rows)))
+    return r.select("model", *(F.round(c, 9).alias(c) for c in ("accuracy", "sensitivity", "specificity", "balanced_accuracy")))
+
+
+def roc_auc(spark, d):
+    return metrics.roc_auc(line_scores(spark, d)).select("model", "positives", "negatives", F.round("roc_auc", 9).alias("roc_auc"))
+
+
+def brier_logloss(spark, d):
+    return metrics.losses(line_scores(spark, d)).select("model", F.round("brier", 9).alias("brier"), F.round("log_loss", 9).alias("log_loss"))
+
+
+def ensemble_mean(spark, d):
+    rows = Stage(spark, "ensemble").write(scored(with_split(spark, d)).where("split = 'test'").select("sample_id", "model", "y", "p"))
+    return metrics.with_ensemble(rows).groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("p"), 9).alias("mean_p"))
+
+
+def evaluation_samples(spark, d):
+    rows = Stage(spark, "evaluation").write(scored(with_split(spark, d)))
+    out = metrics.evaluation_samples(rows.where("split = 'test'"), _chosen(rows), ("low", "high"))
+    said = F.array_join(F.transform(F.map_entries("predictions"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("sample_id", "true_class", F.size("probabilities").alias("n_models"), said.alias("predictions"))
+
+
+def prior_baseline(spark, d):
+    """A constant class from the training prior, judged on test samples."""
+    rows = Stage(spark, "prior").write(with_split(spark, d).select("split", "label"))
+    prior = rows.where("split = 'train'").agg(F.avg("label").alias("prior"))
+    test = rows.where("split = 'test'").agg(F.sum("label").alias("P"), F.sum(1 - F.col("label")).alias("N"))
+    said = (F.col("prior") >= 0.5).cast("int")
+    ba = (said * F.col("P") / F.nullif(F.col("P"), F.lit(0)) + (1 - said) * F.col("N") / F.nullif(F.col("N"), F.lit(0))) / 2
+    # one row each
+    return prior.crossJoin(test).select(F.round("prior", 9).alias("prior"), said.alias("constant_class"), F.round(ba, 9).alias("balanced_accuracy"))
+
+
+def _seed_values(spark, d) -> DataFrame:
+    """``model, selected, fixed``: balanced accuracy on test samples."""
+    rows = Stage(spark, "seeds").write(scored(with_split(spark, d)))
+    test = rows.where("split = 'test'")
+    of = lambda cuts, name: metrics.rates(metrics.confusion(test, cuts)).select("model", F.col("balanced_accuracy").alias(name))
+    return of(_chosen(rows), "selected").join(of(_fixed(test), "fixed"), "model")
+
+
+def paired_deltas(spark, d):
+    r = _seed_values(spark, d)
+    return r.select("model", F.round("selected", 9).alias("selected"), F.round("fixed", 9).alias("fixed"), F.round(F.col("selected") - F.col("fixed"), 9).alias("delta"))
+
+
+def seed_stats(spark, d):
+    long = _seed_values(spark, d).unpivot("model", ["selected", "fixed"], "metric", "value")
+    r = resampling.across_seeds(long)
+    return r.select("metric", "n", *(F.round(c, 9).alias(c) for c in ("mean", "sd", "variance", "low", "high")))
+
+
+def _draw_rows(spark, d) -> DataFrame:
+    rows = Stage(spark, "draws").write(scored(with_split(spark, d)))
+    test, out = rows.where("split = 'test'"), None
+    for name, cuts in (("selected", _chosen(rows)), ("fixed", _fixed(test))):
+        part = test.join(F.broadcast(cuts.select("model", "threshold")), "model").select(F.col("component").alias("group"), "seed", F.lit(name).alias("comparator"), "y", (F.col("p") >= F.col("threshold")).cast("int").alias("said"))
+        out = part if out is None else out.unionByName(part)
+    return Stage(spark, "sums").write(resampling.group_sums(out))
+
+
+def group_bootstrap(spark, d):
+    r = resampling.bootstrap(_draw_rows(spark, d), DRAWS, DRAW_SEED)
+    return r.select("comparator", "valid", "attempted", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def group_bootstrap_twister(spark, d):
+    r = resampling.bootstrap(_draw_rows(spark, d), 50, DRAW_SEED, "twister")
+    return r.select("comparator", "valid", "attempted", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def test_resolution(spark, d):
+    """What one error in each class is worth in balanced accuracy."""
+    rows = with_split(spark, d).where("split = 'test'").groupBy(F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"))
+    return rows.select("label", "n_rows", F.round(0.5 / F.col("n_rows"), 9).alias("step"))
+
+
+def best_epoch(spark, d):
+    """The first epoch of the lowest loss in each run; months are epochs, discounts losses."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("run"), F.month("l_shipdate").alias("epoch")).agg(F.round(F.avg("l_discount"), 9).alias("loss"))
+    return rows.groupBy("run").agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("epoch"), F.min("loss").alias("loss"))
+
+
+def model_binding(spark, d):
+    """Thresholds by the digest of each model's identity."""
+    rows = Stage(spark, "binding").write(scored(with_split(spark, d)))
+    models = spark.createDataFrame([(f"m{s}",) for s in SEEDS], "model string").withColumn("model_sha256", F.sha2("model", 256))
+    decisions = _chosen(rows).select(F.sha2("model", 256).alias("model_sha256"), F.round("threshold", 9).alias("threshold"))
+    return lineage.bound_thresholds(models, decisions).select("model", "model_sha256", "threshold")
+
+
+def resume_pending(spark, d):
+    """Which phases of an experiment with one seed per nation are left, if even seeds are fitted and every fourth tested."""
+    plan = table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"))
+    finished = plan.where("seed % 2 = 0").withColumn("phase", F.lit("fit")).unionByName(plan.where("seed % 4 = 0").withColumn("phase", F.lit("test")))
+    return lineage.pending(plan, finished)
+
+
+def embedding_scorer(spark, d):
+    """A fitted scorer over all vectors: label 0 against the rest, scored in batches."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") == 0).cast("int").alias("y"))
+    train = rows.where("id % 5 != 0")
+    return scoring.apply_scorer(rows, scoring.fit_scorer(train)).select(F.col("id").alias("vec_id"), F.round("p", 6).alias("p"))
+
+
+_SAMPLES = """samples AS (SELECT d.doc_id AS sample_id, d.doc_id // 4 AS case_id, d.doc_id % 4 AS view, d.source, d.n_chars,
+  sha256(d.text) AS byte_hash, sha256(substr(d.text, 1, 200)) AS content_hash, l.quality AS label
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
+_COMPONENTS = f"""{_SAMPLES},
+keys AS (SELECT case_id AS n, 'b' || byte_hash AS k FROM samples UNION SELECT case_id, 'c' || content_hash FROM samples),
+pairs AS (SELECT DISTINCT a.n AS a, b.n AS b FROM keys a JOIN keys b ON a.k = b.k),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+comp AS (SELECT a AS case_id, min(b) AS component FROM reach GROUP BY a),
+linked AS (SELECT s.*, c.component FROM samples s JOIN comp c USING (case_id))"""
+_SPLIT = f"""{_COMPONENTS},
+parts AS (SELECT component, CASE WHEN count(CASE WHEN label = 0 THEN 1 END) > 0 THEN 1 ELSE 0 END AS stratum
+  FROM linked WHERE label IS NOT NULL GROUP BY component),
+placed AS (SELECT component, (row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(component AS VARCHAR)), component) - 0.5)
+  / CAST(count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS f FROM parts),
+splits AS (SELECT component, CASE WHEN f < 0.7 THEN 'train' WHEN f < 0.85 THEN 'validation' ELSE 'test' END AS split FROM placed),
+kept AS (SELECT l.*, s.split FROM linked l JOIN splits s USING (component) WHERE l.label IS NOT NULL)"""
+_SCORED = f"""{_SPLIT},
+scored AS (SELECT sample_id, component, split, seed, 'm' || seed AS model, label AS y,
+  CAST(0.5 AS DOUBLE) * least(n_chars, 4000) / CAST(4000 AS DOUBLE)
+  + CAST(0.5 AS DOUBLE) * (CAST('0x' || substr(md5(seed || ':' || sample_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE)) AS p
+  FROM kept, (SELECT unnest([{', '.join(map(str, SEEDS))}]) AS seed))"""
+_LINES = "scores AS (SELECT 'quantity' AS model, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity / CAST(50 AS DOUBLE) AS p FROM lineitem)"
+
+
+def _curve(source: str, suffix: str = "") -> str:
+    """CTEs from a scores relation (model, y, p) to its threshold curve and choice."""
+    return f"""totals{suffix} AS (SELECT model, sum(y) AS P, sum(1 - y) AS N FROM {source} GROUP BY model HAVING sum(y) > 0 AND sum(1 - y) > 0),
+points{suffix} AS (SELECT model, p AS t FROM {source} UNION SELECT model, unnest([CAST(0 AS DOUBLE), 0.5, 1]) FROM totals{suffix}),
+byp{suffix} AS (SELECT x.model, x.t, count(CASE WHEN s.y = 1 THEN 1 END) AS pos, count(CASE WHEN s.y = 0 THEN 1 END) AS neg
+  FROM points{suffix} x LEFT JOIN {source} s ON s.model = x.model AND s.p = x.t GROUP BY x.model, x.t),
+below{suffix} AS (SELECT b.*, sum(pos) OVER w - pos AS pb, sum(neg) OVER w - neg AS nb FROM byp{suffix} b WINDOW w AS (PARTITION BY model ORDER BY t)),
+curve{suffix} AS (SELECT b.model, t AS threshold, CAST(P - pb AS BIGINT) AS tp, CAST(nb AS BIGINT) AS tn,
+  CAST((P - pb) * N + nb * P AS BIGINT) AS objective, ((P - pb) / CAST(P AS DOUBLE) + nb / CAST(N AS DOUBLE)) / 2 AS ba
+  FROM below{suffix} b JOIN totals{suffix} USING (model)),
+chosen{suffix} AS (SELECT * FROM curve{suffix} QUALIFY row_number() OVER (PARTITION BY model ORDER BY objective DESC, abs(threshold - 0.5), threshold) = 1)"""
+
+
+def _cells(rows: str) -> str:
+    """A confusion matrix per model of a relation with y, p and threshold."""
+    return f"""SELECT model, count(*) AS n, count(CASE WHEN y = 0 AND p < threshold THEN 1 END) AS tn, count(CASE WHEN y = 0 AND p >= threshold THEN 1 END) AS fp,
+  count(CASE WHEN y = 1 AND p < threshold THEN 1 END) AS fn, count(CASE WHEN y = 1 AND p >= threshold THEN 1 END) AS tp FROM {rows} GROUP BY model"""
+
+
+_CHOSEN = f"""{_SCORED},
+validation AS (SELECT model, y, p FROM scored WHERE split = 'validation'), {_curve('validation')},
+atsel AS (SELECT s.*, c.threshold FROM scored s JOIN chosen c USING (model) WHERE split = 'test'),
+atfix AS (SELECT *, CAST(0.5 AS DOUBLE) AS threshold FROM scored WHERE split = 'test'),
+selm AS ({_cells('atsel')}), fixm AS ({_cells('atfix')})"""
+_BA = "(tp / CAST(nullif(tp + fn, 0) AS DOUBLE) + tn / CAST(nullif(tn + fp, 0) AS DOUBLE)) / 2"
+_MATRIX = f"WITH {_LINES}, m AS ({_cells('(SELECT *, CAST(0.5 AS DOUBLE) AS threshold FROM scores)')})"
+_BY_SEED = f"""{_CHOSEN},
+vals AS (SELECT a.model, a.ba AS selected, b.ba AS fixed FROM (SELECT model, {_BA} AS ba FROM selm) a JOIN (SELECT model, {_BA} AS ba FROM fixm) b USING (model))"""
+_ENSEMBLE = """AS (SELECT sample_id, model, y, p FROM {0} UNION ALL SELECT sample_id, 'ensemble', any_value(y), avg(p) FROM {0} GROUP BY sample_id)"""
+
+SQL: dict[str, str] = {
+    "samples_base": f"WITH {_SAMPLES} SELECT sample_id, case_id, view, coalesce(label, -1) AS label, byte_hash, content_hash, source || '/' || sample_id AS path FROM samples",
+    "class_index": "SELECT source AS class_name, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS class_index FROM (SELECT DISTINCT source FROM documents)",
+    "missing_label_exclusion": f"WITH {_SAMPLES} SELECT coalesce(label, -1) AS label, CASE WHEN label IS NULL THEN 'missing_label' ELSE '' END AS reason, count(*) AS n_rows FROM samples GROUP BY ALL",
+    "case_components": f"WITH RECURSIVE {_COMPONENTS} SELECT component, count(DISTINCT case_id) AS n_cases, count(*) AS n_samples FROM linked GROUP BY component",
+    "cohort_counts": f"""WITH RECURSIVE {_COMPONENTS} SELECT count(DISTINCT case_id) AS cases_all, count(*) AS images_all,
+  count(DISTINCT CASE WHEN label IS NOT NULL THEN case_id END) AS cases_included, count(label) AS images_included,
+  count(DISTINCT CASE WHEN label IS NULL THEN case_id END) AS cases_excluded, count(*) - count(label) AS images_excluded,
+  count(DISTINCT component) AS components_all, count(DISTINCT CASE WHEN label IS NOT NULL THEN component END) AS components_included,
+  count(CASE WHEN label = 0 THEN 1 END) AS class_0, count(CASE WHEN label = 1 THEN 1 END) AS class_1 FROM linked""",
+    "bridge_cases": f"""WITH RECURSIVE {_COMPONENTS}, cases AS (SELECT component, case_id, max(CASE WHEN label IS NULL THEN 0 ELSE 1 END) AS has FROM linked GROUP BY ALL),
+wide AS (SELECT component, CAST(sum(has) AS BIGINT) AS labelled FROM cases GROUP BY component HAVING sum(has) >= 2)
+SELECT case_id, component, labelled FROM cases JOIN wide USING (component) WHERE has = 0""",
+    "group_support": f"""WITH RECURSIVE {_SAMPLES}, keys AS (SELECT sample_id AS n, 'g' || case_id AS k FROM samples UNION SELECT sample_id, 'b' || byte_hash FROM samples),
+hubs AS (SELECT k, min(n) AS h FROM keys GROUP BY k), half AS (SELECT n AS a, h AS b FROM keys JOIN hubs USING (k)),
+pairs AS (SELECT a, b FROM half UNION SELECT b, a FROM half), reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
+comp AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT (SELECT count(*) FROM samples) AS n_rows, (SELECT count(DISTINCT case_id) FROM samples) AS n_groups, count(DISTINCT component) AS n_components FROM comp""",
+    "duplicate_conflicts": f"WITH {_SAMPLES} SELECT byte_hash, count(DISTINCT label) AS n_values FROM samples WHERE label IS NOT NULL GROUP BY byte_hash HAVING count(DISTINCT label) > 1",
+    "conflicts_seeded": f"WITH {_SAMPLES} SELECT content_hash, count(DISTINCT sample_id % 2) AS n_values FROM samples GROUP BY content_hash HAVING count(DISTINCT sample_id % 2) > 1",
+    "rank_split_counts": f"WITH RECURSIVE {_SPLIT} SELECT split, label, count(*) AS n_rows, count(DISTINCT component) AS n_components FROM kept GROUP BY split, label",
+    "split_leakage": f"WITH RECURSIVE {_SPLIT} SELECT byte_hash, count(DISTINCT split) AS n_splits FROM kept GROUP BY byte_hash HAVING count(DISTINCT split) > 1",
+    "leakage_without_groups": f"WITH {_SAMPLES} SELECT byte_hash FROM samples WHERE sample_id % 10 >= 7 INTERSECT SELECT byte_hash FROM samples WHERE sample_id % 10 < 7",
+    "coverage_check": f"WITH RECURSIVE {_SPLIT} SELECT count(DISTINCT split || label) AS pairs FROM kept",
+    "set_difference": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS left_only FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
+    "dataset_fingerprint": f"""WITH {_SAMPLES}, d0 AS (SELECT sha256('{{"sample_id":' || sample_id || ',"case_id":' || case_id || ',"byte_hash":"' || byte_hash || '"}}') AS d FROM samples),
+d1 AS (SELECT substr(d, 1, 4) AS c, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM d0 GROUP BY 1),
+d2 AS (SELECT substr(c, 1, 2) AS b, sum(n) AS n, sha256(string_agg(d, '' ORDER BY c)) AS d FROM d1 GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM d2""",
+    "threshold_curve": f"WITH {_LINES}, {_curve('scores')} SELECT model, threshold, tp, tn, objective, round(ba, 9) AS balanced_accuracy FROM curve",
+    "threshold_select": f"WITH {_LINES}, {_curve('scores')} SELECT model, threshold, tp, tn, objective, round(ba, 9) AS balanced_accuracy FROM chosen",
+    "validation_thresholds": f"""WITH RECURSIVE {_SCORED}, v AS (SELECT sample_id, model, y, p FROM scored WHERE split = 'validation'), e {_ENSEMBLE.format('v')}, {_curve('e')}
+SELECT model, round(threshold, 9) AS threshold, tp, tn FROM chosen""",
+    "confusion": f"{_MATRIX} SELECT * FROM m",
+    "class_metrics": f"""{_MATRIX}, s AS (SELECT model, 0 AS class, tn + fp AS support, tn + fn AS predicted, tn AS correct FROM m UNION ALL SELECT model, 1, tp + fn, tp + fp, tp FROM m)
+SELECT model, class, support, predicted, round(correct / CAST(nullif(predicted, 0) AS DOUBLE), 9) AS precision, round(correct / CAST(nullif(support, 0) AS DOUBLE), 9) AS recall,
+  round(2 * correct / CAST(nullif(predicted + support, 0) AS DOUBLE), 9) AS f1 FROM s""",
+    "balanced_accuracy": f"""{_MATRIX} SELECT model, round((tp + tn) / CAST(n AS DOUBLE), 9) AS accuracy, round(tp / CAST(nullif(tp + fn, 0) AS DOUBLE), 9) AS sensitivity,
+  round(tn / CAST(nullif(tn + fp, 0) AS DOUBLE), 9) AS specificity, round({_BA}, 9) AS balanced_accuracy FROM m""",
+    "roc_auc": f"""WITH {_LINES}, c AS (SELECT model, p, sum(y) AS pos, count(*) AS n FROM scores GROUP BY model, p),
+r AS (SELECT *, sum(n) OVER (PARTITION BY model ORDER BY p) - n + (n + 1) / CAST(2 AS DOUBLE) AS mid FROM c),
+t AS (SELECT model, sum(pos * mid) AS s, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n) - sum(pos) AS BIGINT) AS negatives FROM r GROUP BY model)
+SELECT model, positives, negatives, round((s - positives * (positives + 1) / CAST(2 AS DOUBLE)) / nullif(CAST(positives AS DOUBLE) * negatives, 0), 9) AS roc_auc FROM t""",
+    "brier_logloss": f"""WITH {_LINES}, q AS (SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS c FROM scores)
+SELECT model, round(avg((p - y) * (p - y)), 9) AS brier, round(-avg(y * ln(c) + (1 - y) * ln(1 - c)), 9) AS log_loss FROM q GROUP BY model""",
+    "ensemble_mean": f"WITH RECURSIVE {_SCORED}, v AS (SELECT sample_id, model, y, p FROM scored WHERE split = 'test'), e {_ENSEMBLE.format('v')} SELECT model, count(*) AS n, round(avg(p), 9) AS mean_p FROM e GROUP BY model",
+    "evaluation_samples": f"""WITH RECURSIVE {_CHOSEN} SELECT sample_id, CASE WHEN any_value(y) = 1 THEN 'high' ELSE 'low' END AS true_class, CAST(count(*) AS INTEGER) AS n_models,
+  string_agg(model || '=' || CASE WHEN p >= threshold THEN 'high' ELSE 'low' END, ',' ORDER BY model) AS predictions FROM atsel GROUP BY sample_id""",
+    "prior_baseline": f"""WITH RECURSIVE {_SPLIT}, a AS (SELECT avg(label) AS prior FROM kept WHERE split = 'train'), b AS (SELECT sum(label) AS P, sum(1 - label) AS N FROM kept WHERE split = 'test')
+SELECT round(prior, 9) AS prior, CASE WHEN prior >= 0.5 THEN 1 ELSE 0 END AS constant_class,
+  round((CASE WHEN prior >= 0.5 THEN P / nullif(P, 0) ELSE 0 END + CASE WHEN prior >= 0.5 THEN 0 ELSE N / nullif(N, 0) END) / CAST(2 AS DOUBLE), 9) AS balanced_accuracy FROM a, b""",
+    "paired_deltas": f"WITH RECURSIVE {_BY_SEED} SELECT model, round(selected, 9) AS selected, round(fixed, 9) AS fixed, round(selected - fixed, 9) AS delta FROM vals",
+    "seed_stats": f"""WITH RECURSIVE {_BY_SEED}, long AS (SELECT 'selected' AS metric, selected AS v FROM vals UNION ALL SELECT 'fixed', fixed FROM vals)
+SELECT metric, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(var_samp(v), 9) AS variance, round(min(v), 9) AS low, round(max(v), 9) AS high FROM long GROUP BY metric""",
+    "flagship": f"""WITH RECURSIVE {_CHOSEN}, judged AS (SELECT 'selected' AS rule, m.*, c.threshold FROM selm m JOIN chosen c USING (model) UNION ALL SELECT 'fixed', m.*, CAST(0.5 AS DOUBLE) FROM fixm m)
+SELECT model, rule, threshold, n, tn, fp, fn, tp, round({_BA}, 9) AS balanced_accuracy, round((tp + tn) / CAST(n AS DOUBLE), 9) AS accuracy FROM judged""",
+    "group_bootstrap": f"""WITH RECURSIVE {_CHOSEN},
+judged AS (SELECT component, seed, 'selected' AS comparator, y, CASE WHEN p >= threshold THEN 1 ELSE 0 END AS said FROM atsel
+  UNION ALL SELECT component, seed, 'fixed', y, CASE WHEN p >= threshold THEN 1 ELSE 0 END FROM atfix),
+sums AS (SELECT component, seed, comparator, sum(y) AS P, sum(1 - y) AS N, sum(y * said) AS tp, sum((1 - y) * (1 - said)) AS tn FROM judged GROUP BY ALL),
+places AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS place FROM (SELECT DISTINCT component FROM sums)),
+g AS (SELECT count(*) AS n FROM places),
+slots AS (SELECT a.range AS attempt, s.range AS slot FROM range({2 * DRAWS}) a, range((SELECT n FROM g)) s),
+draws AS (SELECT attempt, CAST('0x' || substr(md5('{DRAW_SEED}:' || attempt || ':' || slot), 1, 8) AS BIGINT) % (SELECT n FROM g) AS place FROM slots),
+drawn AS (SELECT attempt, seed, comparator, sum(P) AS P, sum(N) AS N, sum(tp) AS tp, sum(tn) AS tn FROM draws JOIN places USING (place) JOIN sums USING (component) GROUP BY ALL),
+bas AS (SELECT attempt, comparator, avg((tp / CAST(P AS DOUBLE) + tn / CAST(N AS DOUBLE)) / 2) AS v FROM drawn WHERE P > 0 AND N > 0 GROUP BY ALL),
+good AS (SELECT attempt FROM (SELECT DISTINCT attempt FROM bas) ORDER BY attempt LIMIT {DRAWS})
+SELECT comparator, count(*) AS valid, (SELECT max(attempt) + 1 FROM good) AS attempted, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high
+FROM bas WHERE attempt IN (SELECT attempt FROM good) GROUP BY comparator""",
+    "test_resolution": f"WITH RECURSIVE {_SPLIT} SELECT label, count(*) AS n_rows, round(0.5 / CAST(count(*) AS DOUBLE), 9) AS step FROM kept WHERE split = 'test' GROUP BY label",
+    "best_epoch": """WITH r AS (SELECT l_linenumber AS run, CAST(month(l_shipdate) AS INTEGER) AS epoch, round(avg(l_discount), 9) AS loss FROM lineitem GROUP BY ALL)
+SELECT run, epoch, loss FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1""",
+    "model_binding": f"WITH RECURSIVE {_CHOSEN} SELECT model, sha256(model) AS model_sha256, round(threshold, 9) AS threshold FROM chosen",
+    "resume_pending": """SELECT phase, n_nationkey AS seed FROM nation, (VALUES ('fit'), ('test')) p(phase)
+WHERE NOT (phase = 'fit' AND n_nationkey % 2 = 0) AND NOT (phase = 'test' AND n_nationkey % 4 = 0)""",
+}
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        flagship, samples_base, class_index, missing_label_exclusion, case_components, cohort_counts, bridge_cases, group_support,
+        duplicate_conflicts, conflicts_seeded, rank_split_counts, greedy_split_counts, split_leakage, leakage_without_groups,
+        coverage_check, set_difference, dataset_fingerprint, threshold_curve, threshold_select, validation_thresholds, confusion,
+        class_metrics, balanced_accuracy, roc_auc, brier_logloss, ensemble_mean, evaluation_samples, prior_baseline, paired_deltas,
+        seed_stats, group_bootstrap, group_bootstrap_twister, test_resolution, best_epoch, model_binding, resume_pending, embedding_scorer,
+    )
+}

@@ -10,3 +10,58 @@ from pyspark.sql import types as T
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables; only Spark opens the path, so any store will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def class_directories(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
+    """``source, class_name, label, sha256, size`` of the files below exactly two class folders; label 0 is the first by name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    relative = F.regexp_extract("path", f"{root.rstrip('/').rpartition('/')[2]}/(.+)$", 1)
+    rows = files.select(relative.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).where(F.lower("source").rlike(rf"\.({'|'.join(suffixes)})$") & F.col("source").contains("/"))
+    rows = rows.withColumn("class_name", F.substring_index("source", "/", 1))
+    names = sorted(r[0] for r in rows.select("class_name").distinct().limit(3).collect())
+    if len(names) != 2:
+        raise ValueError(f"two class folders with files are needed, not {names}")
+    return rows.withColumn("label", (F.col("class_name") == names[1]).cast("int"))
+
+
+def group_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``path, group`` of a CSV file with exactly these columns; groups are stripped, blanks and repeats refused."""
+    header = spark.read.text(path).limit(1).collect()
+    if not header or header[0][0].removeprefix("﻿").strip() != "path,group":
+        raise ValueError("the header must be path,group")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("group", T.StringType())])
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").csv(path, header=True, enforceSchema=True)
+    rows = rows.select("path", F.trim("group").alias("group"))
+    bad = rows.where(F.col("path").isNull() | (F.trim("path") == "") | F.col("group").isNull() | (F.col("group") == ""))
+    if bad.take(1) or rows.groupBy("path").count().where("count > 1").take(1):
+        raise ValueError("blank or repeated entries")
+    return rows
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """``name, case_id, view, sha256, size`` of a flat folder of ``N.xml`` and ``N_M.jpg``; any other name is refused."""
+    files = spark.read.format("binaryFile").load(root)
+    name = F.substring_index("path", "/", -1)
+    rows = files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    pattern = r"^([1-9][0-9]*)(?:\.xml|_([1-9][0-9]*)\.jpg)$"
+    if odd := rows.where(~F.col("name").rlike(pattern)).select("name").take(3):
+        raise ValueError(f"unexpected files {odd}")
+    view = F.regexp_extract("name", pattern, 2)
+    return rows.select("name", F.regexp_extract("name", pattern, 1).cast("long").alias("case_id"), F.when(view != "", view.cast("long")).alias("view"), "sha256", "size")
+
+
+def case_files(spark: SparkSession, root: str) -> DataFrame:
+    """``case_id, category, views`` of ``N.xml`` files: one number equal to the name, one category (blank is null), view numbers."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(root)
+    text = F.decode("content", "UTF-8")
+    rows = files.select(F.regexp_extract(F.substring_index("path", "/", -1), r"^([1-9][0-9]*)\.xml$", 1).alias("named"), F.regexp_replace(text, "^﻿", "").alias("x"))
+    if rows.where(F.upper("x").rlike("<!(DOCTYPE|ENTITY)") | F.col("x").contains("\x00")).take(1):
+        raise ValueError("declarations and NUL are refused")
+    one = lambda tag: F.expr(f"xpath_int(x, 'count(/case/{tag})')")
+    value = lambda tag: F.trim(F.expr(f"xpath_string(x, '/case/{tag}')"))
+    rows = rows.select("named", one("number").alias("n_number"), one("tirads").alias("n_category"), value("number").alias("number"), value("tirads").alias("category"), F.expr("xpath(x, '/case/mark/image/text()')").alias("views"))
+    views = F.transform("views", lambda v: F.trim(v))
+    bad = (F.col("n_number") != 1) | (F.col("n_category") != 1) | (F.col("number") != F.col("named")) | (F.size("views") == 0) | F.exists(views, lambda v: ~v.rlike("^[1-9][0-9]*$")) | (F.size(F.array_distinct(views)) != F.size(views))
+    if rows.where(bad).take(1):
+        raise ValueError("malformed case file")
+    return rows.select(F.col("number").cast("long").alias("case_id"), F.nullif("category", F.lit("")).alias("category"), F.array_sort(F.transform(views, lambda v: v.cast("long"))).alias("views"))

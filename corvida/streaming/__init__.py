@@ -1 +1 @@
-
+"""Running metrics over streams of scored samples."""
