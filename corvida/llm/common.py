@@ -43,3 +43,22 @@ def map_texts(docs: DataFrame, fn: Callable[[list[bytes]], dict[str, pa.Array]],
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
+
+
+#: Bits of a key filter and of one of its rows. It is 2 MB at most, whatever the number of keys.
+FILTER_BITS, _ROW_BITS = 1 << 24, 1 << 15
+
+
+def key_filter(keys: DataFrame, cols: list[str]) -> DataFrame:
+    """A bitmap of the hashed keys, in rows of fixed size."""
+    at = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    rows = keys.select(F.shiftright(at, 15).alias("bucket"), (at % _ROW_BITS).alias("at"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def may_match(rows: DataFrame, bitmap: DataFrame, cols: list[str], flag: str) -> DataFrame:
+    """``rows`` with a boolean: false only where no key equals; so large rows without a partner need no shuffle."""
+    at = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    place = (at % _ROW_BITS).cast("int")
+    found = rows.withColumns({"bucket": F.shiftright(at, 15), "at_byte": F.shiftright(place, 3) + 1, "at_bit": place % 8}).join(F.broadcast(bitmap), "bucket", "left")
+    return found.withColumn(flag, F.coalesce(F.expr("shiftright(cast(conv(hex(substring(bits, at_byte, 1)), 16, 10) AS int), at_bit) & 1 = 1"), F.lit(False))).drop("bucket", "bits", "at_byte", "at_bit")

@@ -25,9 +25,10 @@ table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvida.llm.common import key_filter, may_match
 from corvida.session import Stage
 
 MIN_WORDS = 50
@@ -35,11 +36,13 @@ _NONE = -(1 << 63)
 _KEY = ["did", "tkey"]
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("r.text").cast("string"), F.lit(""))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``r``, the whole row, its text and its key; nested, so that no name of the input can clash."""
-    row = docs.select(F.struct("*").alias("r"))
-    text = F.coalesce(F.col("r.text").cast("string"), F.lit(""))
-    return row.select("r", text.alias("text"), F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64(text).alias("tkey"))
+    """``r``, the whole row, and its key; nested, so that no name of the input can clash."""
+    return docs.select(F.struct("*").alias("r")).select("r", F.coalesce(F.col("r.doc_id").cast("long"), F.lit(_NONE)).alias("did"), F.xxhash64(_text()).alias("tkey"))
 
 
 def _named(pairs: DataFrame, by: list[str], stage: Stage) -> DataFrame:
@@ -48,7 +51,7 @@ def _named(pairs: DataFrame, by: list[str], stage: Stage) -> DataFrame:
 
 
 def _line_ids(docs: DataFrame) -> DataFrame:
-    lines = _keyed(docs).select(*_KEY, F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    lines = _keyed(docs).select(*_KEY, F.posexplode(F.split(_text(), "\n")).alias("line", "s"))
     return lines.select(*_KEY, "line", F.xxhash64("s").alias("h1"), F.hash("s").alias("h2"), F.regexp_count("s", F.lit("[^ \\t\\n\\x0B\\f\\r]+")).alias("words"))
 
 
@@ -126,16 +129,25 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``r``, the row as it came, ``kept_text``, ``n_lines``, ``n_deleted`` and ``kept_lines``."""
-    runs = repeated_runs(docs, min_words).hint("shuffle_hash")
-    lines = F.split("text", "\n")
+    """``r``, the row as it came, ``kept_text``, ``n_lines`` and ``n_deleted``.
+
+    Only texts that may lose lines are shuffled to meet their runs.
+    """
+    stage = Stage(docs.sparkSession, "lineruns")
+    runs = stage.write(repeated_runs(docs, min_words))
+    bitmap = stage.write(key_filter(runs, _KEY))
+    rows = may_match(_keyed(docs), bitmap, _KEY, "maybe")
+    whole, none = F.size(F.split(_text(), "\n")), F.lit(0)
+    same = rows.where("not maybe").select("r", _text().alias("kept_text"), whole.alias("n_lines"), none.alias("n_deleted"))
+
+    lines = F.split(_text(), "\n")
     gone = F.flatten(F.transform("runs", lambda x: F.sequence(x["s"], x["e"] - 1)))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-    n_lines = F.size(lines)
-    n_deleted = F.when(F.col("runs").isNull(), 0).otherwise(F.aggregate("runs", F.lit(0), lambda n, x: n + x["e"] - x["s"]))
-    joined = _keyed(docs).join(runs, _KEY, "left")
-    return joined.select("r", F.when(F.col("runs").isNull(), F.col("text")).otherwise(text).alias("kept_text"), n_lines.alias("n_lines"), n_deleted.alias("n_deleted"))
+    lost = F.when(F.col("runs").isNull(), none).otherwise(F.aggregate("runs", F.lit(0), lambda n, x: n + x["e"] - x["s"]))
+    joined = rows.where("maybe").join(runs.hint("shuffle_hash"), _KEY, "left")
+    cut = joined.select("r", F.when(F.col("runs").isNull(), _text()).otherwise(text).alias("kept_text"), whole.alias("n_lines"), lost.alias("n_deleted"))
+    return same.unionAll(cut)
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -144,7 +156,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A document all of whose lines are later copies has nothing left and goes;
     one that lost no line stays as it is, an empty one too.
     """
-    done = dedup_lines(docs, min_words).where("n_deleted < n_lines or n_lines = 0")
+    done = dedup_lines(docs, min_words).where("n_deleted < n_lines")
     changed = F.col("n_deleted") > 0
     columns = []
     for f in docs.schema.fields:
