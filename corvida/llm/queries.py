@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm import bpe, decontam, linededup, simhash, toxicity
+from corvida.llm import bpe, decontam, embeddings, licenses, linededup, quality, simhash, tokencount, toxicity, urlfilter
 from corvida.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def fold(modulus: int) -> Column:
@@ -19,6 +20,42 @@ def fold(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of all documents."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+def _op1_sql() -> str:
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    phrases = "[" + ", ".join(f"{{'label': '{t.label}', 'words': {quoted(t.words)}}}" for t in licenses.templates() if t.whole_text) + "]"
+    notices = "[" + ", ".join(f"{{'label': '{t.label}', 'words': {quoted(sorted(set(t.words)))}, 'need': {t.need}}}" for t in licenses.templates() if not t.whole_text) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, {text} AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d),
+places AS (SELECT doc_id, p.label, i - 1 AS pos FROM w, unnest({phrases}) AS u(p), unnest(generate_series(1, len(ws))) AS g(i)
+  WHERE ws[i] = p.words[1] AND ws[i:i + len(p.words) - 1] = p.words),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM lines),
+met AS (SELECT doc_id, n.label, max(len(list_intersect(ws, n.words)) / CAST(len(n.words) AS DOUBLE)) AS c FROM sets, unnest({notices}) AS u(n)
+  WHERE len(list_intersect(ws, n.words)) >= n.need GROUP BY ALL),
+best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id),
+said AS (SELECT doc_id, label, true AS base FROM places UNION SELECT doc_id, label, false FROM met),
+texts AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM said GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN CAST(1 AS DOUBLE) ELSE coalesce(c, 0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN texts USING (doc_id)"""
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents; the model is fitted outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), "quality", fold(3) != 1))
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What line dedup leaves of every document."""
     done = linededup.dedup_lines(table(spark, sf_dir, "documents"))
@@ -40,12 +77,53 @@ FROM lines l LEFT JOIN deleted d ON d.da = l.doc_id AND d.n = l.n GROUP BY l.doc
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram piece counts of all documents."""
+    pieces = tokencount.read_pieces(public_tokenizers.path(PIECE_VOCABULARY))
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents."""
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and link-graph verdicts of all pages."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def _op6_sql() -> str:
+    host = lambda url: f"translate(coalesce(regexp_extract({url}, '^(?s:.*?)://([^/?#]*)', 1), ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}')"
+    covers = lambda rule, h: f"({h} = '{rule.partition('/')[0]}' OR ends_with({h}, '.{rule.partition('/')[0]}'))"
+    by_length = sorted(urlfilter.RULES, key=lambda r: (-len(r[0]), r[0]))
+    rule = "CASE " + " ".join(f"WHEN {covers(r, 'host')} AND starts_with(path, '/{r.partition('/')[2]}') THEN '{r}'" for r, _ in by_length) + " END"
+    own = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in urlfilter.RULES) + " END"
+    trusted = " OR ".join(covers(r, "host") for r, v in urlfilter.RULES if v == "allow")
+    blocked = " OR ".join(covers(r, "host") for r, v in urlfilter.RULES if v == "block" and r.endswith("/") and r.count("/") == 1)
+    damping = f"CAST({urlfilter.DAMPING} AS DOUBLE)"
+    rounds = "".join(
+        f""",
+s{k} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM seeds UNION ALL
+  SELECT e.dst, e.ahead * s.t, 0 FROM weighted e JOIN s{k - 1} s ON s.host = e.src UNION ALL
+  SELECT e.src, 0, e.back * s.d FROM weighted e JOIN s{k - 1} s ON s.host = e.dst) GROUP BY host)"""
+        for k in range(1, urlfilter.ROUNDS + 1)
+    )
+    return f"""
+WITH rows AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{urlfilter.HREF.replace("'", "''")}', 1)) AS link FROM rows),
+targets AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links WHERE contains(link, '//')),
+edges AS (SELECT src, dst, count(*) AS n FROM targets WHERE src != '' AND dst != '' AND src != dst GROUP BY src, dst),
+weighted AS (SELECT src, dst, {damping} * n / sum(n) OVER (PARTITION BY src) AS ahead, {damping} * n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
+nodes AS (SELECT host, CASE WHEN {trusted} THEN 1 ELSE 0 END AS t, CASE WHEN {blocked} THEN 1 ELSE 0 END AS d FROM (SELECT host FROM rows UNION SELECT dst FROM edges)),
+seeds AS (SELECT host, (1 - {damping}) * t / (SELECT greatest(sum(t), 1) FROM nodes) AS t, (1 - {damping}) * d / (SELECT greatest(sum(d), 1) FROM nodes) AS d FROM nodes),
+s0 AS (SELECT * FROM seeds){rounds},
+ruled AS (SELECT page_id, host, path, {rule} AS rule FROM rows)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN {own} WHEN s.d > {urlfilter.RATIO} * s.t THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN s{urlfilter.ROUNDS} s USING (host)"""
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Fitted on the labelled rows outside the held-out fold."""
     return toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", fold(4) != 2)
@@ -71,11 +149,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), byte_vocabulary(), public_tokenizers.PATTERN)
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors."""
+    found = embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_line_dedup": op3_line_dedup,
-    "op5_simhash": op5_simhash,
-    "op7_toxicity": op7_toxicity,
-    "op8_decontam": op8_decontam,
-    "op9_bpe": op9_bpe,
+    f.__name__: f
+    for f in (op1_licenses, op2_quality, op3_line_dedup, op4_token_counts, op5_simhash, op6_url_filter, op7_toxicity, op8_decontam, op9_bpe, op10_embeddings)
 }
-SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+SQL: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_url_filter": _op6_sql()}
