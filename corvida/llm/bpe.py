@@ -16,7 +16,7 @@ A text is split by the tokenizer's pattern and each match is encoded alone.
 Null texts count as empty: no token, digests of nothing. Rows that repeat a
 ``doc_id`` each get a row; extra columns are ignored; an empty table gives an
 empty result. Memory is bounded by the longest text of a batch and a cache of
-encoded pieces that is emptied when full.
+encoded pieces and prefixes that is emptied when full.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 
 from corvida.llm.common import map_texts
 
-CACHE_PIECES = 300_000
-_CACHE_PIECE_CHARS = 64
+CACHE_PIECES = 600_000
+CACHE_PREFIXES = 1_000_000
+_CACHE_PIECE_BYTES = 64
 _NEVER = 1 << 62
 
 
@@ -50,6 +51,11 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Bytes of the longest token with each ending of three bytes.
+        self.longest_with: dict[bytes, int] = {}
+        for token in ranks:
+            if len(token) > self.longest_with.get(token[-3:], 2):
+                self.longest_with[token[-3:]] = len(token)
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes: {missing[:5]}")
@@ -163,17 +169,57 @@ class Prefixes:
 
 
 class _Pieces(dict):
-    """Encoded pieces as little-endian 32-bit ids; long ones aren't kept."""
+    """Encoded pieces as little-endian 32-bit ids.
+
+    Last tokens are kept by prefix over all pieces, so a piece is filled from
+    its longest prefix that any earlier piece had. Long pieces aren't kept.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.v = vocabulary
+        self.last: dict[bytes, int] = {b"": -1}
+
+    def _ids(self, data: bytes) -> list[int]:
+        last, rank_of, pair_of, longest_with = self.last, self.v.ranks.get, self.v.pairs.get, self.v.longest_with.get
+        if len(last) > CACHE_PREFIXES:
+            last.clear()
+            last[b""] = -1
+        n = known = len(data)
+        while data[:known] not in last:
+            known -= 1
+        for end in range(known + 1, n + 1):
+            first = end - longest_with(data[end - 3 : end] if end > 2 else data[:end], 2)
+            for start in range(first if first > 0 else 0, end):
+                token = rank_of(data[start:end])
+                if token is None:
+                    continue
+                if not start:
+                    good = self.v.reachable(token)
+                else:
+                    before = last[data[:start]]
+                    good = pair_of((before, token))
+                    if good is None:
+                        good = self.v.valid(before, token)
+                if good:
+                    last[data[:end]] = token
+                    break
+            else:
+                raise ValueError("no last token: the vocabulary is no set of merges")
+        out, bytes_of = [], self.v.bytes_of
+        while n:
+            token = last[data[:n]]
+            out.append(token)
+            n -= len(bytes_of[token])
+        return out[::-1]
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.v.ranks.get(data)
-        made = array("I", [whole] if whole is not None else Prefixes(self.v, data).ids()).tobytes()
-        if len(piece) <= _CACHE_PIECE_CHARS:
+        short = len(data) <= _CACHE_PIECE_BYTES
+        ids = [whole] if whole is not None else self._ids(data) if short else Prefixes(self.v, data).ids()
+        made = array("I", ids).tobytes()
+        if short:
             if len(self) >= CACHE_PIECES:
                 self.clear()
             self[piece] = made
