@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def class_directories(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """``source, class_name, label, sha256, size`` of the files below exactly two class folders; label 0 is the first by name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    relative = F.regexp_extract("path", f"{root.rstrip('/').rpartition('/')[2]}/(.+)$", 1)
-    rows = files.select(relative.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).where(F.lower("source").rlike(rf"\.({'|'.join(suffixes)})$") & F.col("source").contains("/"))
+    base = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/")
+    relative = F.expr("substring(path, locate(base, path) + length(base) + 1)")
+    rows = files.withColumn("base", F.lit(base)).select(relative.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).where(F.lower("source").rlike(rf"\.({'|'.join(suffixes)})$") & F.col("source").contains("/"))
     rows = rows.withColumn("class_name", F.substring_index("source", "/", 1))
     names = sorted(r[0] for r in rows.select("class_name").distinct().limit(3).collect())
     if len(names) != 2:
