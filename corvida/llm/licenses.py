@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvida.llm.common import key_filter, may_match
 from corvida.session import Stage
 
 THRESHOLD = 0.8
@@ -51,8 +52,8 @@ NOTICES = (
 )
 
 #: One character of a word, and one between words, of a text in any case.
-WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
+GAP = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 
 
 @dataclass(frozen=True)
@@ -136,8 +137,18 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = docs.select("doc_id", text.alias("text")).withColumn("tkey", F.xxhash64("text"))
     met = matches(keyed, wanted, stage)
     met = met.groupBy("doc_id", "tkey").agg(F.map_from_entries(F.collect_list(F.struct("template", "containment"))).alias("met"))
+    met = stage.write(met)
+    # only texts that may have met a template are shuffled
+    rows = may_match(keyed, stage.write(key_filter(met, ["doc_id", "tkey"])), ["doc_id", "tkey"], "maybe")
+    plain = rows.where("not maybe").select("doc_id", "text", F.lit(None).cast(met.schema["met"].dataType).alias("met"))
     met = met.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), "met").hint("shuffle_hash")
-    rows = keyed.join(met, keyed["doc_id"].eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
+    rows = rows.where("maybe")
+    rows = rows.join(met, rows["doc_id"].eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left").select("doc_id", "text", "met")
+    return _report(plain, wanted).unionAll(_report(rows, wanted))
+
+
+def _report(rows: DataFrame, wanted: list[Template]) -> DataFrame:
+    """The result's columns from a text and the templates that it met."""
 
     def place(t: Template) -> str:
         return f"(?<!{WORD})(?i:{(GAP + '+').join(t.words)})(?!{WORD})"
@@ -149,7 +160,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = F.when(candidate, F.split("text", f"(?={any_place})"))
     words = lambda x: F.regexp_count(x, F.lit(f"{WORD}+")).cast("long")
     rows = rows.select("doc_id", "text", "met", words("text").alias("n_words"), parts.alias("parts"))
-    starts = F.col("text").rlike(f"^{any_place}") if len(phrases) == 1 else F.col("text").rlike(f"^(?:{any_place})")
+    starts = F.col("text").rlike(f"^(?:{any_place})")
     n_parts = F.coalesce(F.size("parts"), F.lit(0))
     # a place at the very start makes no empty first part
     at_start = F.when(F.col("parts").isNotNull(), starts).otherwise(False)
