@@ -119,7 +119,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 break
     named = stage.write(named)
     place = F.struct(*_KEY, "start")
-    intervals = named.groupBy("m", "ra", "rb").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    # a table of its own, so that both sides of the join come straight from a shuffle and a common interval can be split
+    intervals = stage.write(named.groupBy("m", "ra", "rb").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
     later = named.join(intervals, ["m", "ra", "rb"]).where(place != F.col("first")).select(*_KEY, "start", (F.col("start") + F.col("m")).alias("stop"))
     by = Window.partitionBy(*_KEY).orderBy("start")
     reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
