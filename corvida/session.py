@@ -54,12 +54,20 @@ class Stage:
 
     A written table survives the loss of executors, which a local checkpoint
     does not, and its columnar files are smaller than a checkpoint's.
-    ``drop`` removes a table that a later one has replaced.
+    ``drop`` removes a table that a later one has replaced; the rest goes when
+    the driver ends, as lazy results may still read it.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.at: dict[int, str] = {}
+        atexit.register(self._remove, self.root)
+
+    def _remove(self, path: str) -> None:
+        # the context may have stopped before the driver ends
+        if self.spark.sparkContext._jsc is not None:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -70,8 +78,6 @@ class Stage:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
             if path := self.at.pop(id(table), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                self._remove(path)
