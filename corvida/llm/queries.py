@@ -155,8 +155,19 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+OP10_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x != 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id != b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {embeddings.THRESHOLD}),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least_of m ON m.a = vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_licenses, op2_quality, op3_line_dedup, op4_token_counts, op5_simhash, op6_url_filter, op7_toxicity, op8_decontam, op9_bpe, op10_embeddings)
 }
-SQL: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_url_filter": _op6_sql()}
+SQL: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op10_embeddings": OP10_SQL}
