@@ -45,6 +45,17 @@ def map_texts(docs: DataFrame, fn: Callable[[list[bytes]], dict[str, pa.Array]],
     return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, make: Callable[[], object]):
+    """What a Python worker keeps between batches: one object, dropped when another operator or model comes."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 #: Bits of a key filter and of one of its rows. It is 2 MB at most, whatever the number of keys.
 FILTER_BITS, _ROW_BITS = 1 << 24, 1 << 15
 
