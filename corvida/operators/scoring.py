@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvida.session import ship_package
+
 #: Builders by name; each takes a seed and has fit(x, y) and score(x).
 SCORERS: dict[str, type] = {}
 
@@ -52,6 +54,7 @@ def fit_scorer(rows: DataFrame, name: str = "logistic", seed: int = 0, most: int
 
 def apply_scorer(rows: DataFrame, scorer) -> DataFrame:
     """``id, p`` of ``rows(id, x)``."""
+    ship_package(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvida.operators.ordered import running_sums
+from corvida.session import ship_package
 
 SPLITS = ("train", "validation", "test")
 
@@ -76,6 +77,7 @@ def greedy_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15,
     folds over the component table, which has a row per component and no data.
     """
     check_ratios(train, validation)
+    ship_package(rows.sparkSession)
     first = rows.where(F.col(label).isNotNull()).groupBy(F.col(component).alias("component")).agg(F.min(row_order).alias("first"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("component").cast("string")).cast("binary"))
     parts = component_table(rows, component, label).join(first, "component").withColumn("h", key)

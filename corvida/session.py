@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the executors' Python workers import this package, wherever the driver found it; once for an application."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent
+    if app in _SHIPPED or not root.is_dir():
+        return
+    folder = os.path.realpath(tempfile.mkdtemp(prefix="corvida-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{folder}/{root.name}.zip")
+    _SHIPPED.add(app)
+
+
 class Stage:
     """Tables written to the shared folder to cut lineage between iterations.
 
