@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvida.session import ship_package
+
 #: A-Z to a-z and every other ASCII byte that is no letter or digit to a space; bytes of longer characters stay.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -21,7 +23,8 @@ def ascii_words(text: bytes) -> list[bytes]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, as a row may hold a very long text."""
+    """Keep Arrow batches small, as a row may hold a very long text, and let the workers import this package."""
+    ship_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
