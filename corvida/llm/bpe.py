@@ -30,10 +30,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from corvida.llm.common import map_texts
+from corvida.llm.common import map_texts, worker_state
 
-CACHE_PIECES = 600_000
-CACHE_PREFIXES = 1_000_000
+CACHE_PIECES = 400_000
+CACHE_PREFIXES = 700_000
+CACHE_PAIRS = 500_000
 _CACHE_PIECE_BYTES = 64
 _NEVER = 1 << 62
 
@@ -115,7 +116,7 @@ class Vocabulary:
                     j += 1
                 else:
                     break
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = got
         return got
@@ -245,19 +246,13 @@ class Codec:
         return b"".join(map(self.table.__getitem__, numbers))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row."""
     # a vocabulary has a fixed size, whatever the tables hold
     sent, key = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), uuid.uuid4().hex
 
     def run(texts: list[bytes]) -> dict[str, pa.Array]:
-        if key not in _CODECS:
-            _CODECS.clear()
-            _CODECS[key] = Codec(*sent.value)
-        codec = _CODECS[key]
+        codec = worker_state(key, lambda: Codec(*sent.value))
         n, encoded, decoded = [], [], []
         for text in texts:
             ids = codec.encode(text.decode("utf-8", "replace"))

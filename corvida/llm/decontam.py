@@ -23,15 +23,15 @@ each on their own. Extra columns are ignored; either table may be empty.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import ascii_words, bounded_batches, texts_of
+from corvida.llm.common import ascii_words, bounded_batches, texts_of, worker_state
 
 #: 1 is a position that must agree, 0 one that is ignored.
 MASKS = ("111101", "110111", "1101011", "1110011")
@@ -147,12 +147,6 @@ def overlaps(words: list[bytes], index: SeedIndex, similarity: float = SIMILARIT
     return [(item, *x) for item, x in sorted(found.items())]
 
 
-@lru_cache(maxsize=2)
-def _index_of(key: tuple, masks: tuple[str, ...]) -> SeedIndex:
-    # built once in each Python worker: word hashes differ between processes
-    return SeedIndex([(i, list(w)) for i, w in key], masks)
-
-
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[Item]]:
     """The test set in blocks of bounded size; at least one, which may be empty."""
     block: list[Item] = []
@@ -178,10 +172,11 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, masks: tuple[str,
     names = ["doc_id", "item_id", "first_word", "n_words", "n_agreeing"]
     out = None
     for block in item_blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(tuple((i, tuple(w)) for i, w in sorted(block)))
+        sent, key = spark.sparkContext.broadcast(sorted(block)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _index_of(sent.value, masks)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            # word hashes differ between processes, so each worker builds its own index
+            index = worker_state(key, lambda: SeedIndex(sent.value, masks))
             for batch in batches:
                 rows = [(doc, *x) for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch)) for x in overlaps(ascii_words(text), index, similarity, min_words)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names=names)
@@ -197,10 +192,11 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str
     bounded_batches(spark)
     out = docs
     for block in item_blocks(benchmark, block_words):
-        sent = spark.sparkContext.broadcast(tuple((i, tuple(w)) for i, w in sorted(block)))
+        sent, key = spark.sparkContext.broadcast(sorted(block)), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _index_of(sent.value, masks)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, key=key) -> Iterator[pa.RecordBatch]:
+            # word hashes differ between processes, so each worker builds its own index
+            index = worker_state(key, lambda: SeedIndex(sent.value, masks))
             for batch in batches:
                 clean = [not overlaps(ascii_words(text), index, similarity, min_words) for text in texts_of(batch)]
                 yield batch.filter(pa.array(clean, pa.bool_()))

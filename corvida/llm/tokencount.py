@@ -27,7 +27,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvida.llm.common import map_texts
+from corvida.llm.common import map_texts, worker_state
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -106,19 +106,14 @@ class Unigram:
         return score, pieces
 
 
-_MODELS: dict[str, Unigram] = {}
-
-
 def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     """``doc_id, n_tokens, best_score`` for every row."""
     # a vocabulary has a fixed size, whatever the tables hold
     sent, key = docs.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     def run(texts: list[bytes]) -> dict[str, pa.Array]:
-        if key not in _MODELS:
-            _MODELS.clear()
-            _MODELS[key] = Unigram(sent.value)
-        done = [_MODELS[key].text(t.decode("utf-8", "replace")) for t in texts]
+        model = worker_state(key, lambda: Unigram(sent.value))
+        done = [model.text(t.decode("utf-8", "replace")) for t in texts]
         return {"n_tokens": pa.array([n for _, n in done], pa.int64()), "best_score": pa.array([s for s, _ in done], pa.float64())}
 
     return map_texts(docs, run, "n_tokens long, best_score double")
