@@ -37,7 +37,8 @@ def group_support(rows: DataFrame, row_id: str, group: str, content: str) -> Dat
     if blank.take(1):
         raise ValueError(f"blank or missing {group} or {content}")
     linked = link_components(rows, row_id, [group, content])
-    return linked.agg(F.count_distinct("component").alias("n_components")).crossJoin(rows.agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups"))).select("n_rows", "n_groups", "n_components")
+    sides = linked.agg(F.count_distinct("component").alias("n_components")).unionByName(rows.agg(F.count("*").alias("n_rows"), F.count_distinct(group).alias("n_groups")), allowMissingColumns=True)
+    return sides.agg(*(F.max(c).alias(c) for c in ("n_rows", "n_groups", "n_components")))
 
 
 def conflicting(rows: DataFrame, key: str, value: str) -> DataFrame:

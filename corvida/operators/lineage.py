@@ -130,8 +130,8 @@ class Experiment:
 
 def pending(plan: DataFrame, finished: DataFrame) -> DataFrame:
     """``phase, seed`` pairs of the plan without a finished run."""
-    phases = plan.sparkSession.createDataFrame([(p,) for p in PHASES], "phase string")
-    return plan.select("seed").distinct().crossJoin(F.broadcast(phases)).select("phase", "seed").join(finished.select("phase", "seed"), ["phase", "seed"], "left_anti")
+    wanted = plan.select("seed").distinct().select(F.explode(F.array(*map(F.lit, PHASES))).alias("phase"), "seed")
+    return wanted.join(finished.select("phase", "seed"), ["phase", "seed"], "left_anti")
 
 
 def bound_thresholds(models: DataFrame, decisions: DataFrame) -> DataFrame:

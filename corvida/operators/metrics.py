@@ -18,7 +18,7 @@ def _ratio(a: Column, b: Column) -> Column:
 def confusion(scores: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``model, n, tn, fp, fn, tp`` with p >= threshold positive; ``thresholds`` has one row per model."""
     said = (F.col("p") >= F.col("threshold")).cast("int")
-    rows = scores.join(F.broadcast(thresholds.select("model", "threshold")), "model")
+    rows = scores.join(thresholds.select("model", "threshold"), "model")
     cell = lambda y, s: F.sum(F.when((F.col("y") == y) & (said == s), 1).otherwise(0)).alias(
         {(0, 0): "tn", (0, 1): "fp", (1, 0): "fn", (1, 1): "tp"}[y, s]
     )
@@ -102,7 +102,7 @@ def with_ensemble(scores: DataFrame, key: str = "sample_id") -> DataFrame:
 def evaluation_samples(scores: DataFrame, thresholds: DataFrame, class_names: tuple[str, str] = ("0", "1"), key: str = "sample_id") -> DataFrame:
     """Per sample: true class by name, and maps from model to score and to predicted class."""
     names = F.array(*map(F.lit, class_names))
-    rows = scores.join(F.broadcast(thresholds.select("model", "threshold")), "model")
+    rows = scores.join(thresholds.select("model", "threshold"), "model")
     said = F.get(names, (F.col("p") >= F.col("threshold")).cast("int"))
     rows = rows.groupBy(key).agg(
         F.first(F.get(names, F.col("y"))).alias("true_class"),

@@ -224,12 +224,11 @@ def evaluation_samples(spark, d):
 def prior_baseline(spark, d):
     """A constant class from the training prior, judged on test samples."""
     rows = Stage(spark, "prior").write(with_split(spark, d).select("split", "label"))
-    prior = rows.where("split = 'train'").agg(F.avg("label").alias("prior"))
-    test = rows.where("split = 'test'").agg(F.sum("label").alias("P"), F.sum(1 - F.col("label")).alias("N"))
+    part = lambda name, value: F.when(F.col("split") == name, value)
+    sums = rows.agg(F.avg(part("train", F.col("label"))).alias("prior"), F.sum(part("test", F.col("label"))).alias("P"), F.sum(part("test", 1 - F.col("label"))).alias("N"))
     said = (F.col("prior") >= 0.5).cast("int")
     ba = (said * F.col("P") / F.nullif(F.col("P"), F.lit(0)) + (1 - said) * F.col("N") / F.nullif(F.col("N"), F.lit(0))) / 2
-    # one row each
-    return prior.crossJoin(test).select(F.round("prior", 9).alias("prior"), said.alias("constant_class"), F.round(ba, 9).alias("balanced_accuracy"))
+    return sums.select(F.round("prior", 9).alias("prior"), said.alias("constant_class"), F.round(ba, 9).alias("balanced_accuracy"))
 
 
 def _seed_values(spark, d) -> DataFrame:
@@ -255,7 +254,7 @@ def _draw_rows(spark, d) -> DataFrame:
     rows = Stage(spark, "draws").write(scored(with_split(spark, d)))
     test, out = rows.where("split = 'test'"), None
     for name, cuts in (("selected", _chosen(rows)), ("fixed", _fixed(test))):
-        part = test.join(F.broadcast(cuts.select("model", "threshold")), "model").select(F.col("component").alias("group"), "seed", F.lit(name).alias("comparator"), "y", (F.col("p") >= F.col("threshold")).cast("int").alias("said"))
+        part = test.join(cuts.select("model", "threshold"), "model").select(F.col("component").alias("group"), "seed", F.lit(name).alias("comparator"), "y", (F.col("p") >= F.col("threshold")).cast("int").alias("said"))
         out = part if out is None else out.unionByName(part)
     return Stage(spark, "sums").write(resampling.group_sums(out))
 

@@ -174,7 +174,7 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     test = stage.write(judged(manifest, by_model, "test").join(manifest.select("sample_id", "group"), "sample_id"))
     prior = manifest.where("split = 'train'").agg(F.avg("label")).first()[0]
     constant = int(prior >= 0.5)
-    rows = test.join(F.broadcast(cuts), "model").select("model", "group", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("comparator"), (F.col("p") >= t).cast("int").alias("said")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x")).select("model", "group", "y", "x.*")
+    rows = test.join(cuts, "model").select("model", "group", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("comparator"), (F.col("p") >= t).cast("int").alias("said")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x")).select("model", "group", "y", "x.*")
     # numbers in the order of the groups' names, from a range-partitioned sort
     groups = manifest.where("split = 'test'").select("group").distinct().repartitionByRange("group").sortWithinPartitions("group")
     numbered = stage.write(groups.withColumn("number", F.monotonically_increasing_id()))
