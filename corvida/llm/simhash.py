@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import map_texts
+from corvida.llm.common import key_filter, map_texts, may_match
 from corvida.operators.components import connected_components
 from corvida.session import Stage
 
@@ -163,13 +163,17 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose ``doc_id`` is the smallest of its group, one for each group.
 
     Of rows that repeat that ``doc_id`` the first in the order of ``text`` stays;
-    rows without a ``doc_id`` stay, as nothing can name their group.
+    rows without a ``doc_id`` stay, as nothing can name their group. Only rows
+    that a bitmap of the ids that go lets through are shuffled.
     """
-    keep = simhash_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if not repeated.take(1):
-        return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    mine = docs.join(keep, "doc_id", "left_semi")
-    single = mine.join(repeated, "doc_id", "left_anti")
-    some = mine.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("x")).select("x.*")
-    return single.unionByName(some).unionByName(docs.where("doc_id is null"))
+    stage = Stage(docs.sparkSession, "simhashkeep")
+    gone = stage.write(simhash_groups(docs).where("doc_id != component_id").select("doc_id").distinct())
+    again = stage.write(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    bitmap = stage.write(key_filter(gone.unionAll(again), ["doc_id"]))
+    # nested, so that no name of the input can clash
+    rows = may_match(docs.select(F.struct("*").alias("r"), "doc_id"), bitmap, ["doc_id"], "maybe")
+    others = rows.where("not maybe").select("r.*")
+    mine = rows.where("maybe").join(gone, "doc_id", "left_anti")
+    single = mine.join(again, "doc_id", "left_anti").select("r.*")
+    first = mine.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("r", F.coalesce(F.col("r.text"), F.lit(""))).alias("r"))
+    return others.unionAll(single).unionAll(first.select("r.*"))
