@@ -4,10 +4,14 @@ Equal vectors form one class first. A neighbour graph over the classes starts
 from buckets of random hyperplane codes, split to a fixed size where a code is
 common, and is refined by local joins: each node shows its neighbours, in both
 directions, to one another, and every node keeps the best it has seen. Lists
-hold ``K`` neighbours. A list all of whose neighbours reach the threshold is
-saturated and may hide more; lists of linked nodes are therefore enlarged at
-the end to their whole component, compared tile by tile, so no link within a
-component is lost and no group meets in one task.
+hold ``K`` neighbours, but links are kept apart from them: of all links that a
+bucket or local join computes a spanning forest is staged, and components come
+from those. A list all of whose neighbours reach the threshold is saturated
+and may hide more, outside its component too: saturated nodes of different
+components are compared tile by tile, but for tiles whose centres and radii
+show that they are too far apart. Lists of linked nodes are at the end enlarged
+to their whole component, so no link within a component is lost and no group
+meets in one task.
 
 Recall is audited: the links of a fixed number of nodes are found by comparing
 them with all vectors, and rounds with fresh codes are added while less than
@@ -36,6 +40,8 @@ from corvida.session import Stage
 THRESHOLD = 0.95
 K, TABLES, ROUNDS, MAX_ROUNDS = 10, 4, 2, 6
 BUCKET, TILE = 48, 128
+#: Numbers in a chunk of vectors that is compared with a whole table at once.
+CHUNK = 1 << 20
 AUDITED, RECALL = 256, 0.97
 
 
@@ -53,8 +59,31 @@ def _groups(batch: pa.RecordBatch, ids: str, flat: str) -> Iterator[tuple[int, n
         yield i, members, _matrix(b[i].values, len(members))
 
 
-def _best(members: np.ndarray, sims: np.ndarray, worst: np.ndarray | None, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The best ``k`` others of every member that beat its worst neighbour so far."""
+def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the graph that joins row i and column j where ``close`` holds."""
+    at_i, at_j = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+    close = close[np.ix_(at_i, at_j)]
+    rows, cols = np.ones(len(at_i), bool), np.ones(len(at_j), bool)  # not reached yet
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while rows.any():
+        front = np.array([rows.argmax()])
+        rows[front] = False
+        while len(front):
+            reach = close[front] & cols
+            j = np.flatnonzero(reach.any(axis=0))
+            out_i.append(front[reach[:, j].argmax(axis=0)])
+            out_j.append(j)
+            cols[j] = False
+            reach = close[:, j] & rows[:, None]
+            front = np.flatnonzero(reach.any(axis=1))
+            out_i.append(front)
+            out_j.append(j[reach[front].argmax(axis=1)] if len(front) else front)
+            rows[front] = False
+    return at_i[np.concatenate(out_i)], at_j[np.concatenate(out_j)]
+
+
+def _best(members: np.ndarray, sims: np.ndarray, worst: np.ndarray | None, k: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The best ``k`` others of every member that beat its worst neighbour so far, and a forest of all links if these leave out any."""
     np.fill_diagonal(sims, -2)
     n = len(members)
     if n < 2:
@@ -64,7 +93,14 @@ def _best(members: np.ndarray, sims: np.ndarray, worst: np.ndarray | None, k: in
     s = np.take_along_axis(sims, top, axis=1)
     good = s > (worst[:, None] if worst is not None else -1.5)
     rows, _ = np.nonzero(good)
-    return [(members[rows], members[top[good]], s[good])]
+    out = [(members[rows], members[top[good]], s[good])]
+    close = sims >= threshold
+    told = np.zeros_like(close)
+    told[rows, top[good]] = True
+    if (close & ~told & ~told.T).any():
+        i, j = _forest(close)
+        out.append((members[i], members[j], sims[i, j]))
+    return out
 
 
 _EDGES = "u long, v long, sim double"
@@ -75,15 +111,15 @@ def _edge_batch(parts: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s)], names=["u", "v", "sim"])
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_edges(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _edge_batch([x for _, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, None, K)])
+        yield _edge_batch([x for _, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, None, K, threshold)])
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         worst = batch.column("worst")
-        yield _edge_batch([x for i, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, worst[i].values.to_numpy(zero_copy_only=False), K)])
+        yield _edge_batch([x for i, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, worst[i].values.to_numpy(zero_copy_only=False), K, threshold)])
 
 
 def _gathered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -109,14 +145,17 @@ def _codes(nodes: DataFrame, dims: int, count: int, round_: int, tables: int) ->
     return coded.select("id", "vec", F.posexplode("codes").alias("table", "code"))
 
 
-def _bucket_graph(nodes: DataFrame, dims: int, count: int, round_: int, stage: Stage, tables: int = TABLES) -> DataFrame:
+def _bucket_graph(nodes: DataFrame, dims: int, count: int, round_: int, threshold: float, stage: Stage, tables: int = TABLES) -> DataFrame:
+    """``u, v, sim`` found in the buckets of one round, staged."""
     coded = stage.write(_codes(nodes, dims, count, round_, tables))
     # a table of its own, so that the join can split a common code
     sizes = stage.write(coded.groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1"))
     # common codes are dealt over parts at random, others than in the next table or round
     part = F.pmod(F.xxhash64("id", "table", F.lit(round_)), F.ceil(F.col("n") / (2 * BUCKET)))
     rows = coded.join(sizes, ["table", "code"]).select("table", "code", part.alias("part"), "id", "vec")
-    return _gathered(rows, ["table", "code", "part"]).select("ids", "flat").mapInArrow(_bucket_edges, _EDGES)
+    found = stage.write(_gathered(rows, ["table", "code", "part"]).select("ids", "flat").mapInArrow(lambda batches: _bucket_edges(batches, threshold), _EDGES))
+    stage.drop(coded, sizes)
+    return found
 
 
 def _lists(edges: DataFrame, k: int = K) -> DataFrame:
@@ -125,16 +164,84 @@ def _lists(edges: DataFrame, k: int = K) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
-    """One round of local joins."""
+def _descend(graph: DataFrame, nodes: DataFrame, threshold: float, stage: Stage) -> DataFrame:
+    """``u, v, sim`` found by one round of local joins, staged."""
     worst = graph.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(-1.5).alias("worst"))
     known = nodes.join(worst, nodes["id"] == worst["u"]).select("id", "vec", "worst")
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
     around = _lists(back).unionAll(graph).select("u", "v").distinct()
     around = around.unionAll(graph.select("u", F.col("u").alias("v")).distinct())
     rows = around.join(known, around["v"] == known["id"]).select("u", "id", "vec", "worst")
-    found = _gathered(rows, ["u"]).select("ids", "flat", "worst").mapInArrow(_local_join, _EDGES)
-    return stage.write(_lists(found.unionAll(graph)))
+    return stage.write(_gathered(rows, ["u"]).select("ids", "flat", "worst").mapInArrow(lambda batches: _local_join(batches, threshold), _EDGES))
+
+
+def _ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Centre of each tile and its largest angle from there."""
+    for batch in batches:
+        centres, radii = [], []
+        for _, _, unit in _groups(batch, "ids", "flat"):
+            mean = unit.mean(axis=0)
+            norm = np.sqrt(mean @ mean)
+            centre = mean / norm if norm > 1e-6 else unit[0]
+            centres.append(centre)
+            radii.append(float(np.arccos(np.clip(unit @ centre, -1, 1)).max()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tolist() for c in centres], pa.list_(pa.float64())), pa.array(radii, pa.float64())], names=["tile", "component", "centre", "radius"])
+
+
+def _close_tiles(balls: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame:
+    """``a, b``: tiles of different components that may hold a link, chunk by chunk."""
+    chunks = -(-balls.count() * dims // CHUNK)
+    out = None
+    for k in range(chunks):
+        rows = balls.where(F.pmod(F.xxhash64("tile"), F.lit(chunks)) == k).collect()  # a share of fixed size
+        if not rows:
+            continue
+        tile, component, radius = (np.array([r[i] for r in rows]) for i in (0, 1, 3))
+        centre = np.array([r[2] for r in rows])
+
+        def run(batches: Iterator[pa.RecordBatch], tile=tile, component=component, radius=radius, centre=centre) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                other, of, r = (batch.column(c).to_numpy() for c in ("tile", "component", "radius"))
+                angle = np.arccos(np.clip(centre @ _matrix(batch.column("centre").flatten(), batch.num_rows).T, -1, 1))
+                # rounding must not part what meets exactly
+                near = (angle <= radius[:, None] + r + np.arccos(threshold) + 1e-5) & (component[:, None] != of) & (tile[:, None] < other)
+                i, j = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(tile[i]), pa.array(other[j])], names=["a", "b"])
+
+        found = stage.write(balls.mapInArrow(run, "a long, b long"))
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def _across(nodes: DataFrame, graph: DataFrame, linked: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame | None:
+    """``u, v, sim``: links that join the saturated nodes of different components, a spanning forest for each two tiles."""
+    full = graph.groupBy("u").agg(F.min("sim").alias("least")).where(F.col("least") >= threshold).select(F.col("u").alias("node"))
+    rows = linked.join(full, "node").select("component", F.col("node").alias("id"))
+    rows = rows.join(nodes.select("id", "vec"), "id")
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    rows = rows.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    made = rows.groupBy("component", "part").agg(F.collect_list(F.struct("id", "vec")).alias("x"), F.min("id").alias("tile"))
+    made = stage.write(made.select("tile", "component", F.col("x.id").alias("ids"), F.flatten("x.vec").alias("flat")))
+    balls = stage.write(made.mapInArrow(_ball, "tile long, component long, centre array<double>, radius double"))
+    near = _close_tiles(balls, dims, threshold, stage)
+    if near is None:
+        return None
+    left = made.select(F.col("tile").alias("a"), "ids", "flat")
+    right = made.select(F.col("tile").alias("b"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for (_, a, x), (_, b, y) in zip(_groups(batch, "ids", "flat"), _groups(batch, "ids2", "flat2")):
+                sims = x @ y.T
+                i, j = _forest(sims >= threshold)
+                parts.append((a[i], b[j], sims[i, j]))
+            yield _edge_batch(parts)
+
+    pairs = near.join(left, "a").join(right, "b").select("ids", "flat", "ids2", "flat2")
+    found = stage.write(pairs.mapInArrow(run, _EDGES))
+    stage.drop(made, balls)
+    return found
 
 
 def _tile_counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -218,13 +325,25 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame:
     """``id, component, links`` of the linked nodes among vectors of one length."""
     count = nodes.count()
-    graph, linked = None, None
+    graph, linked, links = None, None, None
+
+    def learn(found: DataFrame, graph: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Lists and links with what was found; the tables before are dropped."""
+        close = found.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        new = stage.write(_lists(found if graph is None else found.unionAll(graph)))
+        kept = stage.write((close if links is None else close.unionAll(links)).distinct())
+        stage.drop(found, graph, links)
+        return new, kept
+
     for round_ in range(MAX_ROUNDS):
-        edges = _bucket_graph(nodes, dims, count, round_, stage)
-        graph = stage.write(_lists(edges if graph is None else edges.unionAll(graph)))
+        graph, links = learn(_bucket_graph(nodes, dims, count, round_, threshold, stage), graph, links)
         for _ in range(ROUNDS if round_ == 0 else 1):
-            graph = _descend(graph, nodes, stage)
-        linked = stage.write(connected_components(graph.where(F.col("sim") >= threshold), "u", "v"))
+            graph, links = learn(_descend(graph, nodes, threshold, stage), graph, links)
+        linked = stage.write(connected_components(links, "u", "v"))
+        more = _across(nodes, graph, linked, dims, threshold, stage)
+        if more is not None and not more.isEmpty():
+            links = stage.write(links.unionAll(more.select("u", "v")))
+            linked = stage.write(connected_components(links, "u", "v"))
         if _audit(nodes, linked, threshold) >= RECALL:
             break
     members = nodes.join(linked, nodes["id"] == linked["node"]).select("component", "id", "size", "vec")

@@ -1,6 +1,8 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from corvida.llm import embeddings
+from corvida.session import Stage
 
 
 def brute(rows, threshold=0.95):
@@ -58,3 +60,53 @@ def test_nothing_to_link(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_duplicates(one).collect()) == [(0, 0, 0), (1, 0, 1), (4, 0, 4)]
     same = spark.createDataFrame([(3, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (8, [2.0, 4.0])], "vec_id long, embedding array<double>")
     assert sorted(set((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(same).collect())) == [(1, 2, 1), (3, 2, 1), (8, 2, 1)]
+
+
+def two_tight_groups(seed, n, start=0, dims=16):
+    """Two groups of ``n`` distinct vectors, far closer within than the links at about 0.96 between them."""
+    r = np.random.default_rng(seed)
+    a, b = np.linalg.qr(r.normal(size=(dims, 2)))[0].T
+    b = 0.96 * a + np.sqrt(1 - 0.96**2) * b
+    rows = [c + r.normal(size=dims) * 0.002 for c in (a, b) for _ in range(n)]
+    return [(start + i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rows)]
+
+
+def test_links_beyond_the_lists_join_groups(spark):
+    rows = two_tight_groups(3, 15)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == brute(rows)
+    assert set(got.values()) == {(29, 0)}
+
+
+def test_saturated_groups_that_never_met_are_compared(spark):
+    rows = two_tight_groups(4, 150) + two_tight_groups(5, 15, 300)
+    nodes = spark.createDataFrame(rows, "id long, vec array<float>")
+    group = lambda i: i // 150 if i < 300 else 2 + (i - 300) // 15
+    first = {group(i): i for i, _ in reversed(rows)}
+    graph = spark.createDataFrame([(i, first[group(i)], 0.999) for i, _ in rows], "u long, v long, sim double")
+    linked = spark.createDataFrame([(i, first[group(i)]) for i, _ in rows], "node long, component long")
+    found = embeddings._across(nodes, graph, linked, 16, 0.95, Stage(spark, "across")).collect()
+    assert {tuple(sorted((group(r.u), group(r.v)))) for r in found} == {(0, 1), (2, 3)}
+    assert all(r.sim >= 0.95 for r in found)
+    # an end with room in its list would have shown the link there
+    open_ = graph.withColumn("sim", F.when(F.col("u") < 150, 0.5).otherwise(F.col("sim")))
+    found = embeddings._across(nodes, open_, linked, 16, 0.95, Stage(spark, "across")).collect()
+    assert {tuple(sorted((group(r.u), group(r.v)))) for r in found} == {(2, 3)}
+
+
+def test_forest_spans_what_the_matrix_joins():
+    r = np.random.default_rng(6)
+    for density in (0.0, 0.01, 0.05, 0.5, 1.0):
+        close = r.random((40, 60)) < density
+        i, j = embeddings._forest(close)
+        assert close[i, j].all() and len(i) <= 99
+        kept = np.zeros_like(close)
+        kept[i, j] = True
+
+        def reach(m):
+            full = np.block([[np.eye(40, dtype=bool), m], [m.T, np.eye(60, dtype=bool)]])
+            for _ in range(7):
+                full = (full.astype(int) @ full.astype(int)) > 0
+            return full
+
+        assert (reach(close) == reach(kept)).all()
