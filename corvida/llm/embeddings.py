@@ -14,8 +14,11 @@ to their whole component, so no link within a component is lost and no group
 meets in one task.
 
 Recall is audited: the links of a fixed number of nodes are found by comparing
-them with all vectors, and rounds with fresh codes are added while less than
-``RECALL`` of those links lie within one component (at most ``MAX_ROUNDS``).
+them with all vectors, and each node with links counts once, by its share of
+links that lie within one component. Nodes of groups of more than ``K`` and the
+other ones are drawn and averaged apart, so a large group can't hide that small
+ones are lost. Rounds with fresh codes are added while either average is below
+``RECALL``; after ``MAX_ROUNDS`` all vectors are compared, chunk by chunk.
 
 Cosines are computed in double precision. Vectors that are null, empty, zero
 or hold null or non-finite components link with nothing, nor do vectors of
@@ -275,10 +278,13 @@ def _tiles(members: DataFrame, threshold: float, stage: Stage) -> DataFrame:
 
 
 def _audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Share of the true links of audited nodes whose ends are in one component."""
-    rows = nodes.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()  # a fixed number of vectors
-    asked = np.array([r[0] for r in rows], dtype=np.int64)
-    x = np.array([r[1] for r in rows], dtype=np.float64)
+    """Share of a node's true links whose ends are in one component: the mean over audited nodes, the lower one of nodes in groups of more than ``K`` and of the others."""
+    large = linked.groupBy("component").count().where(F.col("count") > K).select("component")
+    inside = linked.join(large, "component", "left_semi").select(F.col("node").alias("id"))
+    draw = lambda how: nodes.select("id", "vec").join(inside, "id", how).orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()  # noqa: E731; a fixed number of vectors
+    hot, rest = draw("left_semi"), draw("left_anti")
+    asked = np.array([r[0] for r in hot + rest], dtype=np.int64)
+    x = np.array([r[1] for r in hot + rest], dtype=np.float64)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +296,34 @@ def _audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
 
     true = nodes.select("id", "vec").mapInArrow(run, "a long, b long")
     of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    row = true.join(of("a"), "a", "left").join(of("b"), "b", "left").agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    rows = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).collect()  # a row per audited node at most
+    share = {r[0]: r[2] / r[1] for r in rows}
+    means = [float(np.mean(of_kind)) for kind in (hot, rest) if (of_kind := [share[r[0]] for r in kind if r[0] in share])]
+    return min(means, default=1.0)
+
+
+def _all_links(nodes: DataFrame, count: int, dims: int, threshold: float, stage: Stage) -> DataFrame:
+    """``u, v, sim``: a spanning forest of the links of every chunk with every batch of all vectors."""
+    chunks = -(-count * dims // CHUNK)
+    out = None
+    for k in range(chunks):
+        rows = nodes.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == k).select("id", "vec").collect()  # a share of fixed size
+        if not rows:
+            continue
+        asked = np.array([r[0] for r in rows], dtype=np.int64)
+        x = np.array([r[1] for r in rows], dtype=np.float64)
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, x=x) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                sims = x @ _matrix(batch.column(1).flatten(), batch.num_rows).T
+                i, j = _forest((sims >= threshold) & (asked[:, None] != ids))
+                yield _edge_batch([(asked[i], ids[j], sims[i, j])])
+
+        found = stage.write(nodes.select("id", "vec").mapInArrow(run, _EDGES))
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -346,5 +378,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
             linked = stage.write(connected_components(links, "u", "v"))
         if _audit(nodes, linked, threshold) >= RECALL:
             break
+    else:
+        linked = stage.write(connected_components(_all_links(nodes, count, dims, threshold, stage), "u", "v"))
     members = nodes.join(linked, nodes["id"] == linked["node"]).select("component", "id", "size", "vec")
     return linked.withColumnRenamed("node", "id").join(_tiles(members, threshold, stage), "id")

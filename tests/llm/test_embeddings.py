@@ -110,3 +110,23 @@ def test_forest_spans_what_the_matrix_joins():
             return full
 
         assert (reach(close) == reach(kept)).all()
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    r = np.random.default_rng(7)
+    base = r.normal(size=(41, 16))
+    rows = [base[40] + r.normal(size=16) * 0.01 for _ in range(100)] + [base[i // 2] + r.normal(size=16) * 0.01 for i in range(80)]
+    nodes = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "id long, vec array<double>")
+    hot = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    pairs = spark.createDataFrame([(i, i - i % 2) for i in range(100, 180)], "node long, component long")
+    assert embeddings._audit(nodes, hot, 0.95) == 0.0
+    assert embeddings._audit(nodes, hot.unionAll(pairs), 0.95) == 1.0
+
+
+def test_all_vectors_are_compared_if_the_audit_never_passes(spark, monkeypatch):
+    for name, value in (("MAX_ROUNDS", 1), ("ROUNDS", 0), ("BUCKET", 2), ("CHUNK", 400)):
+        monkeypatch.setattr(embeddings, name, value)
+    monkeypatch.setattr(embeddings, "_audit", lambda *_: 0.0)
+    rows = vectors(8, 40)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == brute(rows)
