@@ -103,25 +103,22 @@ def _op6_sql() -> str:
     trusted = " OR ".join(covers(r, "host") for r, v in urlfilter.RULES if v == "allow")
     blocked = " OR ".join(covers(r, "host") for r, v in urlfilter.RULES if v == "block" and r.endswith("/") and r.count("/") == 1)
     damping = f"CAST({urlfilter.DAMPING} AS DOUBLE)"
-    rounds = "".join(
-        f""",
-s{k} AS (SELECT host, sum(t) AS t, sum(d) AS d FROM (SELECT * FROM seeds UNION ALL
-  SELECT e.dst, e.ahead * s.t, 0 FROM weighted e JOIN s{k - 1} s ON s.host = e.src UNION ALL
-  SELECT e.src, 0, e.back * s.d FROM weighted e JOIN s{k - 1} s ON s.host = e.dst) GROUP BY host)"""
-        for k in range(1, urlfilter.ROUNDS + 1)
-    )
     return f"""
-WITH rows AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-links AS (SELECT host AS src, unnest(regexp_extract_all(html, '{urlfilter.HREF.replace("'", "''")}', 1)) AS link FROM rows),
+WITH RECURSIVE rows AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+links AS (SELECT host AS src, unnest(regexp_extract_all(regexp_replace(html, '{urlfilter.COMMENT}', '', 'g'), '{urlfilter.HREF.replace("'", "''")}', 1)) AS link FROM rows),
 targets AS (SELECT src, {host("CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END")} AS dst FROM links WHERE contains(link, '//')),
 edges AS (SELECT src, dst, count(*) AS n FROM targets WHERE src != '' AND dst != '' AND src != dst GROUP BY src, dst),
-weighted AS (SELECT src, dst, {damping} * n / sum(n) OVER (PARTITION BY src) AS ahead, {damping} * n / sum(n) OVER (PARTITION BY dst) AS back FROM edges),
-nodes AS (SELECT host, CASE WHEN {trusted} THEN 1 ELSE 0 END AS t, CASE WHEN {blocked} THEN 1 ELSE 0 END AS d FROM (SELECT host FROM rows UNION SELECT dst FROM edges)),
-seeds AS (SELECT host, (1 - {damping}) * t / (SELECT greatest(sum(t), 1) FROM nodes) AS t, (1 - {damping}) * d / (SELECT greatest(sum(d), 1) FROM nodes) AS d FROM nodes),
-s0 AS (SELECT * FROM seeds){rounds},
+moves AS (SELECT 0 AS kind, src AS host, dst AS target, {damping} * n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+  UNION ALL SELECT 1, dst, src, {damping} * n / sum(n) OVER (PARTITION BY dst) FROM edges),
+nodes AS (SELECT host FROM rows UNION SELECT dst FROM edges),
+seeds AS (SELECT 0 AS kind, host FROM nodes WHERE {trusted} UNION ALL SELECT 1, host FROM nodes WHERE {blocked}),
+walk AS (SELECT kind, host, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY kind) AS mass FROM seeds
+  UNION ALL SELECT w.kind, m.target, sum(w.mass * m.share) FROM (SELECT *, sum(mass) OVER () AS all_mass FROM walk) w JOIN moves m ON m.kind = w.kind AND m.host = w.host WHERE w.all_mass > 1e-12 GROUP BY w.kind, m.target),
+scores AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 0) / (SELECT sum(mass) FROM walk WHERE kind = 0), 0) AS t,
+  coalesce(sum(mass) FILTER (WHERE kind = 1) / (SELECT sum(mass) FROM walk WHERE kind = 1), 0) AS d FROM walk GROUP BY host),
 ruled AS (SELECT page_id, host, path, {rule} AS rule FROM rows)
-SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN {own} WHEN s.d > {urlfilter.RATIO} * s.t THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled LEFT JOIN s{urlfilter.ROUNDS} s USING (host)"""
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN {own} WHEN s.d > {urlfilter.RATIO} * (1 + {urlfilter.ROUNDING}) * s.t THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN scores s USING (host)"""
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:

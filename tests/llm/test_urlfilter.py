@@ -31,20 +31,27 @@ def test_rules_against_brute_force(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
-def brute_scores(edges, hosts, trusted, blocked, rounds, d=urlfilter.DAMPING):
-    out, into = {}, {}
-    for (a, b), n in edges.items():
-        out[a] = out.get(a, 0) + n
-        into[b] = into.get(b, 0) + n
-    t = seeds_t = {h: (1 - d) * (h in trusted) / max(1, len(trusted)) for h in hosts}
-    b = seeds_b = {h: (1 - d) * (h in blocked) / max(1, len(blocked)) for h in hosts}
-    for _ in range(rounds):
-        nt, nb = dict(seeds_t), dict(seeds_b)
-        for (x, y), n in edges.items():
-            nt[y] += d * n / out[x] * t[x]
-            nb[x] += d * n / into[y] * b[y]
-        t, b = nt, nb
-    return t, b
+def brute_scores(edges, hosts, trusted, blocked, d=urlfilter.DAMPING):
+    """Power iteration to the fixpoint; what a host without a way on holds goes back to the seeds."""
+    hosts = sorted(hosts)
+
+    def rank(ways, seeds):
+        if not seeds & set(hosts):
+            return dict.fromkeys(hosts, 0.0)
+        seeds = {h: (h in seeds) / len(seeds & set(hosts)) for h in hosts}
+        out = {}
+        for (a, _), n in ways.items():
+            out[a] = out.get(a, 0) + n
+        x = dict(seeds)
+        for _ in range(400):
+            stuck = sum(x[h] for h in hosts if h not in out)
+            y = {h: (1 - d + d * stuck) * seeds[h] for h in hosts}
+            for (a, b), n in ways.items():
+                y[b] += d * n / out[a] * x[a]
+            x = y
+        return x
+
+    return rank(edges, trusted), rank({(b, a): n for (a, b), n in edges.items()}, blocked)
 
 
 def test_propagation_against_brute_force(spark):
@@ -67,10 +74,34 @@ def test_propagation_against_brute_force(spark):
     found = {(r.src, r.dst): r.n for r in urlfilter.host_edges(pages).collect()}
     assert found == edges
     hosts = set(links) | {b for _, b in edges} | {"g.com"}
-    trust, distrust = brute_scores(edges, hosts, {"a.org"}, {"bad.net"}, urlfilter.ROUNDS)
-    got = urlfilter.host_scores(urlfilter.host_edges(pages), spark.createDataFrame([(h,) for h in hosts], "host string"))
-    for r in got.collect():
-        assert abs(r.trust - trust[r.host]) < 1e-12 and abs(r.distrust - distrust[r.host]) < 1e-12
+    trust, distrust = brute_scores(edges, hosts, {"a.org"}, {"bad.net"})
+    rows = urlfilter.host_scores(urlfilter.host_edges(pages), spark.createDataFrame([(h,) for h in hosts], "host string")).collect()
+    got = {r.host: (r.trust, r.distrust) for r in rows}
+    for h in hosts:
+        t, b = got.get(h, (0.0, 0.0))
+        assert abs(t - trust[h]) < 1e-8 and abs(b - distrust[h]) < 1e-8
     verdicts = {r.host: r.verdict for r in urlfilter.judge(pages).collect()}
     assert verdicts == {h: "block" if distrust[h] > trust[h] else "allow" for h in verdicts}
     assert verdicts["d.com"] == "block" and verdicts["b.com"] == "allow" and verdicts["f.com"] == "allow"
+
+
+def test_a_chain_of_any_length_and_the_sql(spark, tmp_path):
+    import duckdb
+
+    from corvida.llm import queries
+
+    hosts = [f"h{i}.com" for i in range(15)] + ["bad.net"]
+    rows = [(i, f"http://{a}/", f"<!-- <a href='http://x.org/'> --><a href='http://{b}/'>") for i, (a, b) in enumerate(zip(hosts, hosts[1:]))]
+    # two hosts that link to each other, one of them to a blocked host too, and trust that outweighs distrust
+    rows += [(20, "http://p.com/", "<a href=http://q.com/><a href=http://bad.net/>"), (21, "http://q.com/", "<a href=http://p.com/>"), (22, "http://good.org/", "<a href=http://r.com/>"), (23, "http://r.com/", "<a href=http://bad.net/>"), (24, "http://long.com/", "x" * 300_000 + "<a href=http://q.com/>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    verdicts = {r.host: r.verdict for r in urlfilter.judge(pages).collect()}
+    assert all(verdicts[h] == "block" for h in hosts[4:15]) and verdicts["p.com"] == verdicts["q.com"] == verdicts["long.com"] == "block"
+    assert verdicts["r.com"] == "allow"
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(queries.SQL["op6_url_filter"]).df()
+    assert dict(zip(want["host"], want["verdict"])) == verdicts
+    alone = spark.createDataFrame(rows[:15], "page_id long, url string, html string")
+    assert {r.verdict for r in urlfilter.judge(alone).collect()} == {"block"}
