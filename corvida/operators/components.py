@@ -2,10 +2,12 @@
 
 Alternating star contraction: the large-star step hangs every larger neighbour
 of a node on the smallest member of its neighbourhood, the small-star step does
-so for the smaller ones. Both are a map-side-combined ``min`` and one equi join
-that adaptive execution can split when a node holds many of the edges, so no
-group is ever gathered in one task. Every round is written to the shared
-folder; the loop ends when a round changes nothing.
+so for the smaller ones. Both are a map-side-combined ``min`` and one equi join.
+Nodes with more than ``HUB`` edges, or more than the ``1 / MOST_HUBS`` part of
+all of them, are hubs: there are at most ``2 * MOST_HUBS`` of those, so their
+minima are broadcast and their edges stay where they are, and no node brings
+more than a fixed share of the edges to one task. Every round is written to the
+shared folder; the loop ends when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -16,22 +18,37 @@ from pyspark.sql import functions as F
 from corvida.session import Stage
 
 
+HUB, MOST_HUBS = 256, 50_000
+
+
 def _mark(edges: DataFrame) -> tuple[int, int]:
     # the sum of 31-bit hashes can't overflow a long
     row = edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 33))).first()
     return row[0], row[1] or 0
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(edges: DataFrame, wanted: str, count: int, stage: Stage) -> DataFrame:
+    """The edges that fulfil ``wanted``, with ``m``, the smallest of ``u`` and its neighbours."""
+    low = stage.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+    edges, hub = edges.where(wanted), max(HUB, count // MOST_HUBS)
+    if not low.where(F.col("n") > hub).take(1):
+        return edges.join(low.select("u", "m"), "u")
+    hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))  # 2 * MOST_HUBS rows at most
+    met = edges.join(hubs, "u", "left")
+    cold = met.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    return met.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionAll(cold.select("u", "v", "m"))
+
+
+def _large_star(edges: DataFrame, count: int, stage: Stage) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _with_low(both, "v > u", count, stage).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, count: int, stage: Stage) -> DataFrame:
+    # u is larger than all its neighbours here
+    rows = _with_low(edges, "v < u", count, stage)
+    moved = rows.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.union(rows.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -46,8 +63,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     seen = _mark(current)
     if seen[0]:
         for _ in range(max_rounds):
-            step = stage.write(_small_star(_large_star(current)))
-            stage.drop(current)
+            wide = stage.write(_large_star(current, seen[0], stage))
+            step = stage.write(_small_star(wide, seen[0], stage))
+            stage.drop(current, wide)
             current, now = step, _mark(step)
             if now == seen:
                 break

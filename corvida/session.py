@@ -80,7 +80,7 @@ class Stage:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.at: dict[int, str] = {}
+        self.at: dict[int, tuple[DataFrame, str]] = {}  # a held table keeps its id to itself
         atexit.register(self._remove, self.root)
 
     def _remove(self, path: str) -> None:
@@ -94,10 +94,10 @@ class Stage:
         path = f"{self.root}/{self.n:04d}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.at[id(out)] = path
+        self.at[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
-            if path := self.at.pop(id(table), None):
-                self._remove(path)
+            if held := self.at.pop(id(table), None):
+                self._remove(held[1])
