@@ -1,30 +1,41 @@
 """Embedding near-duplicates through NN-descent.
 
-Equal vectors form one class first. A neighbour graph over the classes starts
-from buckets of random hyperplane codes, split to a fixed size where a code is
-common, and is refined by local joins: each node shows its neighbours, in both
-directions, to one another, and every node keeps the best it has seen. Lists
-hold ``K`` neighbours, but links are kept apart from them: of all links that a
-bucket or local join computes a spanning forest is staged, and components come
-from those. A list all of whose neighbours reach the threshold is saturated
-and may hide more, outside its component too: saturated nodes of different
-components are compared tile by tile, but for tiles whose centres and radii
-show that they are too far apart. Lists of linked nodes are at the end enlarged
-to their whole component, so no link within a component is lost and no group
-meets in one task.
-
-Recall is audited: the links of a fixed number of nodes are found by comparing
-them with all vectors, and each node with links counts once, by its share of
-links that lie within one component. Nodes of groups of more than ``K`` and the
-other ones are drawn and averaged apart, so a large group can't hide that small
-ones are lost. Rounds with fresh codes are added while either average is below
-``RECALL``; after ``MAX_ROUNDS`` all vectors are compared, chunk by chunk.
+Equal vectors form one class first, and every class is a node with a number of
+its own. A neighbour graph over the nodes starts from buckets of random
+hyperplane codes, split to a fixed size where a code is common, and is refined
+by local joins: each node shows its neighbours, in both directions, to one
+another, and every node keeps the best it has seen. A list holds ``K``
+neighbours; while all of them reach the threshold it is saturated and grows to
+twice its length, up to ``MOST``. Of all links that a bucket or local join
+computes and that the lists leave out a spanning forest is staged, and
+components come from both.
+
+A list that is saturated at ``MOST`` may hide more, outside its component too.
+The exact way for those: saturated nodes of different components are compared
+tile by tile, but for tiles whose centres and radii show that they are too far
+apart. Links within a component are counted to the last: a component within
+half the threshold's angle of its centre is linked throughout, and of any other
+the members are dealt to tiles of near directions; two tiles whose centres and
+radii show that all or none of their pairs link are settled by that, the rest
+is compared. So no link within a component is lost and no group meets in one
+task.
+
+Recall is audited: the links of sampled nodes are found by comparing them with
+all vectors, and each node with links counts once, by its share of links that
+lie within one component. Nodes of groups of more than ``K`` and the other ones
+are drawn and averaged apart, so a large group can't hide that small ones are
+lost. The draw is enlarged until ``AUDIT_NODES`` nodes with links are met, or
+all nodes or ``CHUNK`` numbers are. Rounds with fresh codes are added while
+either average is below ``RECALL``; after ``MAX_ROUNDS`` all vectors are
+compared, chunk by chunk.
 
 Cosines are computed in double precision. Vectors that are null, empty, zero
 or hold null or non-finite components link with nothing, nor do vectors of
-different length. Rows that repeat a ``vec_id`` with the same vector are one
-row of the class; a null ``vec_id`` keeps its row without links. Extra columns
-are ignored; an empty table gives an empty result.
+different length. Every row is judged by its own vector: rows that repeat a
+``vec_id`` with the same vector are one row of the class, with different ones
+they are different nodes that share an id and nothing else. A null ``vec_id``
+keeps its row without links. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -41,11 +52,14 @@ from corvida.operators.components import connected_components
 from corvida.session import Stage
 
 THRESHOLD = 0.95
-K, TABLES, ROUNDS, MAX_ROUNDS = 10, 4, 2, 6
+#: Length of a neighbour list, of a saturated one at most, tables of a round, local joins of the first round.
+K, MOST, TABLES, ROUNDS, MAX_ROUNDS = 10, 80, 4, 2, 6
 BUCKET, TILE = 48, 128
 #: Numbers in a chunk of vectors that is compared with a whole table at once.
 CHUNK = 1 << 20
-AUDITED, RECALL = 256, 0.97
+AUDITED, AUDIT_NODES, RECALL = 256, 64, 0.97
+#: Angles nearer to a limit than this are settled by cosines.
+_MARGIN = 1e-5
 
 
 def _matrix(values: pa.Array, n: int) -> np.ndarray:
@@ -85,19 +99,21 @@ def _forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at_i[np.concatenate(out_i)], at_j[np.concatenate(out_j)]
 
 
-def _best(members: np.ndarray, sims: np.ndarray, worst: np.ndarray | None, k: int, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The best ``k`` others of every member that beat its worst neighbour so far, and a forest of all links if these leave out any."""
+def _best(members: np.ndarray, sims: np.ndarray, worst: np.ndarray | None, threshold: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The best ``K`` others of every member that beat its worst neighbour so far, ``MOST`` if that many are links, and a forest of all links if these leave out any."""
     np.fill_diagonal(sims, -2)
     n = len(members)
     if n < 2:
         return []
-    k = min(k, n - 1)
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    close = sims >= threshold
+    most = int(min(n - 1, max(K, min(MOST, close.sum(axis=1).max()))))
+    top = np.argpartition(-sims, most - 1, axis=1)[:, :most]
     s = np.take_along_axis(sims, top, axis=1)
-    good = s > (worst[:, None] if worst is not None else -1.5)
+    order = np.argsort(-s, axis=1, kind="stable")
+    top, s = np.take_along_axis(top, order, axis=1), np.take_along_axis(s, order, axis=1)
+    good = ((np.arange(most) < K) | (s >= threshold)) & (s > (worst[:, None] if worst is not None else -1.5))
     rows, _ = np.nonzero(good)
     out = [(members[rows], members[top[good]], s[good])]
-    close = sims >= threshold
     told = np.zeros_like(close)
     told[rows, top[good]] = True
     if (close & ~told & ~told.T).any():
@@ -116,13 +132,13 @@ def _edge_batch(parts: list) -> pa.RecordBatch:
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield _edge_batch([x for _, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, None, K, threshold)])
+        yield _edge_batch([x for _, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, None, threshold)])
 
 
 def _local_join(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         worst = batch.column("worst")
-        yield _edge_batch([x for i, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, worst[i].values.to_numpy(zero_copy_only=False), K, threshold)])
+        yield _edge_batch([x for i, ids, unit in _groups(batch, "ids", "flat") for x in _best(ids, unit @ unit.T, worst[i].values.to_numpy(zero_copy_only=False), threshold)])
 
 
 def _gathered(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -161,19 +177,30 @@ def _bucket_graph(nodes: DataFrame, dims: int, count: int, round_: int, threshol
     return found
 
 
-def _lists(edges: DataFrame, k: int = K) -> DataFrame:
-    """The best ``k`` neighbours of every node."""
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+def _lists(edges: DataFrame, threshold: float) -> DataFrame:
+    """``u, v, sim, rank, n``: the best neighbours of every node, ``K`` or, where those are links, twice as many, and so on up to ``MOST``."""
+    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
+    rows = edges.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= MOST)
+    kept, k = F.col("rank") <= K, K
+    while k < MOST:
+        full = F.max(F.when(F.col("rank") == k, F.col("sim"))).over(Window.partitionBy("u")) >= threshold
+        kept, k = kept | (F.coalesce(full, F.lit(False)) & (F.col("rank") <= 2 * k)), 2 * k
+    return rows.withColumn("kept", kept).where("kept").drop("kept").withColumn("n", F.count("*").over(Window.partitionBy("u")))
 
 
 def _descend(graph: DataFrame, nodes: DataFrame, threshold: float, stage: Stage) -> DataFrame:
-    """``u, v, sim`` found by one round of local joins, staged."""
-    worst = graph.groupBy("u").agg(F.when(F.count("*") >= K, F.min("sim")).otherwise(-1.5).alias("worst"))
+    """``u, v, sim`` found by one round of local joins, staged. A long list shows its first and last ``K``."""
+    lengths = [K]
+    while lengths[-1] < MOST:
+        lengths.append(2 * lengths[-1])
+    full = (F.col("n") >= MOST) | (F.col("n").isin(*lengths) & (F.col("least") < threshold))
+    worst = graph.groupBy("u").agg(F.max("n").alias("n"), F.min("sim").alias("least")).select("u", F.when(full, F.col("least")).otherwise(-1.5).alias("worst"))
     known = nodes.join(worst, nodes["id"] == worst["u"]).select("id", "vec", "worst")
-    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
-    around = _lists(back).unionAll(graph).select("u", "v").distinct()
-    around = around.unionAll(graph.select("u", F.col("u").alias("v")).distinct())
+    # ranked straight from the table, so that a hub's rows are cut to K in every task before they are shuffled
+    seen = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
+    seen = seen.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))).where(F.col("place") <= K)
+    shown = graph.where((F.col("rank") <= K) | (F.col("rank") > F.col("n") - K))
+    around = shown.select("u", "v").unionAll(seen.select("u", "v")).unionAll(graph.where("rank = 1").select("u", F.col("u").alias("v"))).distinct()
     rows = around.join(known, around["v"] == known["id"]).select("u", "id", "vec", "worst")
     return stage.write(_gathered(rows, ["u"]).select("ids", "flat", "worst").mapInArrow(lambda batches: _local_join(batches, threshold), _EDGES))
 
@@ -207,7 +234,7 @@ def _close_tiles(balls: DataFrame, dims: int, threshold: float, stage: Stage) ->
                 other, of, r = (batch.column(c).to_numpy() for c in ("tile", "component", "radius"))
                 angle = np.arccos(np.clip(centre @ _matrix(batch.column("centre").flatten(), batch.num_rows).T, -1, 1))
                 # rounding must not part what meets exactly
-                near = (angle <= radius[:, None] + r + np.arccos(threshold) + 1e-5) & (component[:, None] != of) & (tile[:, None] < other)
+                near = (angle <= radius[:, None] + r + np.arccos(threshold) + _MARGIN) & (component[:, None] != of) & (tile[:, None] < other)
                 i, j = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays([pa.array(tile[i]), pa.array(other[j])], names=["a", "b"])
 
@@ -217,8 +244,8 @@ def _close_tiles(balls: DataFrame, dims: int, threshold: float, stage: Stage) ->
 
 
 def _across(nodes: DataFrame, graph: DataFrame, linked: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame | None:
-    """``u, v, sim``: links that join the saturated nodes of different components, a spanning forest for each two tiles."""
-    full = graph.groupBy("u").agg(F.min("sim").alias("least")).where(F.col("least") >= threshold).select(F.col("u").alias("node"))
+    """``u, v, sim``: links that join nodes of different components whose lists are saturated at ``MOST``, a spanning forest for each two tiles."""
+    full = graph.where((F.col("n") >= MOST) & (F.col("rank") == F.col("n")) & (F.col("sim") >= threshold)).select(F.col("u").alias("node"))
     rows = linked.join(full, "node").select("component", F.col("node").alias("id"))
     rows = rows.join(nodes.select("id", "vec"), "id")
     sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("parts"))
@@ -247,9 +274,14 @@ def _across(nodes: DataFrame, graph: DataFrame, linked: DataFrame, dims: int, th
     return found
 
 
+def _angle(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
+
+
 def _tile_counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Linked rows of the members of each tile, or of each pair of tiles, by cosines."""
     for batch in batches:
-        ids, links = [], []
+        ids, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         same = batch.column("same").to_pylist()
         for (i, a, x), (_, b, y) in zip(_groups(batch, "ids", "flat"), _groups(batch, "ids2", "flat2")):
             close = x @ y.T >= threshold
@@ -261,44 +293,143 @@ def _tile_counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
             if not same[i]:
                 ids.append(b)
                 links.append(size_a @ close)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or [np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate(links or [np.zeros(0, np.int64)]).astype(np.int64))], names=["id", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids).astype(np.int64)), pa.array(np.concatenate(links).astype(np.int64))], names=["id", "links"])
 
 
-def _tiles(members: DataFrame, threshold: float, stage: Stage) -> DataFrame:
-    """``id, links``: rows linked with each member of a component, counted tile by tile."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    rows = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    made = rows.groupBy("component", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("id", "size", "vec")).alias("x"))
-    made = stage.write(made.select("component", "part", "parts", F.col("x.id").alias("ids"), F.col("x.size").alias("size"), F.flatten("x.vec").alias("flat")))
-    left = made.withColumn("to", F.explode(F.sequence("part", F.col("parts") - 1)))
-    right = made.select("component", F.col("part").alias("to"), *(F.col(c).alias(f"{c}2") for c in ("ids", "size", "flat")))
-    pairs = left.join(right, ["component", "to"]).select((F.col("part") == F.col("to")).alias("same"), "ids", "size", "flat", "ids2", "size2", "flat2")
-    counted = pairs.mapInArrow(lambda batches: _tile_counts(batches, threshold), "id long, links long")
-    return counted.groupBy("id").agg(F.sum("links").alias("links"))
+_TILE_KEY = ["component", "part"]
 
 
-def _audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
-    """Share of a node's true links whose ends are in one component: the mean over audited nodes, the lower one of nodes in groups of more than ``K`` and of the others."""
-    large = linked.groupBy("component").count().where(F.col("count") > K).select("component")
-    inside = linked.join(large, "component", "left_semi").select(F.col("node").alias("id"))
-    draw = lambda how: nodes.select("id", "vec").join(inside, "id", how).orderBy(F.xxhash64("id"), "id").limit(AUDITED).collect()  # noqa: E731; a fixed number of vectors
-    hot, rest = draw("left_semi"), draw("left_anti")
-    asked = np.array([r[0] for r in hot + rest], dtype=np.int64)
-    x = np.array([r[1] for r in hot + rest], dtype=np.float64)
+def _collected(rows: DataFrame, stage: Stage) -> DataFrame:
+    made = rows.groupBy(*_TILE_KEY).agg(F.collect_list(F.struct("id", "size", "vec")).alias("x"))
+    return stage.write(made.select(*_TILE_KEY, F.col("x.id").alias("ids"), F.col("x.size").alias("size"), F.flatten("x.vec").alias("flat")))
+
+
+def _per_tile(made: DataFrame, fn, schema: str) -> DataFrame:
+    """The tile's key and what ``fn`` makes of its unit vectors (and of a unit centre, if the table has one)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with_centre = "centre" in batch.schema.names
+            out = [fn(unit, np.array(batch.column("centre")[i].as_py()) if with_centre else None) for i, _, unit in _groups(batch, "ids", "flat")]
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("part"), *map(pa.array, zip(*out))], names=names)
+
+    names = [*_TILE_KEY, *(x.split()[0] for x in schema.split(", "))]
+    return made.mapInArrow(run, f"component long, part long, {schema}")
+
+
+def _unit(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    norm = np.sqrt(x @ x)
+    return x / norm if norm > 1e-6 else other
+
+
+def _centre_and_radius(unit: np.ndarray, _) -> tuple[list[float], float]:
+    centre = _unit(unit.mean(axis=0), unit[0])
+    return centre.tolist(), float(_angle(unit, centre[None]).max())
+
+
+def _centres(made: DataFrame, parts: DataFrame, stage: Stage) -> DataFrame:
+    """``component, part, centre``: a unit vector in the middle of each component, for each of its tiles."""
+    sums = _per_tile(made, lambda unit, _: (unit.sum(axis=0).tolist(),), "total array<double>")
+    sums = sums.select("component", F.posexplode("total").alias("at", "x")).groupBy("component", "at").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("s"))  # as many numbers as a vector has
+    norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda n, x: n + x * x))
+    whole = whole.select("component", F.when(norm > 1e-6, F.transform("s", lambda x: x / norm)).otherwise(F.transform("s", lambda x: F.lit(0.0))).alias("centre"))
+    return stage.write(whole.join(parts, "component").select("component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "centre"))
+
+
+def _cells(made: DataFrame, centres: DataFrame, dims: int, stage: Stage) -> DataFrame:
+    """``component, id, size, vec, cell``: members with the signs of random projections of what sets them apart from the centre."""
+    planes = np.random.default_rng(99).normal(size=(16, dims))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centre, sizes, bits = batch.column("centre"), batch.column("size"), batch.column("bits").to_pylist()
+            for i, ids, unit in _groups(batch, "ids", "flat"):
+                apart = unit - np.array(centre[i].as_py())
+                cell = ((apart @ planes[: bits[i]].T) > 0) @ (1 << np.arange(bits[i])) if bits[i] else np.zeros(len(ids), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), batch.column("component")[i].as_py())), pa.array(ids), sizes[i].values, pa.array(unit.tolist(), pa.list_(pa.float64())), pa.array(cell.astype(np.int64))], names=["component", "id", "size", "vec", "cell"])
+
+    return made.join(centres, _TILE_KEY).mapInArrow(run, "component long, id long, size long, vec array<double>, cell long")
+
+
+def _tiles(members: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame:
+    """``id, links``: rows linked with each member of a component, other than those of its own class."""
+    limit = float(np.arccos(threshold))
+    sizes = stage.write(members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.ceil(F.count("*") / TILE).alias("parts")))
+    dealt = members.join(sizes, "component").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    made = _collected(dealt, stage)
+    own = [F.lit(True).alias("same"), "ids", "size", "flat", F.col("ids").alias("ids2"), F.col("size").alias("size2"), F.col("flat").alias("flat2")]
+    count = lambda pairs: pairs.mapInArrow(lambda batches: _tile_counts(batches, threshold), "id long, links long")
+    large = stage.write(sizes.where("parts > 1"))
+    if not large.take(1):
+        return count(made.select(*own))
+    of_large = stage.write(made.join(large.select("component", "all", F.greatest(F.lit(0), F.least(F.lit(16), F.ceil(F.log2("parts")))).cast("int").alias("bits")), "component"))
+    small = count(made.join(large, "component", "left_anti").select(*own))
+    centres = _centres(of_large, large.select("component", "parts"), stage)
+    reach = _per_tile(of_large.join(centres, _TILE_KEY), lambda unit, centre: (float(_angle(unit, centre[None]).max()),), "reach double")
+    tight = stage.write(reach.groupBy("component").agg((F.max("reach") <= (limit - _MARGIN) / 2).alias("tight")))
+    of_large = of_large.join(tight, "component")
+    whole = of_large.where("tight").select("all", F.explode(F.arrays_zip("ids", "size")).alias("x")).select(F.col("x.ids").alias("id"), (F.col("all") - F.col("x.size")).alias("links"))
+    # the members of the other ones again, now in tiles of near directions
+    spread = stage.write(_cells(of_large.where("not tight"), centres, dims, stage))
+    cells = spread.groupBy("component", "cell").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    spread = spread.join(cells, ["component", "cell"]).withColumn("part", F.col("cell") * (1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts")))
+    fine = _collected(spread, stage)
+    balls = _per_tile(fine, _centre_and_radius, "centre array<double>, radius double").join(fine.select(*_TILE_KEY, F.aggregate("size", F.lit(0).cast("long"), lambda n, x: n + x).alias("all")), _TILE_KEY)
+    balls = stage.write(balls)
+    # a ball meets those of its component in shares of about TILE, so that no component comes together in one task
+    shares = balls.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("shares"))
+    balls = stage.write(balls.join(shares, "component"))
+    left = balls.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
+    right = balls.select("component", F.pmod(F.xxhash64("part"), F.col("shares")).alias("share"), *(F.col(c).alias(f"{c}2") for c in ("part", "centre", "radius", "all")))
+    dot = F.aggregate(F.zip_with("centre", "centre2", lambda x, y: x * y), F.lit(0.0), lambda n, x: n + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
+    pairs = left.join(right, ["component", "share"]).where("part <= part2").withColumn("apart", F.when(F.col("part") == F.col("part2"), F.lit(0.0)).otherwise(apart)).withColumn("radii", F.col("radius") + F.col("radius2"))
+    pairs = pairs.where(F.col("apart") - F.col("radii") <= limit + _MARGIN).withColumn("sure", (F.col("part") != F.col("part2")) & (F.col("apart") + F.col("radii") <= limit - _MARGIN))
+    pairs = stage.write(pairs.select("component", "part", "part2", "all", "all2", "sure"))
+    sure = pairs.where("sure")
+    sure = sure.select("component", "part", F.col("all2").alias("links")).unionAll(sure.select("component", F.col("part2").alias("part"), F.col("all").alias("links"))).groupBy(*_TILE_KEY).agg(F.sum("links").alias("links"))
+    told = fine.join(sure, _TILE_KEY).select(F.explode("ids").alias("id"), "links")
+    other = fine.select("component", F.col("part").alias("part2"), *(F.col(c).alias(f"{c}2") for c in ("ids", "size", "flat")))
+    asked = pairs.where("not sure").join(fine, _TILE_KEY).join(other, ["component", "part2"]).select((F.col("part") == F.col("part2")).alias("same"), "ids", "size", "flat", "ids2", "size2", "flat2")
+    return small.unionAll(whole).unionAll(told).unionAll(count(asked)).groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def _true_links(nodes: DataFrame, asked: list, threshold: float) -> DataFrame:
+    """``a, b``: links of the rows ``asked``, ids and vectors, with all nodes."""
+    ids = np.array([r[0] for r in asked], dtype=np.int64)
+    x = np.array([r[1] for r in asked], dtype=np.float64)
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, unit = batch.column(0).to_numpy(), _matrix(batch.column(1).flatten(), batch.num_rows)
+            other, unit = batch.column(0).to_numpy(), _matrix(batch.column(1).flatten(), batch.num_rows)
             i, j = np.nonzero(x @ unit.T >= threshold)
-            i, j = i[asked[i] != ids[j]], j[asked[i] != ids[j]]
-            yield pa.RecordBatch.from_arrays([pa.array(asked[i]), pa.array(ids[j])], names=["a", "b"])
+            i, j = i[ids[i] != other[j]], j[ids[i] != other[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j])], names=["a", "b"])
+
+    return nodes.select("id", "vec").mapInArrow(run, "a long, b long")
+
 
-    true = nodes.select("id", "vec").mapInArrow(run, "a long, b long")
+def _audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
+    """Share of a node's true links whose ends are in one component: the mean over audited nodes, the lower one of nodes in groups of more than ``K`` and of the others; 1 if no link is met."""
+    large = linked.groupBy("component").count().where(F.col("count") > K).select("component")
+    inside = linked.join(large, "component", "left_semi").select(F.col("node").alias("id"))
     of = lambda c: linked.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rows = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).collect()  # a row per audited node at most
-    share = {r[0]: r[2] / r[1] for r in rows}
-    means = [float(np.mean(of_kind)) for kind in (hot, rest) if (of_kind := [share[r[0]] for r in kind if r[0] in share])]
+    means = []
+    for how in ("left_semi", "left_anti"):
+        most = AUDITED
+        while True:
+            asked = nodes.select("id", "vec").join(inside, "id", how).orderBy(F.xxhash64("id"), "id").limit(most).collect()  # CHUNK numbers at most
+            if not asked:
+                break
+            true = _true_links(nodes, asked, threshold)
+            rows = true.join(of("a"), "a", "left").join(of("b"), "b", "left").groupBy("a").agg(F.count("*"), F.count_if(F.col("of_a") == F.col("of_b"))).collect()  # a row per audited node at most
+            if len(rows) >= AUDIT_NODES or len(asked) < most or 4 * most * len(asked[0][1]) > CHUNK:
+                if rows:
+                    means.append(float(np.mean([r[2] / r[1] for r in rows])))
+                break
+            most *= 4
     return min(means, default=1.0)
 
 
@@ -337,21 +468,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     usable = F.coalesce(finite & nonzero, F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("vec", F.when(usable, F.col("vec")))
     rows = stage.write(rows.withColumn("key", F.sha2(F.to_json(F.struct("vec")), 256)))
-    classes = rows.where("vec is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("size"), F.first("vec").alias("vec"))
-    classes = stage.write(classes)
+    classes = rows.where("vec is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count_distinct("vec_id").alias("size"), F.first("vec").alias("vec"))
+    # the number of a class is fixed by the table that holds it
+    classes = stage.write(classes.withColumn("id", F.monotonically_increasing_id()))
     found = None
     for (dims,) in classes.select(F.size("vec")).distinct().collect():
-        nodes = classes.where(F.size("vec") == dims)
+        nodes = stage.write(classes.where(F.size("vec") == dims).select("id", "size", "vec"))
         part = _of_one_length(nodes, dims, threshold, stage)
         found = part if found is None else found.unionByName(part)
-    own = classes.select("key", "id", "size")
+    own = classes.select("key", "id", "size", "first_id")
     if found is None:
-        own = own.withColumns({"component": F.col("id"), "links": F.lit(0).cast("long")})
+        own = own.withColumns({"component_id": F.col("first_id"), "links": F.lit(0).cast("long")})
     else:
-        own = own.join(found, "id", "left")
-    own = own.select("key", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+        found = stage.write(found.join(classes.select("id", "first_id"), "id"))
+        top = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        own = own.join(found.select("id", "component", "links"), "id", "left").join(top, "component", "left")
+    own = own.select("key", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     joined = rows.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("key")).alias("key")).join(own, "key", "left")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
 
 
 def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage) -> DataFrame:
@@ -362,7 +496,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
     def learn(found: DataFrame, graph: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Lists and links with what was found; the tables before are dropped."""
         close = found.where(F.col("sim") >= threshold).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        new = stage.write(_lists(found if graph is None else found.unionAll(graph)))
+        new = stage.write(_lists(found if graph is None else found.unionAll(graph.select("u", "v", "sim")), threshold))
         kept = stage.write((close if links is None else close.unionAll(links)).distinct())
         stage.drop(found, graph, links)
         return new, kept
@@ -371,6 +505,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
         graph, links = learn(_bucket_graph(nodes, dims, count, round_, threshold, stage), graph, links)
         for _ in range(ROUNDS if round_ == 0 else 1):
             graph, links = learn(_descend(graph, nodes, threshold, stage), graph, links)
+        stage.drop(linked)
         linked = stage.write(connected_components(links, "u", "v"))
         more = _across(nodes, graph, linked, dims, threshold, stage)
         if more is not None and not more.isEmpty():
@@ -380,5 +515,6 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
             break
     else:
         linked = stage.write(connected_components(_all_links(nodes, count, dims, threshold, stage), "u", "v"))
+    stage.drop(graph, links)
     members = nodes.join(linked, nodes["id"] == linked["node"]).select("component", "id", "size", "vec")
-    return linked.withColumnRenamed("node", "id").join(_tiles(members, threshold, stage), "id")
+    return linked.withColumnRenamed("node", "id").join(_tiles(members, dims, threshold, stage), "id")
