@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
 A word's embedding is the mean of the hashed embeddings of the word and its
-prefixes, so unseen inflections are near seen ones. Filters one, two and three
+shorter prefixes, so unseen inflections are near seen ones. Filters one, two and three
 words wide run over the whole text; each keeps its largest response (max
 pooling over all positions, whatever the length), and a logistic layer weighs
 them. Weights are fitted by Adam with sparse back-propagation: only the
@@ -12,11 +12,14 @@ Thresholds are calibrated by the language that the *text* shows, judged by
 function words; the ``lang`` column is never read. For each language the
 threshold with the best F1 on a part of the sample kept out of the fit is
 moved to ``THRESHOLD`` by a shift of the logit, so one cut fits all languages.
-A language with too few positives there takes the threshold of all texts.
+The fewer positives a language has there, the more it takes the threshold of
+all texts.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of the
-smallest hashed ids, with texts of at most ``SAMPLE_BYTES`` bytes each; that
-bounds the driver's memory. Scoring reads every text whole, in pieces.
+smallest hashed ids. A row whose text has more than ``SAMPLE_CHARS`` characters
+takes part with ``WINDOWS`` stretches of equal length at equal distances, from
+its first to its last character, of that many characters together; both bound
+the driver's memory. Scoring reads every text whole, in pieces.
 
 Null texts are empty; an empty text gets the score of pooling over no words.
 Unlabelled rows and null ids are scored too. Without labels of both classes
@@ -31,18 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.llm.common import ascii_words, bounded_batches, map_texts, texts_of, worker_state
 
 SAMPLE_ROWS = 8000
-SAMPLE_BYTES = 1 << 15
+SAMPLE_CHARS, WINDOWS = 1 << 16, 64
 THRESHOLD = 0.3
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8, 9)
-STEPS, EPOCHS, BATCH, RATE, DECAY = 4000, (8, 60), 32, 4e-3, 1e-5
-DROPOUT = 0.3
+STEPS, EPOCHS, BATCH, RATE, DECAY = 2000, (8, 60), 32, 1e-2, 2e-4
+#: Shares of words that are dropped, and of those that show their prefixes alone, in a step of training.
+DROPOUT, HIDDEN = 0.3, 0.5
+#: Spread of embeddings at the start: words never seen in training hardly respond.
+SPREAD = 0.05
+#: Positives at which a language's own threshold counts half.
+TRUST = 10
 _PIECE, _TOKENS, _WORDS = 15_000, 30_000, 200_000
 
 # Frequent function words of four languages.
@@ -56,8 +64,8 @@ LANGUAGES = (*FUNCTION_WORDS, "other")
 
 
 def buckets(word: bytes) -> list[int]:
-    """Places of a word and its prefixes in the embedding table; 0 is the padding's."""
-    return [1 + zlib.crc32(x) % (BUCKETS - 1) for x in (b"<" + word + b">", *(b"^" + word[:n] for n in PREFIXES if n <= len(word)))]
+    """Places of a word and its shorter prefixes in the embedding table; 0 is the padding's."""
+    return [1 + zlib.crc32(x) % (BUCKETS - 1) for x in (b"<" + word + b">", *(b"^" + word[:n] for n in PREFIXES if n < len(word)))]
 
 
 _SAID = {w.encode(): [i for i, name in enumerate(FUNCTION_WORDS) if w in FUNCTION_WORDS[name]] for words in FUNCTION_WORDS.values() for w in words}
@@ -106,7 +114,7 @@ class Words:
 class Model:
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.embed = r.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+        self.embed = r.normal(0, SPREAD, (BUCKETS, DIM)).astype(np.float32)
         self.embed[0] = 0
         self.conv = [r.normal(0, (2 / (w * DIM)) ** 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS]
@@ -139,6 +147,10 @@ class Model:
             flat += [b""] * more
             ids = words.ids_of(flat)
             z = self.responses(words.rows[ids])
+            # what starts at the last words of a piece runs into the next one; they lead the text's next piece, or are padding
+            over = (np.array([*starts[1:], len(flat) - more])[:, None] - np.arange(1, more + 1)).ravel()
+            for r in z:
+                r[over] = -np.inf
             top = np.concatenate([np.maximum.reduceat(r, starts, axis=0) for r in z], axis=1)
             np.maximum.at(out, owners, top)
         return np.maximum(out, 0)
@@ -169,6 +181,45 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[k] + (ranked[k + 1] if k + 1 < len(ranked) else ranked[k] - 2)) / 2)
 
 
+def gradients(model: Model, ids: list[np.ndarray], features: np.ndarray, held: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of the mean log loss of some texts: the embedding rows that carry a gradient, and the gradients of those and of all other weights.
+
+    ``ids`` are the texts' words as rows of ``features``, which name the
+    embeddings whose mean (over ``held``) a word is; row 0 is the padding.
+    """
+    more = max(WIDTHS) - 1
+    flat = np.concatenate([np.append(i, [0] * more) for i in ids]).astype(np.int64)
+    starts = np.cumsum([0] + [len(i) + more for i in ids])
+    known, back = np.unique(flat, return_inverse=True)
+    shown, held = features[known], held[known]
+    x = (model.embed[shown].sum(axis=1) / held)[back]
+    z = model.responses(np.concatenate([x, np.zeros((more, DIM), dtype=x.dtype)]))
+    at = [np.stack([a + r[a : b - more].argmax(axis=0) for a, b in zip(starts[:-1], starts[1:])]) for r in z]
+    top = np.concatenate([r[p, np.arange(FILTERS)] for r, p in zip(z, at)], axis=1)
+    pooled = np.maximum(top, 0)
+    p = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.base[0], -30, 30)))
+    g = ((p - y) / len(y)).astype(x.dtype)
+    # only the positions that won the pooling carry a gradient
+    d_top = np.where(top > 0, g[:, None] * model.out, 0).astype(x.dtype)
+    d_x = np.zeros_like(x)
+    d_conv, d_bias = [], []
+    for k, (w, where) in enumerate(zip(model.conv, at)):
+        d = d_top[:, k * FILTERS : (k + 1) * FILTERS]
+        d_bias.append(d.sum(axis=0))
+        d_conv.append(np.zeros_like(w))
+        for j in range(len(w)):
+            place = np.minimum(where + j, len(x) - 1)
+            dj = np.where(where + j < len(x), d, 0)
+            d_conv[k][j] = np.einsum("bf,bfe->ef", dj, x[place])
+            np.add.at(d_x, place, dj[:, :, None] * w[j].T[None])
+    touched = np.flatnonzero(np.abs(d_x).sum(axis=1))
+    used, at_used = np.unique(shown[back[touched]], return_inverse=True)
+    d_embed = np.zeros((len(used), DIM), dtype=x.dtype)
+    np.add.at(d_embed, at_used.reshape(-1, shown.shape[1]), (d_x[touched] / held[back[touched]])[:, None, :])
+    d_embed[used == 0] = 0
+    return used, [d_embed, *d_conv, *d_bias, pooled.T @ g, np.array([g.sum()])]
+
+
 def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
     """Fit on four fifths of the rows, calibrate on the rest. Words are held as numbers only."""
     model, y = Model(seed), np.array(labels, dtype=np.float32)
@@ -185,51 +236,28 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
         if word:
             b = buckets(word)
             features[i, : len(b)] = b
-    count = np.maximum(1, (features > 0).sum(axis=1, keepdims=True)).astype(np.float32)
+    held = np.maximum(1, (features > 0).sum(axis=1, keepdims=True)).astype(np.float32)
+    # a word hides once for all its places in a step: without itself, what it shares with others has to tell
+    hidden = features.copy()
+    hidden[held[:, 0] > 1, 0] = 0
+    features, held = np.concatenate([features, hidden]), np.concatenate([held, np.maximum(1, held - 1)])
     params = [model.embed, *model.conv, *model.bias, model.out, model.base]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    more, width = max(WIDTHS) - 1, FILTERS
     random, step = np.random.default_rng(seed), 0
     epochs = min(max(EPOCHS[0], STEPS * BATCH // len(fit)), EPOCHS[1])
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for lot in np.array_split(random.permutation(fit), max(1, len(fit) // BATCH)):
-            flat = np.concatenate([np.append(ids[i], [0] * more) for i in lot])
-            flat = np.where(random.random(len(flat)) < DROPOUT, 0, flat).astype(np.int64)
-            starts = np.cumsum([0] + [len(ids[i]) + more for i in lot])
-            known, back = np.unique(flat, return_inverse=True)
-            x = (model.embed[features[known]].sum(axis=1) / count[known])[back]
-            z = model.responses(np.concatenate([x, np.zeros((more, DIM), dtype=np.float32)]))
-            at = [np.stack([a + r[a : b - more].argmax(axis=0) for a, b in zip(starts[:-1], starts[1:])]) for r in z]
-            top = np.concatenate([r[p, np.arange(width)] for r, p in zip(z, at)], axis=1)
-            pooled = np.maximum(top, 0)
-            p = 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.base[0], -30, 30)))
-            g = ((p - y[lot]) / len(lot)).astype(np.float32)
-            d_top = np.where(top > 0, g[:, None] * model.out, 0).astype(np.float32)
-            d_x = np.zeros_like(x)
-            d_conv, d_bias = [], []
-            for k, (w, where) in enumerate(zip(model.conv, at)):
-                d = d_top[:, k * width : (k + 1) * width]
-                d_bias.append(d.sum(axis=0))
-                d_conv.append(np.zeros_like(w))
-                for j in range(len(w)):
-                    place = where + j
-                    inside = place < len(x)
-                    place = np.minimum(place, len(x) - 1)
-                    dj = np.where(inside, d, 0)
-                    d_conv[k][j] = np.einsum("bf,bfe->ef", dj, x[place])
-                    np.add.at(d_x, place, dj[:, :, None] * w[j].T[None])
-            touched = np.flatnonzero(np.abs(d_x).sum(axis=1))
-            d_embed = np.zeros_like(model.embed)
-            words = flat[touched]
-            np.add.at(d_embed, features[words], (d_x[touched] / count[words])[:, None, :])
-            d_embed[0] = 0
+            hides = (random.random(len(vocabulary)) < HIDDEN) * len(vocabulary)
+            some = [np.where(random.random(len(ids[i])) < DROPOUT, 0, ids[i] + hides[ids[i]]) for i in lot]
+            used, grads = gradients(model, some, features, held, y[lot])
             step += 1
-            for q, (value, grad) in enumerate(zip(params, [d_embed, *d_conv, *d_bias, pooled.T @ g, np.array([g.sum()])])):
-                grad = grad + DECAY * value
-                first[q] = 0.9 * first[q] + 0.1 * grad
-                second[q] = 0.999 * second[q] + 0.001 * grad * grad
-                value -= (rate * (first[q] / (1 - 0.9**step)) / (np.sqrt(second[q] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            # of the embedding only those rows move
+            for at, value, m, v, grad in zip([used, *[slice(None)] * (len(params) - 1)], params, first, second, grads):
+                grad = grad + DECAY * value[at]
+                m[at] = 0.9 * m[at] + 0.1 * grad
+                v[at] = 0.999 * v[at] + 0.001 * grad * grad
+                value[at] -= (rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(v[at] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             model.embed[0] = 0
     model.fitted = True
     words, z, spoken, target = Words(model.embed), [], [], y[rest]
@@ -238,21 +266,36 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
         z.append(model.raw(some, words))
         spoken += map(language_of, some)
     z, spoken = np.concatenate(z), np.array(spoken)
-    overall = _best_cut(z, target)
-    for k in range(len(LANGUAGES)):
-        mine = spoken == k
-        enough = target[mine].sum() >= 10 and (1 - target[mine]).sum() >= 10
-        model.shift[k] = _logit(THRESHOLD) - (_best_cut(z[mine], target[mine]) if enough else overall)
+    # few positives move a shift little: from none to that of all texts, and from there to the language's own
+    wanted, overall = _logit(THRESHOLD), 0.0
+    for k in (None, *range(len(LANGUAGES))):
+        mine = np.ones(len(spoken), dtype=bool) if k is None else spoken == k
+        positives, shift = target[mine].sum(), overall
+        if 0 < positives < mine.sum():
+            shift += positives / (positives + TRUST) * (wanted - _best_cut(z[mine], target[mine]) - overall)
+        if k is None:
+            overall = shift
+        else:
+            model.shift[k] = shift
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, target: str, allowed, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list[int]]:
+def windows(text: Column, most: int = SAMPLE_CHARS, count: int = WINDOWS) -> Column:
+    """``text``, or ``count`` stretches spread over all of it with ``most`` characters together, each on its own line."""
+    each, n = most // count, F.length(text)
+    at = F.sequence(F.lit(0), F.lit(count - 1))
+    pieces = F.transform(at, lambda i: F.substring(text, (F.floor(i * (n - each) / (count - 1)) + 1).cast("int"), F.lit(each)))
+    return F.when(n <= most, text).otherwise(F.array_join(pieces, "\n"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, target: str, allowed, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
     """Texts and labels of at most ``rows`` labelled rows whose id fulfils ``allowed``, in the order of their hashed ids."""
     wanted = labels.select(F.col("doc_id"), F.col(target).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     wanted = wanted.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of numbers, whatever the size of the tables
-    texts = docs.select("doc_id", F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8").alias("t")).where(F.octet_length("t") <= most_bytes)
-    found = texts.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(wanted), "doc_id")
+    texts = texts.select("doc_id", F.encode(windows(F.col("t")), "utf-8").alias("t"), "y")
+    found = texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     return found["t"].to_pylist(), found["y"].to_pylist()
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 from corvida.llm import bpe, quality, tokencount, toxicity
@@ -137,3 +138,104 @@ def test_quality_learns_bad_lines(spark):
     model = quality.fit(docs, labels, "quality", labels["doc_id"] < 300)
     got = {x.doc_id: x.score for x in quality.score(docs, model).collect()}
     assert np.mean([(got[i] >= 0.5) == bool(y) for i, _, y in rows[300:]]) > 0.97
+
+
+def naive_pooled(model, words):
+    """Largest response of every filter, window by window, from the definition."""
+    def vector(w):
+        if not w:
+            return np.zeros(toxicity.DIM)
+        rows = toxicity.buckets(w)
+        return sum(model.embed[r].astype(float) for r in rows) / len(rows)
+
+    x = [vector(w) for w in words or [b""]] + [np.zeros(toxicity.DIM)] * (max(toxicity.WIDTHS) - 1)
+    out = []
+    for weights, bias in zip(model.conv, model.bias):
+        places = range(len(x) - max(toxicity.WIDTHS) + 1)
+        out.append(np.maximum(0, np.max([sum(x[p + j] @ weights[j] for j in range(len(weights))) + bias for p in places], axis=0)))
+    return np.concatenate(out)
+
+
+def test_toxicity_pools_over_whole_texts_like_the_definition(monkeypatch):
+    monkeypatch.setattr(toxicity, "_PIECE", 7)
+    monkeypatch.setattr(toxicity, "_TOKENS", 20)
+    model = toxicity.Model(3)
+    texts = [[], [b"a"], [b"x%d" % i for i in range(50)], [b"word"] * 7, [b"w%d" % (i % 5) for i in range(23)], [b"y"] * 8]
+    got = model.pooled(texts, toxicity.Words(model.embed, most=12))
+    for row, text in zip(got, texts):
+        assert np.allclose(row, naive_pooled(model, text), atol=1e-5)
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    r = np.random.default_rng(5)
+    model = toxicity.Model(4)
+    model.embed, model.out, model.base = r.normal(0, 0.4, model.embed.shape), r.normal(0, 0.4, model.out.shape), model.base.astype(float)
+    model.conv, model.bias = [w.astype(float) for w in model.conv], [r.normal(0, 0.1, b.shape) for b in model.bias]
+    model.embed[0] = 0
+    features = np.array([[0, 0, 0]] + [[1 + 3 * i, 2 + 3 * i, 3 + 3 * i if i % 2 else 0] for i in range(12)])
+    held = np.maximum(1, (features > 0).sum(axis=1, keepdims=True)).astype(float)
+    ids = [r.integers(0, 13, n) for n in (1, 4, 9, 15)]
+    y = np.array([0.0, 1.0, 1.0, 0.0])
+
+    def loss():
+        total = 0.0
+        for words, target in zip(ids, y):
+            x = np.concatenate([model.embed[features[words]].sum(axis=1) / held[words], np.zeros((2, toxicity.DIM))])
+            n = len(words)
+            top = np.concatenate([np.max([sum(x[p + j] @ w[j] for j in range(len(w))) + b for p in range(n)], axis=0) for w, b in zip(model.conv, model.bias)])
+            p = 1 / (1 + np.exp(-(np.maximum(top, 0) @ model.out + model.base[0])))
+            total -= target * np.log(p) + (1 - target) * np.log(1 - p)
+        return total / len(y)
+
+    used, grads = toxicity.gradients(model, ids, features, held, y)
+    params = [model.embed, *model.conv, *model.bias, model.out, model.base]
+    dense = np.zeros_like(model.embed)
+    dense[used] = grads[0]
+    for value, grad in zip(params, [dense, *grads[1:]]):
+        flat = np.flatnonzero(np.abs(grad)) if value is model.embed else np.arange(value.size)
+        for k in r.choice(flat, min(len(flat), 25), replace=False):
+            at = np.unravel_index(k, value.shape)
+            old = value[at]
+            value[at] = old + 1e-6
+            up = loss()
+            value[at] = old - 1e-6
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-6 - grad[at]) < 1e-5
+
+
+def test_toxicity_cut_is_the_best_of_all_cuts():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        z, y = r.integers(0, 6, 12).astype(float), r.integers(0, 2, 12).astype(float)
+        if not 0 < y.sum() < 12:
+            continue
+        f1 = lambda cut: 2 * y[z >= cut].sum() / ((z >= cut).sum() + y.sum())
+        cut = toxicity._best_cut(z, y)
+        assert cut not in z and abs(f1(cut) - max(f1(c) for c in [*z, 9.0])) < 1e-12
+
+
+def test_sample_takes_windows_of_long_texts_and_drops_none(spark):
+    long = "".join(f"{i:05d} " for i in range(40_000))
+    docs = spark.createDataFrame([(1, long, "a"), (2, "short", "b"), (2, "again", "c"), (3, None, "d"), (None, "x", "e")], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, "toxic", F.lit(True))
+    assert sorted(zip(map(len, texts), y)) == [(0, 1), (5, 0), (toxicity.SAMPLE_CHARS + toxicity.WINDOWS - 1, 1)]
+    pieces = max(texts, key=len).decode().split("\n")
+    assert len(pieces) == toxicity.WINDOWS and long.startswith(pieces[0]) and long.endswith(pieces[-1]) and all(p in long for p in pieces)
+
+
+def test_quality_and_token_counts_of_odd_tables(spark):
+    rows = [(1, "good line\nother line", "x"), (1, "good line", "y"), (None, None, "z"), (2, "w " * 200_000, "u"), (3, "", "v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    scored = quality.score(docs, quality.fit(docs, labels, "quality", F.lit(True)))
+    assert scored.columns == ["doc_id", "score"] and sorted((x.doc_id or 0) for x in scored.collect()) == [0, 1, 1, 2, 3]
+    assert all(0 <= x.score <= 1 for x in scored.collect())
+    assert quality.score(docs.limit(0), quality.fit(docs, labels.limit(0), "quality", F.lit(True))).count() == 0
+    pieces = [("<unk>", 0.0), ("▁", -1.0), ("w", -2.0), ("▁w", -1.5)]
+    named = docs.withColumnRenamed("score", "n_tokens")
+    counts = sorted((x.doc_id or 0, x.n_tokens) for x in tokencount.count_tokens(named, pieces).collect())
+    # every word is one piece; the last space is a mark of its own
+    assert [n for d, n in counts if d == 2] == [200_001] and [n for d, n in counts if d in (0, 3)] == [0, 0]
+    assert tokencount.count_tokens(named.limit(0), pieces).count() == 0
