@@ -1,10 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates, DataFrame operations only.
 
-Blocks are the lines of a text, for notices, and the whole text, for short
-phrases that may run over a line's end. A block meets a template if it holds
-at least ``threshold`` of the template's distinct words (all of them for a
+Blocks are the whole text, for short phrases that may run over a line's end;
+its lines, for notices; and, as a notice is mostly wrapped over lines, windows of
+twice a notice's words that start at every multiple of their number, so that any
+stretch as long as the notice lies within one. A block meets a template if it
+holds at least ``threshold`` of the template's distinct words (all of them for a
 phrase). Words no template has can't add to an overlap, so blocks are reduced
-to template words first, whose number the templates fix.
+to template words first, whose number the templates fix. A text that as a whole
+holds too few words of a notice has no window that meets it, and none is made.
 
 Template words are ordered by the number of blocks that hold them over the
 whole table, rarest first. With an overlap of ``need`` words asked for, a block
@@ -12,7 +15,8 @@ and a template that meet share a word within the first ``size - need + 1`` of
 either (prefix filter); blocks of fewer than ``need`` words are out (length
 filter); and the words from the shared one on must still suffice on both sides
 (positional filter). What passes is verified by the full intersection. The
-template side of the join has a fixed size and is broadcast.
+template side of the join has a fixed size and is broadcast: templates are the
+built-in ones or a table's, ``MOST_TEMPLATES`` and ``MOST_WORDS`` at most.
 
 For a phrase that meets a whole text an exact check of consecutive words
 follows and gives its places. Null texts are empty: no words, no label, score
@@ -24,7 +28,9 @@ result.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +39,8 @@ from corvida.llm.common import key_filter, may_match
 from corvida.session import Stage
 
 THRESHOLD = 0.8
+#: Templates of a table, and their distinct words, at most.
+MOST_TEMPLATES, MOST_WORDS = 2000, 5000
 
 # Phrases with their labels, and the opening words of public license notices.
 PHRASES = (
@@ -51,6 +59,7 @@ NOTICES = (
     ("reserved", "all rights reserved"),
 )
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: One character of a word, and one between words, of a text in any case.
 WORD = "[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 GAP = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]"
@@ -63,6 +72,11 @@ class Template:
     whole_text: bool
     threshold: float
 
+    @property
+    def window(self) -> int:
+        """Words between the starts of its windows; 0 for a phrase."""
+        return 0 if self.whole_text else len(self.words)
+
     @property
     def need(self) -> int:
         """Distinct words that a block must share."""
@@ -73,6 +87,20 @@ def templates(threshold: float = THRESHOLD) -> list[Template]:
     return [Template(label, tuple(text.split()), True, 1.0) for label, text in PHRASES] + [Template(label, tuple(text.split()), False, threshold) for label, text in NOTICES]
 
 
+def templates_of(table: DataFrame, threshold: float = THRESHOLD) -> list[Template]:
+    """Templates from rows of ``label, text, whole_text``; texts without a word and null labels are refused, as is more than the bounds allow."""
+    rows = table.select("label", "text", "whole_text").distinct().limit(MOST_TEMPLATES + 1).collect()
+    made = [Template(label, tuple(re.findall("[0-9a-z\x80-\U0010ffff]+", (text or "").translate(_LOWER))), bool(whole), 1.0 if whole else threshold) for label, text, whole in rows]
+    if any(t.label is None or not t.words for t in made):
+        raise ValueError("templates need a label and words")
+    if len(made) > MOST_TEMPLATES or len({w for t in made for w in t.words}) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates or {MOST_WORDS} words")
+    return sorted(made, key=lambda t: (not t.whole_text, t.label, t.words))
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _trie(words: list[str]) -> str:
     """A pattern for any of ``words`` that branches letter by letter."""
     heads: dict[str, list[str]] = {}
@@ -85,42 +113,65 @@ def _trie(words: list[str]) -> str:
     return "(?:" + "|".join(branches) + ")" + ("?" if "" in words else "")
 
 
-def _token_sets(docs: DataFrame, universe: list[str]) -> DataFrame:
-    """``doc_id, tkey, block, tokens``: distinct template words of every line, and of the whole text as block -1."""
-    pattern = f"(?<!{WORD})(?i:{_trie(universe)})(?!{WORD})"
+#: Kinds of blocks beside windows, whose kind is the words between their starts.
+WHOLE, LINE = -1, 0
+
+
+def _token_sets(docs: DataFrame, wanted: list[Template]) -> DataFrame:
+    """``doc_id, tkey, kind, tokens``: distinct template words of every block."""
+    words_of = lambda ts: F.array(*(F.lit(w) for w in sorted({w for t in ts for w in t.words})))
+    pattern = f"(?<!{WORD})(?i:{_trie(sorted({w for t in wanted for w in t.words}))})(?!{WORD})"
     lines = F.transform(F.split("text", "\n"), lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.lower)))
-    rows = docs.select("doc_id", "tkey", lines.alias("lines"))
-    blocks = F.concat(F.array(F.array_distinct(F.flatten("lines"))), F.col("lines"))
-    rows = rows.select("doc_id", "tkey", F.posexplode(blocks).alias("block", "tokens"))
-    return rows.withColumn("block", F.col("block") - 1).where(F.size("tokens") > 0)
+    rows = docs.select("doc_id", "tkey", "text", lines.alias("lines"))
+    rows = rows.withColumn("whole", F.array_distinct(F.flatten("lines")))
+    classes: dict[int, list[Template]] = {}
+    for t in wanted:
+        if t.window:
+            classes.setdefault(t.window, []).append(t)
+    may = {n: reduce(lambda a, b: a | b, (F.size(F.array_intersect("whole", words_of([t]))) >= t.need for t in ts)) for n, ts in sorted(classes.items())}
+    rows = rows.select("doc_id", "tkey", "text", "lines", "whole", *(x.alias(f"may{n}") for n, x in may.items()))
+    some = reduce(lambda a, b: a | b, (F.col(f"may{n}") for n in may), F.lit(False))
+    all_words = F.when(some, F.transform(F.regexp_extract_all("text", F.lit(f"{WORD}+"), F.lit(0)), lambda w: F.translate(w, UPPER, UPPER.lower())))
+    rows = rows.withColumn("words", all_words)
+
+    def windows(n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / n).cast("int"))
+        sets = F.transform(starts, lambda i: F.array_intersect(F.slice("words", i * n + 1, 2 * n), words_of(classes[n])))
+        met = F.filter(sets, lambda x: F.size(x) >= min(t.need for t in classes[n]))
+        return F.when(F.col(f"may{n}"), F.transform(met, lambda x: F.struct(F.lit(n).alias("kind"), x.alias("tokens")))).otherwise(F.array())
+
+    block = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("tokens"))
+    blocks = F.concat(F.array(block(WHOLE)(F.col("whole"))), F.transform("lines", block(LINE)), *map(windows, classes))
+    return rows.select("doc_id", "tkey", F.explode(blocks).alias("b")).select("doc_id", "tkey", "b.kind", "b.tokens").where(F.size("tokens") > 0)
 
 
 def matches(docs: DataFrame, wanted: list[Template], stage: Stage) -> DataFrame:
     """``doc_id, tkey, template, containment``: best block of each text for every template that it meets."""
     universe = sorted({w for t in wanted for w in t.words})
-    sets = stage.write(_token_sets(docs, universe))
-    counted = {r[0]: r[1] for r in sets.where("block >= 0").select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}  # a row per template word at most
+    sets = stage.write(_token_sets(docs, wanted))
+    counted = {r[0]: r[1] for r in sets.where(F.col("kind") == LINE).select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}  # a row per template word at most
     order = sorted(universe, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i + 1 for i, w in enumerate(order)}
     ordered = F.array(*map(F.lit, order))
     ranks = F.array_sort(F.transform("tokens", lambda t: F.array_position(ordered, t).cast("int")))
-    blocks = sets.select("doc_id", "tkey", (F.col("block") < 0).alias("whole"), ranks.alias("ranks"))
+    blocks = sets.select("doc_id", "tkey", "kind", ranks.alias("ranks"))
 
-    prefix, full = [], []
+    heads, sides, least = [], [], {}
     for k, t in enumerate(wanted):
         own = sorted({rank[w] for w in t.words})
-        full.append((k, t.whole_text, own, t.need))
-        prefix += [(k, t.whole_text, token, j, len(own), t.need) for j, token in enumerate(own[: len(own) - t.need + 1])]
+        sides.append((k, own))
+        for kind in (WHOLE,) if t.whole_text else (LINE, t.window):
+            least[kind] = min(t.need, least.get(kind, t.need))
+            heads += [(k, kind, token, j, len(own), t.need) for j, token in enumerate(own[: len(own) - t.need + 1])]
     spark = docs.sparkSession
-    heads = spark.createDataFrame(prefix, "template int, whole boolean, token int, j int, n int, need int")
-    least = {kind: min((t.need for t in wanted if t.whole_text == kind), default=1 << 30) for kind in (True, False)}
-    needed = F.when(F.col("whole"), least[True]).otherwise(least[False])
-    size = F.size("ranks")
-    probes = blocks.where(size >= needed).select("*", F.posexplode(F.slice("ranks", F.lit(1), size - needed + 1)).alias("i", "token"))
+    heads = spark.createDataFrame(heads, "template int, kind int, token int, j int, n int, need int")
+    sides = spark.createDataFrame(sides, "template int, own array<int>")
+    needed = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(least.items()) for x in pair)), F.col("kind"))
     size = F.size("ranks")
+    probes = blocks.withColumn("needed", needed).where(size >= F.col("needed"))
+    probes = probes.select("doc_id", "tkey", "kind", "ranks", F.posexplode(F.slice("ranks", F.lit(1), size - F.col("needed") + 1)).alias("i", "token"))
     fits = (size >= F.col("need")) & (F.col("i") <= size - F.col("need")) & (F.least(size - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
-    found = probes.join(F.broadcast(heads), ["whole", "token"]).where(fits)
-    sides = spark.createDataFrame([(k, own) for k, _, own, _ in full], "template int, own array<int>")
+    found = probes.join(F.broadcast(heads), ["kind", "token"]).where(fits)
     found = found.join(F.broadcast(sides), "template").withColumn("shared", F.size(F.array_intersect("ranks", "own")))
     found = found.where("shared >= need").withColumn("containment", F.col("shared") / F.col("n"))
     return found.groupBy("doc_id", "tkey", "template").agg(F.max("containment").alias("containment"))
@@ -130,9 +181,9 @@ def _joined(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
-def license_scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def license_scan(docs: DataFrame, threshold: float = THRESHOLD, wanted: list[Template] | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``."""
-    wanted, stage = templates(threshold), Stage(docs.sparkSession, "licenses")
+    wanted, stage = wanted or templates(threshold), Stage(docs.sparkSession, "licenses")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("tkey", F.xxhash64("text"))
     met = matches(keyed, wanted, stage)

@@ -30,7 +30,7 @@ def _op1_sql() -> str:
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
     phrases = "[" + ", ".join(f"{{'label': '{t.label}', 'words': {quoted(t.words)}}}" for t in licenses.templates() if t.whole_text) + "]"
-    notices = "[" + ", ".join(f"{{'label': '{t.label}', 'words': {quoted(sorted(set(t.words)))}, 'need': {t.need}}}" for t in licenses.templates() if not t.whole_text) + "]"
+    notices = "[" + ", ".join(f"{{'label': '{t.label}', 'words': {quoted(sorted(set(t.words)))}, 'need': {t.need}, 'n': {t.window}}}" for t in licenses.templates() if not t.whole_text) + "]"
     return f"""
 WITH d AS (SELECT doc_id, {text} AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d),
@@ -38,9 +38,11 @@ places AS (SELECT doc_id, p.label, i - 1 AS pos FROM w, unnest({phrases}) AS u(p
   WHERE ws[i] = p.words[1] AND ws[i:i + len(p.words) - 1] = p.words),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-sets AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS ws FROM lines),
-met AS (SELECT doc_id, n.label, max(len(list_intersect(ws, n.words)) / CAST(len(n.words) AS DOUBLE)) AS c FROM sets, unnest({notices}) AS u(n)
-  WHERE len(list_intersect(ws, n.words)) >= n.need GROUP BY ALL),
+notices AS (SELECT unnest({notices}) AS n),
+blocks AS (SELECT doc_id, n, regexp_extract_all(line, '{word}') AS ws FROM lines, notices
+  UNION ALL SELECT doc_id, n, ws[i * n.n + 1:i * n.n + 2 * n.n] FROM w JOIN notices ON len(list_intersect(ws, n.words)) >= n.need, unnest(generate_series(0, (len(ws) - 1) // n.n)) AS g(i)),
+met AS (SELECT doc_id, n.label, max(len(list_intersect(ws, n.words)) / CAST(len(n.words) AS DOUBLE)) AS c FROM blocks
+  WHERE len(list_intersect(ws, n.words)) >= n.need GROUP BY doc_id, n.label),
 best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id),
 said AS (SELECT doc_id, label, true AS base FROM places UNION SELECT doc_id, label, false FROM met),
 texts AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM said GROUP BY doc_id)

@@ -1,6 +1,8 @@
 import math
 import re
 
+import pytest
+
 from corvida.llm import licenses
 
 SPLIT = re.compile("[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -21,8 +23,9 @@ def brute(text):
     best, own = 0.0, set()
     for label, t in licenses.NOTICES:
         want = set(t.split())
-        for line in (text or "").split("\n"):
-            shared = len(want & set(words(line)))
+        n = len(t.split())
+        for block in [words(line) for line in (text or "").split("\n")] + [ws[i : i + 2 * n] for i in range(0, len(ws), n)]:
+            shared = len(want & set(block))
             if shared >= math.ceil(0.8 * len(want) - 1e-9):
                 own.add(label)
                 best = max(best, shared / len(want))
@@ -52,6 +55,11 @@ def test_against_brute_force(spark):
         NOTICE.replace(" of charge", "").replace("hereby", "so"),
         NOTICE.replace("\n", " ").upper() + "\nAll rights\nreserved",
         "All rights reserved.",
+        "\n".join(NOTICE.split()),
+        "intro words here " * 40 + NOTICE.replace("free of charge, to", "free of charge,\nto").replace("copy of", "copy\n * of") + " more" * 50,
+        "all of it, the rights of others being what they are, is reserved",
+        # ten words to a line
+        "// " + "\n// ".join(" ".join(licenses.NOTICES[2][1].split()[i : i + 10]) for i in range(0, 30, 10)),
         "reserved are all the rights",
         "Klicense under the mit license İ",
         "\x00under\x00the\x7fmit\x01license",
@@ -70,6 +78,25 @@ def test_repeats_null_ids_and_empty_table(spark):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_notices_are_found(spark):
+    wrapped = [(i, "code();\n" * i + "\n".join(" ".join(text.split()[k : k + 4 + i]) for k in range(0, 40, 4 + i))) for i, (_, text) in enumerate(licenses.NOTICES)]
+    docs = spark.createDataFrame(wrapped, "doc_id long, text string")
+    got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.license_scan(docs).collect()}
+    assert all(label in got[i][0] and got[i][1] == 1.0 for i, (label, _) in enumerate(licenses.NOTICES))
+
+
+def test_templates_of_a_table(spark):
+    table = spark.createDataFrame([("own", "Do whatever you like, with this!", False), ("own", "do whatever you like with this", False), ("short", "As-Is", True)], "label string, text string, whole_text boolean")
+    wanted = licenses.templates_of(table)
+    assert [(t.label, t.words) for t in wanted] == [("short", ("as", "is")), ("own", ("do", "whatever", "you", "like", "with", "this")), ("own", ("do", "whatever", "you", "like", "with", "this"))]
+    docs = spark.createDataFrame([(1, "you may do\nwhatever you like\nwith it as is"), (2, "as it is")], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.base_labels, r.n_base) for r in licenses.license_scan(docs, wanted=wanted).collect()}
+    assert got == {1: ("own,short", "short", 1), 2: ("", "", 0)}
+    for bad in ([("x", "", False)], [(None, "a", False)]):
+        with pytest.raises(ValueError):
+            licenses.templates_of(spark.createDataFrame(bad, table.schema))
+
+
 def test_trie_matches_exactly_its_words():
     pattern = re.compile(licenses._trie(["a", "ab", "abc", "b", "bcd"]))
     for w in ("a", "ab", "abc", "b", "bcd"):
