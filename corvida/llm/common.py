@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.session import ship_package
+from corvida.session import Stage, ship_package
 
 #: A-Z to a-z and every other ASCII byte that is no letter or digit to a space; bytes of longer characters stay.
 WORD_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -59,20 +59,34 @@ def worker_state(key: str, make: Callable[[], object]):
     return _STATE[key]
 
 
-#: Bits of a key filter and of one of its rows. It is 2 MB at most, whatever the number of keys.
-FILTER_BITS, _ROW_BITS = 1 << 24, 1 << 15
-
-
-def key_filter(keys: DataFrame, cols: list[str]) -> DataFrame:
-    """A bitmap of the hashed keys, in rows of fixed size."""
-    at = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
-    rows = keys.select(F.shiftright(at, 15).alias("bucket"), (at % _ROW_BITS).alias("at"))
-    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
-
-
-def may_match(rows: DataFrame, bitmap: DataFrame, cols: list[str], flag: str) -> DataFrame:
-    """``rows`` with a boolean: false only where no key equals; so large rows without a partner need no shuffle."""
-    at = F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
-    place = (at % _ROW_BITS).cast("int")
-    found = rows.withColumns({"bucket": F.shiftright(at, 15), "at_byte": F.shiftright(place, 3) + 1, "at_bit": place % 8}).join(F.broadcast(bitmap), "bucket", "left")
-    return found.withColumn(flag, F.coalesce(F.expr("shiftright(cast(conv(hex(substring(bits, at_byte, 1)), 16, 10) AS int), at_bit) & 1 = 1"), F.lit(False))).drop("bucket", "bits", "at_byte", "at_bit")
+#: Bits of a key filter for each key, in all at most (32 MB), and of one of its rows.
+KEY_BITS, MOST_BITS, _ROW_BITS = 16, 1 << 28, 1 << 15
+
+
+class KeyFilter:
+    """A bitmap of hashed keys, in rows of fixed size, by which rows without a partner need no shuffle.
+
+    It has at least 8 and up to ``KEY_BITS`` bits for each key, so 12 % of other
+    rows at most pass, and never more than ``MOST_BITS``. Of more keys than that
+    allows no bitmap is made and every row passes: a join then shuffles all.
+    """
+
+    def __init__(self, keys: DataFrame, cols: list[str], stage: Stage):
+        count = keys.count()
+        self.cols, self.bits = cols, _ROW_BITS
+        while self.bits < KEY_BITS // 2 * count:
+            self.bits *= 2
+        self.rows = None
+        if self.bits <= MOST_BITS:
+            at = F.pmod(F.xxhash64(*cols), F.lit(self.bits))
+            rows = keys.select(F.shiftright(at, 15).alias("bucket"), (at % _ROW_BITS).alias("at"))
+            self.rows = stage.write(rows.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")))
+
+    def may_match(self, rows: DataFrame, flag: str) -> DataFrame:
+        """``rows`` with a boolean that is false only where no key equals."""
+        if self.rows is None:
+            return rows.withColumn(flag, F.lit(True))
+        at = F.pmod(F.xxhash64(*self.cols), F.lit(self.bits))
+        place = (at % _ROW_BITS).cast("int")
+        found = rows.withColumns({"bucket": F.shiftright(at, 15), "at_byte": F.shiftright(place, 3) + 1, "at_bit": place % 8}).join(F.broadcast(self.rows), "bucket", "left")
+        return found.withColumn(flag, F.coalesce(F.expr("shiftright(cast(conv(hex(substring(bits, at_byte, 1)), 16, 10) AS int), at_bit) & 1 = 1"), F.lit(False))).drop("bucket", "bits", "at_byte", "at_bit")

@@ -35,7 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import key_filter, may_match
+from corvida.llm.common import KeyFilter
 from corvida.session import Stage
 
 THRESHOLD = 0.8
@@ -190,7 +190,7 @@ def license_scan(docs: DataFrame, threshold: float = THRESHOLD, wanted: list[Tem
     met = met.groupBy("doc_id", "tkey").agg(F.map_from_entries(F.collect_list(F.struct("template", "containment"))).alias("met"))
     met = stage.write(met)
     # only texts that may have met a template are shuffled
-    rows = may_match(keyed, stage.write(key_filter(met, ["doc_id", "tkey"])), ["doc_id", "tkey"], "maybe")
+    rows = KeyFilter(met, ["doc_id", "tkey"], stage).may_match(keyed, "maybe")
     plain = rows.where("not maybe").select("doc_id", "text", F.lit(None).cast(met.schema["met"].dataType).alias("met"))
     met = met.select(F.col("doc_id").alias("id"), F.col("tkey").alias("key"), "met").hint("shuffle_hash")
     rows = rows.where("maybe")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import key_filter, may_match
+from corvida.llm.common import KeyFilter
 from corvida.session import Stage
 
 MIN_WORDS = 50
@@ -136,8 +136,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     stage = Stage(docs.sparkSession, "lineruns")
     runs = stage.write(repeated_runs(docs, min_words))
-    bitmap = stage.write(key_filter(runs, _KEY))
-    rows = may_match(_keyed(docs), bitmap, _KEY, "maybe")
+    rows = KeyFilter(runs, _KEY, stage).may_match(_keyed(docs), "maybe")
     whole, none = F.size(F.split(_text(), "\n")), F.lit(0)
     same = rows.where("not maybe").select("r", _text().alias("kept_text"), whole.alias("n_lines"), none.alias("n_deleted"))
 

@@ -7,14 +7,17 @@ coordinate, so a pair whose largest coordinate difference is above it is
 discarded unseen; survivors are verified by a population count.
 
 Full-width distances of unrelated fingerprints are all near 32, so they prune
-but can't be an index. The index uses *partial* pivot tables: distances within
-a block of bits to the references that have one bit of it. Over the blocks
-that a pair of ``radius`` or fewer differing bits leaves untouched all those
-coordinates agree, which makes them an equality key: with six blocks and four
-differing bits, two blocks at least. A bucket of more than ``bucket_limit``
-fingerprints is never compared as a whole; its free bits are cut into
-``radius + 1`` blocks, of which one must again agree, and so on down to
-``DEPTH``. The lowest agreeing blocks claim a pair, so it appears once.
+but can't be an index: a scan of the whole table would compare all pairs.
+Candidates come from a block index, which is the part of the method that this
+module adds: equality on some blocks of bits (in the terms of the method,
+*partial* pivot tables, the distances within a block to the references that have
+one bit of it). Of ``radius + e`` blocks a pair of ``radius`` or fewer differing
+bits leaves ``e`` untouched at least; ``e`` is 2 or more, chosen by the number of
+fingerprints so that a bucket of unrelated ones stays small. A bucket of more
+than ``bucket_limit`` fingerprints is never compared as a whole; its free bits are
+cut into ``radius + 1`` blocks, of which one must again agree, and so on down to
+``DEPTH``, where over 40 bits agree and near copies alone are left. The lowest
+agreeing blocks claim a pair, so it appears once.
 
 Nulls count as the empty text, whose fingerprint is zero and which links like
 any other. Rows that repeat a ``doc_id`` each keep their row. Extra columns are
@@ -28,10 +31,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import key_filter, map_texts, may_match
+from corvida.llm.common import KeyFilter, map_texts
 from corvida.operators.components import connected_components
 from corvida.session import Stage
 
@@ -39,6 +42,8 @@ SEED, WORDS, RADIUS, BITS = 42, 4, 4, 64
 PIVOTS = 8
 BUCKET_LIMIT = 64
 DEPTH = 3
+#: Shares into which the fingerprints of one key are dealt while they are counted.
+SALTS = 16
 _CHUNK = 1 << 15
 
 
@@ -56,8 +61,14 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``fp`` for every row."""
-    return map_texts(docs, lambda texts: {"fp": pa.array([fingerprint(t, words) for t in texts], pa.int64())}, "fp long")
+    """``doc_id``, ``tkey``, the text's hash, and ``fp`` for every row."""
+    rows = docs.select(F.struct("doc_id", _text_key().alias("tkey")).alias("key"), "text")
+    made = map_texts(rows, lambda texts: {"fp": pa.array([fingerprint(t, words) for t in texts], pa.int64())}, "fp long", key="key")
+    return made.select("key.doc_id", "key.tkey", "fp")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def _signed(x: int) -> int:
@@ -87,10 +98,10 @@ class _Keys:
         self.masks, self.differ = masks, differ
 
     @classmethod
-    def first(cls, radius: int) -> _Keys:
-        blocks = _cut(list(range(BITS)), radius + 2)
-        pairs = list(combinations(range(len(blocks)), 2))
-        return cls([blocks[i] | blocks[j] for i, j in pairs], [[blocks[x] for x in range(j) if x != i] for i, j in pairs])
+    def first(cls, radius: int, agree: int = 2) -> _Keys:
+        blocks = _cut(list(range(BITS)), radius + agree)
+        chosen = list(combinations(range(len(blocks)), agree))
+        return cls([sum(blocks[i] for i in c) for c in chosen], [[blocks[x] for x in range(c[-1]) if x not in c] for c in chosen])
 
     def below(self, radius: int) -> tuple[_Keys, list[list[int]]]:
         """The next level and, for each mask here, the places of its children there."""
@@ -103,6 +114,11 @@ class _Keys:
         return _Keys(masks, differ), children
 
 
+def blocks_that_agree(count: int, radius: int = RADIUS, bucket: int = BUCKET_LIMIT // 4) -> int:
+    """The fewest of the blocks whose bits tell ``count`` unrelated fingerprints apart, ``bucket`` or fewer to a key."""
+    return next(e for e in range(2, BITS) if BITS * e // (radius + e) >= np.log2(max(1, count) / bucket) or e == 6)
+
+
 def _longs(values: list[int]):
     return F.array(*(F.lit(_signed(v)) for v in values)) if values else F.array().cast("array<bigint>")
 
@@ -116,12 +132,16 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
         coordinate = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref))).cast("long"), 8 * i)
         packed = coordinate if packed is None else packed.bitwiseOR(coordinate)
     table = fps.select("fp", packed.alias("pivots"))
-    keys, found = _Keys.first(radius), None
+    keys, found = _Keys.first(radius, blocks_that_agree(table.count(), radius)), None
     rows = table.select("fp", "pivots", F.posexplode(_longs(keys.masks)).alias("k", "mask"))
     for depth in range(DEPTH + 1):
         rows = rows.select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "pivots")
-        sizes = rows.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-        rows = stage.write(rows.join(sizes, ["k", "key"]))
+        # counted in shares, so that a common key's rows are in no task together
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+        shares = rows.groupBy("k", "key", "salt").agg(F.count("*").alias("n"))
+        sizes = stage.write(shares.drop("n").join(shares.groupBy("k", "key").agg(F.sum("n").alias("n")).where("n > 1"), ["k", "key"]))
+        rows = stage.write(rows.join(sizes, ["k", "key", "salt"]).drop("salt"))
+        stage.drop(sizes)
         cold = rows.where(F.col("n") <= bucket_limit) if depth < DEPTH else rows
         a, b = cold.alias("a"), cold.alias("b")
         differing = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
@@ -146,34 +166,39 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
 
 
 def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp``, ``component_id``, the smallest ``doc_id`` reachable by links."""
+    """One row per document: ``doc_id``, ``tkey``, ``fp``, ``component_id``, the smallest ``doc_id`` reachable by links."""
     stage = Stage(docs.sparkSession, "simhash")
     held = stage.write(fingerprints(docs, words))
     classes = stage.write(held.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     pairs = similar_pairs(classes.select("fp"), radius, stage=stage)
-    ids = classes.where("first_id is not null")
-    edges = pairs.join(ids.select(F.col("fp").alias("a"), F.col("first_id").alias("src")), "a").join(ids.select(F.col("fp").alias("b"), F.col("first_id").alias("dst")), "b")
-    linked = connected_components(edges.select("src", "dst"))
+    # fingerprints are the nodes, as an id may have several
+    linked = connected_components(pairs, "a", "b")
     # every row of the components table holds a different node, and of classes a different fingerprint
-    top = classes.join(linked, classes["first_id"] == linked["node"], "left").select("fp", F.coalesce("component", "first_id").alias("component_id"))
-    return held.join(top, "fp").select("doc_id", "fp", "component_id")
+    met = stage.write(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first_id", "component"))
+    least = met.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
+    top = met.join(least, "component", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+    return held.join(top, "fp").select("doc_id", "tkey", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group, one for each group.
+    """One row of ``docs`` for each group: of the rows with its smallest ``doc_id`` the one with the smallest hash of its text.
 
-    Of rows that repeat that ``doc_id`` the first in the order of ``text`` stays;
-    rows without a ``doc_id`` stay, as nothing can name their group. Only rows
-    that a bitmap of the ids that go lets through are shuffled.
+    Rows are judged by their own texts, so rows that share nothing but a
+    ``doc_id`` each stand for their own group; of rows that repeat id and text
+    one stays. Rows without a ``doc_id`` stay, as nothing can name their group.
+    Only rows that a bitmap of those that go lets through are shuffled.
     """
-    stage = Stage(docs.sparkSession, "simhashkeep")
-    gone = stage.write(simhash_groups(docs).where("doc_id != component_id").select("doc_id").distinct())
-    again = stage.write(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    bitmap = stage.write(key_filter(gone.unionAll(again), ["doc_id"]))
+    stage, key = Stage(docs.sparkSession, "simhashkeep"), ["doc_id", "tkey"]
+    groups = stage.write(simhash_groups(docs).where("doc_id is not null"))
+    first = groups.where("doc_id = component_id").groupBy(*key).agg(F.count("*").alias("n"))
+    best = first.groupBy("doc_id").agg(F.min("tkey").alias("best"))
+    first = stage.write(first.join(best, "doc_id"))
+    gone = stage.write(groups.where("doc_id != component_id").select(*key).unionAll(first.where("tkey != best").select(*key)).distinct())
+    again = stage.write(first.where("tkey = best AND n > 1").select(*key))
     # nested, so that no name of the input can clash
-    rows = may_match(docs.select(F.struct("*").alias("r"), "doc_id"), bitmap, ["doc_id"], "maybe")
-    others = rows.where("not maybe").select("r.*")
-    mine = rows.where("maybe").join(gone, "doc_id", "left_anti")
-    single = mine.join(again, "doc_id", "left_anti").select("r.*")
-    first = mine.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("r", F.coalesce(F.col("r.text"), F.lit(""))).alias("r"))
-    return others.unionAll(single).unionAll(first.select("r.*"))
+    rows = docs.select(F.struct("*").alias("r"), "doc_id", _text_key().alias("tkey"))
+    rows = KeyFilter(gone.unionAll(again), key, stage).may_match(rows, "maybe")
+    mine = rows.where("maybe").join(gone, key, "left_anti")
+    single = mine.join(again, key, "left_anti").select("r.*")
+    one = mine.join(again, key, "left_semi").groupBy(*key).agg(F.first("r").alias("r"))
+    return rows.where("not maybe").select("r.*").unionAll(single).unionAll(one.select("r.*"))

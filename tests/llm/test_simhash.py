@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from corvida.llm import simhash
@@ -73,6 +74,38 @@ def test_one_per_group_keeps_columns_and_handles_repeats(spark):
     assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == [(0, "q"), (1, "a b c d e"), (3, ""), (4, "other words here now")]
 
 
+def test_rows_that_share_an_id_alone_are_judged_apart(spark):
+    rows = [(1, "a b c d e"), (5, "a b c d e"), (5, "quite another text with words"), (7, "quite another text with words"), (2, "one more text of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_per_group(docs).collect())) == [(1, "a b c d e"), (2, "one more text of its own"), (5, "quite another text with words")]
+    got = sorted((x.doc_id, x.component_id) for x in simhash.simhash_groups(docs).collect())
+    assert got == [(1, 1), (2, 2), (5, 1), (5, 5), (7, 5)]
+
+
+def test_more_fingerprints_ask_for_more_bits():
+    assert [simhash.blocks_that_agree(10**n) for n in (0, 6, 7, 8, 9, 10, 12)] == [2, 2, 2, 3, 3, 4, 6]
+    for agree in (2, 3, 4):
+        keys = simhash._Keys.first(4, agree)
+        r = random.Random(agree)
+        for _ in range(300):
+            x = sum(1 << b for b in r.sample(range(64), r.randint(0, 4)))
+            claims = [m for m, d in zip(keys.masks, keys.differ) if not x & m and all(x & b for b in d)]
+            assert len(claims) == 1
+
+
+def test_key_filter_passes_all_keys_and_few_others(spark, monkeypatch):
+    from corvida.llm import common
+    from corvida.session import Stage
+
+    rows, stage = spark.range(100_000).withColumn("b", F.col("id") % 7), Stage(spark, "filter")
+    keys = rows.where("id % 10 = 0")
+    found = common.KeyFilter(keys, ["id", "b"], stage).may_match(rows, "maybe").where("maybe")
+    assert found.where("id % 10 = 0").count() == 10_000 and found.count() < 10_000 + 0.13 * 90_000
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 16)
+    assert common.KeyFilter(keys, ["id", "b"], stage).may_match(rows, "maybe").where("maybe").count() == 100_000
+    assert common.KeyFilter(keys.limit(0), ["id", "b"], stage).may_match(rows, "maybe").where("maybe").count() == 0
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.simhash_groups(docs).count() == 0
