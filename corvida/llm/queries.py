@@ -71,7 +71,7 @@ lines AS (SELECT doc_id, i - 1 AS n, ls[i] AS line, len(regexp_extract_all(ls[i]
 matches AS (SELECT a.doc_id AS da, a.n AS na, b.doc_id AS db, a.n - b.n AS shift, a.words
   FROM lines a JOIN lines b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.n < a.n))),
 diagonals AS (SELECT *, na - row_number() OVER (PARTITION BY da, db, shift ORDER BY na) AS stretch FROM matches),
-runs AS (SELECT da, min(na) AS s, max(na) AS e FROM diagonals GROUP BY da, db, shift, stretch HAVING sum(words) >= {linededup.MIN_WORDS}),
+runs AS (SELECT da, min(na) AS s, max(na) AS e FROM diagonals GROUP BY da, db, shift, stretch HAVING sum(words) >= {linededup.MIN_WORDS} OR count(*) FILTER (WHERE words > 0) >= {linededup.MIN_LINES}),
 deleted AS (SELECT DISTINCT da, n FROM runs, unnest(generate_series(s, e)) AS t(n))
 SELECT l.doc_id, count(*) AS n_lines, count(d.da) AS n_deleted,
   sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE d.da IS NULL), '')) AS kept_sha256

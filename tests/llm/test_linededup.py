@@ -5,32 +5,33 @@ import pytest
 from corvida.llm import linededup
 
 
-def brute(docs, least):
-    """Lines covered by a run of enough words that occurs at an earlier place."""
+def brute(docs, least, least_lines=None):
+    """Lines covered by a run of enough words, or lines with a word, that occurs at an earlier place."""
     places = [(i, n) for i, t in docs for n in range(len(t))]
     text, deleted = dict(docs), set()
     for doc, n in places:
         for other, m in places:
             if (other, m) >= (doc, n):
                 continue
-            k = words = 0
+            k = words = full = 0
             while n + k < len(text[doc]) and m + k < len(text[other]) and text[doc][n + k] == text[other][m + k]:
                 words += len(text[doc][n + k].split())
+                full += bool(text[doc][n + k].split())
                 k += 1
-            if words >= least:
+            if least and words >= least or least_lines and full >= least_lines:
                 deleted |= {(doc, n + x) for x in range(k)}
     return {i: "\n".join(s for n, s in enumerate(t) if (i, n) not in deleted) for i, t in docs}
 
 
-@pytest.mark.parametrize("seed,least", [(1, 3), (2, 5), (3, 8), (4, 1)])
-def test_against_brute_force(spark, seed, least):
+@pytest.mark.parametrize("seed,least,lines", [(2, 5, None), (3, 8, 3), (4, 1, None), (5, None, 2), (6, None, 1)])
+def test_against_brute_force(spark, seed, least, lines):
     r = random.Random(seed)
-    lines = ["", "a", "b b", "c c c", "d", "e e"]
-    docs = [(i, [r.choice(lines) for _ in range(r.randint(1, 12))]) for i in range(25)]
+    some = ["", "a", "b b", "c c c", "d", "e e"]
+    docs = [(i, [r.choice(some) for _ in range(r.randint(1, 12))]) for i in range(25)]
     docs += [(30, docs[3][1] * 2), (31, [""] * 20), (32, docs[5][1])]
     df = spark.createDataFrame([("\n".join(t), i, "p") for i, t in docs], "text string, doc_id long, tkey string")
-    got = {x.id: x.kept_text for x in linededup.dedup_lines(df, least).selectExpr("r.doc_id as id", "kept_text").collect()}
-    want = brute(docs, least)
+    got = {x.id: x.kept_text for x in linededup.dedup_lines(df, least, lines).selectExpr("r.doc_id as id", "kept_text").collect()}
+    want = brute(docs, least, lines)
     assert {i: t for i, t in got.items()} == {i: t for i, t in want.items()}
 
 
