@@ -9,8 +9,8 @@ phrase). Words no template has can't add to an overlap, so blocks are reduced
 to template words first, whose number the templates fix. A text that as a whole
 holds too few words of a notice has no window that meets it, and none is made.
 
-Template words are ordered by the number of blocks that hold them over the
-whole table, rarest first. With an overlap of ``need`` words asked for, a block
+Template words are ordered by the number of blocks of the whole table that hold
+them and are long enough for some template, rarest first. With an overlap of ``need`` words asked for, a block
 and a template that meet share a word within the first ``size - need + 1`` of
 either (prefix filter); blocks of fewer than ``need`` words are out (length
 filter); and the words from the shared one on must still suffice on both sides
@@ -142,34 +142,36 @@ def _token_sets(docs: DataFrame, wanted: list[Template]) -> DataFrame:
 
     block = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("tokens"))
     blocks = F.concat(F.array(block(WHOLE)(F.col("whole"))), F.transform("lines", block(LINE)), *map(windows, classes))
-    return rows.select("doc_id", "tkey", F.explode(blocks).alias("b")).select("doc_id", "tkey", "b.kind", "b.tokens").where(F.size("tokens") > 0)
+    return rows.select("doc_id", "tkey", F.explode(blocks).alias("b")).select("doc_id", "tkey", "b.kind", "b.tokens")
 
 
 def matches(docs: DataFrame, wanted: list[Template], stage: Stage) -> DataFrame:
     """``doc_id, tkey, template, containment``: best block of each text for every template that it meets."""
     universe = sorted({w for t in wanted for w in t.words})
-    sets = stage.write(_token_sets(docs, wanted))
-    counted = {r[0]: r[1] for r in sets.where(F.col("kind") == LINE).select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}  # a row per template word at most
+    least: dict[int, int] = {}
+    for t in wanted:
+        for kind in (WHOLE,) if t.whole_text else (LINE, t.window):
+            least[kind] = min(t.need, least.get(kind, t.need))
+    needed = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(least.items()) for x in pair)), F.col("kind"))
+    sets = stage.write(_token_sets(docs, wanted).where(F.size("tokens") >= needed))
+    counted = {r[0]: r[1] for r in sets.select(F.explode("tokens").alias("t")).groupBy("t").count().collect()}  # a row per template word at most
     order = sorted(universe, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i + 1 for i, w in enumerate(order)}
     ordered = F.array(*map(F.lit, order))
     ranks = F.array_sort(F.transform("tokens", lambda t: F.array_position(ordered, t).cast("int")))
     blocks = sets.select("doc_id", "tkey", "kind", ranks.alias("ranks"))
 
-    heads, sides, least = [], [], {}
+    heads, sides = [], []
     for k, t in enumerate(wanted):
         own = sorted({rank[w] for w in t.words})
         sides.append((k, own))
         for kind in (WHOLE,) if t.whole_text else (LINE, t.window):
-            least[kind] = min(t.need, least.get(kind, t.need))
             heads += [(k, kind, token, j, len(own), t.need) for j, token in enumerate(own[: len(own) - t.need + 1])]
     spark = docs.sparkSession
     heads = spark.createDataFrame(heads, "template int, kind int, token int, j int, n int, need int")
     sides = spark.createDataFrame(sides, "template int, own array<int>")
-    needed = F.element_at(F.create_map(*(F.lit(x) for pair in sorted(least.items()) for x in pair)), F.col("kind"))
     size = F.size("ranks")
-    probes = blocks.withColumn("needed", needed).where(size >= F.col("needed"))
-    probes = probes.select("doc_id", "tkey", "kind", "ranks", F.posexplode(F.slice("ranks", F.lit(1), size - F.col("needed") + 1)).alias("i", "token"))
+    probes = blocks.withColumn("needed", needed).select("doc_id", "tkey", "kind", "ranks", F.posexplode(F.slice("ranks", F.lit(1), size - F.col("needed") + 1)).alias("i", "token"))
     fits = (size >= F.col("need")) & (F.col("i") <= size - F.col("need")) & (F.least(size - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
     found = probes.join(F.broadcast(heads), ["kind", "token"]).where(fits)
     found = found.join(F.broadcast(sides), "template").withColumn("shared", F.size(F.array_intersect("ranks", "own")))
