@@ -59,6 +59,17 @@ def worker_state(key: str, make: Callable[[], object]):
     return _STATE[key]
 
 
+#: Shares into which the rows of one key are dealt.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` left joined with ``few``, which has a row for each ``key``; a key's rows are dealt over ``SALTS`` shares by ``by``."""
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 #: Bits of a key filter for each key, in all at most (32 MB), and of one of its rows.
 KEY_BITS, MOST_BITS, _ROW_BITS = 16, 1 << 28, 1 << 15
 

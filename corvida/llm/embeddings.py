@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvida.llm.common import bounded_batches
+from corvida.llm.common import bounded_batches, salted_join
 from corvida.operators.components import connected_components
 from corvida.session import Stage
 
@@ -482,7 +482,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     else:
         found = stage.write(found.join(classes.select("id", "first_id"), "id"))
         top = found.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        own = own.join(found.select("id", "component", "links"), "id", "left").join(top, "component", "left")
+        own = salted_join(own.join(found.select("id", "component", "links"), "id", "left"), top, "component", "id")
     own = own.select("key", F.coalesce("component_id", "first_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     joined = rows.select("vec_id", F.when(F.col("vec").isNotNull(), F.col("key")).alias("key")).join(own, "key", "left")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

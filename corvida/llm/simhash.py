@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvida.llm.common import KeyFilter, map_texts
+from corvida.llm.common import SALTS, KeyFilter, map_texts, salted_join
 from corvida.operators.components import connected_components
 from corvida.session import Stage
 
@@ -42,8 +42,6 @@ SEED, WORDS, RADIUS, BITS = 42, 4, 4, 64
 PIVOTS = 8
 BUCKET_LIMIT = 64
 DEPTH = 3
-#: Shares into which the fingerprints of one key are dealt while they are counted.
-SALTS = 16
 _CHUNK = 1 << 15
 
 
@@ -131,16 +129,16 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
     for i, ref in enumerate(refs):
         coordinate = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref))).cast("long"), 8 * i)
         packed = coordinate if packed is None else packed.bitwiseOR(coordinate)
-    table = fps.select("fp", packed.alias("pivots"))
-    keys, found = _Keys.first(radius, blocks_that_agree(table.count(), radius)), None
-    rows = table.select("fp", "pivots", F.posexplode(_longs(keys.masks)).alias("k", "mask"))
+    keys, found = _Keys.first(radius, blocks_that_agree(fps.count(), radius)), None
+    rows = fps.select("fp", F.posexplode(_longs(keys.masks)).alias("k", "mask"))
     for depth in range(DEPTH + 1):
-        rows = rows.select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "pivots")
+        rows = rows.select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         # counted in shares, so that a common key's rows are in no task together
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
         shares = rows.groupBy("k", "key", "salt").agg(F.count("*").alias("n"))
         sizes = stage.write(shares.drop("n").join(shares.groupBy("k", "key").agg(F.sum("n").alias("n")).where("n > 1"), ["k", "key"]))
-        rows = stage.write(rows.join(sizes, ["k", "key", "salt"]).drop("salt"))
+        # the pivot table, of all that shares a bucket with another
+        rows = stage.write(rows.join(sizes, ["k", "key", "salt"]).drop("salt").withColumn("pivots", packed))
         stage.drop(sizes)
         cold = rows.where(F.col("n") <= bucket_limit) if depth < DEPTH else rows
         a, b = cold.alias("a"), cold.alias("b")
@@ -161,7 +159,7 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
             break
         keys, children = keys.below(radius)
         to = F.array(*(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(_signed(keys.masks[i])).alias("mask")) for i in c)) for c in children))
-        rows = hot.select("fp", "pivots", F.explode(F.get(to, F.col("k"))).alias("x")).select("fp", "pivots", "x.k", "x.mask")
+        rows = hot.select("fp", F.explode(F.get(to, F.col("k"))).alias("x")).select("fp", "x.k", "x.mask")
     return found
 
 
@@ -176,7 +174,7 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     # every row of the components table holds a different node, and of classes a different fingerprint
     met = stage.write(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first_id", "component"))
     least = met.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least"))
-    top = met.join(least, "component", "left").select("fp", F.coalesce("least", "first_id").alias("component_id"))
+    top = salted_join(met, least, "component", "fp").select("fp", F.coalesce("least", "first_id").alias("component_id"))
     return held.join(top, "fp").select("doc_id", "tkey", "fp", "component_id")
 
 
