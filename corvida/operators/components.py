@@ -27,26 +27,34 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
-def _with_low(edges: DataFrame, wanted: str, count: int, stage: Stage) -> DataFrame:
-    """The edges that fulfil ``wanted``, with ``m``, the smallest of ``u`` and its neighbours."""
-    low = stage.write(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
-    edges, hub = edges.where(wanted), max(HUB, count // MOST_HUBS)
-    if not low.where(F.col("n") > hub).take(1):
+def _hub(count: int) -> int:
+    return max(HUB, count // MOST_HUBS)
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+def _with_low(edges: DataFrame, wanted: str, hub: int | None, stage: Stage) -> DataFrame:
+    """The edges that fulfil ``wanted``, with ``m``, the smallest of ``u`` and its neighbours; ``hub`` is None if no node is one."""
+    low = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+    edges = edges.where(wanted)
+    if hub is None:
         return edges.join(low.select("u", "m"), "u")
+    low = stage.write(low)
     hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))  # 2 * MOST_HUBS rows at most
     met = edges.join(hubs, "u", "left")
     cold = met.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
     return met.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionAll(cold.select("u", "v", "m"))
 
 
-def _large_star(edges: DataFrame, count: int, stage: Stage) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_low(both, "v > u", count, stage).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, hub: int | None, stage: Stage) -> DataFrame:
+    return _with_low(_both(edges), "v > u", hub, stage).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, count: int, stage: Stage) -> DataFrame:
-    # u is larger than all its neighbours here
-    rows = _with_low(edges, "v < u", count, stage)
+def _small_star(edges: DataFrame, hub: int | None, stage: Stage) -> DataFrame:
+    # u is larger than all its neighbours here, which are no more than before the large star
+    rows = _with_low(edges, "v < u", hub, stage)
     moved = rows.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(rows.select("u", F.col("m").alias("v"))).distinct()
 
@@ -63,9 +71,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     seen = _mark(current)
     if seen[0]:
         for _ in range(max_rounds):
-            wide = stage.write(_large_star(current, seen[0], stage))
-            step = stage.write(_small_star(wide, seen[0], stage))
-            stage.drop(current, wide)
+            most = _both(current).groupBy("u").count().agg(F.max("count")).first()[0]
+            hub = _hub(seen[0]) if most > _hub(seen[0]) else None
+            wide = _large_star(current, hub, stage)
+            step = stage.write(_small_star(stage.write(wide) if hub else wide, hub, stage))
+            stage.drop(current)
             current, now = step, _mark(step)
             if now == seen:
                 break

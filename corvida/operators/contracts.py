@@ -65,6 +65,28 @@ def leaked(trained: DataFrame, tested: DataFrame, key: str) -> DataFrame:
     return tested.select(key).join(trained.select(key), key, "left_semi").distinct()
 
 
+def history_leaks(history: DataFrame, manifest: DataFrame, key: str = "content_hash") -> DataFrame:
+    """``model, n_leaked``: models whose history (``model`` and the digests it was fitted or chosen on, a row for each) holds test digests.
+
+    Test digests are made distinct before they meet the history, so a digest that
+    many models saw is one row on that side.
+    """
+    tested = manifest.where("split = 'test'").select(key).distinct()
+    met = history.select("model", key).join(tested, key, "left_semi")
+    return met.groupBy("model").agg(F.count_distinct(key).alias("n_leaked"))
+
+
+def in_several_groups(manifest: DataFrame, key: str = "content_hash") -> DataFrame:
+    """Test digests of more than one group, which a group bootstrap would draw apart."""
+    return manifest.where("split = 'test'").groupBy(key).agg(F.count_distinct("group").alias("n_groups")).where("n_groups > 1")
+
+
+def unsafe_paths(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose path is no relative one with plain parts, by the rule of ``check_relative_path``."""
+    path = F.col(column)
+    return rows.where(F.coalesce((path == "") | path.startswith("/") | path.contains("\\") | F.arrays_overlap(F.split(path, "/"), F.array(F.lit(""), F.lit("."), F.lit(".."))), F.lit(True)))
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that only one of two tables has, with ``side``; multiplicities count."""
     b = b.select(*a.columns)

@@ -49,7 +49,7 @@ def by_class(matrix: DataFrame) -> DataFrame:
 def roc_auc(scores: DataFrame) -> DataFrame:
     """``model, positives, negatives, roc_auc`` from mid-ranks of tied scores; null for one class."""
     counts = score_counts(scores).withColumn("n", F.col("pos") + F.col("neg"))
-    ranked = running_sums(counts, ["model"], F.floor(F.col("p") * 4096), ["p"], {"before": "n"})
+    ranked = running_sums(counts, ["model"], ["p"], {"before": "n"})
     share = F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy("model").agg(F.sum(share).alias("r"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     P, N = F.col("P").cast("double"), F.col("N").cast("double")
@@ -86,15 +86,14 @@ def with_ensemble(scores: DataFrame, key: str = "sample_id") -> DataFrame:
 
     The name ``ensemble`` is reserved, and every model must score every sample.
     """
-    models = scores.select("model").distinct()
-    names = {r[0] for r in models.limit(1000).collect()}
-    if ENSEMBLE in names:
+    named = scores.agg(F.count_distinct("model"), F.max(F.coalesce(F.col("model") == ENSEMBLE, F.lit(False)))).first()
+    if named[1]:
         raise ValueError(f"a model may not be named {ENSEMBLE!r}")
-    if len(names) < 2:
+    if named[0] < 2:
         return scores
     other = [c for c in scores.columns if c not in (key, "model", "p")]
     mean = scores.groupBy(key).agg(*(F.first(c).alias(c) for c in other), F.collect_list("p").alias("ps"))
-    if mean.where(F.size("ps") != len(names)).take(1):
+    if mean.where(F.size("ps") != named[0]).take(1):
         raise ValueError("every model must score every sample once")
     return scores.unionByName(mean.select(key, *other, F.lit(ENSEMBLE).alias("model"), _exact_mean(F.col("ps")).alias("p")))
 

@@ -1,22 +1,26 @@
 """Ranks and running sums over a whole table without one task for all rows.
 
-A window without a partition key runs in a single task. Here rows fall into
-buckets that follow the order; bucket totals are a small table whose running
-sums are exact offsets, and the rest is a window within each bucket.
+A window without a partition key runs in a single task. Here rows are sorted
+into range partitions, whose bounds Spark samples from the data, so that no
+stretch of close values comes together in one; totals by partition are a small
+table whose running sums are exact offsets, and the rest is a window within
+each partition. Equal values are in one partition, so values should be reduced
+to counts first where they repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvida.session import Stage
 
-def running_sums(df: DataFrame, part: list[str], bucket: Column, order: list, sums: dict[str, str]) -> DataFrame:
-    """``df`` with, for each ``name: column`` of ``sums``, the sum over all earlier rows of its part.
 
-    ``bucket`` must grow with ``order`` and take a bounded number of values.
-    """
-    rows = df.withColumn("_bucket", bucket)
+def running_sums(df: DataFrame, part: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with, for each ``name: column`` of ``sums``, the sum over all earlier rows of its part."""
+    rows = df.repartitionByRange(*part, *order).withColumn("_bucket", F.spark_partition_id())
+    # a table fixes the partition that a row is in
+    rows = Stage(df.sparkSession, "ordered").write(rows)
     totals = rows.groupBy(*part, "_bucket").agg(*(F.sum(c).alias(f"_t_{n}") for n, c in sums.items()))
     over = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*part, "_bucket", *(F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_o_{n}") for n in sums))

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.operators.ordered import running_sums
+from corvida.session import Stage
 
 #: Attempts for each wanted draw at most.
 ATTEMPTS_PER_DRAW = 20
+#: Attempts made at once at least.
+LEAST_BATCH = 200
 
 
 def across_seeds(values: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
@@ -26,11 +31,9 @@ def group_sums(rows: DataFrame, group: str = "group") -> DataFrame:
 
 
 def numbered_groups(sums: DataFrame) -> DataFrame:
-    """``group, place``: places from 0 in the order of numeric groups."""
+    """``group, place``: places from 0 in the order of the groups."""
     groups = sums.select("group").distinct().withColumn("one", F.lit(1).cast("long"))
-    low, high = groups.agg(F.min("group").cast("double"), F.max("group").cast("double")).first()
-    bucket = F.width_bucket(F.col("group").cast("double"), F.lit(low), F.lit(high + 1), F.lit(4096))
-    return running_sums(groups, [], bucket, ["group"], {"place": "one"}).select("group", F.col("place").cast("long").alias("place"))
+    return running_sums(groups, [], ["group"], {"place": "one"}).select("group", F.col("place").cast("long").alias("place"))
 
 
 def hashed_draws(spark, seed: int, first: int, last: int, groups: int) -> DataFrame:
@@ -41,21 +44,20 @@ def hashed_draws(spark, seed: int, first: int, last: int, groups: int) -> DataFr
     return slots.select("attempt", (number % groups).alias("place")).groupBy("attempt", "place").agg(F.count("*").alias("times"))
 
 
-def twister_draws(spark, seed: int, attempts: int, groups: int) -> DataFrame:
-    """The same from Python's generator, drawn one after another on the driver."""
-    generator, rows = random.Random(seed), []
-    for attempt in range(attempts):
-        times: dict[int, int] = {}
-        for _ in range(groups):
-            place = generator.randrange(groups)
-            times[place] = times.get(place, 0) + 1
-        rows += [(attempt, place, n) for place, n in times.items()]
-    return spark.createDataFrame(rows, "attempt long, place long, times long")
+def twister_draws(spark, generator: random.Random, first: int, last: int, groups: int) -> DataFrame:
+    """The same from Python's generator, which draws one after another on the driver."""
+    attempts, places, times = [], [], []
+    for attempt in range(first, last):
+        place, n = np.unique(np.array([generator.randrange(groups) for _ in range(groups)]), return_counts=True)
+        attempts.append(np.full(len(place), attempt))
+        places.append(place)
+        times.append(n)
+    columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in (attempts, places, times)]
+    return spark.createDataFrame(pa.table(columns, names=["attempt", "place", "times"]))
 
 
-def draw_values(sums: DataFrame, draws: DataFrame) -> DataFrame:
-    """``attempt, comparator, value``: balanced accuracy of each attempt that drew both classes, averaged over seeds."""
-    sized = sums.join(numbered_groups(sums), "group")
+def draw_values(sized: DataFrame, draws: DataFrame) -> DataFrame:
+    """``attempt, comparator, value``: balanced accuracy of each attempt that drew both classes, averaged over seeds; ``sized`` has the groups' places."""
     drawn = draws.join(sized, "place").groupBy("attempt", "seed", "comparator").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("P", "N", "tp", "tn")))
     balanced = (F.col("tp") / F.col("P") + F.col("tn") / F.col("N")) / 2
     return drawn.where("P > 0 AND N > 0").groupBy("attempt", "comparator").agg(F.avg(balanced).alias("value"))
@@ -67,34 +69,37 @@ def percentile_interval(values: Column, low: float = 0.025, high: float = 0.975)
 
 
 def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5") -> DataFrame:
-    """``comparator, valid, attempted, low, high``: intervals over the first ``repetitions`` valid attempts.
+    """``comparator, valid, attempted, rejected, low, high``: intervals over the first ``repetitions`` valid attempts.
 
     Draws of one class are rejected; attempts come in batches until enough are
-    valid or ``ATTEMPTS_PER_DRAW`` times as many were made, when intervals are
-    null. All seeds and comparators share the draws, so differences are paired.
+    valid or ``ATTEMPTS_PER_DRAW`` times as many were made. Then the intervals
+    are null, and every comparator still has its record. All seeds and
+    comparators share the draws, so differences are paired. ``md5`` draws are
+    made by Spark; ``twister`` ones on the driver, for equal draws with Python's
+    generator.
     """
     if repetitions < 2:
         raise ValueError("repetitions must be 2 or more")
-    spark = sums.sparkSession
-    groups = sums.select("group").distinct().count()
+    spark, stage = sums.sparkSession, Stage(sums.sparkSession, "bootstrap")
+    sized = stage.write(sums.join(numbered_groups(sums), "group"))
+    groups = sized.select("group").distinct().count()
     if groups < 2:
         raise ValueError("two groups or more are needed")
-    done, values, most = 0, None, ATTEMPTS_PER_DRAW * repetitions
-    valid = None
-    while done < most:
-        upto = min(most, done + repetitions if kind == "md5" else most)
-        draws = hashed_draws(spark, seed, done, upto, groups) if kind == "md5" else twister_draws(spark, seed, upto, groups)
-        part = draw_values(sums, draws).cache()
+    generator, done, valid, values, most = random.Random(seed), 0, 0, None, ATTEMPTS_PER_DRAW * repetitions
+    while done < most and valid < repetitions:
+        upto = min(most, done + max(repetitions, LEAST_BATCH))
+        draws = hashed_draws(spark, seed, done, upto, groups) if kind == "md5" else twister_draws(spark, generator, done, upto, groups)
+        part = stage.write(draw_values(sized, draws))
         values = part if values is None else values.unionAll(part)
+        valid += part.select("attempt").distinct().count()
         done = upto
-        valid = sorted(r[0] for r in values.select("attempt").distinct().collect())  # attempts, bounded by `most`
-        if len(valid) >= repetitions:
-            break
-    enough = len(valid) >= repetitions
-    last = valid[repetitions - 1] if enough else -1
-    attempted = last + 1 if enough else most
-    used = values.where(F.col("attempt") <= last) if enough else values
-    interval = percentile_interval(F.col("value"))
-    out = used.groupBy("comparator").agg(F.count("*").alias("valid"), interval.alias("i"))
+    enough = valid >= repetitions
+    if enough:
+        last = values.select("attempt").distinct().orderBy("attempt").limit(repetitions).agg(F.max("attempt")).first()[0]
+        values, valid, done = values.where(F.col("attempt") <= last), repetitions, last + 1
+    found = values.groupBy("comparator").agg(percentile_interval(F.col("value")).alias("i"))
+    number = lambda n, name: F.lit(n).cast("long").alias(name)
     null = F.lit(None).cast("double")
-    return out.select("comparator", "valid", F.lit(attempted).cast("long").alias("attempted"), *((F.get("i", F.lit(k)) if enough else null).alias(n) for k, n in enumerate(("low", "high"))))
+    counts = [number(valid, "valid"), number(done, "attempted"), number(done - valid, "rejected")]
+    out = sized.select("comparator").distinct().join(found, "comparator", "left")
+    return out.select("comparator", *counts, *((F.get("i", F.lit(k)) if enough else null).alias(n) for k, n in enumerate(("low", "high"))))

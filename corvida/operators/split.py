@@ -35,7 +35,7 @@ def rank_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15, co
     check_ratios(train, validation)
     parts = component_table(rows, component, label).select("component", (F.col("n0") > 0).cast("int").alias("stratum"), F.md5(F.col("component").cast("string").cast("binary")).alias("h"), F.lit(1).cast("long").alias("one"))
     totals = parts.groupBy("stratum").agg(F.count("*").alias("total"))
-    placed = running_sums(parts, ["stratum"], F.substring("h", 1, 3), ["h", "component"], {"before": "one"}).join(F.broadcast(totals), "stratum")
+    placed = running_sums(parts, ["stratum"], ["h", "component"], {"before": "one"}).join(F.broadcast(totals), "stratum")
     share = (F.col("before") + 0.5) / F.col("total")
     return placed.select("component", F.when(share < train, "train").when(share < train + validation, "validation").otherwise("test").alias("split"))
 

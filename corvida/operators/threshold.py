@@ -28,7 +28,7 @@ def threshold_curve(scores: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     extra = totals.select("model", F.explode(F.array(*map(F.lit, FIXED))).alias("p"), zero.alias("pos"), zero.alias("neg"))
     points = counts.unionByName(extra).groupBy("model", "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    below = running_sums(points, ["model"], F.floor(F.col("p") * 4096), ["p"], {"pos_below": "pos", "neg_below": "neg"}).join(totals, "model")
+    below = running_sums(points, ["model"], ["p"], {"pos_below": "pos", "neg_below": "neg"}).join(totals, "model")
     tp, tn = F.col("all_pos") - F.col("pos_below"), F.col("neg_below")
     wide = lambda c: c.cast("decimal(19,0)")
     objective = wide(tp) * wide(F.col("all_neg")) + wide(tn) * wide(F.col("all_pos"))

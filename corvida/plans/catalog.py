@@ -1,13 +1,13 @@
 """Core queries over the driver tables, each with the SQL that must give the same rows.
 
 Documents stand for samples: four views make a case, ``labels.quality`` is the
-label, which most documents lack, equal texts and equal openings are the two
-content channels, and scores of a model are half length, half hash.
+label, which most documents lack, equal texts and texts equal but for case and
+white space are the two content channels, and scores of a model are half length, half hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.functions import content_digest, hashed_uniform
@@ -16,7 +16,15 @@ from corvida.session import Stage
 from corvida.sources.tables import table
 
 SEEDS = (17, 29, 43)
-DRAWS, DRAW_SEED = 200, 1729
+DRAWS, DRAW_SEED = 2000, 1729
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _plain(text: Column) -> Column:
+    """A whole text with A-Z lower-cased and white space collapsed."""
+    return F.translate(F.regexp_replace(text, "[ \\t\\r\\n]+", " "), _UPPER, _LOWER)
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +37,7 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
         "source",
         "n_chars",
         content_digest(F.col("text")).alias("byte_hash"),
-        content_digest(F.substring("text", 1, 200)).alias("content_hash"),
+        content_digest(_plain(F.col("text"))).alias("content_hash"),
     )
     # texts stay behind: only digests meet the labels
     return rows.join(labels, rows["sample_id"] == labels["doc_id"], "left").drop("doc_id")
@@ -261,12 +269,31 @@ def _draw_rows(spark, d) -> DataFrame:
 
 def group_bootstrap(spark, d):
     r = resampling.bootstrap(_draw_rows(spark, d), DRAWS, DRAW_SEED)
-    return r.select("comparator", "valid", "attempted", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return r.select("comparator", "valid", "attempted", "rejected", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 def group_bootstrap_twister(spark, d):
-    r = resampling.bootstrap(_draw_rows(spark, d), 50, DRAW_SEED, "twister")
-    return r.select("comparator", "valid", "attempted", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    r = resampling.bootstrap(_draw_rows(spark, d), DRAWS, DRAW_SEED, "twister")
+    return r.select("comparator", "valid", "attempted", "rejected", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def group_bootstrap_exhausted(spark, d):
+    """Groups without a row of class 0: every draw is rejected, and the record says so."""
+    r = resampling.bootstrap(_draw_rows(spark, d).where("N = 0"), 2, DRAW_SEED)
+    return r.select("comparator", "valid", "attempted", "rejected", "low", "high")
+
+
+def model_history_leaks(spark, d):
+    """Models fitted on other splits, each on seven of ten samples: how many test digests of this split they saw."""
+    rows = Stage(spark, "history").write(with_split(spark, d).select("sample_id", "split", "content_hash"))
+    seen = rows.select("sample_id", "content_hash", F.explode(F.array(*map(F.lit, SEEDS))).alias("seed"))
+    seen = seen.where(hashed_uniform(F.col("seed"), F.col("sample_id")) < 0.7)
+    return contracts.history_leaks(seen.select(F.concat(F.lit("m"), F.col("seed").cast("string")).alias("model"), "content_hash"), rows)
+
+
+def held_groups(spark, d):
+    """Test digests that lie in several groups of views."""
+    return contracts.in_several_groups(with_split(spark, d).withColumn("group", F.col("view")))
 
 
 def test_resolution(spark, d):
@@ -303,8 +330,8 @@ def embedding_scorer(spark, d):
     return scoring.apply_scorer(rows, scoring.fit_scorer(train)).select(F.col("id").alias("vec_id"), F.round("p", 6).alias("p"))
 
 
-_SAMPLES = """samples AS (SELECT d.doc_id AS sample_id, d.doc_id // 4 AS case_id, d.doc_id % 4 AS view, d.source, d.n_chars,
-  sha256(d.text) AS byte_hash, sha256(substr(d.text, 1, 200)) AS content_hash, l.quality AS label
+_SAMPLES = f"""samples AS (SELECT d.doc_id AS sample_id, d.doc_id // 4 AS case_id, d.doc_id % 4 AS view, d.source, d.n_chars,
+  sha256(d.text) AS byte_hash, sha256(translate(regexp_replace(d.text, '[ \\t\\r\\n]+', ' ', 'g'), '{_UPPER}', '{_LOWER}')) AS content_hash, l.quality AS label
   FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 _COMPONENTS = f"""{_SAMPLES},
 keys AS (SELECT case_id AS n, 'b' || byte_hash AS k FROM samples UNION SELECT case_id, 'c' || content_hash FROM samples),
@@ -424,8 +451,18 @@ draws AS (SELECT attempt, CAST('0x' || substr(md5('{DRAW_SEED}:' || attempt || '
 drawn AS (SELECT attempt, seed, comparator, sum(P) AS P, sum(N) AS N, sum(tp) AS tp, sum(tn) AS tn FROM draws JOIN places USING (place) JOIN sums USING (component) GROUP BY ALL),
 bas AS (SELECT attempt, comparator, avg((tp / CAST(P AS DOUBLE) + tn / CAST(N AS DOUBLE)) / 2) AS v FROM drawn WHERE P > 0 AND N > 0 GROUP BY ALL),
 good AS (SELECT attempt FROM (SELECT DISTINCT attempt FROM bas) ORDER BY attempt LIMIT {DRAWS})
-SELECT comparator, count(*) AS valid, (SELECT max(attempt) + 1 FROM good) AS attempted, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high
+SELECT comparator, count(*) AS valid, (SELECT max(attempt) + 1 FROM good) AS attempted, (SELECT max(attempt) + 1 FROM good) - count(*) AS rejected, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high
 FROM bas WHERE attempt IN (SELECT attempt FROM good) GROUP BY comparator""",
+    "group_bootstrap_exhausted": f"""WITH RECURSIVE {_CHOSEN},
+judged AS (SELECT component, seed, 'selected' AS comparator, y FROM atsel UNION ALL SELECT component, seed, 'fixed', y FROM atfix),
+sums AS (SELECT component, seed, comparator, sum(y) AS P, sum(1 - y) AS N FROM judged GROUP BY ALL HAVING sum(1 - y) = 0),
+good AS (SELECT count(*) AS n_valid FROM sums WHERE P > 0 AND N > 0)
+SELECT DISTINCT comparator, n_valid AS valid, 40 AS attempted, 40 - n_valid AS rejected, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high FROM sums, good""",
+    "model_history_leaks": f"""WITH RECURSIVE {_SPLIT},
+seen AS (SELECT 'm' || seed AS model, content_hash FROM kept, (SELECT unnest([{', '.join(map(str, SEEDS))}]) AS seed)
+  WHERE CAST('0x' || substr(md5(seed || ':' || sample_id), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) < 0.7)
+SELECT model, count(DISTINCT content_hash) AS n_leaked FROM seen WHERE content_hash IN (SELECT content_hash FROM kept WHERE split = 'test') GROUP BY model""",
+    "held_groups": f"WITH RECURSIVE {_SPLIT} SELECT content_hash, count(DISTINCT view) AS n_groups FROM kept WHERE split = 'test' GROUP BY content_hash HAVING count(DISTINCT view) > 1",
     "test_resolution": f"WITH RECURSIVE {_SPLIT} SELECT label, count(*) AS n_rows, round(0.5 / CAST(count(*) AS DOUBLE), 9) AS step FROM kept WHERE split = 'test' GROUP BY label",
     "best_epoch": """WITH r AS (SELECT l_linenumber AS run, CAST(month(l_shipdate) AS INTEGER) AS epoch, round(avg(l_discount), 9) AS loss FROM lineitem GROUP BY ALL)
 SELECT run, epoch, loss FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1""",
@@ -441,6 +478,6 @@ QUERIES = {
         duplicate_conflicts, conflicts_seeded, rank_split_counts, greedy_split_counts, split_leakage, leakage_without_groups,
         coverage_check, set_difference, dataset_fingerprint, threshold_curve, threshold_select, validation_thresholds, confusion,
         class_metrics, balanced_accuracy, roc_auc, brier_logloss, ensemble_mean, evaluation_samples, prior_baseline, paired_deltas,
-        seed_stats, group_bootstrap, group_bootstrap_twister, test_resolution, best_epoch, model_binding, resume_pending, embedding_scorer,
+        seed_stats, group_bootstrap, group_bootstrap_twister, group_bootstrap_exhausted, model_history_leaks, held_groups, test_resolution, best_epoch, model_binding, resume_pending, embedding_scorer,
     )
 }

@@ -53,6 +53,17 @@ def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column
     return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows)}
 
 
+def import_classes(spark: SparkSession, root: str, groups: str | None = None) -> DataFrame:
+    """``sample_id, group, content_hash, label`` of two class folders; groups come from a CSV that names every file and no other, or are the files."""
+    files = Stage(spark, "classes").write(tables.class_directories(spark, root).select(F.col("source").alias("sample_id"), F.col("sha256").alias("content_hash"), "label"))
+    if groups is None:
+        return files.withColumn("group", F.col("sample_id")).select("sample_id", "group", "content_hash", "label")
+    named = tables.group_csv(spark, groups).withColumnRenamed("path", "sample_id")
+    contracts.require(contracts.unsafe_paths(named, "sample_id"), "unsafe paths")
+    contracts.require(contracts.unmatched(files, named, "sample_id"), "files and named groups differ")
+    return files.join(named, "sample_id").select("sample_id", "group", "content_hash", "label")
+
+
 def create_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 0, method: str = "greedy") -> DataFrame:
     """``sample_id, group, content_hash, label, split`` of labelled rows with these columns but the last.
 
@@ -138,12 +149,24 @@ def load_selection(path: str, manifest: DataFrame, scores: DataFrame) -> dict:
     return stored
 
 
-def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None, selection: dict | None = None) -> DataFrame:
-    """Test metrics, one row per model, at one fixed threshold or at those of a selection."""
+def trained_history(manifest: DataFrame, model: str) -> DataFrame:
+    """``model, content_hash``: what a model was fitted and chosen on, to be stored beside it as rows that can be joined."""
+    return manifest.where("split != 'test'").select(F.lit(model).alias("model"), "content_hash").distinct()
+
+
+def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None, selection: dict | None = None, history: DataFrame | None = None) -> DataFrame:
+    """Test metrics, one row per model, at one fixed threshold or at those of a selection.
+
+    ``history`` is ``trained_history`` of the models, from whatever split they
+    were made with; a model that saw a test digest there is refused.
+    """
     if (fixed is None) == (selection is None):
         raise ValueError("give a fixed threshold or a selection")
     contracts.check_manifest(manifest)
     contracts.require(contracts.leaked(manifest.where("split != 'test'"), manifest.where("split = 'test'"), "content_hash"), "trained on test content")
+    if history is not None:
+        contracts.require(contracts.unmatched(history, scores, "model").where("NOT left_only"), "models without a history")
+        contracts.require(contracts.history_leaks(history.join(scores.select("model").distinct(), "model", "left_semi"), manifest), "models that saw test content")
     rows = Stage(manifest.sparkSession, "evaluate").write(metrics.with_ensemble(judged(manifest, scores, "test")))
     if selection is not None:
         if selection["manifest"] != manifest_fingerprint(manifest):
@@ -156,7 +179,7 @@ def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None,
     return metrics.binary_metrics(rows, cuts)
 
 
-def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "twister") -> dict[str, DataFrame]:
+def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "md5") -> dict[str, DataFrame]:
     """Repeated-seed measurement; ``scores(seed, sample_id, p)`` has a run for each of two or more seeds.
 
     ``per_seed`` compares the selected threshold with 0.5 and the training
@@ -165,6 +188,7 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     """
     spark, stage = manifest.sparkSession, Stage(manifest.sparkSession, "measure")
     contracts.check_manifest(manifest)
+    contracts.require(contracts.in_several_groups(manifest), "test content in several groups")
     seeds = scores.select("seed").distinct().limit(2).count()
     if seeds < 2:
         raise ValueError("two or more seeds are needed")

@@ -40,14 +40,24 @@ def write_report(report: dict, path: str) -> str:
     return write_once(path, report)
 
 
-def metrics_html(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A table of a small metrics frame; every text is escaped, undefined values are a dash."""
+#: Rows of a report at most; a longer one is refused, as it belongs in a table.
+MOST_ROWS = 100_000
+
+
+def _all_rows(rows: DataFrame) -> DataFrame:
+    if rows.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError(f"a report holds {MOST_ROWS} rows at most; publish a table instead")
+    return rows
+
+
+def metrics_html(rows: DataFrame, title: str) -> str:
+    """A table of a metrics frame; every text is escaped, undefined values are a dash."""
     show = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else escape(str(v))
     head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{show(v)}</td>" for v in row) + "</tr>" for row in rows.limit(limit).collect())
+    body = "".join("<tr>" + "".join(f"<td>{show(v)}</td>" for v in row) + "</tr>" for row in _all_rows(rows).collect())
     return f"<!DOCTYPE html><meta charset=utf-8><meta http-equiv=Content-Security-Policy content=\"default-src 'none'\"><title>{escape(title)}</title><table><tr>{head}</tr>{body}</table>"
 
 
-def metrics_json(rows: DataFrame, limit: int = 1000) -> list[dict]:
-    """Rows of a small metrics frame as JSON values; null stays null."""
-    return [json.loads(x) for x in rows.limit(limit).toJSON().collect()]
+def metrics_json(rows: DataFrame) -> list[dict]:
+    """Rows of a metrics frame as JSON values; null stays null."""
+    return [json.loads(x) for x in _all_rows(rows).toJSON().collect()]

@@ -29,6 +29,16 @@ def test_components_against_union_find(spark, seed):
     assert {x.node: x.component for x in connected_components(df).collect()} == brute(edges)
 
 
+def test_components_with_hubs_among_other_nodes(spark, monkeypatch):
+    from corvida.operators import components
+
+    monkeypatch.setattr(components, "HUB", 3)
+    r = random.Random(8)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(7, i) for i in range(60, 100)] + [(200 + i, 260) for i in range(60)] + [(260, 90)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {x.node: x.component for x in connected_components(df).collect()} == brute([e for e in edges if e[0] != e[1]])
+
+
 def test_components_of_a_hub_and_of_nothing(spark):
     star = spark.range(1, 5000).selectExpr("0L as src", "id as dst")
     got = connected_components(star)

@@ -57,10 +57,11 @@ def test_twister_bootstrap_against_resampling(spark):
 def test_too_few_valid_draws_give_no_interval(spark):
     rows = [(0, 1, "fixed", 1, 1), (1, 1, "fixed", 1, 0)]
     sums = resampling.group_sums(spark.createDataFrame(rows, "group long, seed int, comparator string, y int, said int"))
-    assert resampling.bootstrap(sums, 2, 1).collect() == []
+    assert [tuple(r) for r in resampling.bootstrap(sums, 2, 1).collect()] == [("fixed", 0, 40, 40, None, None)]
+    assert [tuple(r) for r in resampling.bootstrap(sums, 2, 1, "twister").collect()] == [("fixed", 0, 40, 40, None, None)]
     mixed = resampling.group_sums(spark.createDataFrame([*rows, (2, 1, "fixed", 0, 0)], "group long, seed int, comparator string, y int, said int"))
     got = resampling.bootstrap(mixed, 5, 1).first()
-    assert got.valid == 5 and got.attempted >= 5 and got.low <= got.high
+    assert got.valid == 5 and got.attempted >= 5 and got.rejected == got.attempted - 5 and got.low <= got.high
     with pytest.raises(ValueError):
         resampling.bootstrap(sums, 1, 1)
 
@@ -101,6 +102,16 @@ def test_experiment_order_resume_and_tampering(tmp_path):
             lineage.check_plan(seeds, epochs, 1, 2)
 
 
+def test_history_and_groups(spark):
+    manifest = spark.createDataFrame([("a", "g1", "test"), ("a", "g2", "test"), ("b", "g1", "test"), ("c", "g1", "train")], "content_hash string, group string, split string")
+    history = spark.createDataFrame([("m1", "a"), ("m1", "a"), ("m1", "b"), ("m1", "c"), ("m2", "c"), ("m3", "b")], "model string, content_hash string")
+    assert sorted(map(tuple, contracts.history_leaks(history, manifest).collect())) == [("m1", 2), ("m3", 1)]
+    assert [tuple(r) for r in contracts.in_several_groups(manifest).collect()] == [("a", 2)]
+    paths = ["a/b.jpg", "/a", "a//b", "../a", "a\\b", "", None, "a/.", "x"]
+    bad = contracts.unsafe_paths(spark.createDataFrame([(p,) for p in paths], "path string"), "path").collect()
+    assert sorted(str(r.path) for r in bad) == sorted(map(str, ["/a", "a//b", "../a", "a\\b", "", None, "a/."]))
+
+
 def test_contracts(spark):
     schema = "sample_id long, group string, content_hash string, label int, split string"
     good = [(i, f"g{i}", f"h{i}", y, s) for i, (y, s) in enumerate(itertools.product((0, 1), ("train", "validation", "test")))]
