@@ -56,3 +56,23 @@ def test_contract_columns(spark):
     }
     for name, columns in want.items():
         assert queries.QUERIES[name](spark, DATA).columns == columns
+
+
+def test_stages_on_odd_and_empty_tables(spark, tmp_path):
+    item = " ".join(f"item{i}" for i in range(20))
+    rows = [(1, "plain words of a first text", "x"), (1, "plain words of a first text", "x"), (None, None, None), (None, "no id here at all", "y"), (2, "", "z"), (3, None, "u"), (4, "word " * 60_000, "v"), (5, f"before {item} after", "w"), (6, "PLAIN words of a first text", "k")]
+    schema = "doc_id long, text string, r string"
+    columns = ("lang", "source", "n_chars", "fp", "tkey", "maybe", "bucket", "score", "component_id", "runs", "item_id")
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *(f"cast(7 as long) as {c}" for c in columns))
+    spark.createDataFrame([(1, 0, 0), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(9, item), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    # near copies and repeats of 1 are one row, null and empty texts one group of the ids that name it, the item's text goes
+    assert sorted((x.doc_id or 0, len(x.text or "")) for x in kept.collect()) == [(0, 0), (0, 17), (1, 27), (2, 0), (4, 300_000)]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
