@@ -57,6 +57,7 @@ def test_twister_bootstrap_against_resampling(spark):
 def test_too_few_valid_draws_give_no_interval(spark):
     rows = [(0, 1, "fixed", 1, 1), (1, 1, "fixed", 1, 0)]
     sums = resampling.group_sums(spark.createDataFrame(rows, "group long, seed int, comparator string, y int, said int"))
+    # Twenty attempts for each of two wanted draws, all of one class.
     assert [tuple(r) for r in resampling.bootstrap(sums, 2, 1).collect()] == [("fixed", 0, 40, 40, None, None)]
     assert [tuple(r) for r in resampling.bootstrap(sums, 2, 1, "twister").collect()] == [("fixed", 0, 40, 40, None, None)]
     mixed = resampling.group_sums(spark.createDataFrame([*rows, (2, 1, "fixed", 0, 0)], "group long, seed int, comparator string, y int, said int"))

@@ -34,6 +34,7 @@ def auc(ys, ps):
 
 
 def test_known_metrics(spark):
+    # Labels and scores with metrics worked out by hand.
     cases = {"a": ([0, 0, 1, 1], [0.1, 0.4, 0.35, 0.8]), "b": ([0, 1], [0.5, 0.5]), "c": ([1, 1], [0.9, 0.8])}
     got = {r.model: r for r in metrics.binary_metrics(scores(spark, cases), half(spark, cases)).collect()}
     a, b, c = got["a"], got["b"], got["c"]
