@@ -100,3 +100,19 @@ def test_command_line(spark, tmp_path, capsys):
     main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json")])
     with open(p("e.json")) as f:
         assert len(json.load(f)["metrics"]) == 3
+
+
+def test_class_folders_meet_their_groups(spark, tmp_path):
+    root = tmp_path / "images"
+    for name in ("a/1.jpg", "a/2.png", "b/3.jpg"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(name.encode())
+    alone = {r.sample_id: (r.group, r.label) for r in workflow.import_classes(spark, str(root)).collect()}
+    assert alone == {"a/1.jpg": ("a/1.jpg", 0), "a/2.png": ("a/2.png", 0), "b/3.jpg": ("b/3.jpg", 1)}
+    named = tmp_path / "groups.csv"
+    named.write_text("path,group\na/1.jpg,p\na/2.png,p\nb/3.jpg, q \n")
+    assert {r.sample_id: r.group for r in workflow.import_classes(spark, str(root), str(named)).collect()} == {"a/1.jpg": "p", "a/2.png": "p", "b/3.jpg": "q"}
+    for rows in ("a/1.jpg,p\n", "a/1.jpg,p\na/2.png,p\nb/3.jpg,q\nb/4.jpg,q\n", "a/1.jpg,p\na/2.png,p\nb/../b/3.jpg,q\n"):
+        named.write_text("path,group\n" + rows)
+        with pytest.raises(ValueError):
+            workflow.import_classes(spark, str(root), str(named))
