@@ -17,8 +17,12 @@ def content_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def known_label(category: Column) -> Column:
+    """0 or 1 of an ordinal category, null of any other value."""
+    # Which categories belong to which class.
+    return F.when(category.isin("2", "3"), 0).when(category.isin("4a", "4b", "4c", "5"), 1)
+
+
 def mapped_label(category: Column) -> Column:
     """0 or 1 of an ordinal category; null stays null and an unknown category aborts the query."""
-    # Which categories belong to which class.
-    known = F.when(category.isin("2", "3"), 0).when(category.isin("4a", "4b", "4c", "5"), 1)
-    return F.when(category.isNull(), None).otherwise(F.coalesce(known, F.raise_error(F.concat(F.lit("unsupported category "), category)).cast("int")))
+    return F.when(category.isNull(), None).otherwise(F.coalesce(known_label(category), F.raise_error(F.concat(F.lit("unsupported category "), category)).cast("int")))

@@ -10,11 +10,16 @@ import hashlib
 import json
 import os
 import platform
+import uuid
+from contextlib import contextmanager
 from datetime import UTC, datetime
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvida.operators.contracts import check_relative_path
+
 PHASES = ("fit", "test")
 
 
@@ -64,8 +69,8 @@ def check_plan(seeds: list[int], epochs: int, batch_size: int, repetitions: int)
 class Experiment:
     """A folder with a frozen plan, a checkpoint for each phase and seed, and a lock between the phases."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.folder, self.spark = folder, spark
 
     def _read(self, name: str):
         path = os.path.join(self.folder, name)
@@ -93,10 +98,36 @@ class Experiment:
 
     def done(self, phase: str, seed: int):
         entry = self._read(f"{phase}-{seed}.json")
-        if entry is not None and (entry["phase"], entry["seed"], entry["plan"]) != (phase, seed, digest(self.plan())):
-            raise ValueError(f"checkpoint {phase} {seed} belongs to another plan")
+        if entry is not None:
+            if (entry["phase"], entry["seed"], entry["plan"]) != (phase, seed, digest(self.plan())):
+                raise ValueError(f"checkpoint {phase} {seed} belongs to another plan")
+            if faults := self.file_faults(entry):
+                raise ValueError(f"files of {phase} {seed}: {faults}")
         return entry
 
+    def job_folder(self, phase: str, seed: int) -> str:
+        """Where a run leaves its files, made at the first call."""
+        path = os.path.join(self.folder, "files", f"{phase}-{seed}")
+        os.makedirs(path, exist_ok=True)
+        return path
+
+    def _files(self, phase: str, seed: int) -> dict[str, str]:
+        root, out = self.job_folder(phase, seed), {}
+        for at, _, names in os.walk(root):
+            for name in names:
+                path = os.path.join(at, name)
+                key = check_relative_path(os.path.relpath(path, root).replace(os.sep, "/"))
+                if os.path.islink(path):
+                    raise ValueError(f"{key} is a link")
+                with open(path, "rb") as f:
+                    out[key] = hashlib.file_digest(f, "sha256").hexdigest()
+        return out
+
+    def file_faults(self, entry: dict) -> list[str]:
+        """Files of a finished run that are missing, came later or have changed since."""
+        stated, found = entry.get("files", {}), self._files(entry["phase"], entry["seed"])
+        return [f"{name} {'missing' if name not in found else 'extra' if name not in stated else 'changed'}" for name in sorted(stated.keys() | found.keys()) if stated.get(name) != found.get(name)]
+
     def record(self, phase: str, seed: int, details: dict) -> dict:
         """Store a finished run. No fit after the lock, no test before it."""
         plan = self.plan()
@@ -107,7 +138,7 @@ class Experiment:
             raise ValueError("fits are sealed")
         if phase == "test" and not locked:
             raise ValueError("seal all fits before a test")
-        entry = {"phase": phase, "seed": seed, "plan": digest(plan), "details": details}
+        entry = {"phase": phase, "seed": seed, "plan": digest(plan), "details": details, "files": self._files(phase, seed)}
         write_once(os.path.join(self.folder, f"{phase}-{seed}.json"), entry)
         return entry
 
@@ -121,21 +152,91 @@ class Experiment:
         write_once(os.path.join(self.folder, "lock.json"), lock)
         return lock
 
+    def attempt(self, phase: str, seed: int, job) -> dict:
+        """Run one job, keep a log of how it ended whether it fails or not, and store its result."""
+        began, clock = datetime.now(UTC).isoformat(), perf_counter()
+        log = {"phase": phase, "seed": seed, "started_at": began, "python": platform.python_version()}
+        path = os.path.join(self.folder, "attempts")
+        os.makedirs(path, exist_ok=True)
+        try:
+            with job_settings(self.spark) as log["settings"]:
+                details = job()
+            log["status"] = "finished"
+        except BaseException as e:
+            log |= {"status": "failed", "error": type(e).__name__}
+            raise
+        finally:
+            log["seconds"] = round(perf_counter() - clock, 3)
+            write_once(os.path.join(path, f"{phase}-{seed}-{uuid.uuid4().hex}.json"), log)
+        return self.record(phase, seed, details)
+
+    def attempts(self) -> list[dict]:
+        """All attempts in the order of their start."""
+        path = os.path.join(self.folder, "attempts")
+        logs = [self._read(os.path.join("attempts", n)) for n in (os.listdir(path) if os.path.isdir(path) else [])]
+        return sorted(logs, key=lambda x: (x["started_at"], x["phase"], x["seed"]))
+
+    def _sealed(self) -> dict[int, dict]:
+        """The fits, each as the lock has it."""
+        lock, fits = self._read("lock.json"), {}
+        if lock is None:
+            raise ValueError("no lock: fits aren't sealed")
+        for seed in self.plan()["seeds"]:
+            fits[seed] = self.done("fit", seed)
+            if fits[seed] is None or lock["fits"][str(seed)] != digest(fits[seed]):
+                raise ValueError(f"the fit of seed {seed} changed after the lock")
+        return fits
+
     def run(self, fit, test) -> list[dict]:
         """Do what is left: ``fit(seed)`` for all seeds, the lock, then ``test(seed, fit details)``."""
         seeds = self.plan()["seeds"]
         for seed in seeds:
             if self.done("fit", seed) is None:
-                self.record("fit", seed, fit(seed))
-        lock = self.lock()
-        for seed in seeds:
-            entry = self.done("fit", seed)
-            if lock["fits"][str(seed)] != digest(entry):
-                raise ValueError(f"the fit of seed {seed} changed after the lock")
+                self.attempt("fit", seed, lambda s=seed: fit(s))
+        self.lock()
+        for seed, entry in self._sealed().items():
             if self.done("test", seed) is None:
-                self.record("test", seed, test(seed, entry["details"]))
+                self.attempt("test", seed, lambda s=seed, e=entry: test(s, e["details"]))
         return [self.done("test", s) for s in seeds]
 
+    def summarize(self, measure) -> dict:
+        """``results.json``: what ``measure`` makes of ``(seed, fit, test)`` records, with the digests it rests on.
+
+        A second call must give the same results, or ValueError.
+        """
+        fits = self._sealed()
+        tests = {s: self.done("test", s) for s in fits}
+        if missing := [s for s, e in tests.items() if e is None]:
+            raise ValueError(f"tests are missing: {missing}")
+        rests_on = {"plan": digest(self.plan()), "lock": digest(self._read("lock.json")), "tests": {str(s): digest(e) for s, e in tests.items()}}
+        out = {"results": measure([(s, fits[s], tests[s]) for s in sorted(fits)]), "experiment": rests_on}
+        write_once(os.path.join(self.folder, "results.json"), out)
+        return out
+
+
+@contextmanager
+def job_settings(spark: SparkSession | None):
+    """Settings under which a job's plan depends on its data alone, put back afterwards; their values."""
+    wanted = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.session.timeZone": "UTC"} if spark else {}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield wanted
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def source_digests(root: str) -> dict[str, str]:
+    """SHA-256 of each module below a folder, by its relative path; part of a plan's inputs."""
+    out = {}
+    for at, _, names in os.walk(root):
+        for name in sorted(n for n in names if n.endswith(".py")):
+            with open(os.path.join(at, name), "rb") as f:
+                out[os.path.relpath(os.path.join(at, name), root).replace(os.sep, "/")] = hashlib.file_digest(f, "sha256").hexdigest()
+    return out
+
 
 def pending(plan: DataFrame, finished: DataFrame) -> DataFrame:
     """``phase, seed`` pairs of the plan without a finished run."""

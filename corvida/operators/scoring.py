@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvida.operators.lineage import write_once
 from corvida.session import ship_package
 
 #: Builders by name; each takes a seed and has fit(x, y) and score(x).
@@ -46,10 +49,93 @@ class Logistic:
         return 1 / (1 + np.exp(-np.clip(self.w[0] + x @ self.w[1:], -30, 30)))
 
 
+@register("gradual")
+class Gradual(Logistic):
+    """The same model by seeded steps over small batches, epoch by epoch, for what must stop early."""
+
+    def __init__(self, seed: int = 0, rate: float = 0.05, ridge: float = 1e-4):
+        self.generator, self.rate, self.ridge, self.w = np.random.default_rng(seed), rate, ridge, None
+
+    def epoch(self, x: np.ndarray, y: np.ndarray, batch_size: int) -> None:
+        x = np.hstack([np.ones((len(x), 1)), x])
+        if self.w is None:
+            self.w, self.first, self.second, self.t = (np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0)
+        order = self.generator.permutation(len(x))
+        for k in range(0, len(x), batch_size):
+            b = order[k : k + batch_size]
+            g = x[b].T @ (1 / (1 + np.exp(-np.clip(x[b] @ self.w, -30, 30))) - y[b]) / len(b) + self.ridge * self.w
+            self.t += 1
+            self.first, self.second = 0.9 * self.first + 0.1 * g, 0.999 * self.second + 0.001 * g * g
+            self.w = self.w - self.rate * (self.first / (1 - 0.9**self.t)) / (np.sqrt(self.second / (1 - 0.999**self.t)) + 1e-8)
+
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 20, batch_size: int = 64) -> Gradual:
+        for _ in range(epochs):
+            self.epoch(x, y, batch_size)
+        return self
+
+
+def log_loss(y: np.ndarray, p: np.ndarray) -> float:
+    p = np.clip(p, 1e-15, 1 - 1e-15)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+
+
+def check_scores(scorer, width: int) -> None:
+    """A scorer takes rows of one width and returns a number from 0 to 1 for each, or ValueError."""
+    p = np.asarray(scorer.score(np.zeros((2, width))))
+    if p.shape != (2,) or not np.all((p >= 0) & (p <= 1)):
+        raise ValueError(f"a scorer must return one number from 0 to 1 a row, not shape {p.shape}")
+
+
+def _arrays(rows: DataFrame, seed: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).select("x", "y").toArrow()
+    return np.array(got["x"].to_pylist(), dtype=float), np.array(got["y"].to_pylist(), dtype=float)
+
+
+def train_scorer(train: DataFrame, validation: DataFrame, epochs: int, batch_size: int = 64, seed: int = 0, patience: int = 5, most: int = 20_000, **options) -> tuple[Gradual, list[dict]]:
+    """A ``gradual`` scorer and its history ``epoch, loss, val_loss``; it keeps the weights of its best epoch.
+
+    Training ends after ``patience`` epochs without a lower validation loss. Both
+    parts are samples of at most ``most`` rows, as in ``fit_scorer``.
+    """
+    if epochs < 1 or batch_size < 1 or patience < 1:
+        raise ValueError("epochs, batch_size and patience must be positive")
+    (x, y), (vx, vy) = _arrays(train, seed, most), _arrays(validation, seed, most)
+    if {*np.unique(y)} != {0.0, 1.0} or {*np.unique(vy)} != {0.0, 1.0}:
+        raise ValueError("training and validation need both classes")
+    scorer, history, best = Gradual(seed, **options), [], None
+    for epoch in range(1, epochs + 1):
+        scorer.epoch(x, y, batch_size)
+        history.append({"epoch": epoch, "loss": log_loss(y, scorer.score(x)), "val_loss": log_loss(vy, scorer.score(vx))})
+        if best is None or history[-1]["val_loss"] < best[1]:
+            best = epoch, history[-1]["val_loss"], scorer.w.copy()
+        elif epoch - best[0] >= patience:
+            break
+    scorer.w = best[2]
+    check_scores(scorer, x.shape[1])
+    return scorer, history
+
+
+def save_scorer(path: str, scorer: Logistic, history: list[dict]) -> str:
+    """Weights and history in two new JSON files, ``path`` and ``path.history.json``; the digest of the weights."""
+    if os.path.exists(path) or os.path.exists(f"{path}.history.json"):
+        raise FileExistsError(path)
+    write_once(f"{path}.history.json", history)
+    return write_once(path, {"schema_version": 1, "weights": scorer.w.tolist()})
+
+
+def load_scorer(path: str) -> Logistic:
+    with open(path, "rb") as f:
+        stored = json.load(f)
+    if stored.get("schema_version") != 1 or not np.all(np.isfinite(stored["weights"])):
+        raise ValueError(f"{path} holds no scorer")
+    scorer = Logistic()
+    scorer.w = np.array(stored["weights"])
+    return scorer
+
+
 def fit_scorer(rows: DataFrame, name: str = "logistic", seed: int = 0, most: int = 20_000, **options):
     """Fit on at most ``most`` rows of ``(id, x, y)``, those of the smallest hashed ids."""
-    got = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most).select("x", "y").toArrow()
-    return SCORERS[name](seed, **options).fit(np.array(got["x"].to_pylist(), dtype=float), np.array(got["y"].to_pylist(), dtype=float))
+    return SCORERS[name](seed, **options).fit(*_arrays(rows, seed, most))
 
 
 def apply_scorer(rows: DataFrame, scorer) -> DataFrame:

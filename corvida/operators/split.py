@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,24 +48,16 @@ def allocate(parts: list[tuple], train: float, validation: float) -> list[str]:
     where the squared, target-weighted gap to the wanted counts grows least;
     then to the first in the order of SPLITS.
     """
-    shares = check_ratios(train, validation)
-    totals = [sum(p[k] for p in parts) for k in (0, 1)]
-    wanted = [[share * total for total in totals] for share in shares]
-    held = [[0, 0] for _ in SPLITS]
-    out = []
-    for part in parts:
-        costs = []
-        for s in range(len(SPLITS)):
-            new = sum(1 for k in (0, 1) if part[k] and not held[s][k])
-            gap = 0.0
-            for k in (0, 1):
-                if wanted[s][k]:
-                    before, after = held[s][k] - wanted[s][k], held[s][k] + part[k] - wanted[s][k]
-                    gap += (after**2 - before**2) / wanted[s][k]
-            costs.append((-new, gap, s))
-        s = min(costs)[2]
-        held[s] = [held[s][k] + part[k] for k in (0, 1)]
-        out.append(SPLITS[s])
+    counts = np.array(parts, dtype=float).reshape(-1, 2)
+    wanted = np.outer(check_ratios(train, validation), counts.sum(axis=0))
+    held, out = np.zeros_like(wanted), []
+    for row in counts:
+        lacking = ((held == 0) & (row > 0)).sum(axis=1)
+        growth = np.divide((held + row - wanted) ** 2 - (held - wanted) ** 2, wanted, out=np.zeros_like(wanted), where=wanted > 0)
+        # a stable sort leaves ties in the order of SPLITS
+        best = int(np.lexsort((growth.sum(axis=1), -lacking))[0])
+        held[best] += row
+        out.append(SPLITS[best])
     return out
 
 

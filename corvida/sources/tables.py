@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,12 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Names of case files and of their images.
+FILE_NAME = r"^([1-9][0-9]*)(?:\.xml|_([1-9][0-9]*)\.jpg)$"
+
+
+def has_suffix(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """Whether a name ends in one of the suffixes, whatever their case."""
+    return F.lower(name).rlike(rf"\.({'|'.join(map(re.escape, suffixes))})$")
+
+
+def case_of(name: Column) -> Column:
+    """The case number in a file name; null if the name is none of ``FILE_NAME``."""
+    return F.nullif(F.regexp_extract(name, FILE_NAME, 1), F.lit("")).cast("long")
+
+
+def view_of(name: Column) -> Column:
+    """The view number in the name of an image; null for any other name."""
+    return F.nullif(F.regexp_extract(name, FILE_NAME, 2), F.lit("")).cast("long")
+
+
 def class_directories(spark: SparkSession, root: str, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """``source, class_name, label, sha256, size`` of the files below exactly two class folders; label 0 is the first by name."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub("^[a-z0-9]+:/+", "/", root).rstrip("/")
     relative = F.expr("substring(path, locate(base, path) + length(base) + 1)")
-    rows = files.withColumn("base", F.lit(base)).select(relative.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).where(F.lower("source").rlike(rf"\.({'|'.join(suffixes)})$") & F.col("source").contains("/"))
+    rows = files.withColumn("base", F.lit(base)).select(relative.alias("source"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size")).where(has_suffix(F.col("source"), suffixes) & F.col("source").contains("/"))
     rows = rows.withColumn("class_name", F.substring_index("source", "/", 1))
     names = sorted(r[0] for r in rows.select("class_name").distinct().limit(3).collect())
     if len(names) != 2:
@@ -46,11 +65,9 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(root)
     name = F.substring_index("path", "/", -1)
     rows = files.select(name.alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
-    pattern = r"^([1-9][0-9]*)(?:\.xml|_([1-9][0-9]*)\.jpg)$"
-    if odd := rows.where(~F.col("name").rlike(pattern)).select("name").take(3):
+    if odd := rows.where(case_of(F.col("name")).isNull()).select("name").take(3):
         raise ValueError(f"unexpected files {odd}")
-    view = F.regexp_extract("name", pattern, 2)
-    return rows.select("name", F.regexp_extract("name", pattern, 1).cast("long").alias("case_id"), F.when(view != "", view.cast("long")).alias("view"), "sha256", "size")
+    return rows.select("name", case_of(F.col("name")).alias("case_id"), view_of(F.col("name")).alias("view"), "sha256", "size")
 
 
 def case_files(spark: SparkSession, root: str) -> DataFrame:

@@ -6,20 +6,20 @@ import pytest
 
 import __spark_entry__
 from corvida.operators import scoring
-from corvida.plans import catalog
+from corvida.plans import catalog, checks
 from corvida.sources import sinks, tables
 from corvida.streaming.scores import running_confusion
 
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.SQL))
+@pytest.mark.parametrize("name", sorted(catalog.SQL | checks.SQL))
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
     for f in os.listdir(DATA):
         db.sql(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{DATA}/{f}'")
-    rows = catalog.QUERIES[name](spark, DATA)
-    want = db.sql(f"SELECT {', '.join(rows.columns)} FROM ({catalog.SQL[name]})").fetchall()
+    rows = (catalog.QUERIES | checks.QUERIES)[name](spark, DATA)
+    want = db.sql(f"SELECT {', '.join(rows.columns)} FROM ({(catalog.SQL | checks.SQL)[name]})").fetchall()
     key = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(tuple, rows.collect()), key=key) == sorted(want, key=key)
 
