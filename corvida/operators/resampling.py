@@ -37,11 +37,15 @@ def numbered_groups(sums: DataFrame) -> DataFrame:
 
 
 def hashed_draws(spark, seed: int, first: int, last: int, groups: int) -> DataFrame:
-    """``attempt, place, times``: groups drawn with replacement, by a hash of seed, attempt and slot."""
+    """``attempt, place, times``: groups drawn with replacement, by a hash of seed, attempt and slot; a row for each slot.
+
+    Repeats aren't counted here: that would shuffle attempts times groups, while
+    sums after the join are combined before their shuffle.
+    """
     slots = spark.range(first * groups, last * groups).select(F.expr(f"id div {groups}").alias("attempt"), (F.col("id") % groups).alias("slot"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("attempt").cast("string"), F.col("slot").cast("string"))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
-    return slots.select("attempt", (number % groups).alias("place")).groupBy("attempt", "place").agg(F.count("*").alias("times"))
+    return slots.select("attempt", (number % groups).alias("place"), F.lit(1).cast("long").alias("times"))
 
 
 def twister_draws(spark, generator: random.Random, first: int, last: int, groups: int) -> DataFrame:
@@ -58,7 +62,9 @@ def twister_draws(spark, generator: random.Random, first: int, last: int, groups
 
 def draw_values(sized: DataFrame, draws: DataFrame) -> DataFrame:
     """``attempt, comparator, value``: balanced accuracy of each attempt that drew both classes, averaged over seeds; ``sized`` has the groups' places."""
-    drawn = draws.join(sized, "place").groupBy("attempt", "seed", "comparator").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("P", "N", "tp", "tn")))
+    # one row for each place, so that drawn slots aren't multiplied before they meet it
+    packed = sized.groupBy("place").agg(F.collect_list(F.struct("seed", "comparator", "P", "N", "tp", "tn")).alias("s"))
+    drawn = draws.join(packed, "place").select("attempt", "times", F.inline("s")).groupBy("attempt", "seed", "comparator").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("P", "N", "tp", "tn")))
     balanced = (F.col("tp") / F.col("P") + F.col("tn") / F.col("N")) / 2
     return drawn.where("P > 0 AND N > 0").groupBy("attempt", "comparator").agg(F.avg(balanced).alias("value"))
 
