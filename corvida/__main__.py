@@ -1,4 +1,4 @@
-"""Command line: ``python -m corvida split|select|evaluate|measure``; tables are parquet, records JSON."""
+"""Command line: ``python -m corvida split|select|evaluate|ensemble|measure``; tables are parquet, records JSON."""
 
 from __future__ import annotations
 
@@ -20,12 +20,12 @@ def main(argv: list[str] | None = None) -> None:
     one.add_argument("--validation", type=float, default=0.15)
     one.add_argument("--seed", type=int, default=0)
     one.add_argument("--method", choices=("greedy", "rank"), default="greedy")
-    for name, text in (("select", "thresholds from validation scores"), ("evaluate", "metrics on test scores"), ("measure", "repeated-seed measurement")):
+    for name, text in (("select", "thresholds from validation scores"), ("evaluate", "metrics on test scores"), ("ensemble", "the same for two or more models and their mean"), ("measure", "repeated-seed measurement")):
         one = commands.add_parser(name, help=text)
         one.add_argument("manifest")
         one.add_argument("scores")
         one.add_argument("output")
-        if name == "evaluate":
+        if name in ("evaluate", "ensemble"):
             which = one.add_mutually_exclusive_group(required=True)
             which.add_argument("--threshold", type=float)
             which.add_argument("--selection")
@@ -40,7 +40,9 @@ def main(argv: list[str] | None = None) -> None:
     manifest, scores = spark.read.parquet(args.manifest), spark.read.parquet(args.scores)
     if args.command == "select":
         report = workflow.selection_record(manifest, scores)
-    elif args.command == "evaluate":
+    elif args.command in ("evaluate", "ensemble"):
+        if args.command == "ensemble" and scores.select("model").distinct().limit(2).count() < 2:
+            parser.error("an ensemble needs two models or more")
         chosen = workflow.load_selection(args.selection, manifest, scores) if args.selection else None
         report = {"metrics": sinks.metrics_json(workflow.evaluate(manifest, scores, args.threshold, chosen))}
     else:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import os
+import posixpath
 import re
 from numbers import Real
 
@@ -25,6 +27,14 @@ def check_relative_path(path: str) -> str:
     return path
 
 
+def check_apart(source: str, target: str) -> None:
+    """Two folders of which neither holds the other, whatever links and dots their paths have."""
+    a, b = (re.sub("^file:/+", "/", x) for x in (source, target))
+    a, b = (posixpath.normpath(x) if ":/" in x else os.path.realpath(x) for x in (a, b))
+    if f"{a}/".startswith(f"{b}/") or f"{b}/".startswith(f"{a}/"):
+        raise ValueError(f"{source} and {target} hold each other")
+
+
 def check_threshold(value) -> float:
     """A real number from 0 to 1, no bool."""
     if isinstance(value, bool) or not isinstance(value, Real) or not math.isfinite(value) or not 0 <= value <= 1:

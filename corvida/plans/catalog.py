@@ -346,6 +346,29 @@ placed AS (SELECT component, (row_number() OVER (PARTITION BY stratum ORDER BY m
   / CAST(count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS f FROM parts),
 splits AS (SELECT component, CASE WHEN f < 0.7 THEN 'train' WHEN f < 0.85 THEN 'validation' ELSE 'test' END AS split FROM placed),
 kept AS (SELECT l.*, s.split FROM linked l JOIN splits s USING (component) WHERE l.label IS NOT NULL)"""
+
+
+def _greedy(train: float = 0.7, validation: float = 0.15) -> str:
+    """CTEs of the greedy split: one step of the recursion for each component, largest first."""
+    shares = (train, validation, 1 - train - validation)
+    real = lambda x: f"CAST('{x!r}' AS DOUBLE)"
+
+    def gap(s: int, k: int) -> str:
+        held, want = f"f.h[{2 * s + k + 1}]", f"({real(shares[s])} * t{k})"
+        return f"coalesce((({held} + o.n{k} - {want}) * ({held} + o.n{k} - {want}) - ({held} - {want}) * ({held} - {want})) / nullif({want}, 0), 0)"
+
+    new = lambda s: " + ".join(f"CASE WHEN o.n{k} > 0 AND f.h[{2 * s + k + 1}] = 0 THEN 1 ELSE 0 END" for k in (0, 1))
+    costs = ", ".join(f"{{'a': -({new(s)}), 'b': {gap(s, 0)} + {gap(s, 1)}, 'c': {s}}}" for s in range(3))
+    held = ", ".join(f"h[{2 * s + k + 1}] + CASE WHEN s = {s} THEN n{k} ELSE 0 END" for s in range(3) for k in (0, 1))
+    return f"""{_COMPONENTS},
+parts AS (SELECT component, count(*) AS size, CAST(count(CASE WHEN label = 0 THEN 1 END) AS DOUBLE) AS n0, CAST(count(CASE WHEN label = 1 THEN 1 END) AS DOUBLE) AS n1 FROM linked WHERE label IS NOT NULL GROUP BY component),
+o AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5('0:' || component), component) AS step, sum(n0) OVER () AS t0, sum(n1) OVER () AS t1 FROM parts),
+steps AS (SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS component, CAST(NULL AS INTEGER) AS s, [CAST(0 AS DOUBLE), 0, 0, 0, 0, 0] AS h
+  UNION ALL SELECT step, component, s, [{held}] FROM (SELECT o.step, o.component, o.n0, o.n1, f.h, list_sort([{costs}])[1].c AS s FROM steps f JOIN o ON o.step = f.step + 1)),
+splits AS (SELECT component, (['train', 'validation', 'test'])[s + 1] AS split FROM steps WHERE step > 0),
+kept AS (SELECT l.*, s.split FROM linked l JOIN splits s USING (component) WHERE l.label IS NOT NULL)"""
+
+
 _SCORED = f"""{_SPLIT},
 scored AS (SELECT sample_id, component, split, seed, 'm' || seed AS model, label AS y,
   CAST(0.5 AS DOUBLE) * least(n_chars, 4000) / CAST(4000 AS DOUBLE)
@@ -405,6 +428,7 @@ SELECT (SELECT count(*) FROM samples) AS n_rows, (SELECT count(DISTINCT case_id)
     "duplicate_conflicts": f"WITH {_SAMPLES} SELECT byte_hash, count(DISTINCT label) AS n_values FROM samples WHERE label IS NOT NULL GROUP BY byte_hash HAVING count(DISTINCT label) > 1",
     "conflicts_seeded": f"WITH {_SAMPLES} SELECT content_hash, count(DISTINCT sample_id % 2) AS n_values FROM samples GROUP BY content_hash HAVING count(DISTINCT sample_id % 2) > 1",
     "rank_split_counts": f"WITH RECURSIVE {_SPLIT} SELECT split, label, count(*) AS n_rows, count(DISTINCT component) AS n_components FROM kept GROUP BY split, label",
+    "greedy_split_counts": f"WITH RECURSIVE {_greedy()} SELECT split, label, count(*) AS n_rows, count(DISTINCT component) AS n_components FROM kept GROUP BY split, label",
     "split_leakage": f"WITH RECURSIVE {_SPLIT} SELECT byte_hash, count(DISTINCT split) AS n_splits FROM kept GROUP BY byte_hash HAVING count(DISTINCT split) > 1",
     "leakage_without_groups": f"WITH {_SAMPLES} SELECT byte_hash FROM samples WHERE sample_id % 10 >= 7 INTERSECT SELECT byte_hash FROM samples WHERE sample_id % 10 < 7",
     "coverage_check": f"WITH RECURSIVE {_SPLIT} SELECT count(DISTINCT split || label) AS pairs FROM kept",

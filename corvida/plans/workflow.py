@@ -7,7 +7,6 @@ on test scores last. Tables stay DataFrames; small records are JSON.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,8 +52,14 @@ def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column
     return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows)}
 
 
-def import_classes(spark: SparkSession, root: str, groups: str | None = None) -> DataFrame:
-    """``sample_id, group, content_hash, label`` of two class folders; groups come from a CSV that names every file and no other, or are the files."""
+def import_classes(spark: SparkSession, root: str, groups: str | None = None, independent: bool = False) -> DataFrame:
+    """``sample_id, group, content_hash, label`` of two class folders.
+
+    Groups come from a CSV that names every file and no other, or the caller
+    says that files are independent: one of the two, so that it is no oversight.
+    """
+    if (groups is None) != independent:
+        raise ValueError("give groups or say that files are independent")
     files = Stage(spark, "classes").write(tables.class_directories(spark, root).select(F.col("source").alias("sample_id"), F.col("sha256").alias("content_hash"), "label"))
     if groups is None:
         return files.withColumn("group", F.col("sample_id")).select("sample_id", "group", "content_hash", "label")
@@ -85,30 +90,56 @@ def manifest_fingerprint(manifest: DataFrame) -> str:
     return identity.fingerprint(manifest, ["sample_id", "group", "content_hash", "label", "split"]).first().fingerprint
 
 
-def save_sidecar(path: str, model: bytes, manifest: DataFrame, seed: int, class_names: tuple[str, str] = ("0", "1"), **extra) -> dict:
-    """What a model was made from, written once beside it; trained digests are kept as one fingerprint."""
+def load_split(spark: SparkSession, path: str, fingerprint: str | None = None) -> DataFrame:
+    """A published split, after all its rules and, if given, its fingerprint."""
+    rows = spark.read.parquet(path)
+    contracts.check_manifest(rows)
+    if fingerprint is not None and manifest_fingerprint(rows) != contracts.check_digest(fingerprint):
+        raise ValueError(f"{path} is another split")
+    return rows
+
+
+def save_sidecar(path: str, model: bytes, manifest: DataFrame, seed: int, class_names: tuple[str, str] = ("0", "1"), architecture: str = "logistic", inputs: tuple[int, ...] = (1,), **extra) -> dict:
+    """What a model was made from, written once beside it.
+
+    The digests it was fitted and chosen on go to the table ``path.history``, as
+    they grow with the data; the record has their fingerprint.
+    """
+    seen = trained_history(manifest, lineage.digest(model))
     record = {
         "schema_version": SCHEMA_VERSION,
         "model_sha256": lineage.digest(model),
+        "architecture": architecture,
+        "inputs": list(inputs),
         "class_names": list(class_names),
         "seed": seed,
+        "source": identity.fingerprint(manifest, ["sample_id", "content_hash"]).first().fingerprint,
         "manifest": manifest_fingerprint(manifest),
-        "trained": identity.fingerprint(manifest.where("split != 'test'"), ["content_hash"]).first().fingerprint,
+        "trained": identity.fingerprint(seen, ["content_hash"]).first().fingerprint,
         "training": extra,
     }
+    _check_sidecar(record, path)
+    sinks.publish(seen, f"{path}.history")
     lineage.write_once(path, record)
     return record
 
 
+def _check_sidecar(record: dict, path: str) -> None:
+    names, inputs = record.get("class_names", ()), record.get("inputs", ())
+    if record.get("schema_version") != SCHEMA_VERSION or len(names) != 2 or len(set(names)) != 2 or not record.get("architecture"):
+        raise ValueError(f"{path}: unknown version, architecture or classes")
+    if not inputs or any(isinstance(x, bool) or not isinstance(x, int) or x < 1 for x in inputs):
+        raise ValueError(f"{path}: input sizes must be positive whole numbers")
+    for key in ("model_sha256", "source", "manifest", "trained"):
+        contracts.check_digest(record.get(key))
+
+
 def load_sidecar(path: str, model: bytes | None = None, manifest: DataFrame | None = None) -> dict:
     import json
 
     with open(path, "rb") as f:
         record = json.load(f)
-    if record.get("schema_version") != SCHEMA_VERSION or len(record.get("class_names", ())) != 2:
-        raise ValueError(f"{path}: unknown version or classes")
-    for key in ("model_sha256", "manifest", "trained"):
-        contracts.check_digest(record.get(key))
+    _check_sidecar(record, path)
     if model is not None and lineage.digest(model) != record["model_sha256"]:
         raise ValueError(f"{path} describes another model")
     if manifest is not None and manifest_fingerprint(manifest) != record["manifest"]:
@@ -116,6 +147,15 @@ def load_sidecar(path: str, model: bytes | None = None, manifest: DataFrame | No
     return record
 
 
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    """``model, content_hash`` of the model beside a sidecar, after comparing them with its fingerprint."""
+    record, rows = load_sidecar(path), spark.read.parquet(f"{path}.history")
+    contracts.require(rows.where(F.col("model") != record["model_sha256"]), f"{path}: another model's history")
+    if identity.fingerprint(rows, ["content_hash"]).first().fingerprint != record["trained"]:
+        raise ValueError(f"{path}: the history has changed")
+    return rows
+
+
 def judged(manifest: DataFrame, scores: DataFrame, part: str) -> DataFrame:
     """``model, sample_id, y, p`` of one part of the split; every model must score each of its samples once."""
     contracts.require(contracts.bad_scores(scores), "invalid scores")
@@ -219,9 +259,22 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     }
 
 
-def publish_cohort(cohort: dict[str, DataFrame], path: str) -> None:
-    """The cohort's tables in a new folder, each whole."""
-    if os.path.exists(path):
-        raise FileExistsError(path)
-    for name, rows in cohort.items():
-        sinks.publish(rows, f"{path}/{name}")
+def publish_cohort(cohort: dict[str, DataFrame], path: str, source: str | None = None) -> None:
+    """The cohort's tables in one new folder, all or none.
+
+    With the ``source`` folder given, it and the target must be apart, and its
+    files are read once more before the folder appears: those of the cohort must
+    still be what they were, and no image may have come.
+    """
+    if source is None:
+        sinks.publish_all(cohort, path)
+        return
+    contracts.check_apart(source, path)
+    spark = cohort["included"].sparkSession
+
+    def unchanged() -> None:
+        now = tables.inventory(spark, source).where("view IS NOT NULL").select("name", "sha256", "size")
+        held = cohort["included"].select(*now.columns).unionByName(cohort["excluded"].select(*now.columns))
+        contracts.require(contracts.difference(held, now), "source files changed during the import")
+
+    sinks.publish_all(cohort, path, unchanged)

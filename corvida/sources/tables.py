@@ -85,3 +85,42 @@ def case_files(spark: SparkSession, root: str) -> DataFrame:
     if rows.where(bad).take(1):
         raise ValueError("malformed case file")
     return rows.select(F.col("number").cast("long").alias("case_id"), F.nullif("category", F.lit("")).alias("category"), F.array_sort(F.transform(views, lambda v: v.cast("long"))).alias("views"))
+
+
+def expected_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name, sha256, size`` of a JSON list of objects with exactly these keys; digests are whole, sizes positive and names unique."""
+    rows = spark.read.json(path, multiLine=True, mode="FAILFAST")
+    if sorted(rows.columns) != ["name", "sha256", "size"]:
+        raise ValueError(f"keys must be name, sha256 and size, not {rows.columns}")
+    good = F.col("name").isNotNull() & F.col("sha256").cast("string").rlike("^[0-9a-f]{64}$") & (F.col("size").cast("long") > 0)
+    if rows.where(~F.coalesce(good, F.lit(False))).take(1) or rows.groupBy("name").count().where("count > 1").take(1):
+        raise ValueError("an invalid or repeated file")
+    return rows.select("name", "sha256", F.col("size").cast("long").alias("size"))
+
+
+_FIXTURE = "kind string, class_names array<string>, samples array<struct<source: string, group: string, label: int, split: string, sha256: string, probability: double>>"
+
+
+def fixture(spark: SparkSession, path: str, sha256: str | None = None) -> DataFrame:
+    """Samples of a small JSON document with their scores: ``sample_id, group, label, split, content_hash, p``.
+
+    The document's digest is compared if one is given. Sources and digests are
+    unique, groups are within one split, every split has both classes, and all
+    but training samples have a score from 0 to 1.
+    """
+    from corvida.operators import contracts
+
+    if sha256 is not None:
+        held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+        if held != contracts.check_digest(sha256):
+            raise ValueError(f"{path} has changed")
+    doc = spark.read.schema(_FIXTURE).json(path, multiLine=True, mode="FAILFAST")
+    named = doc.select("kind", "class_names").first()
+    if named is None or not named.kind or len(set(named.class_names or [])) != 2:
+        raise ValueError(f"{path} has no kind or not two classes")
+    rows = doc.select(F.inline("samples")).select(F.col("source").alias("sample_id"), "group", "label", "split", F.col("sha256").alias("content_hash"), F.col("probability").alias("p"))
+    contracts.check_manifest(rows)
+    contracts.require(contracts.unsafe_paths(rows, "sample_id"), "unsafe paths")
+    contracts.require(contracts.repeated(rows, "content_hash"), "repeated content")
+    contracts.require(contracts.bad_scores(rows.where("split != 'train'")), "invalid scores")
+    return rows

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -5,7 +6,7 @@ import pytest
 
 from corvida.__main__ import main
 from corvida.plans import workflow
-from corvida.sources import sinks
+from corvida.sources import sinks, tables
 
 CASE = "<case><number>{0}</number><tirads>{1}</tirads>{2}</case>"
 
@@ -73,6 +74,8 @@ def test_split_select_evaluate_measure(spark, tmp_path, method):
     with pytest.raises(ValueError):
         workflow.evaluate(manifest, by_model.where("sample_id > 3"), fixed=0.5)
     out = workflow.measure(manifest, scores, 30, 4)
+    page = sinks.measurement_html(out, "measured", {"manifest": "0" * 64})
+    assert page.count("<h2>") == 6 and "seed_3" in page
     assert out["per_seed"].count() == 2 and {r.metric for r in out["across_seeds"].collect()} == {"selected", "fixed", "delta"}
     assert all(r.valid == 30 and r.low <= r.high for r in out["intervals"].collect())
     with pytest.raises(ValueError):
@@ -88,6 +91,68 @@ def test_sidecar(spark, tmp_path):
     for bad in ((b"other", None), (None, manifest.where("sample_id > 0"))):
         with pytest.raises(ValueError):
             workflow.load_sidecar(path, *bad)
+    history = workflow.load_history(spark, path)
+    assert history.count() == manifest.where("split != 'test'").select("content_hash").distinct().count()
+    assert record["inputs"] == [1] and record["training"] == {"epochs": 2}
+    with pytest.raises(ValueError):
+        workflow.save_sidecar(str(tmp_path / "n.json"), b"w", manifest, 3, inputs=(0,))
+    stored = str(tmp_path / "split")
+    sinks.publish_split(manifest, stored)
+    assert workflow.load_split(spark, stored, record["manifest"]).count() == manifest.count()
+    with pytest.raises(ValueError):
+        workflow.load_split(spark, stored, "0" * 64)
+    with open(path) as f:
+        changed = json.load(f) | {"trained": "0" * 64}
+    with open(path, "w") as f:
+        json.dump(changed, f)
+    with pytest.raises(ValueError):
+        workflow.load_history(spark, path)
+
+
+def test_cohort_is_published_whole(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    src = folder(tmp_path / "src", [(1, "2", {1: b"a"}), (2, "", {1: b"b"}), (3, "5", {1: b"c"})])
+    files = [{"name": p.name, "sha256": hashlib.sha256(p.read_bytes()).hexdigest(), "size": p.stat().st_size} for p in (tmp_path / "src").iterdir()]
+    stated = tmp_path / "files.json"
+    stated.write_text(json.dumps(files))
+    cohort = workflow.import_cohort(spark, src, expected=tables.expected_files(spark, str(stated)))
+    for inside in (f"{src}/out", str(tmp_path), f"{src}/../src/x"):
+        with pytest.raises((ValueError, FileExistsError)):
+            workflow.publish_cohort(cohort, inside, src)
+    target = tmp_path / "cohort"
+    (tmp_path / "src" / "3_2.jpg").write_bytes(b"d")
+    with pytest.raises(ValueError):
+        workflow.publish_cohort(cohort, str(target), src)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["files.json", "src"]
+    (tmp_path / "src" / "3_2.jpg").unlink()
+    workflow.publish_cohort(cohort, str(target), src)
+    assert sorted(p.name for p in target.iterdir()) == ["components", "counts", "excluded", "included"]
+    with pytest.raises(FileExistsError):
+        workflow.publish_cohort(cohort, str(target), src)
+    for bad in ([files[0] | {"x": 1}], [files[0], files[0]], [files[0] | {"sha256": "0"}], [files[0] | {"size": 0}]):
+        stated.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            tables.expected_files(spark, str(stated))
+
+
+def test_fixture_and_report(spark, tmp_path):
+    samples = [{"source": f"{s}/{i}.png", "group": f"{s}{i}", "label": i % 2, "split": s, "sha256": hashlib.sha256(f"{s}{i}".encode()).hexdigest()} | ({} if s == "train" else {"probability": i / 4}) for s in ("train", "validation", "test") for i in range(4)]
+    path = tmp_path / "fixture.json"
+
+    def write(changes, **doc):
+        path.write_text(json.dumps({"kind": "made up", "class_names": ["a", "b"], "samples": [x | changes.get(i, {}) for i, x in enumerate(samples)]} | doc))
+        return hashlib.sha256(path.read_bytes()).hexdigest()
+
+    rows = tables.fixture(spark, str(path), write({}))
+    assert rows.count() == 12 and rows.where("p IS NULL").count() == 4
+    with pytest.raises(ValueError):
+        tables.fixture(spark, str(path), "0" * 64)
+    for changes, doc in (({5: {"probability": 2}}, {}), ({5: {"probability": None}}, {}), ({0: {"source": "../x"}}, {}), ({0: {"group": "test1"}}, {}), ({0: {"sha256": samples[1]["sha256"]}}, {}), ({0: {"label": 1}, 2: {"label": 1}}, {}), ({}, {"class_names": ["a", "a"]})):
+        write(changes, **doc)
+        with pytest.raises(ValueError):
+            tables.fixture(spark, str(path))
+    page = sinks.report_html("<t>", {"<a>": rows.limit(2), "note": "<script>"}, {"plan": "<d>"})
+    assert "<script>" not in page and "&lt;script&gt;" in page and "&lt;d&gt;" in page and "—" in page
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -100,6 +165,10 @@ def test_command_line(spark, tmp_path, capsys):
     main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json")])
     with open(p("e.json")) as f:
         assert len(json.load(f)["metrics"]) == 3
+    main(["ensemble", p("split"), p("scores"), p("n.json"), "--threshold", "0.5"])
+    scores.where("seed = 3").selectExpr("'m' AS model", "sample_id", "p").write.parquet(p("alone"))
+    with pytest.raises(SystemExit):
+        main(["ensemble", p("split"), p("alone"), p("a.json"), "--threshold", "0.5"])
 
 
 def test_class_folders_meet_their_groups(spark, tmp_path):
@@ -107,8 +176,11 @@ def test_class_folders_meet_their_groups(spark, tmp_path):
     for name in ("a/1.jpg", "a/2.png", "b/3.jpg"):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(name.encode())
-    alone = {r.sample_id: (r.group, r.label) for r in workflow.import_classes(spark, str(root)).collect()}
+    alone = {r.sample_id: (r.group, r.label) for r in workflow.import_classes(spark, str(root), independent=True).collect()}
     assert alone == {"a/1.jpg": ("a/1.jpg", 0), "a/2.png": ("a/2.png", 0), "b/3.jpg": ("b/3.jpg", 1)}
+    for both in ({}, {"groups": "x", "independent": True}):
+        with pytest.raises(ValueError):
+            workflow.import_classes(spark, str(root), **both)
     named = tmp_path / "groups.csv"
     named.write_text("path,group\na/1.jpg,p\na/2.png,p\nb/3.jpg, q \n")
     assert {r.sample_id: r.group for r in workflow.import_classes(spark, str(root), str(named)).collect()} == {"a/1.jpg": "p", "a/2.png": "p", "b/3.jpg": "q"}
