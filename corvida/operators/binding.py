@@ -59,6 +59,30 @@ def sample_faults(reported: DataFrame, manifest: DataFrame) -> DataFrame:
     return broken(met, ["seed", "sample_id"], rules).unionByName(broken(short, ["seed", "sample_id"], {"coverage": (F.col("rows") == n) & (F.col("ids") == n)}))
 
 
+def path_faults(rows: DataFrame, class_names: tuple[str, str]) -> DataFrame:
+    """``path, rule``: rows of ``(path, label, split)`` whose path isn't plain and relative, below the folders of their split and class, and their own.
+
+    A null path breaks all rules but the last.
+    """
+    part = lambda k: F.get(F.split("path", "/"), F.lit(k))
+    plain = ~F.col("path").contains("\\") & ~F.arrays_overlap(F.split("path", "/"), F.array(F.lit(""), F.lit("."), F.lit("..")))
+    rules = {"plain": plain, "split": part(0) == F.col("split"), "class": part(1) == F.get(F.array(*map(F.lit, class_names)), F.col("label").cast("int"))}
+    again = rows.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n"))
+    return broken(rows, ["path"], rules).unionByName(broken(again, ["path"], {"unique": F.col("n") == 1}))
+
+
+def model_faults(models: DataFrame, class_names: tuple[str, str], manifest: str) -> DataFrame:
+    """``model, rule``: models of ``(model, model_sha256, class_names, manifest)`` that can't be judged together.
+
+    All have the same two classes in one order and the same split; no two are
+    the same model under another name, and no name comes twice.
+    """
+    first = models.groupBy("model_sha256").agg(F.count_distinct("model").alias("names"))
+    named = models.groupBy("model").agg(F.count("*").alias("n"))
+    rules = {"classes": F.col("class_names") == F.array(*map(F.lit, class_names)), "manifest": F.col("manifest") == manifest, "digest": F.col("model_sha256").rlike("^[0-9a-f]{64}$"), "own_content": F.coalesce(F.col("names"), F.lit(1)) == 1}
+    return broken(models.join(first, "model_sha256", "left"), ["model"], rules).unionByName(broken(named, ["model"], {"unique": F.col("n") == 1}))
+
+
 def history_faults(history: DataFrame) -> DataFrame:
     """``run, rule``: runs of ``history(run, epoch, loss, val_loss)`` with values that aren't finite (``values``) or epochs that aren't 1, 2, … (``epochs``)."""
     finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))

@@ -110,6 +110,28 @@ def reported_samples(spark, d):
     return binding.sample_faults(told, rows)
 
 
+def split_paths(spark, d):
+    """Paths that don't lie below the folders of their split and class."""
+    rows = catalog.with_split(spark, d).select("sample_id", "split", F.col("label").cast("int").alias("label"))
+    name = F.when(F.col("sample_id") % 7 == 0, "mid").when(F.col("label") == 1, "high").otherwise("low")
+    place = F.when(F.col("sample_id") % 11 == 0, "train").otherwise(F.col("split"))
+    tail = F.when(F.col("sample_id") % 13 == 0, "..").otherwise(F.col("sample_id").cast("string"))
+    return binding.path_faults(rows.select(F.concat_ws("/", place, name, tail).alias("path"), "label", "split"), ("low", "high"))
+
+
+def registered_models(spark, d):
+    """Models that can't be judged together: other classes, another split, or another model under a new name."""
+    key = F.col("s_suppkey")
+    content = F.when(key % 9 == 0, key - 1).otherwise(key)
+    rows = table(spark, d, "supplier").select(
+        key.alias("model"),
+        F.when(key % 17 != 0, F.sha2(F.concat(F.lit("m"), content.cast("string")), 256)).alias("model_sha256"),
+        F.when(key % 5 == 0, F.array(F.lit("high"), F.lit("low"))).otherwise(F.array(F.lit("low"), F.lit("high"))).alias("class_names"),
+        F.when(key % 7 == 0, "other").otherwise("split").alias("manifest"),
+    )
+    return binding.model_faults(rows, ("low", "high"), "split")
+
+
 def cohort_binding(spark, d):
     """An imported cohort against the rows of a split that has lost and changed some."""
     base = Stage(spark, "cohort").write(catalog.samples(spark, d).where("label IS NOT NULL").select(F.col("sample_id").alias("path"), F.col("case_id").alias("group"), "label", F.col("byte_hash").alias("sha256"), F.col("n_chars").alias("size")))
@@ -197,6 +219,13 @@ UNION ALL {_rules('seed', 'w', {'runs': 'n >= 2', 'one_manifest': 'm = 1'})}""",
 s AS (SELECT seed, CAST(NULL AS BIGINT) AS sample_id, count(*) AS n, count(DISTINCT sample_id) AS d, (SELECT count(*) FROM kept WHERE split = 'test') AS w FROM told GROUP BY seed)
 {_rules('seed, sample_id', 'told', {'group': 'g', 'p': 'q'})}
 UNION ALL {_rules('seed, sample_id', 's', {'coverage': 'n = w AND d = w'})}""",
+    "split_paths": f"""WITH RECURSIVE {_SPLIT}, p AS (SELECT CASE WHEN sample_id % 11 = 0 THEN 'train' ELSE split END || '/' || CASE WHEN sample_id % 7 = 0 THEN 'mid' WHEN label = 1 THEN 'high' ELSE 'low' END
+  || '/' || CASE WHEN sample_id % 13 = 0 THEN '..' ELSE CAST(sample_id AS VARCHAR) END AS path, sample_id, split FROM kept), u AS (SELECT path, count(*) AS n FROM p GROUP BY path)
+{_rules('path', 'p', {'plain': 'sample_id % 13 > 0', 'split': "sample_id % 11 > 0 OR split = 'train'", 'class': 'sample_id % 7 > 0'})}
+UNION ALL {_rules('path', 'u', {'unique': 'n = 1'})}""",
+    "registered_models": f"""WITH m AS (SELECT s_suppkey AS model, CASE WHEN s_suppkey % 17 > 0 THEN s_suppkey - CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END END AS content FROM supplier),
+c AS (SELECT *, CASE WHEN content IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY content) END AS k FROM m)
+{_rules('model', 'c', {'classes': 'model % 5 > 0', 'manifest': 'model % 7 > 0', 'digest': 'content IS NOT NULL', 'own_content': 'k = 1'})}""",
     "cohort_binding": f"""WITH {_SAMPLES}, b AS (SELECT sample_id AS path, label, sample_id % 11 > 0 AS c, sample_id % 17 > 0 AS r FROM samples WHERE label IS NOT NULL AND NOT (sample_id % 11 = 0 AND sample_id % 17 = 0))
 {_rules('path', 'b', {'in_cohort': 'c', 'in_split': 'r', 'category': 'c AND path % 13 > 0', 'group': 'c AND r AND path % 19 > 0', 'label': 'c AND r', 'sha256': 'c AND r', 'size': 'c AND r AND path % 23 > 0'})}""",
     "checkpoint_files": """SELECT page_id % 10 AS folder, 'p' || page_id AS name, CASE WHEN page_id % 9 = 0 THEN 'missing' WHEN page_id % 8 = 0 THEN 'extra' ELSE 'changed' END AS rule
@@ -214,6 +243,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         view_coverage, class_components, repeated_lines, score_faults, unsafe_paths, file_names, category_labels, model_order, training_batches,
-        history_faults, run_binding, reported_samples, cohort_binding, checkpoint_files, trained_history, evaluation_report, measurement,
+        history_faults, run_binding, reported_samples, split_paths, registered_models, cohort_binding, checkpoint_files, trained_history, evaluation_report, measurement,
     )
 }

@@ -24,6 +24,16 @@ def test_empty_and_null(spark):
     assert faults(binding.run_faults(told, both.selectExpr("seed", "model_sha256", "selection_sha256", "manifest_sha256", "threshold + 0.1 AS threshold"))) == [(1, "threshold"), (2, "threshold")]
 
 
+def test_paths_and_models(spark):
+    rows = spark.createDataFrame([("test/a/1", 0, "test"), ("test/a/1", 0, "test"), ("test/b/2", 0, "test"), ("train/a/3", 0, "test"), ("test/a/../4", 0, "test"), (None, 0, "test"), ("test/a/5", None, "test"), ("x", 1, "test")], "path string, label int, split string")
+    assert faults(binding.path_faults(rows, ("a", "b"))) == sorted(
+        [("test/a/1", "unique"), ("test/b/2", "class"), ("train/a/3", "split"), ("test/a/../4", "plain"), (None, "plain"), (None, "split"), (None, "class"), ("test/a/5", "class"), ("x", "split"), ("x", "class")], key=str
+    )
+    one, two = "1" * 64, "2" * 64
+    models = spark.createDataFrame([("m", one, ["a", "b"], "s"), ("n", one, ["a", "b"], "s"), ("o", two, ["b", "a"], "t"), ("p", None, ["a", "b"], "s"), ("q", "3" * 64, ["a", "b"], "s"), ("q", "4" * 64, None, "s")], "model string, model_sha256 string, class_names array<string>, manifest string")
+    assert faults(binding.model_faults(models, ("a", "b"), "s")) == sorted([("m", "own_content"), ("n", "own_content"), ("o", "classes"), ("o", "manifest"), ("p", "digest"), ("q", "unique"), ("q", "classes")], key=str)
+
+
 def test_models_and_batches(spark):
     rows = spark.createDataFrame([(f"s{i:03d}",) for i in range(103)], "sample_id string")
     got = binding.batches(rows, 10, "sample_id").collect()
