@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.llm import bpe, decontam, embeddings, licenses, linededup, quality, simhash, tokencount, toxicity, urlfilter
+from corvida.llm import bpe, decontam, embeddings, hardneg, licenses, linededup, pagetext, periodic, quality, simhash, tokencount, toxicity, urlfilter
 from corvida.sources.tables import table
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -165,8 +165,42 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) A
 FROM embeddings LEFT JOIN counts c ON c.a = vec_id LEFT JOIN least_of m ON m.a = vec_id
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; some labels are moved on by one first."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0, scale=256.0)
+
+
+OP11_SQL = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id AND len(a.e) = len(b.e)),
+positives AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= {hardneg.POSITIVES})
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.a = p.a AND NOT n.same AND {hardneg.WINDOW[0]} * p.score <= 100 * n.score AND 100 * n.score <= {hardneg.WINDOW[1]} * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= {hardneg.NEGATIVES}"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents; in a tenth of them the words repeat from some place on."""
+    docs, h = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    repeats = F.when(h % 10 == 0, periodic.words_repeated_from(F.col("text"), F.floor(h / 10))).otherwise(F.col("text"))
+    best, line = periodic.highest_run(F.col("runs")), lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return periodic.periodic_runs(docs.select("doc_id", repeats.alias("text"))).withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return pagetext.main_texts(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_licenses, op2_quality, op3_line_dedup, op4_token_counts, op5_simhash, op6_url_filter, op7_toxicity, op8_decontam, op9_bpe, op10_embeddings)
+    for f in (op1_licenses, op2_quality, op3_line_dedup, op4_token_counts, op5_simhash, op6_url_filter, op7_toxicity, op8_decontam, op9_bpe, op10_embeddings, op11_hard_negatives, op12_periodic_runs, op13_html)
 }
-SQL: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op10_embeddings": OP10_SQL}
+SQL: dict[str, str] = {"op1_licenses": _op1_sql(), "op3_line_dedup": OP3_SQL, "op6_url_filter": _op6_sql(), "op10_embeddings": OP10_SQL, "op11_hard_negatives": OP11_SQL}
