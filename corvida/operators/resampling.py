@@ -10,12 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.operators.ordered import running_sums
+from corvida.operators.splitting import split_draw_sums
 from corvida.session import Stage
 
 #: Attempts for each wanted draw at most.
 ATTEMPTS_PER_DRAW = 20
 #: Attempts made at once at least.
 LEAST_BATCH = 200
+#: What a paired bootstrap has intervals of.
+SERIES = ("selected", "fixed", "delta", "over_baseline")
 
 
 def across_seeds(values: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:
@@ -60,13 +63,27 @@ def twister_draws(spark, generator: random.Random, first: int, last: int, groups
     return spark.createDataFrame(pa.table(columns, names=["attempt", "place", "times"]))
 
 
-def draw_values(sized: DataFrame, draws: DataFrame) -> DataFrame:
-    """``attempt, comparator, value``: balanced accuracy of each attempt that drew both classes, averaged over seeds; ``sized`` has the groups' places."""
+def slot_sums(sized: DataFrame, draws: DataFrame) -> DataFrame:
+    """``attempt, seed, comparator, P, N, tp, tn`` of drawn slots; ``sized`` has the groups' places."""
     # one row for each place, so that drawn slots aren't multiplied before they meet it
     packed = sized.groupBy("place").agg(F.collect_list(F.struct("seed", "comparator", "P", "N", "tp", "tn")).alias("s"))
-    drawn = draws.join(packed, "place").select("attempt", "times", F.inline("s")).groupBy("attempt", "seed", "comparator").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("P", "N", "tp", "tn")))
+    return draws.join(packed, "place").select("attempt", "times", F.inline("s")).groupBy("attempt", "seed", "comparator").agg(*(F.sum(F.col("times") * F.col(c)).alias(c) for c in ("P", "N", "tp", "tn")))
+
+
+def draw_values(drawn: DataFrame, paired: bool = False) -> DataFrame:
+    """``attempt, comparator, value`` of each attempt that drew both classes: balanced accuracy, averaged over seeds.
+
+    ``paired`` adds what ``selected`` gains over ``fixed`` and over a constant
+    class, seed by seed in the same draw.
+    """
     balanced = (F.col("tp") / F.col("P") + F.col("tn") / F.col("N")) / 2
-    return drawn.where("P > 0 AND N > 0").groupBy("attempt", "comparator").agg(F.avg(balanced).alias("value"))
+    rows = drawn.where("P > 0 AND N > 0").select("attempt", "seed", "comparator", balanced.alias("value"))
+    if paired:
+        wide = rows.groupBy("attempt", "seed").pivot("comparator", ["selected", "fixed"]).agg(F.first("value"))
+        # a constant class has all of one class right and none of the other
+        wide = wide.withColumns({"delta": F.col("selected") - F.col("fixed"), "over_baseline": F.col("selected") - 0.5})
+        rows = wide.unpivot(["attempt", "seed"], list(SERIES), "comparator", "value").where("value IS NOT NULL")
+    return rows.groupBy("attempt", "comparator").agg(F.avg("value").alias("value"))
 
 
 def percentile_interval(values: Column, low: float = 0.025, high: float = 0.975) -> Column:
@@ -74,18 +91,23 @@ def percentile_interval(values: Column, low: float = 0.025, high: float = 0.975)
     return F.percentile(values, F.array(F.lit(low), F.lit(high)))
 
 
-def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5") -> DataFrame:
+def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", paired: bool = False) -> DataFrame:
     """``comparator, valid, attempted, rejected, low, high``: intervals over the first ``repetitions`` valid attempts.
 
     Draws of one class are rejected; attempts come in batches until enough are
     valid or ``ATTEMPTS_PER_DRAW`` times as many were made. Then the intervals
     are null, and every comparator still has its record. All seeds and
-    comparators share the draws, so differences are paired. ``md5`` draws are
-    made by Spark; ``twister`` ones on the driver, for equal draws with Python's
-    generator.
+    comparators share the draws, so differences are paired; ``paired`` adds
+    intervals of them (``SERIES``), from ``sums`` with the comparators
+    ``selected`` and ``fixed``. ``splitting`` draws are multinomial counts made
+    where the groups are (``operators/splitting.py``), ``md5`` ones have a row
+    for each slot, ``twister`` ones are made on the driver, for equal draws
+    with Python's generator.
     """
     if repetitions < 2:
         raise ValueError("repetitions must be 2 or more")
+    if kind not in ("splitting", "md5", "twister"):
+        raise ValueError(f"unknown draws {kind}")
     spark, stage = sums.sparkSession, Stage(sums.sparkSession, "bootstrap")
     sized = stage.write(sums.join(numbered_groups(sums), "group"))
     groups = sized.select("group").distinct().count()
@@ -94,8 +116,11 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5") -
     generator, done, valid, values, most = random.Random(seed), 0, 0, None, ATTEMPTS_PER_DRAW * repetitions
     while done < most and valid < repetitions:
         upto = min(most, done + max(repetitions, LEAST_BATCH))
-        draws = hashed_draws(spark, seed, done, upto, groups) if kind == "md5" else twister_draws(spark, generator, done, upto, groups)
-        part = stage.write(draw_values(sized, draws))
+        if kind == "splitting":
+            drawn = split_draw_sums(sized, seed, done, upto, groups)
+        else:
+            drawn = slot_sums(sized, hashed_draws(spark, seed, done, upto, groups) if kind == "md5" else twister_draws(spark, generator, done, upto, groups))
+        part = stage.write(draw_values(drawn, paired))
         values = part if values is None else values.unionAll(part)
         valid += part.select("attempt").distinct().count()
         done = upto
@@ -107,5 +132,6 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5") -
     number = lambda n, name: F.lit(n).cast("long").alias(name)
     null = F.lit(None).cast("double")
     counts = [number(valid, "valid"), number(done, "attempted"), number(done - valid, "rejected")]
-    out = sized.select("comparator").distinct().join(found, "comparator", "left")
+    names = spark.createDataFrame([(n,) for n in SERIES], "comparator string") if paired else sized.select("comparator").distinct()
+    out = names.join(found, "comparator", "left")
     return out.select("comparator", *counts, *((F.get("i", F.lit(k)) if enough else null).alias(n) for k, n in enumerate(("low", "high"))))

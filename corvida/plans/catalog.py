@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.functions import content_digest, hashed_uniform
-from corvida.operators import contracts, identity, lineage, metrics, resampling, scoring, split, threshold
+from corvida.operators import contracts, identity, lineage, metrics, ordered, resampling, scoring, split, splitting, threshold
 from corvida.session import Stage
 from corvida.sources.tables import table
 
 SEEDS = (17, 29, 43)
 DRAWS, DRAW_SEED = 2000, 1729
+#: Rate and steps of the scorer by gradient descent.
+RATE, STEPS = 4.0, 8
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,6 +153,13 @@ def greedy_split_counts(spark, d):
     return kept.join(parts, "component").groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"))
 
 
+def greedy_run_counts(spark, d):
+    """The greedy split with equal components taken together, so that no task holds them all."""
+    rows = Stage(spark, "runs").write(with_component(spark, d))
+    kept, _ = identity.exclude_missing(rows)
+    return kept.join(split.greedy_run_split(rows), "component").groupBy("split", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n_rows"), F.count_distinct("component").alias("n_components"), F.sum("component").alias("sum_components"))
+
+
 def split_leakage(spark, d):
     return contracts.crossing(with_split(spark, d), "byte_hash")
 
@@ -272,6 +281,18 @@ def group_bootstrap(spark, d):
     return r.select("comparator", "valid", "attempted", "rejected", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
+def paired_intervals(spark, d):
+    """Intervals of both rules and of what the selected threshold gains, seed by seed in the same draws, over 0.5 and over a constant class."""
+    r = resampling.bootstrap(_draw_rows(spark, d), DRAWS, DRAW_SEED, "splitting", paired=True)
+    return r.select(F.col("comparator").alias("series"), "valid", "attempted", "rejected", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+def price_percentiles(spark, d):
+    """Exact percentiles of line prices by return flag."""
+    r = ordered.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.025, 0.5, 0.975])
+    return r.select("l_returnflag", "n", "share", F.round("value", 6).alias("value"))
+
+
 def group_bootstrap_twister(spark, d):
     r = resampling.bootstrap(_draw_rows(spark, d), DRAWS, DRAW_SEED, "twister")
     return r.select("comparator", "valid", "attempted", "rejected", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
@@ -323,11 +344,29 @@ def resume_pending(spark, d):
     return lineage.pending(plan, finished)
 
 
-def embedding_scorer(spark, d):
-    """A fitted scorer over all vectors: label 0 against the rest, scored in batches."""
+def _embedded(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All vectors with label 0 against the rest, and the four of five that are fitted on."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") == 0).cast("int").alias("y"))
-    train = rows.where("id % 5 != 0")
-    return scoring.apply_scorer(rows, scoring.fit_scorer(train)).select(F.col("id").alias("vec_id"), F.round("p", 6).alias("p"))
+    return rows, rows.where("id % 5 != 0")
+
+
+def embedding_scorer(spark, d):
+    """A scorer fitted by Newton steps on all training vectors, scored in batches."""
+    rows, train = _embedded(spark, d)
+    return scoring.apply_scorer(rows, scoring.fit_all(train)).select(F.col("id").alias("vec_id"), F.round("p", 6).alias("p"))
+
+
+def descent_scorer(spark, d):
+    """The same by gradient steps over all training vectors."""
+    rows, train = _embedded(spark, d)
+    return scoring.apply_scorer(rows, scoring.fit_descent(train, RATE, STEPS)).select(F.col("id").alias("vec_id"), F.round("p", 6).alias("p"))
+
+
+def seed_histories(spark, d):
+    """Training with early stop, each seed in a task of its own."""
+    _, train = _embedded(spark, d)
+    r = scoring.train_seeds(train.where("id % 5 != 1"), train.where("id % 5 = 1"), list(SEEDS), 12, patience=3)
+    return r.select("seed", "epoch", F.round("loss", 9).alias("loss"), F.round("val_loss", 9).alias("val_loss"), "best")
 
 
 _SAMPLES = f"""samples AS (SELECT d.doc_id AS sample_id, d.doc_id // 4 AS case_id, d.doc_id % 4 AS view, d.source, d.n_chars,
@@ -369,6 +408,26 @@ splits AS (SELECT component, (['train', 'validation', 'test'])[s + 1] AS split F
 kept AS (SELECT l.*, s.split FROM linked l JOIN splits s USING (component) WHERE l.label IS NOT NULL)"""
 
 
+def _greedy_runs(train: float = 0.7, validation: float = 0.15) -> str:
+    """CTEs of the greedy split by runs: costs are whole numbers over a common denominator."""
+    w = split.whole_shares(train, validation)
+
+    def gap(s: int) -> str:
+        own = " + ".join(f"o.n{k} * (2 * f.h[{2 * s + k + 1}] + o.n{k}) * greatest(t{1 - k}, 1)" for k in (0, 1))
+        return f"({own}) * {w[0] * w[1] * w[2] // w[s]}"
+
+    new = lambda s: " + ".join(f"CASE WHEN o.n{k} > 0 AND f.h[{2 * s + k + 1}] = 0 THEN 1 ELSE 0 END" for k in (0, 1))
+    costs = ", ".join(f"{{'a': -({new(s)}), 'b': {gap(s)}, 'c': {s}}}" for s in range(3))
+    held = ", ".join(f"h[{2 * s + k + 1}] + CASE WHEN s = {s} THEN n{k} ELSE 0 END" for s in range(3) for k in (0, 1))
+    return f"""{_COMPONENTS},
+parts AS (SELECT component, count(CASE WHEN label = 0 THEN 1 END) AS n0, count(CASE WHEN label = 1 THEN 1 END) AS n1 FROM linked WHERE label IS NOT NULL GROUP BY component),
+o AS (SELECT *, row_number() OVER (ORDER BY n0 + n1 DESC, n0 DESC, md5('0:' || component), component) AS step, CAST(sum(n0) OVER () AS BIGINT) AS t0, CAST(sum(n1) OVER () AS BIGINT) AS t1 FROM parts),
+steps AS (SELECT CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS component, CAST(NULL AS INTEGER) AS s, [CAST(0 AS BIGINT), 0, 0, 0, 0, 0] AS h
+  UNION ALL SELECT step, component, s, [{held}] FROM (SELECT o.step, o.component, o.n0, o.n1, f.h, list_sort([{costs}])[1].c AS s FROM steps f JOIN o ON o.step = f.step + 1)),
+splits AS (SELECT component, (['train', 'validation', 'test'])[s + 1] AS split FROM steps WHERE step > 0),
+kept AS (SELECT l.*, s.split FROM linked l JOIN splits s USING (component) WHERE l.label IS NOT NULL)"""
+
+
 _SCORED = f"""{_SPLIT},
 scored AS (SELECT sample_id, component, split, seed, 'm' || seed AS model, label AS y,
   CAST(0.5 AS DOUBLE) * least(n_chars, 4000) / CAST(4000 AS DOUBLE)
@@ -407,7 +466,31 @@ _BY_SEED = f"""{_CHOSEN},
 vals AS (SELECT a.model, a.ba AS selected, b.ba AS fixed FROM (SELECT model, {_BA} AS ba FROM selm) a JOIN (SELECT model, {_BA} AS ba FROM fixm) b USING (model))"""
 _ENSEMBLE = """AS (SELECT sample_id, model, y, p FROM {0} UNION ALL SELECT sample_id, 'ensemble', any_value(y), avg(p) FROM {0} GROUP BY sample_id)"""
 
+_JUDGED = """judged AS (SELECT component, seed, 'selected' AS comparator, y, CASE WHEN p >= threshold THEN 1 ELSE 0 END AS said FROM atsel
+  UNION ALL SELECT component, seed, 'fixed', y, CASE WHEN p >= threshold THEN 1 ELSE 0 END FROM atfix),
+sums AS (SELECT component, seed, comparator, sum(y) AS P, sum(1 - y) AS N, sum(y * said) AS tp, sum((1 - y) * (1 - said)) AS tn FROM judged GROUP BY ALL)"""
+_PAIRED = f"""{_JUDGED},
+{splitting.splitting_sql(DRAW_SEED, resampling.ATTEMPTS_PER_DRAW * DRAWS, 'sums')},
+bas AS (SELECT attempt, seed, any_value(CASE WHEN comparator = 'selected' THEN v END) AS selected, any_value(CASE WHEN comparator = 'fixed' THEN v END) AS fixed
+  FROM (SELECT *, (tp / CAST(P AS DOUBLE) + tn / CAST(N AS DOUBLE)) / 2 AS v FROM drawn WHERE P > 0 AND N > 0) GROUP BY attempt, seed),
+good AS (SELECT attempt FROM (SELECT DISTINCT attempt FROM bas) ORDER BY attempt LIMIT {DRAWS}),
+series AS (SELECT attempt, s.name AS series, avg(s.v) AS v FROM bas, unnest([{{'name': 'selected', 'v': selected}}, {{'name': 'fixed', 'v': fixed}}, {{'name': 'delta', 'v': selected - fixed}}, {{'name': 'over_baseline', 'v': selected - 0.5}}]) AS u(s)
+  WHERE attempt IN (SELECT attempt FROM good) GROUP BY attempt, s.name),
+intervals AS (SELECT series, count(*) AS valid, (SELECT max(attempt) + 1 FROM good) AS attempted, (SELECT max(attempt) + 1 FROM good) - count(*) AS rejected, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high FROM series GROUP BY series)"""
+_GRADIENT = f"list_transform(range(1, 66), lambda k: w[k] - CAST({RATE} AS DOUBLE) * g[k])"
+
+
 SQL: dict[str, str] = {
+    "paired_intervals": f"WITH RECURSIVE {_CHOSEN}, {_PAIRED} SELECT * FROM intervals",
+    "price_percentiles": " UNION ALL ".join(f"SELECT l_returnflag, count(l_extendedprice) AS n, CAST({q} AS DOUBLE) AS share, round(quantile_cont(CAST(l_extendedprice AS DOUBLE), {q}), 6) AS value FROM lineitem GROUP BY l_returnflag" for q in (0.025, 0.5, 0.975)),
+    "greedy_run_counts": f"WITH RECURSIVE {_greedy_runs()} SELECT split, label, count(*) AS n_rows, count(DISTINCT component) AS n_components, CAST(sum(component) AS BIGINT) AS sum_components FROM kept GROUP BY split, label",
+    "descent_scorer": f"""WITH RECURSIVE v AS (SELECT vec_id, list_prepend(CAST(1 AS DOUBLE), list_transform(embedding, lambda z: CAST(z AS DOUBLE))) AS x, CASE WHEN label = 0 THEN 1 ELSE 0 END AS y FROM embeddings),
+t AS (SELECT * FROM v WHERE vec_id % 5 <> 0),
+steps AS (SELECT 0 AS step, list_transform(range(65), lambda k: CAST(0 AS DOUBLE)) AS w
+  UNION ALL SELECT step, {_GRADIENT} FROM (SELECT step, any_value(w) AS w, list(g ORDER BY k) AS g FROM (
+    SELECT s.step + 1 AS step, any_value(s.w) AS w, k.range AS k, avg(t.x[k.range] * (1 / (1 + exp(-greatest(least(list_inner_product(s.w, t.x), 30), -30))) - t.y)) AS g
+    FROM steps s, t, range(1, 66) k WHERE s.step < {STEPS} GROUP BY s.step, k.range) GROUP BY step))
+SELECT vec_id, round(1 / (1 + exp(-greatest(least(list_inner_product(w, x), 30), -30))), 6) AS p FROM v, steps WHERE step = {STEPS}""",
     "samples_base": f"WITH {_SAMPLES} SELECT sample_id, case_id, view, coalesce(label, -1) AS label, byte_hash, content_hash, source || '/' || sample_id AS path FROM samples",
     "class_index": "SELECT source AS class_name, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS class_index FROM (SELECT DISTINCT source FROM documents)",
     "missing_label_exclusion": f"WITH {_SAMPLES} SELECT coalesce(label, -1) AS label, CASE WHEN label IS NULL THEN 'missing_label' ELSE '' END AS reason, count(*) AS n_rows FROM samples GROUP BY ALL",
@@ -499,9 +582,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         flagship, samples_base, class_index, missing_label_exclusion, case_components, cohort_counts, bridge_cases, group_support,
-        duplicate_conflicts, conflicts_seeded, rank_split_counts, greedy_split_counts, split_leakage, leakage_without_groups,
+        duplicate_conflicts, conflicts_seeded, rank_split_counts, greedy_split_counts, greedy_run_counts, split_leakage, leakage_without_groups,
         coverage_check, set_difference, dataset_fingerprint, threshold_curve, threshold_select, validation_thresholds, confusion,
         class_metrics, balanced_accuracy, roc_auc, brier_logloss, ensemble_mean, evaluation_samples, prior_baseline, paired_deltas,
-        seed_stats, group_bootstrap, group_bootstrap_twister, group_bootstrap_exhausted, model_history_leaks, held_groups, test_resolution, best_epoch, model_binding, resume_pending, embedding_scorer,
+        seed_stats, group_bootstrap, paired_intervals, price_percentiles, group_bootstrap_twister, group_bootstrap_exhausted, model_history_leaks, held_groups, test_resolution, best_epoch, model_binding, resume_pending, embedding_scorer, descent_scorer, seed_histories,
     )
 }
