@@ -17,10 +17,14 @@ def content_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+#: Which categories belong to which class.
+CATEGORY_LABELS = {"2": 0, "3": 0, "4a": 1, "4b": 1, "4c": 1, "5": 1}
+
+
 def known_label(category: Column) -> Column:
     """0 or 1 of an ordinal category, null of any other value."""
-    # Which categories belong to which class.
-    return F.when(category.isin("2", "3"), 0).when(category.isin("4a", "4b", "4c", "5"), 1)
+    of = lambda label: category.isin(*(c for c, x in CATEGORY_LABELS.items() if x == label))
+    return F.when(of(0), 0).when(of(1), 1)
 
 
 def mapped_label(category: Column) -> Column:

@@ -37,7 +37,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def uniforms(seed: int, attempts: np.ndarray, lo: int, hi: int) -> np.ndarray:
     """A number between 0 and 1 for each draw at the range from ``lo`` to ``hi``."""
     h = mixed(mixed(np.array([seed & _MASK], dtype=np.uint64)) ^ attempts.astype(np.uint64))
-    word = mixed((h + np.uint64(lo)) & np.uint64(_MASK)) ^ mixed(h ^ np.uint64(hi))
+    # one after the other, so that for each range all draws have numbers of their own
+    word = mixed((mixed((h + np.uint64(lo)) & np.uint64(_MASK)) + np.uint64(hi)) & np.uint64(_MASK))
     return (mixed(word).astype(np.float64) + 0.5) / 4294967296.0
 
 
@@ -146,7 +147,7 @@ def splitting_sql(seed: int, attempts: int, sums: str) -> str:
     """CTEs ``groups_of`` to ``drawn(attempt, seed, comparator, P, N, tp, tn)`` that make the same draws of the relation ``sums(component, seed, comparator, P, N, tp, tn)``; the query must be ``WITH RECURSIVE``."""
     step, last = f"lambda x: (xor(x >> 16, x) * {MULTIPLIER}) & {_MASK}", "lambda x: xor(x >> 16, x)"
     mix = lambda x: f"list_transform(list_transform(list_transform([{x}], {step}), {step}), {last})[1]"
-    word = f"xor({mix(f'(h + lo) & {_MASK}')}, {mix('xor(h, hi)')})"
+    word = mix(f"({mix(f'(h + lo) & {_MASK}')} + hi) & {_MASK}")
     # k is how many cumulated probabilities stay under u
     logs = "lgamma(c + 1) - lgamma(j + 1) - lgamma(c - j + 1) + j * ln(p) + (c - j) * ln(1 - p)"
     return f"""groups_of AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS place, count(*) OVER () AS n_groups FROM (SELECT DISTINCT component FROM {sums})),

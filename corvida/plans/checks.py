@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corvida.functions import known_label
 from corvida.operators import binding, contracts, identity
 from corvida.plans import catalog, workflow
-from corvida.plans.catalog import _CHOSEN, _COMPONENTS, _ENSEMBLE, _SAMPLES, _SCORED, _SPLIT, _cells, _curve
+from corvida.plans.catalog import _CHOSEN, _COMPONENTS, _ENSEMBLE, _PAIRED, _SAMPLES, _SCORED, _SPLIT, _cells, _curve
 from corvida.session import Stage
 from corvida.sources import tables
 from corvida.sources.tables import table
@@ -167,10 +167,17 @@ def evaluation_report(spark, d):
 
 
 def measurement(spark, d):
-    """The repeated-seed measurement with its bootstrap: what each seed gains over 0.5 and over a constant."""
+    """The repeated-seed measurement, all six of its tables as ``part, name, metric, value``."""
     rows, scores = _manifest(spark, d)
-    out = workflow.measure(rows, scores.select("seed", "sample_id", "p"), catalog.DRAWS, catalog.DRAW_SEED)["per_seed"]
-    return out.select("model", *(F.round(c, 9).alias(c) for c in ("selected", "fixed", "delta", "over_baseline")))
+    out = workflow.measure(rows, scores.select("seed", "sample_id", "p"), catalog.DRAWS, catalog.DRAW_SEED)
+    names = {"per_seed": "model", "across_seeds": "metric", "intervals": "comparator", "baseline": None, "support": None, "resolution": "label"}
+    long = None
+    for part, name in names.items():
+        values = [c for c in out[part].columns if c != name]
+        rows = out[part].select((F.col(name).cast("string") if name else F.lit("")).alias("name"), *(F.col(c).cast("double").alias(c) for c in values))
+        rows = rows.unpivot("name", values, "metric", "value").select(F.lit(part).alias("part"), "name", "metric", F.round("value", 9).alias("value"))
+        long = rows if long is None else long.unionByName(rows)
+    return long
 
 
 def _rules(key: str, source: str, rules: dict[str, str]) -> str:
@@ -234,9 +241,20 @@ FROM pages WHERE (page_id % 9 = 0) <> (page_id % 8 = 0) OR (page_id % 9 > 0 AND
     "evaluation_report": f"""{_REPORT} SELECT m.model, m.n, tn, fp, fn, tp, round({_DIV('(tp + tn)', 'm.n')}, 9) AS accuracy, round({_DIV('tp', 'tp + fn')}, 9) AS sensitivity, round({_DIV('tn', 'tn + fp')}, 9) AS specificity,
   round(({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2, 9) AS balanced_accuracy, round((s.s - s.P * (s.P + 1) / CAST(2 AS DOUBLE)) / nullif(CAST(s.P AS DOUBLE) * s.N, 0), 9) AS roc_auc,
   round(brier, 9) AS brier, round(loss, 9) AS log_loss FROM m JOIN s USING (model) JOIN l USING (model)""",
-    "measurement": f"""WITH RECURSIVE {_CHOSEN}, vals AS (SELECT a.model, a.v AS selected, b.v AS fixed FROM (SELECT model, ({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2 AS v FROM selm) a
-  JOIN (SELECT model, ({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2 AS v FROM fixm) b USING (model))
-SELECT replace(model, 'm', 'seed_') AS model, round(selected, 9) AS selected, round(fixed, 9) AS fixed, round(selected - fixed, 9) AS delta, round(selected - 0.5, 9) AS over_baseline FROM vals""",
+    "measurement": f"""WITH RECURSIVE {_CHOSEN}, {_PAIRED}, vals AS (SELECT a.model, a.v AS selected, b.v AS fixed FROM (SELECT model, ({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2 AS v FROM selm) a
+  JOIN (SELECT model, ({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2 AS v FROM fixm) b USING (model)),
+seeds AS (SELECT replace(v.model, 'm', 'seed_') AS name, m.metric, m.value FROM vals v JOIN chosen c USING (model), unnest([{{'metric': 'selected', 'value': selected}}, {{'metric': 'fixed', 'value': fixed}}, {{'metric': 'delta', 'value': selected - fixed}}, {{'metric': 'over_baseline', 'value': selected - 0.5}}, {{'metric': 'baseline', 'value': CAST(0.5 AS DOUBLE)}}, {{'metric': 'threshold', 'value': c.threshold}}]) AS u(m)),
+stats AS (SELECT metric AS name, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd, var_samp(value) AS variance, min(value) AS low, max(value) AS high FROM seeds WHERE metric NOT IN ('baseline', 'threshold') GROUP BY metric),
+tested AS (SELECT count(*) AS n_rows, count(DISTINCT component) AS n_components FROM kept WHERE split = 'test'),
+prior AS (SELECT avg(label) AS v FROM kept WHERE split = 'train'),
+long AS (SELECT 'per_seed' AS part, name, metric, value FROM seeds
+  {"".join(f"UNION ALL SELECT 'across_seeds', name, '{c}', CAST({c} AS DOUBLE) FROM stats " for c in ('n', 'mean', 'sd', 'variance', 'low', 'high'))}
+  {"".join(f"UNION ALL SELECT 'intervals', series, '{c}', CAST({c} AS DOUBLE) FROM intervals " for c in ('valid', 'attempted', 'rejected', 'low', 'high'))}
+  UNION ALL SELECT 'baseline', '', 'prior', v FROM prior UNION ALL SELECT 'baseline', '', 'constant_class', CASE WHEN v >= 0.5 THEN 1 ELSE 0 END FROM prior
+  UNION ALL SELECT 'support', '', 'n_rows', n_rows FROM tested UNION ALL SELECT 'support', '', 'n_groups', n_components FROM tested UNION ALL SELECT 'support', '', 'n_components', n_components FROM tested
+  UNION ALL SELECT 'resolution', CAST(label AS VARCHAR), 'n', count(*) FROM kept WHERE split = 'test' GROUP BY label
+  UNION ALL SELECT 'resolution', CAST(label AS VARCHAR), 'step', 0.5 / CAST(count(*) AS DOUBLE) FROM kept WHERE split = 'test' GROUP BY label)
+SELECT part, name, metric, round(value, 9) AS value FROM long""",
 }
 
 QUERIES = {

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.functions import mapped_label
-from corvida.operators import contracts, identity, lineage, metrics, resampling, split, threshold
+from corvida.functions import CATEGORY_LABELS, mapped_label
+from corvida.operators import binding, contracts, identity, lineage, metrics, resampling, split, threshold
 from corvida.session import Stage
 from corvida.sources import sinks, tables
 
@@ -21,7 +21,7 @@ SCHEMA_VERSION = 1
 
 
 def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column], Column] | None = None, expected: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``included``, ``excluded``, ``components`` and ``counts`` of a folder of case and image files.
+    """``included``, ``excluded``, ``components``, ``counts`` and ``files`` of a folder of case and image files.
 
     Cases are linked by equal image bytes and, if ``pixel_hash`` makes a digest
     of an image's content, by equal pixels; all cases take part, labelled or
@@ -49,7 +49,7 @@ def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column
     for key in keys:
         contracts.require(identity.conflicting(included, key, "label"), f"images of one {key} with different labels")
     parts = linked.groupBy("component").agg(F.array_sort(F.collect_list("case_id")).alias("cases"))
-    return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows)}
+    return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows), "files": files}
 
 
 def import_classes(spark: SparkSession, root: str, groups: str | None = None, independent: bool = False) -> DataFrame:
@@ -69,18 +69,74 @@ def import_classes(spark: SparkSession, root: str, groups: str | None = None, in
     return files.join(named, "sample_id").select("sample_id", "group", "content_hash", "label")
 
 
-def create_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 0, method: str = "greedy") -> DataFrame:
+COHORT_KIND, CLASS_NAMES = "case_cohort", ("low", "high")
+_IDENTITY = ["name", "case_id", "view", "sha256", "size", "category", "component", "label"]
+
+
+def cohort_record(cohort: dict[str, DataFrame]) -> dict:
+    """What a cohort is: its kind, classes, the label of each category, and fingerprints of what is in and out."""
+    return {
+        "schema_version": SCHEMA_VERSION,
+        "kind": COHORT_KIND,
+        "class_names": list(CLASS_NAMES),
+        "categories": dict(CATEGORY_LABELS),
+        "included": identity.fingerprint(cohort["included"], _IDENTITY).first().fingerprint,
+        "excluded": identity.fingerprint(cohort["excluded"], [c for c in _IDENTITY if c != "label"]).first().fingerprint,
+    }
+
+
+def check_cohort(cohort: dict[str, DataFrame], record: dict) -> None:
+    """Raise ValueError with all that a cohort's record doesn't say of its tables."""
+    want = cohort_record(cohort)
+    if wrong := sorted(k for k in want.keys() | record.keys() if record.get(k) != want.get(k)):
+        raise ValueError(f"the cohort's record differs in {wrong}")
+
+
+def load_cohort(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A published cohort, after comparing its tables with its record."""
+    import json
+
+    cohort = {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("included", "excluded", "components", "counts")}
+    check_cohort(cohort, json.loads(spark.read.parquet(f"{path.rstrip('/')}/record").first().record))
+    return cohort
+
+
+def cohort_samples(cohort: dict[str, DataFrame]) -> DataFrame:
+    """``sample_id, group, content_hash, label, size`` of a cohort's labelled images, to be split."""
+    return cohort["included"].select(F.col("name").alias("sample_id"), F.concat(F.lit("case-"), F.col("component").cast("string")).alias("group"), F.col("sha256").alias("content_hash"), "label", "size")
+
+
+def check_cohort_rows(rows: DataFrame, cohort: dict[str, DataFrame], record: dict | None = None) -> None:
+    """Rows of a split must be those of a cohort, no more and no fewer, with its groups, labels, digests and sizes."""
+    if record is not None:
+        check_cohort(cohort, record)
+    named = [F.col("sample_id").alias("path"), F.trim(F.col("group").cast("string")).alias("group"), "label", F.col("content_hash").alias("sha256"), "size"]
+    held = cohort_samples(cohort).select(*named).join(cohort["included"].select(F.col("name").alias("path"), "category"), "path")
+    contracts.require(binding.cohort_faults(held, rows.select(*named)), "rows differ from the cohort")
+
+
+def create_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15, seed: int = 0, method: str = "runs", cohort: dict[str, DataFrame] | None = None, record: dict | None = None) -> DataFrame:
     """``sample_id, group, content_hash, label, split`` of labelled rows with these columns but the last.
 
-    Rows of one group or one content share a split; the result fulfils ``check_manifest``.
+    Rows of one group or one content share a split; the result fulfils
+    ``check_manifest``. Components are dealt by greedy allocation, equal ones
+    together (``runs``) or one by one in a task (``greedy``), or by hashed rank.
+    With a ``cohort`` the rows, which then have ``size``, must be its own.
     """
+    if method not in ("runs", "greedy", "rank"):
+        raise ValueError(f"unknown method {method}")
+    if cohort is not None:
+        check_cohort_rows(rows, cohort, record)
     held = Stage(rows.sparkSession, "split").write(rows.select("sample_id", F.trim(F.col("group").cast("string")).alias("group"), "content_hash", "label"))
     contracts.require(contracts.repeated(held, "sample_id"), "repeated sample_id")
     contracts.require(identity.conflicting(held, "content_hash", "label"), "content with conflicting labels")
     linked = held.join(identity.link_components(held, "sample_id", ["group", "content_hash"]), "sample_id")
     few = linked.groupBy("label").agg(F.count_distinct("component").alias("n")).where("n < 3")
     contracts.require(few, "each class needs three components")
-    made = split.greedy_split(linked, train, validation, seed) if method == "greedy" else split.rank_split(linked, train, validation)
+    if method == "rank":
+        made = split.rank_split(linked, train, validation)
+    else:
+        made = (split.greedy_run_split if method == "runs" else split.greedy_split)(linked, train, validation, seed)
     out = Stage(rows.sparkSession, "split").write(linked.join(made, "component").select(*held.columns, "split"))
     contracts.check_manifest(out)
     return out
@@ -194,11 +250,13 @@ def trained_history(manifest: DataFrame, model: str) -> DataFrame:
     return manifest.where("split != 'test'").select(F.lit(model).alias("model"), "content_hash").distinct()
 
 
-def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None, selection: dict | None = None, history: DataFrame | None = None) -> DataFrame:
+def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None, selection: dict | None = None, history: DataFrame | None = None, models: DataFrame | None = None, class_names: tuple[str, str] = ("0", "1")) -> DataFrame:
     """Test metrics, one row per model, at one fixed threshold or at those of a selection.
 
     ``history`` is ``trained_history`` of the models, from whatever split they
-    were made with; a model that saw a test digest there is refused.
+    were made with; a model that saw a test digest there is refused. ``models``
+    are their records, ``model, model_sha256, class_names, manifest``: all have
+    these classes in this order and this split, and no two are one model.
     """
     if (fixed is None) == (selection is None):
         raise ValueError("give a fixed threshold or a selection")
@@ -207,6 +265,9 @@ def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None,
     if history is not None:
         contracts.require(contracts.unmatched(history, scores, "model").where("NOT left_only"), "models without a history")
         contracts.require(contracts.history_leaks(history.join(scores.select("model").distinct(), "model", "left_semi"), manifest), "models that saw test content")
+    if models is not None:
+        contracts.require(binding.model_faults(models, class_names, manifest_fingerprint(manifest)), "models that can't be judged together")
+        contracts.require(contracts.unmatched(models, scores, "model"), "models and scores differ")
     rows = Stage(manifest.sparkSession, "evaluate").write(metrics.with_ensemble(judged(manifest, scores, "test")))
     if selection is not None:
         if selection["manifest"] != manifest_fingerprint(manifest):
@@ -219,15 +280,36 @@ def evaluate(manifest: DataFrame, scores: DataFrame, fixed: float | None = None,
     return metrics.binary_metrics(rows, cuts)
 
 
-def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "md5") -> dict[str, DataFrame]:
+def check_runs(manifest: DataFrame, reports: DataFrame | None = None, fits: DataFrame | None = None, reported: DataFrame | None = None, histories: DataFrame | None = None) -> None:
+    """Raise ValueError where runs don't follow from one another.
+
+    ``reports`` and ``fits`` have a row for each seed (``binding.run_faults``)
+    and name this split; ``reported`` samples are those of its test part;
+    ``histories`` have finite losses for the epochs 1, 2, …
+    """
+    if (reports is None) != (fits is None):
+        raise ValueError("give reports and fits together")
+    if reports is not None:
+        contracts.require(binding.run_faults(reports, fits), "reports that don't follow from their fits")
+        contracts.require(reports.where(~F.coalesce(F.col("manifest_sha256") == manifest_fingerprint(manifest), F.lit(False))).select("seed"), "reports of another split")
+    if reported is not None:
+        contracts.require(binding.sample_faults(reported, manifest), "reported samples differ from the test part")
+    if histories is not None:
+        contracts.require(binding.history_faults(histories), "histories with gaps")
+
+
+def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "splitting", **runs: DataFrame) -> dict[str, DataFrame]:
     """Repeated-seed measurement; ``scores(seed, sample_id, p)`` has a run for each of two or more seeds.
 
-    ``per_seed`` compares the selected threshold with 0.5 and the training
-    prior, ``across_seeds`` sums that up, ``intervals`` resamples test groups,
-    ``support`` and ``resolution`` say what the test part can show.
+    ``per_seed`` compares the selected threshold with 0.5 and a constant class,
+    ``across_seeds`` sums that up, ``intervals`` resamples test groups and has
+    both rules and both differences, paired by draw; ``baseline`` is the
+    constant class of the training prior, ``support`` and ``resolution`` say
+    what the test part can show. ``runs`` are what ``check_runs`` takes.
     """
     spark, stage = manifest.sparkSession, Stage(manifest.sparkSession, "measure")
     contracts.check_manifest(manifest)
+    check_runs(manifest, **runs)
     contracts.require(contracts.in_several_groups(manifest), "test content in several groups")
     seeds = scores.select("seed").distinct().limit(2).count()
     if seeds < 2:
@@ -247,12 +329,12 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     values = total.select(F.col("seed").alias("model"), "comparator", ((F.col("tp") / F.col("P") + F.col("tn") / F.col("N")) / 2).alias("value"))
     wide = values.groupBy("model").pivot("comparator", ["selected", "fixed"]).agg(F.first("value"))
     per_seed = stage.write(wide.join(cuts, "model").withColumns({"delta": F.col("selected") - F.col("fixed"), "baseline": F.lit(0.5), "over_baseline": F.col("selected") - 0.5}))
-    across = resampling.across_seeds(per_seed.unpivot("model", ["selected", "fixed", "delta"], "metric", "value"))
+    across = resampling.across_seeds(per_seed.unpivot("model", ["selected", "fixed", "delta", "over_baseline"], "metric", "value"))
     counts = manifest.where("split = 'test'").groupBy("label").agg(F.count("*").alias("n"))
     return {
         "per_seed": per_seed,
         "across_seeds": across,
-        "intervals": resampling.bootstrap(sums, repetitions, seed, kind),
+        "intervals": resampling.bootstrap(sums, repetitions, seed, kind, paired=True),
         "baseline": spark.createDataFrame([(float(prior), constant)], "prior double, constant_class int"),
         "support": identity.group_support(manifest.where("split = 'test'"), "sample_id", "group", "content_hash"),
         "resolution": counts.withColumn("step", 0.5 / F.col("n")),
@@ -260,21 +342,23 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
 
 
 def publish_cohort(cohort: dict[str, DataFrame], path: str, source: str | None = None) -> None:
-    """The cohort's tables in one new folder, all or none.
+    """The cohort's tables and its record in one new folder, all or none.
 
     With the ``source`` folder given, it and the target must be apart, and its
-    files are read once more before the folder appears: those of the cohort must
-    still be what they were, and no image may have come.
+    files are read once more before the folder appears: case files and images,
+    excluded ones too, must still be what they were, and none may have come.
     """
+    import json
+
+    spark = cohort["included"].sparkSession
+    tables_of = {k: v for k, v in cohort.items() if k != "files"} | {"record": spark.createDataFrame([(json.dumps(cohort_record(cohort), sort_keys=True),)], "record string")}
     if source is None:
-        sinks.publish_all(cohort, path)
+        sinks.publish_all(tables_of, path)
         return
     contracts.check_apart(source, path)
-    spark = cohort["included"].sparkSession
 
     def unchanged() -> None:
-        now = tables.inventory(spark, source).where("view IS NOT NULL").select("name", "sha256", "size")
-        held = cohort["included"].select(*now.columns).unionByName(cohort["excluded"].select(*now.columns))
-        contracts.require(contracts.difference(held, now), "source files changed during the import")
+        now = tables.inventory(spark, source).select("name", "sha256", "size")
+        contracts.require(contracts.difference(cohort["files"].select(*now.columns), now), "source files changed during the import")
 
-    sinks.publish_all(cohort, path, unchanged)
+    sinks.publish_all(tables_of, path, unchanged)

@@ -52,7 +52,7 @@ def rows(spark):
     return spark.createDataFrame(data, "sample_id long, group string, content_hash string, label int"), spark.createDataFrame(scores, "seed long, sample_id long, p double")
 
 
-@pytest.mark.parametrize("method", ["greedy", "rank"])
+@pytest.mark.parametrize("method", ["runs", "greedy", "rank"])
 def test_split_select_evaluate_measure(spark, tmp_path, method):
     samples, scores = rows(spark)
     manifest = workflow.create_split(samples, method=method)
@@ -76,7 +76,8 @@ def test_split_select_evaluate_measure(spark, tmp_path, method):
     out = workflow.measure(manifest, scores, 30, 4)
     page = sinks.measurement_html(out, "measured", {"manifest": "0" * 64})
     assert page.count("<h2>") == 6 and "seed_3" in page
-    assert out["per_seed"].count() == 2 and {r.metric for r in out["across_seeds"].collect()} == {"selected", "fixed", "delta"}
+    assert out["per_seed"].count() == 2 and {r.metric for r in out["across_seeds"].collect()} == {"selected", "fixed", "delta", "over_baseline"}
+    assert {r.comparator for r in out["intervals"].collect()} == {"selected", "fixed", "delta", "over_baseline"}
     assert all(r.valid == 30 and r.low <= r.high for r in out["intervals"].collect())
     with pytest.raises(ValueError):
         workflow.measure(manifest, scores.where("seed = 3"), 30, 4)
@@ -126,7 +127,7 @@ def test_cohort_is_published_whole(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["files.json", "src"]
     (tmp_path / "src" / "3_2.jpg").unlink()
     workflow.publish_cohort(cohort, str(target), src)
-    assert sorted(p.name for p in target.iterdir()) == ["components", "counts", "excluded", "included"]
+    assert sorted(p.name for p in target.iterdir()) == ["components", "counts", "excluded", "included", "record"]
     with pytest.raises(FileExistsError):
         workflow.publish_cohort(cohort, str(target), src)
     for bad in ([files[0] | {"x": 1}], [files[0], files[0]], [files[0] | {"sha256": "0"}], [files[0] | {"size": 0}]):
@@ -162,13 +163,23 @@ def test_command_line(spark, tmp_path, capsys):
     p = lambda n: str(tmp_path / n)
     main(["split", p("rows"), p("split")])
     main(["select", p("split"), p("scores"), p("s.json")])
-    main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json")])
+    split = spark.read.parquet(p("split"))
+    workflow.trained_history(split, "m3").write.parquet(p("h3"))
+    workflow.trained_history(split, "m5").write.parquet(p("h5"))
+    with pytest.raises(SystemExit):
+        main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json")])
+    with pytest.raises(ValueError, match="without a history"):
+        main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json"), "--history", p("h3")])
+    split.selectExpr("'m3' AS model", "content_hash").write.parquet(p("seen"))
+    with pytest.raises(ValueError, match="saw test content"):
+        main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json"), "--history", p("seen"), p("h5")])
+    main(["evaluate", p("split"), p("scores"), p("e.json"), "--selection", p("s.json"), "--history", p("h3"), p("h5")])
     with open(p("e.json")) as f:
         assert len(json.load(f)["metrics"]) == 3
-    main(["ensemble", p("split"), p("scores"), p("n.json"), "--threshold", "0.5"])
+    main(["ensemble", p("split"), p("scores"), p("n.json"), "--threshold", "0.5", "--history", p("h3"), p("h5")])
     scores.where("seed = 3").selectExpr("'m' AS model", "sample_id", "p").write.parquet(p("alone"))
     with pytest.raises(SystemExit):
-        main(["ensemble", p("split"), p("alone"), p("a.json"), "--threshold", "0.5"])
+        main(["ensemble", p("split"), p("alone"), p("a.json"), "--threshold", "0.5", "--history", p("h3")])
 
 
 def test_class_folders_meet_their_groups(spark, tmp_path):
@@ -188,3 +199,94 @@ def test_class_folders_meet_their_groups(spark, tmp_path):
         named.write_text("path,group\n" + rows)
         with pytest.raises(ValueError):
             workflow.import_classes(spark, str(root), str(named))
+
+
+def test_split_is_bound_to_its_cohort(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    src = folder(tmp_path / "src", [(n, "2" if n % 2 else "5", {1: f"image {n}".encode()}) for n in range(1, 41)] + [(50, "", {1: b"left out"})])
+    p = lambda n: str(tmp_path / n)
+    main(["cohort", src, p("cohort")])
+    cohort = workflow.load_cohort(spark, p("cohort"))
+    rows = workflow.cohort_samples(cohort)
+    rows.write.parquet(p("rows"))
+    main(["split", p("rows"), p("split"), "--cohort", p("cohort")])
+    assert spark.read.parquet(p("split")).count() == 40
+    faults = {
+        "in_split": rows.where("sample_id != '3_1.jpg'"),
+        "in_cohort": rows.unionByName(rows.limit(1).selectExpr("'99_1.jpg' AS sample_id", "group", "content_hash", "label", "size")),
+        "group": rows.selectExpr("sample_id", "IF(sample_id = '4_1.jpg', 'x', group) AS group", "content_hash", "label", "size"),
+        "label": rows.selectExpr("sample_id", "group", "content_hash", "IF(sample_id = '4_1.jpg', 0, label) AS label", "size"),
+        "sha256": rows.selectExpr("sample_id", "group", "IF(sample_id = '4_1.jpg', 'x', content_hash) AS content_hash", "label", "size"),
+        "size": rows.selectExpr("sample_id", "group", "content_hash", "label", "IF(sample_id = '4_1.jpg', 1L, size) AS size"),
+    }
+    for rule, changed in faults.items():
+        with pytest.raises(ValueError, match=f"differ from the cohort.*'{rule}'"):
+            workflow.create_split(changed, cohort=cohort)
+    record = workflow.cohort_record(cohort)
+    workflow.check_cohort(cohort, record)
+    for change in ({"kind": "other"}, {"class_names": ["high", "low"]}, {"categories": {"2": 1}}, {"included": "0" * 64}, {"excluded": "0" * 64}, {"schema_version": 2}, {"more": 1}):
+        with pytest.raises(ValueError, match=next(iter(change))):
+            workflow.create_split(rows, cohort=cohort, record=record | change)
+
+
+@pytest.mark.parametrize("name", ["50.xml", "50_1.jpg", "3.xml", "3_1.jpg"])
+def test_any_file_that_changes_during_the_import_stops_it(spark, tmp_path, name):
+    (tmp_path / "src").mkdir()
+    src = folder(tmp_path / "src", [(3, "2", {1: b"a"}), (4, "5", {1: b"b"}), (50, "", {1: b"c"})])
+    cohort = workflow.import_cohort(spark, src)
+    at = tmp_path / "src" / name
+    at.write_bytes(at.read_bytes() + b" ")
+    with pytest.raises(ValueError, match="changed during the import"):
+        workflow.publish_cohort(cohort, str(tmp_path / "cohort"), src)
+    assert not (tmp_path / "cohort").exists()
+
+
+def test_evaluation_and_measurement_are_bound_to_models_and_runs(spark):
+    samples, scores = rows(spark)
+    manifest = workflow.create_split(samples)
+    by_model = scores.selectExpr("concat('m', seed) AS model", "sample_id", "p")
+    own = workflow.manifest_fingerprint(manifest)
+    models = lambda *rows: spark.createDataFrame(rows, "model string, model_sha256 string, class_names array<string>, manifest string")
+    good = [("m3", "3" * 64, ["0", "1"], own), ("m5", "5" * 64, ["0", "1"], own)]
+    assert workflow.evaluate(manifest, by_model, 0.5, models=models(*good)).count() == 3
+    for rule, bad in {"classes": ("m5", "5" * 64, ["1", "0"], own), "manifest": ("m5", "5" * 64, ["0", "1"], "0" * 64), "own_content": ("m5", "3" * 64, ["0", "1"], own), "digest": ("m5", "5", ["0", "1"], own), "models and scores": ("m6", "5" * 64, ["0", "1"], own)}.items():
+        with pytest.raises(ValueError, match=rule):
+            workflow.evaluate(manifest, by_model, 0.5, models=models(good[0], bad))
+    bound = "seed long, model_sha256 string, selection_sha256 string, manifest_sha256 string, threshold double"
+    fits = spark.createDataFrame([(s, f"{s}" * 64, "a" * 64, own, 0.4) for s in (3, 5)], bound)
+    reports = fits.selectExpr("*", "'test' AS split", "'validation_selection' AS mode")
+    told = scores.join(manifest.where("split = 'test'").drop("split"), "sample_id")
+    history = spark.createDataFrame([(s, e, 0.5, 0.5) for s in (3, 5) for e in (1, 2)], "run long, epoch int, loss double, val_loss double")
+    runs = {"reports": reports, "fits": fits, "reported": told, "histories": history}
+    assert workflow.measure(manifest, scores, 20, 4, **runs)["per_seed"].count() == 2
+    for match, changed in {
+        "model_sha256": {"reports": reports.withColumn("model_sha256", reports.selection_sha256)},
+        "'mode'": {"reports": reports.selectExpr("* EXCEPT (mode)", "'fixed' AS mode")},
+        "one_fit": {"fits": fits.where("seed = 3")},
+        "another split": {"reports": reports.selectExpr("* EXCEPT (manifest_sha256)", "'x' AS manifest_sha256"), "fits": fits.selectExpr("* EXCEPT (manifest_sha256)", "'x' AS manifest_sha256")},
+        "coverage": {"reported": told.where("seed = 3 OR sample_id % 2 = 0")},
+        "'label'": {"reported": told.withColumn("label", 1 - told.label)},
+        "epochs": {"histories": history.where("epoch = 2")},
+        "together": {"fits": None},
+    }.items():
+        with pytest.raises(ValueError, match=match):
+            workflow.measure(manifest, scores, 20, 4, **runs | changed)
+
+
+def test_training_by_the_command_line(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    data = [(i, [float(x) for x in r.normal(size=3) + (i % 2)], i % 2, ("train", "validation", "test")[i % 3]) for i in range(240)]
+    spark.createDataFrame(data, "id long, x array<double>, y int, split string").write.parquet(str(tmp_path / "rows"))
+    main(["train", str(tmp_path / "rows"), str(tmp_path / "fits"), "--seeds", "1", "2", "--epochs", "6"])
+    got = spark.read.parquet(str(tmp_path / "fits"))
+    assert {r.seed for r in got.collect()} == {1, 2} and got.where("best").where("size(weights) = 4").count() == 2
+
+
+def test_class_folders_by_the_command_line(spark, tmp_path):
+    for name in ("in/a/1.jpg", "in/b/2.jpg"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    main(["classes", str(tmp_path / "in"), str(tmp_path / "rows"), "--independent"])
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2
