@@ -7,13 +7,14 @@ training text; each hit names a diagonal (text position minus item position).
 Around the diagonals of the hits the item is laid over the text word by word,
 and the longest stretch of which at least ``similarity`` of the words agree,
 bounded by agreeing words, is a verified overlap; so are those before and after
-it on the diagonal. Of overlaps with one item that share words of the text the
+it on the diagonal. Where no stretch is long enough, a whole item of which so
+many words agree is one too, whatever its first and last words. Of overlaps with one item that share words of the text the
 longest is reported, so every passage of the text appears once for each item.
 
 An overlap of at least ``min_words`` words, or of the whole item if it is
 shorter, marks the text. Items of five to ``LEFT_OUT`` words are found by
-whole-item hashes that leave out one inner word each, as no seed need fit into
-what is left of them. A shorter item tolerates no substitution and says little:
+whole-item hashes that leave out one word each, as no seed need fit into what
+is left of them. A shorter item tolerates no substitution and says little:
 it marks a text that consists of it and nothing else. An item without words
 marks nothing.
 
@@ -92,7 +93,7 @@ class SeedIndex:
         long = [at for n, some in by_length.items() if n > LEFT_OUT for at in some]
         shapes = [(salt, offsets, long) for salt, offsets in seeds(masks)]
         for n in range(SEED_WORDS, LEFT_OUT + 1):
-            shapes += [(1000 + 32 * n + gone, [i for i in range(n) if i != gone], by_length[n]) for gone in range(1, n - 1) if n in by_length]
+            shapes += [(1000 + 32 * n + gone, [i for i in range(n) if i != gone], by_length[n]) for gone in range(n) if n in by_length]
         self.shapes = [(salt, offsets) for salt, offsets, _ in shapes]
         tables = []
         for salt, offsets, some in shapes:
@@ -167,7 +168,10 @@ def overlaps(words: list[bytes], index: SeedIndex, similarity: float = SIMILARIT
         item, test = index.items[at]
         lo, hi = max(0, -diagonal), min(len(test), len(words) - diagonal)
         same = [a == b for a, b in zip(test[lo:hi], words[lo + diagonal : hi + diagonal])]
-        for start, length, agreeing in _stretches(same, similarity, min(len(test), min_words)):
+        stretches = _stretches(same, similarity, min(len(test), min_words))
+        if not stretches and hi - lo == len(test) and sum(same) >= similarity * len(test) - 1e-9:
+            stretches = [(0, len(test), sum(same))]
+        for start, length, agreeing in stretches:
             found.setdefault(item, []).append((lo + diagonal + start, length, agreeing))
     out = []
     for item, spans in found.items():

@@ -29,6 +29,13 @@ all nodes or ``CHUNK`` numbers are. Rounds with fresh codes are added while
 either average is below ``RECALL``; after ``MAX_ROUNDS`` all vectors are
 compared, chunk by chunk.
 
+An average says nothing of a few rare links, and a draw that meets no link says
+nothing at all. So a sweep follows: so many more tables of codes, the links in
+their buckets alone, that a pair at the threshold shares no bucket with a
+chance of ``MISS`` at most, by the angle of the threshold, the bits of a code
+and two more for codes that are common. If an audit after it still meets a lost
+link, all vectors are compared.
+
 Cosines are computed in double precision. Vectors that are null, empty, zero
 or hold null or non-finite components link with nothing, nor do vectors of
 different length. Every row is judged by its own vector: rows that repeat a
@@ -58,6 +65,8 @@ BUCKET, TILE = 48, 128
 #: Numbers in a chunk of vectors that is compared with a whole table at once.
 CHUNK = 1 << 20
 AUDITED, AUDIT_NODES, RECALL = 256, 64, 0.97
+#: Chance that the sweep loses a pair at the threshold, tables of one of its steps.
+MISS, SWEPT = 1e-6, 8
 #: Angles nearer to a limit than this are settled by cosines.
 _MARGIN = 1e-5
 
@@ -147,9 +156,14 @@ def _gathered(rows: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, *(F.flatten(f"x.{c}").alias("flat") if c == "vec" else F.col(f"x.{c}").alias({"id": "ids"}.get(c, c)) for c in cols))
 
 
+def _bits(count: int) -> int:
+    """Bits of a code by which a bucket of spread vectors has ``BUCKET`` of them or some more."""
+    return min(24, max(1, int(np.log2(max(2, count / BUCKET)))))
+
+
 def _codes(nodes: DataFrame, dims: int, count: int, round_: int, tables: int) -> DataFrame:
     """``table, code, id, vec``: signs of random projections, with a salt where a code is common."""
-    bits = min(24, max(1, int(np.log2(max(2, count / BUCKET)))))
+    bits = _bits(count)
     planes = np.random.default_rng(1000 + round_).normal(size=(tables, bits, dims))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,6 +447,60 @@ def _audit(nodes: DataFrame, linked: DataFrame, threshold: float) -> float:
     return min(means, default=1.0)
 
 
+def sweep_tables(count: int, threshold: float) -> int:
+    """Tables of the sweep by which a pair at the threshold shares a bucket but for a chance of ``MISS``."""
+    met = (1 - np.arccos(threshold) / np.pi) ** (_bits(count) + 2)
+    return int(np.ceil(np.log(MISS) / np.log1p(-met)))
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links in each bucket."""
+    for batch in batches:
+        parts = []
+        for _, ids, unit in _groups(batch, "ids", "flat"):
+            close = unit @ unit.T >= threshold
+            np.fill_diagonal(close, False)
+            if close.any():
+                i, j = _forest(close)
+                parts.append((ids[i], ids[j], np.full(len(i), threshold)))
+        yield _edge_batch(parts)
+
+
+def _sweep(nodes: DataFrame, dims: int, count: int, threshold: float, stage: Stage) -> DataFrame:
+    """``u, v``: links in the buckets of all tables of the sweep, staged step by step.
+
+    A common code is cut by the signs of further projections, which seldom part
+    a close pair; what is common after 16 of these is one dense group, whose
+    links the lists have, and is dealt over parts.
+    """
+    bits, todo, out = _bits(count), sweep_tables(count, threshold), None
+    for step in range(0, todo, SWEPT):
+        tables = min(SWEPT, todo - step)
+        planes = np.random.default_rng(5000 + step).normal(size=(tables, bits + 16, dims))
+
+        def run(batches: Iterator[pa.RecordBatch], planes=planes, tables=tables) -> Iterator[pa.RecordBatch]:
+            powers = 1 << np.arange(bits + 16)
+            for batch in batches:
+                unit = _matrix(batch.column(1).flatten(), batch.num_rows)
+                code = np.stack([((unit @ planes[t].T) > 0) @ powers for t in range(tables)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code.tolist(), pa.list_(pa.int64()))], names=["id", "vec", "codes"])
+
+        coded = nodes.select("id", "vec").mapInArrow(run, f"id long, vec {nodes.schema['vec'].dataType.simpleString()}, codes array<long>")
+        coded = stage.write(coded.select("id", "vec", F.posexplode("codes").alias("table", "all")).withColumn("code", F.col("all") % (1 << bits)))
+        sizes = stage.write(coded.groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1"))
+        more = F.greatest(F.lit(0), F.least(F.lit(16), F.ceil(F.log2(F.col("n") / (2 * BUCKET))))).cast("int")
+        cell = F.shiftright("all", bits) % F.expr("shiftleft(CAST(1 AS BIGINT), more)")
+        cut = stage.write(coded.join(sizes, ["table", "code"]).withColumn("more", more).withColumn("cell", cell).select("table", "code", "cell", "id", "vec"))
+        cells = stage.write(cut.groupBy("table", "code", "cell").agg(F.count("*").alias("n")).where("n > 1"))
+        part = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("n") / (8 * BUCKET)))
+        rows = cut.join(cells, ["table", "code", "cell"]).select("table", "code", "cell", part.alias("part"), "id", "vec")
+        found = _gathered(rows, ["table", "code", "cell", "part"]).select("ids", "flat").mapInArrow(lambda batches: _bucket_links(batches, threshold), _EDGES)
+        new = stage.write(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        out = new if out is None else out.unionAll(new)
+        stage.drop(coded, sizes, cut, cells)
+    return out
+
+
 def _all_links(nodes: DataFrame, count: int, dims: int, threshold: float, stage: Stage) -> DataFrame:
     """``u, v, sim``: a spanning forest of the links of every chunk with every batch of all vectors."""
     chunks = -(-count * dims // CHUNK)
@@ -512,8 +580,13 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
             links = stage.write(links.unionAll(more.select("u", "v")))
             linked = stage.write(connected_components(links, "u", "v"))
         if _audit(nodes, linked, threshold) >= RECALL:
+            links = stage.write(links.unionAll(_sweep(nodes, dims, count, threshold, stage)).distinct())
+            linked = stage.write(connected_components(links, "u", "v"))
+            lost = _audit(nodes, linked, threshold) < 1
             break
     else:
+        lost = True
+    if lost:
         linked = stage.write(connected_components(_all_links(nodes, count, dims, threshold, stage), "u", "v"))
     stage.drop(graph, links)
     members = nodes.join(linked, nodes["id"] == linked["node"]).select("component", "id", "size", "vec")

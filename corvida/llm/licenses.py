@@ -1,9 +1,10 @@
 """License scans: an exact set-similarity join of text blocks with license templates, DataFrame operations only.
 
 Blocks are the whole text, for short phrases that may run over a line's end;
-its lines, for notices; and, as a notice is mostly wrapped over lines, windows of
-twice a notice's words that start at every multiple of their number, so that any
-stretch as long as the notice lies within one. A block meets a template if it
+its lines of up to twice a notice's words, for notices; and, as a notice is mostly
+wrapped over lines or part of a longer one, windows of twice its words that start
+at every multiple of their number, so that any stretch as long as the notice lies
+within one. A block meets a template if it
 holds at least ``threshold`` of the template's distinct words (all of them for a
 phrase). Words no template has can't add to an overlap, so blocks are reduced
 to template words first, whose number the templates fix. A text that as a whole
@@ -118,31 +119,36 @@ WHOLE, LINE = -1, 0
 
 
 def _token_sets(docs: DataFrame, wanted: list[Template]) -> DataFrame:
-    """``doc_id, tkey, kind, tokens``: distinct template words of every block."""
+    """``doc_id, tkey, kind, tokens, n_words``: distinct template words of every block, and how many words a line has in all."""
+    least = min((t.need for t in wanted if t.window), default=1)
     words_of = lambda ts: F.array(*(F.lit(w) for w in sorted({w for t in ts for w in t.words})))
     pattern = f"(?<!{WORD})(?i:{_trie(sorted({w for t in wanted for w in t.words}))})(?!{WORD})"
-    lines = F.transform(F.split("text", "\n"), lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.lower)))
-    rows = docs.select("doc_id", "tkey", "text", lines.alias("lines"))
+    lines = F.transform("raw", lambda line: F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), F.lower)))
+    rows = docs.select("doc_id", "tkey", "text", F.split("text", "\n").alias("raw")).withColumn("lines", lines)
     rows = rows.withColumn("whole", F.array_distinct(F.flatten("lines")))
+    # only of lines that may match a notice
+    sizes = F.zip_with("raw", "lines", lambda line, x: F.when(F.size(x) >= least, F.regexp_count(line, F.lit(f"{WORD}+"))).otherwise(0))
+    rows = rows.withColumn("sizes", sizes)
     classes: dict[int, list[Template]] = {}
     for t in wanted:
         if t.window:
             classes.setdefault(t.window, []).append(t)
     may = {n: reduce(lambda a, b: a | b, (F.size(F.array_intersect("whole", words_of([t]))) >= t.need for t in ts)) for n, ts in sorted(classes.items())}
-    rows = rows.select("doc_id", "tkey", "text", "lines", "whole", *(x.alias(f"may{n}") for n, x in may.items()))
+    rows = rows.select("doc_id", "tkey", "text", "lines", "sizes", "whole", *(x.alias(f"may{n}") for n, x in may.items()))
     some = reduce(lambda a, b: a | b, (F.col(f"may{n}") for n in may), F.lit(False))
     all_words = F.when(some, F.transform(F.regexp_extract_all("text", F.lit(f"{WORD}+"), F.lit(0)), lambda w: F.translate(w, UPPER, UPPER.lower())))
     rows = rows.withColumn("words", all_words)
 
+    block = lambda kind, x, size=None: F.struct(F.lit(kind).alias("kind"), x.alias("tokens"), (F.lit(0) if size is None else size).alias("n_words"))
+
     def windows(n: int) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / n).cast("int"))
         sets = F.transform(starts, lambda i: F.array_intersect(F.slice("words", i * n + 1, 2 * n), words_of(classes[n])))
         met = F.filter(sets, lambda x: F.size(x) >= min(t.need for t in classes[n]))
-        return F.when(F.col(f"may{n}"), F.transform(met, lambda x: F.struct(F.lit(n).alias("kind"), x.alias("tokens")))).otherwise(F.array())
+        return F.when(F.col(f"may{n}"), F.transform(met, lambda x: block(n, x))).otherwise(F.array())
 
-    block = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("tokens"))
-    blocks = F.concat(F.array(block(WHOLE)(F.col("whole"))), F.transform("lines", block(LINE)), *map(windows, classes))
-    return rows.select("doc_id", "tkey", F.explode(blocks).alias("b")).select("doc_id", "tkey", "b.kind", "b.tokens")
+    blocks = F.concat(F.array(block(WHOLE, F.col("whole"))), F.zip_with("lines", "sizes", lambda x, size: block(LINE, x, size)), *map(windows, classes))
+    return rows.select("doc_id", "tkey", F.explode(blocks).alias("b")).select("doc_id", "tkey", "b.kind", "b.tokens", "b.n_words")
 
 
 def matches(docs: DataFrame, wanted: list[Template], stage: Stage) -> DataFrame:
@@ -159,20 +165,22 @@ def matches(docs: DataFrame, wanted: list[Template], stage: Stage) -> DataFrame:
     rank = {w: i + 1 for i, w in enumerate(order)}
     ordered = F.array(*map(F.lit, order))
     ranks = F.array_sort(F.transform("tokens", lambda t: F.array_position(ordered, t).cast("int")))
-    blocks = sets.select("doc_id", "tkey", "kind", ranks.alias("ranks"))
+    blocks = sets.select("doc_id", "tkey", "kind", "n_words", ranks.alias("ranks"))
 
     heads, sides = [], []
     for k, t in enumerate(wanted):
         own = sorted({rank[w] for w in t.words})
         sides.append((k, own))
         for kind in (WHOLE,) if t.whole_text else (LINE, t.window):
-            heads += [(k, kind, token, j, len(own), t.need) for j, token in enumerate(own[: len(own) - t.need + 1])]
+            # a longer line is what its windows are
+            most = 2 * t.window if kind == LINE else 0
+            heads += [(k, kind, token, j, len(own), t.need, most) for j, token in enumerate(own[: len(own) - t.need + 1])]
     spark = docs.sparkSession
-    heads = spark.createDataFrame(heads, "template int, kind int, token int, j int, n int, need int")
+    heads = spark.createDataFrame(heads, "template int, kind int, token int, j int, n int, need int, most int")
     sides = spark.createDataFrame(sides, "template int, own array<int>")
     size = F.size("ranks")
-    probes = blocks.withColumn("needed", needed).select("doc_id", "tkey", "kind", "ranks", F.posexplode(F.slice("ranks", F.lit(1), size - F.col("needed") + 1)).alias("i", "token"))
-    fits = (size >= F.col("need")) & (F.col("i") <= size - F.col("need")) & (F.least(size - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
+    probes = blocks.withColumn("needed", needed).select("doc_id", "tkey", "kind", "n_words", "ranks", F.posexplode(F.slice("ranks", F.lit(1), size - F.col("needed") + 1)).alias("i", "token"))
+    fits = (F.col("n_words") <= F.col("most")) & (size >= F.col("need")) & (F.col("i") <= size - F.col("need")) & (F.least(size - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
     found = probes.join(F.broadcast(heads), ["kind", "token"]).where(fits)
     found = found.join(F.broadcast(sides), "template").withColumn("shared", F.size(F.array_intersect("ranks", "own")))
     found = found.where("shared >= need").withColumn("containment", F.col("shared") / F.col("n"))

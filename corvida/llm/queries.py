@@ -39,7 +39,7 @@ places AS (SELECT doc_id, p.label, i - 1 AS pos FROM w, unnest({phrases}) AS u(p
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM places GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 notices AS (SELECT unnest({notices}) AS n),
-blocks AS (SELECT doc_id, n, regexp_extract_all(line, '{word}') AS ws FROM lines, notices
+blocks AS (SELECT * FROM (SELECT doc_id, n, regexp_extract_all(line, '{word}') AS ws FROM lines, notices) WHERE len(ws) <= 2 * n.n
   UNION ALL SELECT doc_id, n, ws[i * n.n + 1:i * n.n + 2 * n.n] FROM w JOIN notices ON len(list_intersect(ws, n.words)) >= n.need, unnest(generate_series(0, (len(ws) - 1) // n.n)) AS g(i)),
 met AS (SELECT doc_id, n.label, max(len(list_intersect(ws, n.words)) / CAST(len(n.words) AS DOUBLE)) AS c FROM blocks
   WHERE len(list_intersect(ws, n.words)) >= n.need GROUP BY doc_id, n.label),

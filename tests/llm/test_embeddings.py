@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from corvida.llm import embeddings
@@ -174,3 +176,28 @@ def test_all_vectors_are_compared_if_the_audit_never_passes(spark, monkeypatch):
     rows = vectors(8, 40)
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_no_planted_pair_is_lost_among_many_unrelated_vectors(spark, seed):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(20_000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    other = r.normal(size=(400, 64))
+    other -= (other * x[:400]).sum(axis=1, keepdims=True) * x[:400]
+    other /= np.sqrt((other * other).sum(axis=1, keepdims=True))
+    x[10_000:10_400] = 0.952 * x[:400] + np.sqrt(1 - 0.952**2) * other
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(x.astype(np.float64).tolist())}))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).where("n_links > 0").collect()}
+    assert got == {i: (1, i % 10_000) for i in [*range(400), *range(10_000, 10_400)]}
+
+
+def test_the_sweep_alone_finds_pairs_at_the_threshold(spark):
+    # the miss of a pair at the threshold is computed, more tables for longer codes
+    assert embeddings.sweep_tables(500, 0.95) < embeddings.sweep_tables(20_000, 0.95) < embeddings.sweep_tables(10**6, 0.95)
+    met = (1 - np.arccos(0.95) / np.pi) ** (embeddings._bits(20_000) + 2)
+    assert (1 - met) ** embeddings.sweep_tables(20_000, 0.95) <= embeddings.MISS
+    x = np.random.default_rng(5).normal(size=(300, 8))
+    nodes = spark.createDataFrame([(i, 1, [float(v) for v in x[i % 150] * (1 + i)]) for i in range(300)], "id long, size long, vec array<double>")
+    found = {(r.u, r.v) for r in embeddings._sweep(nodes, 8, 300, 0.95, Stage(spark, "sweep")).collect()}
+    assert {(i, i + 150) for i in range(150)} <= found

@@ -24,7 +24,8 @@ def brute(text):
     for label, t in licenses.NOTICES:
         want = set(t.split())
         n = len(t.split())
-        for block in [words(line) for line in (text or "").split("\n")] + [ws[i : i + 2 * n] for i in range(0, len(ws), n)]:
+        lines = [b for b in (words(line) for line in (text or "").split("\n")) if len(b) <= 2 * n]
+        for block in lines + [ws[i : i + 2 * n] for i in range(0, len(ws), n)]:
             shared = len(want & set(block))
             if shared >= math.ceil(0.8 * len(want) - 1e-9):
                 own.add(label)
@@ -61,6 +62,12 @@ def test_against_brute_force(spark):
         # ten words to a line
         "// " + "\n// ".join(" ".join(licenses.NOTICES[2][1].split()[i : i + 10]) for i in range(0, 30, 10)),
         "reserved are all the rights",
+        # words of a notice scattered over one long line say nothing; a notice within one does
+        "all " + "x " * 400 + "rights " + "y " * 400 + "reserved",
+        ("z " * 60).join(licenses.NOTICES[2][1].split()),
+        "lead " * 500 + NOTICE + " trail" * 500,
+        "all a b c rights reserved",
+        "all a b c d rights reserved",
         "Klicense under the mit license İ",
         "\x00under\x00the\x7fmit\x01license",
         "long " * 30000 + "cc by nc " + "tail " * 30000,
@@ -103,3 +110,9 @@ def test_trie_matches_exactly_its_words():
         assert pattern.fullmatch(w)
     for w in ("", "bc", "abcd", "ac"):
         assert not pattern.fullmatch(w)
+
+
+def test_scattered_words_of_a_long_line_are_no_notice(spark):
+    texts = ["all " + "x " * 400 + "rights " + "y " * 400 + "reserved", ("z " * 60).join(dict(licenses.NOTICES)["gpl"].split())]
+    got = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0)] * 2
