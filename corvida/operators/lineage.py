@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvida.operators.contracts import check_relative_path
+from corvida.sources.store import create_once, read_bytes
 
 PHASES = ("fit", "test")
 
@@ -33,19 +34,13 @@ def digest(value) -> str:
 
 
 def write_once(path: str, value) -> str:
-    """Write a JSON document to a new file, whole or not at all; its digest. An equal document may be there already."""
+    """Write a JSON document to a new file, whole or not at all, on any store; its digest. An equal document may be there already."""
     data = canonical(value)
-    staged = f"{path}.{os.getpid()}.part"
-    with open(staged, "xb") as f:
-        f.write(data)
     try:
-        os.link(staged, path)
+        create_once(path, data)
     except FileExistsError:
-        with open(path, "rb") as f:
-            if f.read() != data:
-                raise ValueError(f"{path} holds another document") from None
-    finally:
-        os.remove(staged)
+        if read_bytes(path) != data:
+            raise ValueError(f"{path} holds another document") from None
     return digest(data)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corvida.operators.lineage import write_once
 from corvida.session import ship_package
+from corvida.sources.store import exists, read_bytes
 
 #: Builders by name; each takes a seed and has fit(x, y) and score(x).
 SCORERS: dict[str, type] = {}
@@ -230,15 +230,14 @@ def train_seeds(train: DataFrame, validation: DataFrame, seeds: list[int], epoch
 
 def save_scorer(path: str, scorer: Logistic, history: list[dict]) -> str:
     """Weights and history in two new JSON files, ``path`` and ``path.history.json``; the digest of the weights."""
-    if os.path.exists(path) or os.path.exists(f"{path}.history.json"):
+    if exists(path) or exists(f"{path}.history.json"):
         raise FileExistsError(path)
     write_once(f"{path}.history.json", history)
     return write_once(path, {"schema_version": 1, "weights": scorer.w.tolist()})
 
 
 def load_scorer(path: str) -> Logistic:
-    with open(path, "rb") as f:
-        stored = json.load(f)
+    stored = json.loads(read_bytes(path))
     if stored.get("schema_version") != 1 or not np.all(np.isfinite(stored["weights"])):
         raise ValueError(f"{path} holds no scorer")
     scorer = Logistic()

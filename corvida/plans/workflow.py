@@ -7,6 +7,7 @@ on test scores last. Tables stay DataFrames; small records are JSON.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from corvida.functions import CATEGORY_LABELS, mapped_label
 from corvida.operators import binding, contracts, identity, lineage, metrics, resampling, split, threshold
 from corvida.session import Stage
-from corvida.sources import sinks, tables
+from corvida.sources import files, sinks, tables
+from corvida.sources.store import read_bytes
 
 SCHEMA_VERSION = 1
 
@@ -29,11 +31,12 @@ def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column
     equal.
     """
     stage = Stage(spark, "cohort")
-    files = stage.write(tables.inventory(spark, source))
+    files.refuse_links(spark, source)
+    found = stage.write(tables.inventory(spark, source))
     if expected is not None:
-        contracts.require(contracts.difference(files.select("name", "sha256", "size"), expected), "source files differ from the expected ones")
+        contracts.require(contracts.difference(found.select("name", "sha256", "size"), expected), "source files differ from the expected ones")
     cases = stage.write(tables.case_files(spark, source))
-    images = files.where("view IS NOT NULL")
+    images = found.where("view IS NOT NULL")
     marks = cases.select("case_id", F.explode("views").alias("view"))
     pairs = images.select(F.struct("case_id", "view").alias("k")), marks.select(F.struct("case_id", "view").alias("k"))
     contracts.require(contracts.unmatched(*pairs, "k"), "marks and image files differ")
@@ -49,24 +52,25 @@ def import_cohort(spark: SparkSession, source: str, pixel_hash: Callable[[Column
     for key in keys:
         contracts.require(identity.conflicting(included, key, "label"), f"images of one {key} with different labels")
     parts = linked.groupBy("component").agg(F.array_sort(F.collect_list("case_id")).alias("cases"))
-    return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows), "files": files}
+    return {"included": included, "excluded": excluded, "components": parts, "counts": identity.cohort_counts(rows), "files": found}
 
 
 def import_classes(spark: SparkSession, root: str, groups: str | None = None, independent: bool = False) -> DataFrame:
-    """``sample_id, group, content_hash, label`` of two class folders.
+    """``sample_id, group, content_hash, label, size`` of two class folders, which hold no links.
 
     Groups come from a CSV that names every file and no other, or the caller
     says that files are independent: one of the two, so that it is no oversight.
     """
     if (groups is None) != independent:
         raise ValueError("give groups or say that files are independent")
-    files = Stage(spark, "classes").write(tables.class_directories(spark, root).select(F.col("source").alias("sample_id"), F.col("sha256").alias("content_hash"), "label"))
+    files.refuse_links(spark, root)
+    rows = Stage(spark, "classes").write(tables.class_directories(spark, root).select(F.col("source").alias("sample_id"), F.col("sha256").alias("content_hash"), "label", "size"))
     if groups is None:
-        return files.withColumn("group", F.col("sample_id")).select("sample_id", "group", "content_hash", "label")
+        return rows.select("sample_id", F.col("sample_id").alias("group"), "content_hash", "label", "size")
     named = tables.group_csv(spark, groups).withColumnRenamed("path", "sample_id")
     contracts.require(contracts.unsafe_paths(named, "sample_id"), "unsafe paths")
-    contracts.require(contracts.unmatched(files, named, "sample_id"), "files and named groups differ")
-    return files.join(named, "sample_id").select("sample_id", "group", "content_hash", "label")
+    contracts.require(contracts.unmatched(rows, named, "sample_id"), "files and named groups differ")
+    return rows.join(named, "sample_id").select("sample_id", "group", "content_hash", "label", "size")
 
 
 COHORT_KIND, CLASS_NAMES = "case_cohort", ("low", "high")
@@ -94,8 +98,6 @@ def check_cohort(cohort: dict[str, DataFrame], record: dict) -> None:
 
 def load_cohort(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """A published cohort, after comparing its tables with its record."""
-    import json
-
     cohort = {name: spark.read.parquet(f"{path.rstrip('/')}/{name}") for name in ("included", "excluded", "components", "counts")}
     check_cohort(cohort, json.loads(spark.read.parquet(f"{path.rstrip('/')}/record").first().record))
     return cohort
@@ -142,6 +144,34 @@ def create_split(rows: DataFrame, train: float = 0.7, validation: float = 0.15,
     return out
 
 
+def split_paths(manifest: DataFrame, class_names: tuple[str, str]) -> DataFrame:
+    """``manifest`` with ``path``: each file below the folders of its split and its class, under its own name without the class folder."""
+    name = F.when(F.substring_index("sample_id", "/", 1).isin(*class_names), F.expr("substring(sample_id, locate('/', sample_id) + 1)")).otherwise(F.col("sample_id"))
+    return manifest.withColumn("path", F.concat_ws("/", "split", F.get(F.array(*map(F.lit, class_names)), F.col("label").cast("int")), name))
+
+
+def publish_split_files(manifest: DataFrame, sizes: DataFrame, source: str, target: str, class_names: tuple[str, str]) -> None:
+    """The files of a split, copied to ``split/class/name`` in one new folder with the table ``manifest``, all or none.
+
+    ``sizes(sample_id, size)`` are those of the import. What was written is
+    hashed again; a file that changed since the import or that collides with
+    another stops the whole.
+    """
+    contracts.check_manifest(manifest)
+    rows = Stage(manifest.sparkSession, "published").write(split_paths(manifest, class_names).join(sizes.select("sample_id", "size"), "sample_id", "left"))
+    contracts.require(binding.path_faults(rows, class_names), "paths that aren't those of their split and class")
+    files.publish_files(rows.select(F.col("sample_id").alias("source"), "path", F.col("content_hash").alias("sha256"), "size"), source, target, {"manifest": rows})
+
+
+def publish_cohort_files(cohort: dict[str, DataFrame], source: str, target: str) -> None:
+    """The labelled images of a cohort copied to ``data/class/name``, with its tables, its record and ``groups``, all or none; the whole source is read again first."""
+    named = F.concat_ws("/", F.lit("data"), F.get(F.array(*map(F.lit, CLASS_NAMES)), F.col("label")), "name")
+    now = tables.inventory(cohort["included"].sparkSession, source).select("name", "sha256", "size")
+    contracts.require(contracts.difference(cohort["files"].select(*now.columns), now), "source files changed during the import")
+    groups = cohort["included"].select(named.alias("path"), F.concat(F.lit("case-"), F.col("component").cast("string")).alias("group"))
+    files.publish_files(cohort["included"].select(F.col("name").alias("source"), named.alias("path"), "sha256", "size"), source, target, _cohort_tables(cohort) | {"groups": groups})
+
+
 def manifest_fingerprint(manifest: DataFrame) -> str:
     return identity.fingerprint(manifest, ["sample_id", "group", "content_hash", "label", "split"]).first().fingerprint
 
@@ -191,10 +221,7 @@ def _check_sidecar(record: dict, path: str) -> None:
 
 
 def load_sidecar(path: str, model: bytes | None = None, manifest: DataFrame | None = None) -> dict:
-    import json
-
-    with open(path, "rb") as f:
-        record = json.load(f)
+    record = json.loads(read_bytes(path))
     _check_sidecar(record, path)
     if model is not None and lineage.digest(model) != record["model_sha256"]:
         raise ValueError(f"{path} describes another model")
@@ -236,10 +263,7 @@ def selection_record(manifest: DataFrame, scores: DataFrame) -> dict:
 
 def load_selection(path: str, manifest: DataFrame, scores: DataFrame) -> dict:
     """A stored record, after making it anew from its evidence and comparing the two."""
-    import json
-
-    with open(path, "rb") as f:
-        stored = json.load(f)
+    stored = json.loads(read_bytes(path))
     if lineage.canonical(stored) != lineage.canonical(selection_record(manifest, scores)):
         raise ValueError(f"{path} doesn't follow from its evidence")
     return stored
@@ -341,6 +365,11 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     }
 
 
+def _cohort_tables(cohort: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    record = json.dumps(cohort_record(cohort), sort_keys=True)
+    return {k: v for k, v in cohort.items() if k != "files"} | {"record": cohort["included"].sparkSession.createDataFrame([(record,)], "record string")}
+
+
 def publish_cohort(cohort: dict[str, DataFrame], path: str, source: str | None = None) -> None:
     """The cohort's tables and its record in one new folder, all or none.
 
@@ -348,10 +377,7 @@ def publish_cohort(cohort: dict[str, DataFrame], path: str, source: str | None =
     files are read once more before the folder appears: case files and images,
     excluded ones too, must still be what they were, and none may have come.
     """
-    import json
-
-    spark = cohort["included"].sparkSession
-    tables_of = {k: v for k, v in cohort.items() if k != "files"} | {"record": spark.createDataFrame([(json.dumps(cohort_record(cohort), sort_keys=True),)], "record string")}
+    spark, tables_of = cohort["included"].sparkSession, _cohort_tables(cohort)
     if source is None:
         sinks.publish_all(tables_of, path)
         return
