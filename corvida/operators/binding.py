@@ -7,11 +7,17 @@ can't be decided, as a value is null, counts as broken.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvida.functions import known_label
+from corvida.operators.contracts import require
 from corvida.operators.ordered import running_sums
+from corvida.session import ship_package
 
 #: What a test report and the fit of its seed must agree on.
 BOUND = ("model_sha256", "selection_sha256", "manifest_sha256", "threshold")
@@ -105,9 +111,13 @@ def cohort_faults(cohort: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def file_faults(stated: DataFrame, found: DataFrame) -> DataFrame:
-    """``folder, name, rule``: files of a folder that a record states and no one finds (``missing``), or the reverse (``extra``), or whose digests differ (``changed``)."""
-    both = stated.select("folder", "name", F.col("sha256").alias("a")).join(found.select("folder", "name", F.col("sha256").alias("b")), ["folder", "name"], "full_outer")
-    rule = F.when(F.col("b").isNull(), "missing").when(F.col("a").isNull(), "extra").when(F.col("a") != F.col("b"), "changed")
+    """``folder, name, rule``: files of a folder that a record states and no one finds (``missing``), or the reverse (``extra``), whose digests differ (``changed``), or that one side names twice (``repeated``).
+
+    A digest that is null on either side can't be compared, so the file counts as changed.
+    """
+    side = lambda rows, c: rows.groupBy("folder", "name").agg(F.max("sha256").alias(c), F.count("*").alias(f"n_{c}"))
+    both = side(stated, "a").join(side(found, "b"), ["folder", "name"], "full_outer")
+    rule = F.when(F.col("n_b").isNull(), "missing").when(F.col("n_a").isNull(), "extra").when((F.col("n_a") > 1) | (F.col("n_b") > 1), "repeated").when(~F.coalesce(F.col("a") == F.col("b"), F.lit(False)), "changed")
     return both.withColumn("rule", rule).where("rule IS NOT NULL").select("folder", "name", "rule")
 
 
@@ -129,3 +139,56 @@ def batches(rows: DataFrame, size: int, key: str, seed: int | None = None) -> Da
     hashed = rows.withColumns({"_one": F.lit(1).cast("long"), "_h": F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))})
     placed = running_sums(hashed, [], order, {"_place": "_one"}).withColumn("place", F.col("_place").cast("long"))
     return placed.withColumn("batch", F.expr(f"place div {int(size)}")).drop("_one", "_h", "_place")
+
+
+def tensor_batches(rows: DataFrame, size: int, width: int, key: str, vector: str, label: str, seed: int, epoch: int = 1, shards: int = 16) -> DataFrame:
+    """``shard, batch, n, ids, x, y``: an epoch's batches of ``size`` rows, each a flat tensor of ``n * width`` numbers and ``n`` labels.
+
+    A row's shard comes from the md5 of its key, its place there from that of
+    seed, epoch and key: every row comes once an epoch, epochs differ, and the
+    same seed gives the same batches on any cluster. Shards are sorted by
+    Spark, which spills; a task holds one batch. The last batch of a shard may
+    be smaller. Rows with a null, a vector of another width or a null in it are refused.
+    """
+    if size < 1 or width < 1 or shards < 1:
+        raise ValueError("size, width and shards must be positive")
+    good = F.col(key).isNotNull() & F.col(label).isNotNull() & (F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    require(rows.where(~F.coalesce(good, F.lit(False))).select(key), "rows that make no tensor")
+    ship_package(rows.sparkSession)
+    hashed = lambda *parts: F.md5(F.concat_ws(":", *parts, F.col(key).cast("string")).cast("binary"))
+    shard = (F.conv(F.substring(hashed(), 1, 8), 16, 10).cast("long") % shards).cast("int")
+    named = rows.select(shard.alias("shard"), hashed(F.lit(str(seed)), F.lit(str(epoch))).alias("h"), F.col(key).alias("id"), F.col(vector).cast("array<float>").alias("x"), F.col(label).cast("float").alias("y"))
+    dealt = named.repartition(shards, "shard").sortWithinPartitions("shard", "h", "id")
+    kind = named.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, number = None, None, 0
+
+        def made(part: pa.Table) -> pa.RecordBatch:
+            part = part.combine_chunks()
+            one = lambda values, t: pa.array([values.to_pylist()], pa.list_(t))
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([number], pa.int64()), pa.array([part.num_rows], pa.int32()), one(part["id"], part.schema.field("id").type), one(pa.chunked_array([part["x"].combine_chunks().flatten()]), pa.float32()), one(part["y"], pa.float32())], names=["shard", "batch", "n", "ids", "x", "y"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            shards_of = table["shard"].to_numpy()
+            for first, last in zip(*_stretches(shards_of)):
+                if shards_of[first] != at:
+                    if held is not None and held.num_rows:
+                        yield made(held)
+                    held, at, number = None, int(shards_of[first]), 0
+                part = table.slice(first, last - first)
+                held = part if held is None else pa.concat_tables([held, part])
+                while held.num_rows >= size:
+                    yield made(held.slice(0, size))
+                    held, number = held.slice(size), number + 1
+        if held is not None and held.num_rows:
+            yield made(held)
+
+    return dealt.mapInArrow(run, f"shard int, batch long, n int, ids array<{kind.simpleString()}>, x array<float>, y array<float>")
+
+
+def _stretches(values: np.ndarray) -> tuple[list[int], list[int]]:
+    """First place and end of each stretch of equal values."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return (cuts[:-1], cuts[1:]) if len(values) else ([], [])

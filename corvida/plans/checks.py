@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvida.functions import known_label
-from corvida.operators import binding, contracts, identity
+from corvida.operators import binding, contracts, identity, snapshot
 from corvida.plans import catalog, workflow
 from corvida.plans.catalog import _CHOSEN, _COMPONENTS, _ENSEMBLE, _PAIRED, _SAMPLES, _SCORED, _SPLIT, _cells, _curve
 from corvida.session import Stage
@@ -140,11 +140,32 @@ def cohort_binding(spark, d):
     return binding.cohort_faults(base.where("path % 11 != 0").withColumn("category", category), rows)
 
 
+def _page_files(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Pages as the files of ten folders: as a record states them, and as they are found."""
+    rows = table(spark, d, "pages").select((F.col("page_id") % 10).alias("folder"), "page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.sha2("html", 256).alias("sha256"), F.length("html").alias("size"))
+    found = rows.where("page_id % 9 != 0").withColumn("sha256", F.when(F.col("page_id") % 7 == 0, F.sha2("name", 256)).otherwise(F.col("sha256")))
+    return rows.where("page_id % 8 != 0"), found
+
+
 def checkpoint_files(spark, d):
     """Files that records state and a folder holds: some are gone, some changed, some new."""
-    rows = table(spark, d, "pages").select((F.col("page_id") % 10).alias("folder"), "page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("name"), F.sha2("html", 256).alias("sha256"))
-    found = rows.where("page_id % 9 != 0").withColumn("sha256", F.when(F.col("page_id") % 7 == 0, F.sha2("name", 256)).otherwise(F.col("sha256")))
-    return binding.file_faults(rows.where("page_id % 8 != 0"), found)
+    return binding.file_faults(*_page_files(spark, d))
+
+
+def snapshot_changes(spark, d):
+    """The same by stored trees of digests, of which only the branches that differ are read."""
+    stated, found = _page_files(spark, d)
+    stage = Stage(spark, "snapshots")
+    depth = snapshot.write_snapshot(stated, f"{stage.root}/before")
+    snapshot.write_snapshot(found, f"{stage.root}/after", depth)
+    return snapshot.snapshot_changes(spark, f"{stage.root}/before", f"{stage.root}/after", depth)[0]
+
+
+def tensor_batches(spark, d):
+    """An epoch of embeddings as tensors, each told by its sums."""
+    made = binding.tensor_batches(table(spark, d, "embeddings"), BATCH, 64, "vec_id", "embedding", "label", catalog.SEEDS[0])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    return made.select("shard", "batch", "n", F.size("x").alias("n_numbers"), F.get("ids", F.lit(0)).alias("first_id"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_ids"), F.round(total("x"), 4).alias("sum_x"), F.round(total("y"), 4).alias("sum_y"))
 
 
 def trained_history(spark, d):
@@ -237,6 +258,14 @@ c AS (SELECT *, CASE WHEN content IS NULL THEN 1 ELSE count(*) OVER (PARTITION B
 {_rules('path', 'b', {'in_cohort': 'c', 'in_split': 'r', 'category': 'c AND path % 13 > 0', 'group': 'c AND r AND path % 19 > 0', 'label': 'c AND r', 'sha256': 'c AND r', 'size': 'c AND r AND path % 23 > 0'})}""",
     "checkpoint_files": """SELECT page_id % 10 AS folder, 'p' || page_id AS name, CASE WHEN page_id % 9 = 0 THEN 'missing' WHEN page_id % 8 = 0 THEN 'extra' ELSE 'changed' END AS rule
 FROM pages WHERE (page_id % 9 = 0) <> (page_id % 8 = 0) OR (page_id % 9 > 0 AND page_id % 8 > 0 AND page_id % 7 = 0)""",
+    "snapshot_changes": """WITH f AS (SELECT page_id % 10 AS folder, 'p' || page_id AS name, sha256(html) AS sha, page_id FROM pages),
+a AS (SELECT folder, name, sha FROM f WHERE page_id % 8 <> 0), b AS (SELECT folder, name, CASE WHEN page_id % 7 = 0 THEN sha256(name) ELSE sha END AS sha FROM f WHERE page_id % 9 <> 0)
+SELECT coalesce(a.folder, b.folder) AS folder, coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'missing' WHEN a.name IS NULL THEN 'extra' ELSE 'changed' END AS rule
+FROM a FULL JOIN b ON a.folder = b.folder AND a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.sha <> b.sha""",
+    "tensor_batches": f"""WITH e AS (SELECT vec_id, embedding, label, CAST(CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 8) AS BIGINT) % 16 AS INTEGER) AS shard, md5('{catalog.SEEDS[0]}:1:' || vec_id) AS h FROM embeddings),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY h, vec_id) - 1 AS place FROM e)
+SELECT shard, place // {BATCH} AS batch, CAST(count(*) AS INTEGER) AS n, CAST(64 * count(*) AS INTEGER) AS n_numbers, min_by(vec_id, place) AS first_id, CAST(sum(vec_id) AS BIGINT) AS sum_ids,
+  round(sum(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 4) AS sum_x, round(CAST(sum(label) AS DOUBLE), 4) AS sum_y FROM o GROUP BY shard, place // {BATCH}""",
     "trained_history": f"WITH RECURSIVE {_SPLIT} SELECT DISTINCT 'm17' AS model, content_hash FROM kept WHERE split <> 'test'",
     "evaluation_report": f"""{_REPORT} SELECT m.model, m.n, tn, fp, fn, tp, round({_DIV('(tp + tn)', 'm.n')}, 9) AS accuracy, round({_DIV('tp', 'tp + fn')}, 9) AS sensitivity, round({_DIV('tn', 'tn + fp')}, 9) AS specificity,
   round(({_DIV('tp', 'tp + fn')} + {_DIV('tn', 'tn + fp')}) / 2, 9) AS balanced_accuracy, round((s.s - s.P * (s.P + 1) / CAST(2 AS DOUBLE)) / nullif(CAST(s.P AS DOUBLE) * s.N, 0), 9) AS roc_auc,
@@ -261,6 +290,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         view_coverage, class_components, repeated_lines, score_faults, unsafe_paths, file_names, category_labels, model_order, training_batches,
-        history_faults, run_binding, reported_samples, split_paths, registered_models, cohort_binding, checkpoint_files, trained_history, evaluation_report, measurement,
+        history_faults, run_binding, reported_samples, split_paths, registered_models, cohort_binding, checkpoint_files, snapshot_changes, tensor_batches, trained_history, evaluation_report, measurement,
     )
 }
