@@ -21,10 +21,14 @@ from corvida.session import Stage
 HUB, MOST_HUBS = 256, 50_000
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
+def _state(edges: DataFrame) -> tuple[int, int, int]:
+    """Number of edges, a sum of their hashes, and the largest degree, in one job."""
     # the sum of 31-bit hashes can't overflow a long
-    row = edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 33))).first()
-    return row[0], row[1] or 0
+    marked = edges.select("u", "v", F.shiftrightunsigned(F.xxhash64("u", "v"), 33).alias("h"), F.lit(1).alias("one"))
+    none = F.lit(0)
+    ends = marked.union(marked.select("v", "u", none.cast("long"), none))
+    row = ends.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h"), F.sum("one").alias("one")).agg(F.sum("one"), F.sum("h"), F.max("n")).first()
+    return row[0] or 0, row[1] or 0, row[2] or 0
 
 
 def _hub(count: int) -> int:
@@ -68,15 +72,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     stage = Stage(edges.sparkSession, "components")
     s, d = F.col(src), F.col(dst)
     current = stage.write(edges.where(s.isNotNull() & d.isNotNull() & (s != d)).select(F.greatest(s, d).alias("u"), F.least(s, d).alias("v")).distinct())
-    seen = _mark(current)
+    seen = _state(current)
     if seen[0]:
         for _ in range(max_rounds):
-            most = _both(current).groupBy("u").count().agg(F.max("count")).first()[0]
-            hub = _hub(seen[0]) if most > _hub(seen[0]) else None
+            hub = _hub(seen[0]) if seen[2] > _hub(seen[0]) else None
             wide = _large_star(current, hub, stage)
             step = stage.write(_small_star(stage.write(wide) if hub else wide, hub, stage))
             stage.drop(current)
-            current, now = step, _mark(step)
+            current, now = step, _state(step)
             if now == seen:
                 break
             seen = now

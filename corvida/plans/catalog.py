@@ -79,17 +79,26 @@ def _fixed(rows: DataFrame) -> DataFrame:
     return rows.select("model").distinct().withColumn("threshold", F.lit(0.5))
 
 
+def _by_rule(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Test rows of ``rows`` once for each rule, ``selected`` and ``fixed``, with its threshold; the rule is part of the model's name."""
+    cuts = chosen.select("model", F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), t.alias("threshold")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x"))
+    test = rows.where("split = 'test'").join(cuts.select("model", "x.*"), "model")
+    return test.withColumn("model", F.concat_ws("#", "model", "rule"))
+
+
+def _rule_rates(rows: DataFrame) -> DataFrame:
+    """Rates of each model and rule, with the threshold, from one pass."""
+    test = _by_rule(rows, _chosen(rows))
+    cuts = test.groupBy("model").agg(F.first("threshold").alias("threshold"))
+    made = metrics.rates(metrics.confusion(test.drop("threshold"), cuts)).join(cuts, "model")
+    return made.withColumns({"rule": F.substring_index("model", "#", -1), "model": F.substring_index("model", "#", 1)})
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Thresholds from validation scores alone, and test metrics at them and at 0.5."""
     rows = Stage(spark, "flagship").write(scored(with_split(spark, d)))
-    test, chosen = rows.where("split = 'test'"), _chosen(rows)
-    both = chosen.select("model", "threshold").withColumn("rule", F.lit("selected")).unionByName(_fixed(test).withColumn("rule", F.lit("fixed")))
-    out = None
-    for rule in ("selected", "fixed"):
-        part = metrics.rates(metrics.confusion(test, both.where(F.col("rule") == rule))).join(both.where(F.col("rule") == rule).select("model", "threshold"), "model").withColumn("rule", F.lit(rule))
-        out = part if out is None else out.unionByName(part)
     r = lambda c: F.round(c, 9).alias(c)
-    return out.select("model", "rule", "threshold", "n", "tn", "fp", "fn", "tp", r("balanced_accuracy"), r("accuracy"))
+    return _rule_rates(rows).select("model", "rule", "threshold", "n", "tn", "fp", "fn", "tp", r("balanced_accuracy"), r("accuracy"))
 
 
 def samples_base(spark, d):
@@ -251,9 +260,7 @@ def prior_baseline(spark, d):
 def _seed_values(spark, d) -> DataFrame:
     """``model, selected, fixed``: balanced accuracy on test samples."""
     rows = Stage(spark, "seeds").write(scored(with_split(spark, d)))
-    test = rows.where("split = 'test'")
-    of = lambda cuts, name: metrics.rates(metrics.confusion(test, cuts)).select("model", F.col("balanced_accuracy").alias(name))
-    return of(_chosen(rows), "selected").join(of(_fixed(test), "fixed"), "model")
+    return _rule_rates(rows).groupBy("model").pivot("rule", ["selected", "fixed"]).agg(F.first("balanced_accuracy"))
 
 
 def paired_deltas(spark, d):
@@ -269,11 +276,8 @@ def seed_stats(spark, d):
 
 def _draw_rows(spark, d) -> DataFrame:
     rows = Stage(spark, "draws").write(scored(with_split(spark, d)))
-    test, out = rows.where("split = 'test'"), None
-    for name, cuts in (("selected", _chosen(rows)), ("fixed", _fixed(test))):
-        part = test.join(cuts.select("model", "threshold"), "model").select(F.col("component").alias("group"), "seed", F.lit(name).alias("comparator"), "y", (F.col("p") >= F.col("threshold")).cast("int").alias("said"))
-        out = part if out is None else out.unionByName(part)
-    return Stage(spark, "sums").write(resampling.group_sums(out))
+    said = _by_rule(rows, _chosen(rows)).select(F.col("component").alias("group"), "seed", F.col("rule").alias("comparator"), "y", (F.col("p") >= F.col("threshold")).cast("int").alias("said"))
+    return Stage(spark, "sums").write(resampling.group_sums(said))
 
 
 def group_bootstrap(spark, d):
