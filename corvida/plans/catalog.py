@@ -342,8 +342,8 @@ def model_binding(spark, d):
 
 
 def resume_pending(spark, d):
-    """Which phases of an experiment with one seed per nation are left, if even seeds are fitted and every fourth tested."""
-    plan = table(spark, d, "nation").select(F.col("n_nationkey").alias("seed"))
+    """Which phases of an experiment with one seed per order are left, if even seeds are fitted and every fourth tested."""
+    plan = table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"))
     finished = plan.where("seed % 2 = 0").withColumn("phase", F.lit("fit")).unionByName(plan.where("seed % 4 = 0").withColumn("phase", F.lit("test")))
     return lineage.pending(plan, finished)
 
@@ -578,8 +578,8 @@ SELECT model, count(DISTINCT content_hash) AS n_leaked FROM seen WHERE content_h
     "best_epoch": """WITH r AS (SELECT l_linenumber AS run, CAST(month(l_shipdate) AS INTEGER) AS epoch, round(avg(l_discount), 9) AS loss FROM lineitem GROUP BY ALL)
 SELECT run, epoch, loss FROM r QUALIFY row_number() OVER (PARTITION BY run ORDER BY loss, epoch) = 1""",
     "model_binding": f"WITH RECURSIVE {_CHOSEN} SELECT model, sha256(model) AS model_sha256, round(threshold, 9) AS threshold FROM chosen",
-    "resume_pending": """SELECT phase, n_nationkey AS seed FROM nation, (VALUES ('fit'), ('test')) p(phase)
-WHERE NOT (phase = 'fit' AND n_nationkey % 2 = 0) AND NOT (phase = 'test' AND n_nationkey % 4 = 0)""",
+    "resume_pending": """WITH plan AS (SELECT DISTINCT o_orderkey AS seed FROM orders), done AS (SELECT 'fit' AS phase, seed FROM plan WHERE seed % 2 = 0 UNION ALL SELECT 'test', seed FROM plan WHERE seed % 4 = 0)
+SELECT phase, seed FROM plan, (VALUES ('fit'), ('test')) p(phase) EXCEPT SELECT phase, seed FROM done""",
 }
 
 QUERIES = {

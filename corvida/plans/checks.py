@@ -83,21 +83,21 @@ def history_faults(spark, d):
 
 
 def run_binding(spark, d):
-    """Test reports against the fits of their seeds, a nation each."""
-    seed = F.col("n_nationkey")
+    """Test reports against the fits of their seeds, a customer each."""
+    seed = F.col("c_custkey")
     sha = lambda name, by: F.sha2(F.concat(F.lit(name), by.cast("string")), 256)
-    rows = table(spark, d, "nation")
-    fits = rows.where("n_nationkey != 24").select(seed.alias("seed"), sha("m", seed).alias("model_sha256"), sha("s", seed).alias("selection_sha256"), F.sha2(F.lit("split"), 256).alias("manifest_sha256"), (seed / 20.0).alias("threshold"))
-    reports = rows.where("n_nationkey != 23").select(
+    rows = table(spark, d, "customer")
+    fits = rows.where("c_custkey % 24 != 0").select(seed.alias("seed"), sha("m", seed).alias("model_sha256"), sha("s", seed).alias("selection_sha256"), F.sha2(F.lit("split"), 256).alias("manifest_sha256"), (seed % 20 / 20.0).alias("threshold"))
+    reports = rows.where("c_custkey % 23 != 0").select(
         seed.alias("seed"),
-        sha("m", F.when(seed % 7 == 0, 99).otherwise(seed)).alias("model_sha256"),
+        sha("m", F.when(seed % 7 == 0, -1).otherwise(seed)).alias("model_sha256"),
         sha("s", F.when(seed % 8 == 0, None).otherwise(seed)).alias("selection_sha256"),
-        F.sha2(F.when(seed == 5, "other").otherwise("split"), 256).alias("manifest_sha256"),
-        F.when(seed == 4, 0.3).otherwise(seed / 20.0).alias("threshold"),
-        F.when(seed == 6, "validation").otherwise("test").alias("split"),
-        F.when(seed == 9, "fixed").otherwise("validation_selection").alias("mode"),
+        F.sha2(F.when(seed % 55 == 5, "other").otherwise("split"), 256).alias("manifest_sha256"),
+        F.when(seed % 44 == 4, 0.3).otherwise(seed % 20 / 20.0).alias("threshold"),
+        F.when(seed % 66 == 6, "validation").otherwise("test").alias("split"),
+        F.when(seed % 99 == 9, "fixed").otherwise("validation_selection").alias("mode"),
     )
-    return binding.run_faults(reports.unionByName(reports.where("seed = 11")), fits)
+    return binding.run_faults(reports.unionByName(reports.where("seed % 11 = 0")), fits)
 
 
 def reported_samples(spark, d):
@@ -235,12 +235,14 @@ SELECT sample_id, place, place // {BATCH} AS batch FROM o""",
     "history_faults": f"""WITH h AS (SELECT l_orderkey % 2000 AS run, month(l_shipdate) AS epoch, min(l_tax) AS low FROM lineitem GROUP BY ALL),
 r AS (SELECT run, count(*) AS n, count(DISTINCT epoch) AS d, min(epoch) AS low, max(epoch) AS high, count(CASE WHEN low < 0.07 THEN 1 END) AS good FROM h GROUP BY run)
 {_rules('run', 'r', {'values': 'good = n', 'epochs': 'low = 1 AND high = n AND d = n'})}""",
-    "run_binding": f"""WITH f AS (SELECT n_nationkey AS seed, sha256('m' || n_nationkey) AS model_sha256, sha256('s' || n_nationkey) AS selection_sha256, sha256('split') AS manifest_sha256, n_nationkey / CAST(20 AS DOUBLE) AS threshold FROM nation WHERE n_nationkey <> 24),
-t AS (SELECT n_nationkey AS seed, sha256('m' || CASE WHEN n_nationkey % 7 = 0 THEN 99 ELSE n_nationkey END) AS model_sha256, CASE WHEN n_nationkey % 8 > 0 THEN sha256('s' || n_nationkey) END AS selection_sha256,
-  sha256(CASE WHEN n_nationkey = 5 THEN 'other' ELSE 'split' END) AS manifest_sha256, CASE WHEN n_nationkey = 4 THEN CAST(0.3 AS DOUBLE) ELSE n_nationkey / CAST(20 AS DOUBLE) END AS threshold,
-  CASE WHEN n_nationkey = 6 THEN 'validation' ELSE 'test' END AS split, CASE WHEN n_nationkey = 9 THEN 'fixed' ELSE 'validation_selection' END AS mode FROM nation WHERE n_nationkey <> 23),
-a AS (SELECT *, CASE WHEN seed = 11 THEN 2 ELSE 1 END AS k FROM t), j AS (SELECT coalesce(a.seed, b.seed) AS seed, a.k AS one_report, b.seed AS one_fit, a.split, a.mode, a.threshold AS t, {', '.join(f'{e} AS {c}' for c, e in _SHA.items())} FROM a FULL JOIN f b ON a.seed = b.seed),
-w AS (SELECT CAST(NULL AS INTEGER) AS seed, count(DISTINCT seed) AS n, count(DISTINCT manifest_sha256) AS m FROM a)
+    "run_binding": f"""WITH f AS (SELECT c_custkey AS seed, sha256('m' || c_custkey) AS model_sha256, sha256('s' || c_custkey) AS selection_sha256, sha256('split') AS manifest_sha256, c_custkey % 20 / CAST(20 AS DOUBLE) AS threshold FROM customer WHERE c_custkey % 24 <> 0),
+r AS (SELECT c_custkey AS seed, sha256('m' || CASE WHEN c_custkey % 7 = 0 THEN -1 ELSE c_custkey END) AS model_sha256, CASE WHEN c_custkey % 8 > 0 THEN sha256('s' || c_custkey) END AS selection_sha256,
+  sha256(CASE WHEN c_custkey % 55 = 5 THEN 'other' ELSE 'split' END) AS manifest_sha256, CASE WHEN c_custkey % 44 = 4 THEN CAST(0.3 AS DOUBLE) ELSE c_custkey % 20 / CAST(20 AS DOUBLE) END AS threshold,
+  CASE WHEN c_custkey % 66 = 6 THEN 'validation' ELSE 'test' END AS split, CASE WHEN c_custkey % 99 = 9 THEN 'fixed' ELSE 'validation_selection' END AS mode FROM customer WHERE c_custkey % 23 <> 0),
+t AS (SELECT * FROM r UNION ALL SELECT * FROM r WHERE seed % 11 = 0),
+a AS (SELECT seed, count(*) AS k, {', '.join(f'max({c}) AS {c}' for c in (*binding.BOUND, 'split', 'mode'))} FROM t GROUP BY seed),
+j AS (SELECT coalesce(a.seed, b.seed) AS seed, a.k AS one_report, b.seed AS one_fit, a.split, a.mode, a.threshold AS t, {', '.join(f'{e} AS {c}' for c, e in _SHA.items())} FROM a FULL JOIN f b ON a.seed = b.seed),
+w AS (SELECT CAST(NULL AS BIGINT) AS seed, count(DISTINCT seed) AS n, count(DISTINCT manifest_sha256) AS m FROM t)
 {_rules('seed', 'j', {'one_report': 'one_report = 1', 'one_fit': 'one_fit IS NOT NULL', 'split': "split = 'test'", 'mode': "mode = 'validation_selection'", **{c: c for c in binding.BOUND}, 'threshold_range': 't BETWEEN 0 AND 1'})}
 UNION ALL {_rules('seed', 'w', {'runs': 'n >= 2', 'one_manifest': 'm = 1'})}""",
     "reported_samples": f"""WITH RECURSIVE {_SCORED}, told AS (SELECT seed, sample_id, CASE WHEN seed = 43 AND sample_id % 7 = 0 THEN false ELSE true END AS g, sample_id % 11 > 0 AS q FROM scored WHERE split = 'test' AND NOT (seed = 29 AND sample_id % 5 = 0)),

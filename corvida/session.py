@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -45,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN[app] = tempfile.mkdtemp(prefix="corvida-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
@@ -75,9 +76,18 @@ class Stage:
     A written table survives the loss of executors, which a local checkpoint
     does not, and its columnar files are smaller than a checkpoint's.
     ``drop`` removes a table that a later one has replaced; the rest goes when
-    the driver ends, as lazy results may still read it.
+    the driver ends, as lazy results may still read it, or at the end of a
+    ``with`` block by a caller who has read them. What a killed driver left
+    ``sweep_stages`` removes.
     """
 
+    def __enter__(self) -> Stage:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.at.clear()
+        self._remove(self.root)
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.at: dict[int, tuple[DataFrame, str]] = {}  # a held table keeps its id to itself
@@ -101,3 +111,22 @@ class Stage:
         for table in tables:
             if held := self.at.pop(id(table), None):
                 self._remove(held[1])
+
+
+def sweep_stages(spark: SparkSession, hours: float = 168.0) -> list[str]:
+    """Remove folders of staged tables in the shared folder that nothing has touched for so many hours; their names.
+
+    Give more hours than the longest job takes: a running one may still read what it wrote first.
+    """
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        name = entry.getPath().getName()
+        if entry.isDirectory() and re.fullmatch("[a-z_]+-[0-9a-f]{32}", name):
+            newest = max([entry.getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(entry.getPath()))])
+            if newest < jvm.System.currentTimeMillis() - hours * 3_600_000:
+                fs.delete(entry.getPath(), True)
+                gone.append(name)
+    return sorted(gone)

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Names of case files and of their images.
+#: Names of case files and of their images; a fixed value of the input format.
 FILE_NAME = r"^([1-9][0-9]*)(?:\.xml|_([1-9][0-9]*)\.jpg)$"
 
 
@@ -70,8 +70,18 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("name", case_of(F.col("name")).alias("case_id"), view_of(F.col("name")).alias("view"), "sha256", "size")
 
 
-def case_files(spark: SparkSession, root: str) -> DataFrame:
-    """``case_id, category, views`` of ``N.xml`` files: one number equal to the name, one category (blank is null), view numbers."""
+#: Elements of a case file, fixed by its format: number, category, and where the views are.
+CASE_TAGS = ("number", "tirads", "mark/image")
+
+
+def case_files(spark: SparkSession, root: str, tags: tuple[str, str, str] = CASE_TAGS) -> DataFrame:
+    """``case_id, category, views`` of ``N.xml`` files: one number equal to the name, one category (blank is null), view numbers.
+
+    ``tags`` name the elements below ``case`` that hold them.
+    """
+    if not all(re.fullmatch("[A-Za-z_][A-Za-z0-9_.-]*(/[A-Za-z_][A-Za-z0-9_.-]*)*", t) for t in tags):
+        raise ValueError(f"no element names: {tags}")
+    number, category, view = tags
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(root)
     text = F.decode("content", "UTF-8")
     rows = files.select(F.regexp_extract(F.substring_index("path", "/", -1), r"^([1-9][0-9]*)\.xml$", 1).alias("named"), F.regexp_replace(text, "^﻿", "").alias("x"))
@@ -79,7 +89,7 @@ def case_files(spark: SparkSession, root: str) -> DataFrame:
         raise ValueError("declarations and NUL are refused")
     one = lambda tag: F.expr(f"xpath_int(x, 'count(/case/{tag})')")
     value = lambda tag: F.trim(F.expr(f"xpath_string(x, '/case/{tag}')"))
-    rows = rows.select("named", one("number").alias("n_number"), one("tirads").alias("n_category"), value("number").alias("number"), value("tirads").alias("category"), F.expr("xpath(x, '/case/mark/image/text()')").alias("views"))
+    rows = rows.select("named", one(number).alias("n_number"), one(category).alias("n_category"), value(number).alias("number"), value(category).alias("category"), F.expr(f"xpath(x, '/case/{view}/text()')").alias("views"))
     views = F.transform("views", lambda v: F.trim(v))
     bad = (F.col("n_number") != 1) | (F.col("n_category") != 1) | (F.col("number") != F.col("named")) | (F.size("views") == 0) | F.exists(views, lambda v: ~v.rlike("^[1-9][0-9]*$")) | (F.size(F.array_distinct(views)) != F.size(views))
     if rows.where(bad).take(1):

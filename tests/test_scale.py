@@ -86,7 +86,9 @@ def test_many_groups_are_summed_where_they_are(spark):
     assert plan.split("Initial Plan")[0].count("Exchange") == 2 and "rangepartitioning(place" in plan
 
 
-def test_percentiles_equal_sparks_own(spark):
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_percentiles_equal_sparks_own(spark, monkeypatch, few):
+    monkeypatch.setattr(ordered, "FEW", few)
     rng = random.Random(8)
     rows = [(rng.choice("abc"), rng.choice([None, 1.0, 2.0, 2.0, 7.5, rng.random() * 9])) for _ in range(3000)] + [("one", 4.0), ("none", None), ("two", 1.0), ("two", 2.0), ("nan", float("nan")), ("nan", 1.0)]
     df = spark.createDataFrame(rows, "part string, v double")
@@ -185,3 +187,25 @@ def test_seeds_train_apart_as_they_do_alone(spark):
     for bad in ({"seeds": []}, {"seeds": [1, 1]}, {"seeds": [1], "epochs": 0}):
         with pytest.raises(ValueError):
             scoring.train_seeds(train, validation, **{"epochs": 3} | bad)
+
+
+def test_staged_tables_go_with_their_block_or_by_age(spark):
+    import os
+
+    from corvida import session
+
+    root = session.shared_dir(spark).removeprefix("file://")
+    with session.Stage(spark, "kept") as stage:
+        assert stage.write(spark.range(3)).count() == 3
+        name = os.path.basename(stage.root)
+        assert name in os.listdir(root)
+    assert name not in os.listdir(root)
+    old, new = session.Stage(spark, "old"), session.Stage(spark, "new")
+    for s in (old, new):
+        s.write(spark.range(2))
+    for at in (old.root, f"{old.root}/0001"):
+        os.utime(at.removeprefix("file://"), (1, 1))
+    os.makedirs(f"{root}/somebody-else", exist_ok=True)
+    os.utime(f"{root}/somebody-else", (1, 1))
+    assert session.sweep_stages(spark, 24) == [os.path.basename(old.root)]
+    assert {os.path.basename(new.root), "somebody-else"} <= set(os.listdir(root))
