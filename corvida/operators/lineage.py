@@ -18,7 +18,7 @@ from time import perf_counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvida.operators.contracts import check_relative_path
+from corvida.operators.contracts import check_apart, check_relative_path
 from corvida.sources.store import create_once, read_bytes
 
 PHASES = ("fit", "test")
@@ -74,9 +74,11 @@ class Experiment:
         with open(path, "rb") as f:
             return json.load(f)
 
-    def prepare(self, seeds: list[int], epochs: int, batch_size: int, repetitions: int, inputs: dict[str, str]) -> dict:
-        """Freeze the plan; ``inputs`` maps names to digests of what the runs read."""
+    def prepare(self, seeds: list[int], epochs: int, batch_size: int, repetitions: int, inputs: dict[str, str], data: str | None = None) -> dict:
+        """Freeze the plan; ``inputs`` maps names to digests of what the runs read, and ``data`` is the folder they lie in, which must be apart."""
         check_plan(seeds, epochs, batch_size, repetitions)
+        if data is not None:
+            check_apart(data, self.folder)
         os.makedirs(self.folder)
         plan = {"schema_version": 1, "seeds": seeds, "epochs": epochs, "batch_size": batch_size, "repetitions": repetitions, "inputs": inputs, "python": platform.python_version(), "created_at": datetime.now(UTC).isoformat()}
         write_once(os.path.join(self.folder, "plan.json"), plan)

@@ -148,3 +148,11 @@ def test_one_of_two_writers_wins(spark, tmp_path, monkeypatch, through_hadoop):
     assert lineage.write_once(doc, {"a": 1}) == lineage.write_once(doc, {"a": 1})
     with pytest.raises(ValueError, match="another document"):
         lineage.write_once(doc, {"a": 2})
+
+
+def test_an_experiment_lies_apart_from_its_data(tmp_path):
+    (tmp_path / "data").mkdir()
+    for inside in (tmp_path / "data/runs", tmp_path):
+        with pytest.raises(ValueError, match="hold each other"):
+            lineage.Experiment(str(inside)).prepare([1, 2], 3, 4, 5, {}, data=str(tmp_path / "data"))
+    assert lineage.Experiment(str(tmp_path / "runs")).prepare([1, 2], 3, 4, 5, {}, data=str(tmp_path / "data"))["seeds"] == [1, 2]
