@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvida.llm.common import salted_join
 from corvida.session import Stage
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -113,6 +114,7 @@ def judge(pages: DataFrame, rules=RULES, ratio: float = RATIO) -> DataFrame:
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     scores = host_scores(host_edges(pages), rows.select("host").distinct(), rules)
     bad = scores.where(F.col("distrust") > ratio * (1 + ROUNDING) * F.col("trust")).select("host").withColumn("bad", F.lit(True))
-    rows = rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).join(bad, "host", "left")
+    # a host may hold a third of all pages
+    rows = salted_join(rows.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)), bad, "host", "page_id")
     own = F.when(F.col("bad"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.element_at(verdicts, F.col("rule"))).otherwise(own).alias("verdict"))
