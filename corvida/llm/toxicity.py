@@ -16,10 +16,9 @@ The fewer positives a language has there, the more it takes the threshold of
 all texts.
 
 The model is fitted on at most ``SAMPLE_ROWS`` labelled rows, those of the
-smallest hashed ids. A row whose text has more than ``SAMPLE_CHARS`` characters
-takes part with ``WINDOWS`` stretches of equal length at equal distances, from
-its first to its last character, of that many characters together; both bound
-the driver's memory. Scoring reads every text whole, in pieces.
+smallest hashed ids, and on their whole texts: the driver's memory is that of so
+many texts, with 64 bytes for a word of a batch. Scoring reads every text whole,
+in pieces.
 
 Null texts are empty; an empty text gets the score of pooling over no words.
 Unlabelled rows and null ids are scored too. Without labels of both classes
@@ -40,7 +39,6 @@ from pyspark.sql import functions as F
 from corvida.llm.common import ascii_words, bounded_batches, map_texts, texts_of, worker_state
 
 SAMPLE_ROWS = 8000
-SAMPLE_CHARS, WINDOWS = 1 << 16, 64
 THRESHOLD = 0.3
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 16, 16, (1, 2, 3)
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -280,21 +278,16 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7) -> Model:
     return model
 
 
-def windows(text: Column, most: int = SAMPLE_CHARS, count: int = WINDOWS) -> Column:
-    """``text``, or ``count`` stretches spread over all of it with ``most`` characters together, each on its own line."""
-    each, n = most // count, F.length(text)
-    at = F.sequence(F.lit(0), F.lit(count - 1))
-    pieces = F.transform(at, lambda i: F.substring(text, (F.floor(i * (n - each) / (count - 1)) + 1).cast("int"), F.lit(each)))
-    return F.when(n <= most, text).otherwise(F.array_join(pieces, "\n"))
-
-
 def sample(docs: DataFrame, labels: DataFrame, target: str, allowed, rows: int = SAMPLE_ROWS) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of at most ``rows`` labelled rows whose id fulfils ``allowed``, in the order of their hashed ids."""
+    """Whole texts and labels of at most ``rows`` labelled rows whose id fulfils ``allowed``, in the order of their hashed ids.
+
+    Of rows that repeat an id with other labels the larger label counts, with other texts the smallest text.
+    """
     wanted = labels.select(F.col("doc_id"), F.col(target).alias("y")).where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & allowed)
     wanted = wanted.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of numbers, whatever the size of the tables
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(F.broadcast(wanted), "doc_id")
-    texts = texts.select("doc_id", F.encode(windows(F.col("t")), "utf-8").alias("t"), "y")
+    texts = texts.select("doc_id", F.encode("t", "utf-8").alias("t"), "y")
     found = texts.groupBy("doc_id").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     return found["t"].to_pylist(), found["y"].to_pylist()
 

@@ -215,14 +215,29 @@ def test_toxicity_cut_is_the_best_of_all_cuts():
         assert cut not in z and abs(f1(cut) - max(f1(c) for c in [*z, 9.0])) < 1e-12
 
 
-def test_sample_takes_windows_of_long_texts_and_drops_none(spark):
-    long = "".join(f"{i:05d} " for i in range(40_000))
-    docs = spark.createDataFrame([(1, long, "a"), (2, "short", "b"), (2, "again", "c"), (3, None, "d"), (None, "x", "e")], "doc_id long, text string, toxic string")
-    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
+def test_long_labelled_texts_are_learned_whole(spark):
+    # the telling word stands anywhere in 200,000 characters
+    rng = random.Random(6)
+    plain = [f"w{i}" for i in range(400)]
+
+    def text(n, bad):
+        words = [rng.choice(plain) for _ in range(n)]
+        if bad:
+            words[rng.randrange(n)] = "vexaqor"
+        return " ".join(words)
+
+    rows = [(i, text(60_000 if i < 4 else 40, i % 2 == 0), i % 2 ^ 1) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, 1)], "doc_id long, toxic int")
     texts, y = toxicity.sample(docs, labels, "toxic", F.lit(True))
-    assert sorted(zip(map(len, texts), y)) == [(0, 1), (5, 0), (toxicity.SAMPLE_CHARS + toxicity.WINDOWS - 1, 1)]
-    pieces = max(texts, key=len).decode().split("\n")
-    assert len(pieces) == toxicity.WINDOWS and long.startswith(pieces[0]) and long.endswith(pieces[-1]) and all(p in long for p in pieces)
+    whole = dict(zip(texts, y))
+    assert len(texts) == 121 and all(whole[t.encode()] == label for _, t, label in rows) and min(len(t) for _, t, _ in rows[:4]) > 200_000
+    odd = spark.createDataFrame([(2, "short", "b"), (2, "again", "c"), (3, None, "d"), (None, "x", "e")], "doc_id long, text string, toxic string")
+    told = spark.createDataFrame([(2, 0), (2, 1), (3, 1), (None, 1), (7, 0)], "doc_id long, toxic int")
+    assert sorted(zip(*toxicity.sample(odd, told, "toxic", F.lit(True)))) == [(b"", 1), (b"again", 1)]
+    model = toxicity.train(texts, y)
+    scores = model.scores([toxicity.ascii_words(t.encode()) for _, t, _ in rows[:4]], toxicity.Words(model.embed))
+    assert [s >= toxicity.THRESHOLD for s in scores] == [bool(label) for _, _, label in rows[:4]]
 
 
 def test_quality_and_token_counts_of_odd_tables(spark):
