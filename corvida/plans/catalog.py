@@ -557,7 +557,7 @@ judged AS (SELECT component, seed, 'selected' AS comparator, y, CASE WHEN p >= t
 sums AS (SELECT component, seed, comparator, sum(y) AS P, sum(1 - y) AS N, sum(y * said) AS tp, sum((1 - y) * (1 - said)) AS tn FROM judged GROUP BY ALL),
 places AS (SELECT component, row_number() OVER (ORDER BY component) - 1 AS place FROM (SELECT DISTINCT component FROM sums)),
 g AS (SELECT count(*) AS n FROM places),
-slots AS (SELECT a.range AS attempt, s.range AS slot FROM range({2 * DRAWS}) a, range((SELECT n FROM g)) s),
+slots AS (SELECT a.range AS attempt, s.range AS slot FROM range({resampling.ATTEMPTS_PER_DRAW * DRAWS}) a, range((SELECT n FROM g)) s),
 draws AS (SELECT attempt, CAST('0x' || substr(md5('{DRAW_SEED}:' || attempt || ':' || slot), 1, 8) AS BIGINT) % (SELECT n FROM g) AS place FROM slots),
 drawn AS (SELECT attempt, seed, comparator, sum(P) AS P, sum(N) AS N, sum(tp) AS tp, sum(tn) AS tn FROM draws JOIN places USING (place) JOIN sums USING (component) GROUP BY ALL),
 bas AS (SELECT attempt, comparator, avg((tp / CAST(P AS DOUBLE) + tn / CAST(N AS DOUBLE)) / 2) AS v FROM drawn WHERE P > 0 AND N > 0 GROUP BY ALL),
