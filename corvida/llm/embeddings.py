@@ -466,8 +466,8 @@ def _bucket_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         yield _edge_batch(parts)
 
 
-def _sweep(nodes: DataFrame, dims: int, count: int, threshold: float, stage: Stage) -> DataFrame:
-    """``u, v``: links in the buckets of all tables of the sweep, staged step by step.
+def _sweep(nodes: DataFrame, linked: DataFrame, dims: int, count: int, threshold: float, stage: Stage) -> DataFrame:
+    """``u, v``: links between different components in the buckets of all tables of the sweep, staged step by step.
 
     A common code is cut by the signs of further projections, which seldom part
     a close pair; what is common after 16 of these is one dense group, whose
@@ -493,9 +493,13 @@ def _sweep(nodes: DataFrame, dims: int, count: int, threshold: float, stage: Sta
         cut = stage.write(coded.join(sizes, ["table", "code"]).withColumn("more", more).withColumn("cell", cell).select("table", "code", "cell", "id", "vec"))
         cells = stage.write(cut.groupBy("table", "code", "cell").agg(F.count("*").alias("n")).where("n > 1"))
         part = F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("n") / (8 * BUCKET)))
-        rows = cut.join(cells, ["table", "code", "cell"]).select("table", "code", "cell", part.alias("part"), "id", "vec")
-        found = _gathered(rows, ["table", "code", "cell", "part"]).select("ids", "flat").mapInArrow(lambda batches: _bucket_links(batches, threshold), _EDGES)
-        new = stage.write(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        # a key of its own, so that the parts of one cell don't stay where the join has them; buckets that share it are compared together
+        rows = cut.join(cells, ["table", "code", "cell"]).select("table", F.xxhash64("code", "cell", part).alias("bucket"), "id", "vec")
+        found = _gathered(rows, ["table", "bucket"]).select("ids", "flat").mapInArrow(lambda batches: _bucket_links(batches, threshold), _EDGES)
+        found = found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        for end in ("u", "v"):
+            found = found.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        new = stage.write(found.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v"))
         out = new if out is None else out.unionAll(new)
         stage.drop(coded, sizes, cut, cells)
     return out
@@ -580,7 +584,7 @@ def _of_one_length(nodes: DataFrame, dims: int, threshold: float, stage: Stage)
             links = stage.write(links.unionAll(more.select("u", "v")))
             linked = stage.write(connected_components(links, "u", "v"))
         if _audit(nodes, linked, threshold) >= RECALL:
-            links = stage.write(links.unionAll(_sweep(nodes, dims, count, threshold, stage)).distinct())
+            links = stage.write(links.unionAll(_sweep(nodes, linked, dims, count, threshold, stage)).distinct())
             linked = stage.write(connected_components(links, "u", "v"))
             lost = _audit(nodes, linked, threshold) < 1
             break
