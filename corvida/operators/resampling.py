@@ -91,7 +91,7 @@ def percentile_interval(values: Column, low: float = 0.025, high: float = 0.975)
     return F.percentile(values, F.array(F.lit(low), F.lit(high)))
 
 
-def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", paired: bool = False) -> DataFrame:
+def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", paired: bool = False, least: int = 2) -> DataFrame:
     """``comparator, valid, attempted, rejected, low, high``: intervals over the first ``repetitions`` valid attempts.
 
     Draws of one class are rejected; attempts come in batches until enough are
@@ -102,7 +102,7 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", p
     ``selected`` and ``fixed``. ``splitting`` draws are multinomial counts made
     where the groups are (``operators/splitting.py``), ``md5`` ones have a row
     for each slot, ``twister`` ones are made on the driver, for equal draws
-    with Python's generator.
+    with Python's generator. Fewer than ``least`` groups are refused.
     """
     if repetitions < 2:
         raise ValueError("repetitions must be 2 or more")
@@ -111,7 +111,7 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", p
     spark, stage = sums.sparkSession, Stage(sums.sparkSession, "bootstrap")
     sized = stage.write(sums.join(numbered_groups(sums), "group"))
     groups = sized.select("group").distinct().count()
-    if groups < 2:
+    if groups < least:
         raise ValueError("two groups or more are needed")
     generator, done, valid, values, most = random.Random(seed), 0, 0, None, ATTEMPTS_PER_DRAW * repetitions
     while done < most and valid < repetitions:

@@ -324,17 +324,20 @@ def check_runs(manifest: DataFrame, reports: DataFrame | None = None, fits: Data
         contracts.require(binding.history_faults(histories), "histories with gaps")
 
 
-def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "splitting", **runs: DataFrame) -> dict[str, DataFrame]:
+def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, seed: int = 1729, kind: str = "splitting", strict: bool = True, **runs: DataFrame) -> dict[str, DataFrame]:
     """Repeated-seed measurement; ``scores(seed, sample_id, p)`` has a run for each of two or more seeds.
 
     ``per_seed`` compares the selected threshold with 0.5 and a constant class,
     ``across_seeds`` sums that up, ``intervals`` resamples test groups and has
     both rules and both differences, paired by draw; ``baseline`` is the
     constant class of the training prior, ``support`` and ``resolution`` say
-    what the test part can show. ``runs`` are what ``check_runs`` takes.
+    what the test part can show. ``runs`` are what ``check_runs`` takes. A
+    manifest that breaks a rule is refused; without ``strict`` it is measured as
+    it is, and what it doesn't define is null or has no row.
     """
     spark, stage = manifest.sparkSession, Stage(manifest.sparkSession, "measure")
-    contracts.check_manifest(manifest)
+    if strict:
+        contracts.check_manifest(manifest)
     check_runs(manifest, **runs)
     contracts.require(contracts.in_several_groups(manifest), "test content in several groups")
     seeds = scores.select("seed").distinct().limit(2).count()
@@ -344,15 +347,15 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     by_model = named.select("model", "sample_id", "p")
     cuts = stage.write(threshold.choose_threshold(judged(manifest, by_model, "validation")).select("model", "threshold"))
     test = stage.write(judged(manifest, by_model, "test").join(manifest.select("sample_id", "group"), "sample_id"))
-    prior = manifest.where("split = 'train'").agg(F.avg("label")).first()[0]
-    constant = int(prior >= 0.5)
+    prior = manifest.where("split = 'train'").agg(F.avg("label").cast("double")).first()[0]
+    constant = int(prior is not None and prior >= 0.5)
     rows = test.join(cuts, "model").select("model", "group", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("comparator"), (F.col("p") >= t).cast("int").alias("said")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x")).select("model", "group", "y", "x.*")
     # numbers in the order of the groups' names, from a range-partitioned sort
     groups = manifest.where("split = 'test'").select("group").distinct().repartitionByRange("group").sortWithinPartitions("group")
     numbered = stage.write(groups.withColumn("number", F.monotonically_increasing_id()))
     sums = stage.write(resampling.group_sums(rows.join(numbered, "group").select(F.col("number").alias("group"), F.col("model").alias("seed"), "comparator", "y", "said")))
     total = sums.groupBy("seed", "comparator").agg(*(F.sum(c).alias(c) for c in ("P", "N", "tp", "tn")))
-    values = total.select(F.col("seed").alias("model"), "comparator", ((F.col("tp") / F.col("P") + F.col("tn") / F.col("N")) / 2).alias("value"))
+    values = total.select(F.col("seed").alias("model"), "comparator", ((F.col("tp") / F.nullif(F.col("P"), F.lit(0)) + F.col("tn") / F.nullif(F.col("N"), F.lit(0))) / 2).alias("value"))
     wide = values.groupBy("model").pivot("comparator", ["selected", "fixed"]).agg(F.first("value"))
     per_seed = stage.write(wide.join(cuts, "model").withColumns({"delta": F.col("selected") - F.col("fixed"), "baseline": F.lit(0.5), "over_baseline": F.col("selected") - 0.5}))
     across = resampling.across_seeds(per_seed.unpivot("model", ["selected", "fixed", "delta", "over_baseline"], "metric", "value"))
@@ -360,8 +363,8 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     return {
         "per_seed": per_seed,
         "across_seeds": across,
-        "intervals": resampling.bootstrap(sums, repetitions, seed, kind, paired=True),
-        "baseline": spark.createDataFrame([(float(prior), constant)], "prior double, constant_class int"),
+        "intervals": resampling.bootstrap(sums, repetitions, seed, kind, paired=True, least=2 if strict else 0),
+        "baseline": spark.createDataFrame([(prior, constant)], "prior double, constant_class int"),
         "support": identity.group_support(manifest.where("split = 'test'"), "sample_id", "group", "content_hash"),
         "resolution": counts.withColumn("step", 0.5 / F.col("n")),
     }

@@ -39,7 +39,7 @@ def test_lopsided_splits_are_judged_as_their_sql_does(spark, tmp_path, kind):
         db.sql(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
     key = lambda r: tuple((x is None, x) for x in r)
-    for name in ("evaluation_report",):
+    for name in ("evaluation_report", "measurement"):
         rows = checks.QUERIES[name](spark, str(tmp_path))
         want = db.sql(f"SELECT {', '.join(rows.columns)} FROM ({checks.SQL[name]})").fetchall()
         assert sorted(map(tuple, rows.collect()), key=key) == sorted(want, key=key)
