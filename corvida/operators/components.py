@@ -6,7 +6,9 @@ so for the smaller ones. Both are a map-side-combined ``min`` and one equi join.
 Nodes with more than ``HUB`` edges, or more than the ``1 / MOST_HUBS`` part of
 all of them, are hubs: there are at most ``2 * MOST_HUBS`` of those, so their
 minima are broadcast and their edges stay where they are, and no node brings
-more than a fixed share of the edges to one task. Every round is written to the
+more than a fixed share of the edges to one task. The other joins are told to
+merge, as both sides grow with the edges and many rounds that each broadcast
+what is just small enough add up in the driver. Every round is written to the
 shared folder; the loop ends when a round changes nothing.
 """
 
@@ -44,11 +46,11 @@ def _with_low(edges: DataFrame, wanted: str, hub: int | None, stage: Stage) -> D
     low = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
     edges = edges.where(wanted)
     if hub is None:
-        return edges.join(low.select("u", "m"), "u")
+        return edges.join(low.select("u", "m").hint("merge"), "u")
     low = stage.write(low)
     hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))  # 2 * MOST_HUBS rows at most
     met = edges.join(hubs, "u", "left")
-    cold = met.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m"), "u")
+    cold = met.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u")
     return met.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionAll(cold.select("u", "v", "m"))
 
 

@@ -13,17 +13,18 @@ def link_components(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
 
     A key's nodes are all linked to its smallest one, so a value that many
     nodes share makes as many edges and not their square. The component is the
-    smallest node. Null keys link nothing.
+    smallest node. Null keys link nothing. All joins merge, so nothing that grows
+    with the rows passes through the driver.
     """
     edges = None
     for name in keys:
         pairs = rows.where(F.col(name).isNotNull() & F.col(node).isNotNull()).select(F.col(node).alias("n"), F.col(name).alias("k")).distinct()
         hub = pairs.groupBy("k").agg(F.min("n").alias("src"))
-        part = pairs.join(hub, "k").where("n != src").select("src", F.col("n").alias("dst"))
+        part = pairs.join(hub.hint("merge"), "k").where("n != src").select("src", F.col("n").alias("dst"))
         edges = part if edges is None else edges.unionByName(part)
     found = connected_components(edges).withColumnRenamed("node", node)
     nodes = rows.select(node).where(F.col(node).isNotNull()).distinct()
-    return nodes.join(found, node, "left").select(node, F.coalesce("component", node).alias("component"))
+    return nodes.join(found.hint("merge"), node, "left").select(node, F.coalesce("component", node).alias("component"))
 
 
 def exclude_missing(rows: DataFrame, label: str = "label", reason: str = "missing_label") -> tuple[DataFrame, DataFrame]:

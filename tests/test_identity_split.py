@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corvida.operators import contracts, identity, split
 from corvida.operators.components import connected_components
@@ -123,3 +124,15 @@ def test_rank_split_fills_all_pairs_and_leaks_nothing(spark):
     for bad in ((0.8, 0.2), (0, 0.5), (float("nan"), 0.1)):
         with pytest.raises(ValueError):
             split.rank_split(df, *bad)
+
+
+def test_components_send_no_table_that_grows_to_the_driver(spark, monkeypatch):
+    from corvida.session import Stage
+
+    plans, write = [], Stage.write
+    monkeypatch.setattr(Stage, "write", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df))[1])
+    rows = spark.range(400).select(F.col("id"), (F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 150).alias("k"))
+    linked = identity.link_components(rows, "id", ["g", "k"])
+    assert linked.count() == 400
+    plans.append(linked._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
