@@ -117,8 +117,9 @@ def blocks_that_agree(count: int, radius: int = RADIUS, bucket: int = BUCKET_LIM
     return next(e for e in range(2, BITS) if BITS * e // (radius + e) >= np.log2(max(1, count) / bucket) or e == 6)
 
 
-def _longs(values: list[int]):
-    return F.array(*(F.lit(_signed(v)) for v in values)) if values else F.array().cast("array<bigint>")
+def _longs(values: list[int]) -> str:
+    """An array of whole numbers in SQL: deep levels have thousands of masks, and a call of the JVM for each takes longer than the job."""
+    return f"array({', '.join(f'{_signed(v)}L' for v in values)})" if values else "cast(array() AS array<bigint>)"
 
 
 def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, stage: Stage | None = None) -> DataFrame:
@@ -130,7 +131,7 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
         coordinate = F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(ref))).cast("long"), 8 * i)
         packed = coordinate if packed is None else packed.bitwiseOR(coordinate)
     keys, found = _Keys.first(radius, blocks_that_agree(fps.count(), radius)), None
-    rows = fps.select("fp", F.posexplode(_longs(keys.masks)).alias("k", "mask"))
+    rows = fps.select("fp", F.posexplode(F.expr(_longs(keys.masks))).alias("k", "mask"))
     for depth in range(DEPTH + 1):
         rows = rows.select("k", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         # counted in shares, so that a common key's rows are in no task together
@@ -148,7 +149,7 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
             at = [F.shiftright(F.col(f"{side}.pivots"), 8 * i).bitwiseAND(F.lit(255)) for side in "ab"]
             close = close & (F.abs(at[0] - at[1]) <= radius)
         close = close & (F.bit_count(differing) <= radius)
-        earlier = F.array(*(_longs(x) for x in keys.differ))
+        earlier = F.expr(f"array({', '.join(_longs(x) for x in keys.differ)})")
         close = close & F.forall(F.get(earlier, F.col("a.k")), lambda m: differing.bitwiseAND(m) != 0)
         pairs = a.join(b, close).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
         found = pairs if found is None else found.unionAll(pairs)
@@ -158,7 +159,8 @@ def similar_pairs(fps: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCK
         if not hot.take(1):
             break
         keys, children = keys.below(radius)
-        to = F.array(*(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(_signed(keys.masks[i])).alias("mask")) for i in c)) for c in children))
+        masks = [[f"named_struct('k', {i}, 'mask', {_signed(keys.masks[i])}L)" for i in c] for c in children]
+        to = F.expr(f"array({', '.join(f'array({", ".join(c)})' for c in masks)})")
         rows = hot.select("fp", F.explode(F.get(to, F.col("k"))).alias("x")).select("fp", "x.k", "x.mask")
     return found
 

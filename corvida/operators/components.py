@@ -21,6 +21,8 @@ from corvida.session import Stage
 
 
 HUB, MOST_HUBS = 256, 50_000
+#: Edges for each file of a round at least, so that a small graph isn't written in hundreds of files.
+FILE_EDGES = 1 << 15
 
 
 def _state(edges: DataFrame) -> tuple[int, int, int]:
@@ -37,30 +39,34 @@ def _hub(count: int) -> int:
     return max(HUB, count // MOST_HUBS)
 
 
+def _files(count: int) -> int:
+    return max(1, -(-count // FILE_EDGES))
+
+
 def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _with_low(edges: DataFrame, wanted: str, hub: int | None, stage: Stage) -> DataFrame:
+def _with_low(edges: DataFrame, wanted: str, hub: int | None, stage: Stage, files: int) -> DataFrame:
     """The edges that fulfil ``wanted``, with ``m``, the smallest of ``u`` and its neighbours; ``hub`` is None if no node is one."""
     low = edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
     edges = edges.where(wanted)
     if hub is None:
         return edges.join(low.select("u", "m").hint("merge"), "u")
-    low = stage.write(low)
+    low = stage.write(low.coalesce(files))
     hubs = F.broadcast(low.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))  # 2 * MOST_HUBS rows at most
     met = edges.join(hubs, "u", "left")
     cold = met.where("hub_m is null").select("u", "v").join(low.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u")
     return met.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).unionAll(cold.select("u", "v", "m"))
 
 
-def _large_star(edges: DataFrame, hub: int | None, stage: Stage) -> DataFrame:
-    return _with_low(_both(edges), "v > u", hub, stage).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, hub: int | None, stage: Stage, files: int) -> DataFrame:
+    return _with_low(_both(edges), "v > u", hub, stage, files).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame, hub: int | None, stage: Stage) -> DataFrame:
+def _small_star(edges: DataFrame, hub: int | None, stage: Stage, files: int) -> DataFrame:
     # u is larger than all its neighbours here, which are no more than before the large star
-    rows = _with_low(edges, "v < u", hub, stage)
+    rows = _with_low(edges, "v < u", hub, stage, files)
     moved = rows.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(rows.select("u", F.col("m").alias("v"))).distinct()
 
@@ -78,8 +84,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     if seen[0]:
         for _ in range(max_rounds):
             hub = _hub(seen[0]) if seen[2] > _hub(seen[0]) else None
-            wide = _large_star(current, hub, stage)
-            step = stage.write(_small_star(stage.write(wide) if hub else wide, hub, stage))
+            files = _files(seen[0])
+            wide = _large_star(current, hub, stage, files)
+            step = stage.write(_small_star(stage.write(wide.coalesce(files)) if hub else wide, hub, stage, files).coalesce(files))
             stage.drop(current)
             current, now = step, _state(step)
             if now == seen:

@@ -131,8 +131,35 @@ def test_components_send_no_table_that_grows_to_the_driver(spark, monkeypatch):
 
     plans, write = [], Stage.write
     monkeypatch.setattr(Stage, "write", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(self, df))[1])
-    rows = spark.range(400).select(F.col("id"), (F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 150).alias("k"))
+    # fewer nodes than a hub has edges, as the bounded table of hubs is broadcast
+    rows = spark.range(240).select(F.col("id"), (F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 150).alias("k"))
     linked = identity.link_components(rows, "id", ["g", "k"])
-    assert linked.count() == 400
+    assert linked.count() == 240
     plans.append(linked._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_rounds_of_a_small_graph_are_written_in_few_files(spark, monkeypatch):
+    from corvida.session import Stage
+
+    files, write = [], Stage.write
+
+    def counted(self, df):
+        out = write(self, df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(Stage, "write", counted)
+    settings = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        edges = [(i, i + 1) for i in range(60) if i % 20 != 19]
+        got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(edges)
+    # the first table is written before its edges are counted
+    assert len(files) > 2 and max(files[1:]) == 1
