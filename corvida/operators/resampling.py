@@ -96,7 +96,8 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", p
 
     Draws of one class are rejected; attempts come in batches until enough are
     valid or ``ATTEMPTS_PER_DRAW`` times as many were made. Then the intervals
-    are null, and every comparator still has its record. All seeds and
+    are null, and every comparator still has its record. Where the groups lack a
+    class all attempts are rejected without being drawn. All seeds and
     comparators share the draws, so differences are paired; ``paired`` adds
     intervals of them (``SERIES``), from ``sums`` with the comparators
     ``selected`` and ``fixed``. ``splitting`` draws are multinomial counts made
@@ -114,6 +115,8 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", p
     if groups < least:
         raise ValueError("two groups or more are needed")
     generator, done, valid, values, most = random.Random(seed), 0, 0, None, ATTEMPTS_PER_DRAW * repetitions
+    if not sized.groupBy("seed", "comparator").agg(F.sum("P").alias("P"), F.sum("N").alias("N")).where("P > 0 AND N > 0").take(1):
+        done = most
     while done < most and valid < repetitions:
         upto = min(most, done + max(repetitions, LEAST_BATCH))
         if kind == "splitting":
@@ -128,10 +131,9 @@ def bootstrap(sums: DataFrame, repetitions: int, seed: int, kind: str = "md5", p
     if enough:
         last = values.select("attempt").distinct().orderBy("attempt").limit(repetitions).agg(F.max("attempt")).first()[0]
         values, valid, done = values.where(F.col("attempt") <= last), repetitions, last + 1
-    found = values.groupBy("comparator").agg(percentile_interval(F.col("value")).alias("i"))
     number = lambda n, name: F.lit(n).cast("long").alias(name)
     null = F.lit(None).cast("double")
     counts = [number(valid, "valid"), number(done, "attempted"), number(done - valid, "rejected")]
     names = spark.createDataFrame([(n,) for n in SERIES], "comparator string") if paired else sized.select("comparator").distinct()
-    out = names.join(found, "comparator", "left")
+    out = names.join(values.groupBy("comparator").agg(percentile_interval(F.col("value")).alias("i")), "comparator", "left") if enough else names
     return out.select("comparator", *counts, *((F.get("i", F.lit(k)) if enough else null).alias(n) for k, n in enumerate(("low", "high"))))

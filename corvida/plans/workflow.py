@@ -333,15 +333,16 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     constant class of the training prior, ``support`` and ``resolution`` say
     what the test part can show. ``runs`` are what ``check_runs`` takes. A
     manifest that breaks a rule is refused; without ``strict`` it is measured as
-    it is, and what it doesn't define is null or has no row.
+    it is, an empty one too, and what it doesn't define is null or has no row.
+    The fixed threshold is judged even where none can be selected.
     """
     spark, stage = manifest.sparkSession, Stage(manifest.sparkSession, "measure")
     if strict:
         contracts.check_manifest(manifest)
     check_runs(manifest, **runs)
-    contracts.require(contracts.in_several_groups(manifest), "test content in several groups")
-    seeds = scores.select("seed").distinct().limit(2).count()
-    if seeds < 2:
+    # texts that are missing are no common content
+    contracts.require(contracts.in_several_groups(manifest if strict else manifest.where("content_hash IS NOT NULL")), "test content in several groups")
+    if strict and scores.select("seed").distinct().limit(2).count() < 2:
         raise ValueError("two or more seeds are needed")
     named = scores.select("seed", F.concat(F.lit("seed_"), F.col("seed").cast("string")).alias("model"), "sample_id", "p")
     by_model = named.select("model", "sample_id", "p")
@@ -349,7 +350,7 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
     test = stage.write(judged(manifest, by_model, "test").join(manifest.select("sample_id", "group"), "sample_id"))
     prior = manifest.where("split = 'train'").agg(F.avg("label").cast("double")).first()[0]
     constant = int(prior is not None and prior >= 0.5)
-    rows = test.join(cuts, "model").select("model", "group", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("comparator"), (F.col("p") >= t).cast("int").alias("said")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x")).select("model", "group", "y", "x.*")
+    rows = test.join(cuts, "model", "left").select("model", "group", "y", F.explode(F.array(*(F.struct(F.lit(n).alias("comparator"), (F.col("p") >= t).cast("int").alias("said")) for n, t in (("selected", F.col("threshold")), ("fixed", F.lit(0.5)))))).alias("x")).select("model", "group", "y", "x.*").where("said IS NOT NULL")
     # numbers in the order of the groups' names, from a range-partitioned sort
     groups = manifest.where("split = 'test'").select("group").distinct().repartitionByRange("group").sortWithinPartitions("group")
     numbered = stage.write(groups.withColumn("number", F.monotonically_increasing_id()))
@@ -365,7 +366,7 @@ def measure(manifest: DataFrame, scores: DataFrame, repetitions: int = 2000, see
         "across_seeds": across,
         "intervals": resampling.bootstrap(sums, repetitions, seed, kind, paired=True, least=2 if strict else 0),
         "baseline": spark.createDataFrame([(prior, constant)], "prior double, constant_class int"),
-        "support": identity.group_support(manifest.where("split = 'test'"), "sample_id", "group", "content_hash"),
+        "support": identity.group_support(manifest.where("split = 'test'"), "sample_id", "group", "content_hash", strict),
         "resolution": counts.withColumn("step", 0.5 / F.col("n")),
     }
 

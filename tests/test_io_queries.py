@@ -46,6 +46,31 @@ def test_lopsided_splits_are_judged_as_their_sql_does(spark, tmp_path, kind):
         assert want or kind == "chained"
 
 
+@pytest.mark.parametrize("kind", ["unlabelled", "few", "missing"])
+def test_splits_without_labels_validation_or_texts_are_measured_as_their_sql_does(spark, tmp_path, kind):
+    # few: four components, of which three are training and one is test; missing: texts that are null are no common content
+    db = duckdb.connect()
+    docs, labels = f"SELECT * FROM '{DATA}/documents.parquet'", f"SELECT * FROM '{DATA}/labels.parquet'"
+    if kind == "unlabelled":
+        labels = labels.replace("*", "* REPLACE (doc_id + 100000 AS doc_id)")
+    elif kind == "few":
+        docs = docs.replace("*", "* REPLACE (text || ' case ' || doc_id // 4 AS text)") + " WHERE doc_id < 16"
+        labels = "SELECT range AS doc_id, CAST(range % 2 AS INTEGER) AS quality FROM range(16)"
+    else:
+        docs = docs.replace("*", "* REPLACE (CASE WHEN doc_id % 4 = 0 THEN NULL ELSE text END AS text)")
+        labels = "SELECT doc_id, CAST(doc_id // 4 % 2 AS INTEGER) AS quality FROM (SELECT * FROM range(200) t(doc_id))"
+    for name, rows in (("documents", docs), ("labels", labels)):
+        db.sql(f"COPY ({rows}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    key = lambda r: tuple((x is None, x) for x in r)
+    names = {"unlabelled": ("measurement", "group_bootstrap"), "few": ("measurement", "paired_intervals", "group_bootstrap", "flagship", "paired_deltas"), "missing": ("measurement",)}
+    for name in names[kind]:
+        rows = (catalog.QUERIES | checks.QUERIES)[name](spark, str(tmp_path))
+        want = db.sql(f"SELECT {', '.join(rows.columns)} FROM ({(catalog.SQL | checks.SQL)[name]})").fetchall()
+        assert sorted(map(tuple, rows.collect()), key=key) == sorted(want, key=key)
+        assert name != "measurement" or len(want) == {"unlabelled": 5, "few": 29, "missing": 71}[kind]
+
+
 def test_entry_and_keys(spark):
     assert __spark_entry__.entry(spark).count() == 6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
